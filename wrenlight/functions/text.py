@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def _collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, not once per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_spacing(text: Column | str) -> Column:
     """Handles, symbols and URLs become spaces; runs of spaces become one."""
     pattern = f"({HANDLE})|({SYMBOL})|({URL})"
@@ -73,10 +80,13 @@ def tokenize(text: Column | str, strip_handles: bool = False) -> Column:
 def terms(text: Column | str, ngram_range: tuple[int, int] = (1, 1)) -> Column:
     """Lower-cased tokens of two or more word characters, and their n-grams."""
     words = F.regexp_extract_all(F.lower(_column(text)), F.lit(TERM), F.lit(0))
-    low, high = ngram_range
-    grams = {1: words, 2: bigram_terms(words)}
-    chosen = [grams[n] for n in range(low, high + 1)]
-    return chosen[0] if len(chosen) == 1 else F.concat(*chosen)
+    if ngram_range == (1, 1):
+        return words
+    if ngram_range == (2, 2):
+        return bigram_terms(words)
+    if ngram_range == (1, 2):
+        return _bind(words, lambda w: F.concat(w, _joined_pairs(w)))
+    raise ValueError(f"n-gram range not supported: {ngram_range}")
 
 
 def letter_trigrams(text: Column | str) -> Column:
@@ -86,25 +96,25 @@ def letter_trigrams(text: Column | str) -> Column:
     return F.regexp_extract_all(padded, F.lit(LETTER_TRIGRAM), F.lit(1))
 
 
+def _first_and_second(tokens: Column) -> tuple[Column, Column]:
+    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.slice(tokens, F.lit(1), pairs), F.slice(tokens, F.lit(2), pairs)
+
+
+def _joined_pairs(tokens: Column) -> Column:
+    first, second = _first_and_second(tokens)
+    return F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(tokens: Column | str) -> Column:
     """Array of structs ``(w1, w2)`` of adjacent tokens; empty below two tokens."""
-    tokens = _column(tokens)
-    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.arrays_zip(
-        F.slice(tokens, F.lit(1), pairs).alias("w1"),
-        F.slice(tokens, F.lit(2), pairs).alias("w2"),
-    ).cast("array<struct<w1:string,w2:string>>")
+    zipped = _bind(_column(tokens), lambda t: F.arrays_zip(*_first_and_second(t)))
+    return zipped.cast("array<struct<w1:string,w2:string>>")
 
 
 def bigram_terms(tokens: Column | str) -> Column:
     """Adjacent tokens joined by one space."""
-    tokens = _column(tokens)
-    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(tokens, F.lit(1), pairs),
-        F.slice(tokens, F.lit(2), pairs),
-        lambda first, second: F.concat_ws(" ", first, second),
-    )
+    return _bind(_column(tokens), _joined_pairs)
 
 
 def presence(tokens: Column | str) -> Column:
@@ -112,29 +122,40 @@ def presence(tokens: Column | str) -> Column:
     return F.array_distinct(_column(tokens))
 
 
+def _run_starts(ordered: Column) -> Column:
+    """Struct of a sorted array and the positions where a new value begins."""
+    positions = F.when(
+        F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)
+    ).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(
+        positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+    )
+    return F.struct(ordered.alias("ordered"), starts.alias("starts"))
+
+
 def term_counts(tokens: Column | str) -> Column:
     """Array of structs ``(term, tf)`` of one text, in term order.
 
     Counts runs in the sorted array, so a long text costs n log n inside its
     own row and no shuffle.
     """
-    ordered = F.array_sort(_column(tokens))
-    size = F.size(ordered)
-    positions = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    starts = F.filter(
-        positions,
-        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-    )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(size))
-    return F.zip_with(
-        starts,
-        ends,
-        lambda start, end: F.struct(
-            F.get(ordered, start).alias("term"), (end - start).alias("tf")
-        ),
-    )
+
+    def count(runs: Column) -> Column:
+        ordered, starts = runs["ordered"], runs["starts"]
+        after = F.concat(
+            F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))),
+            F.array(F.size(ordered)),
+        )
+        return F.zip_with(
+            starts,
+            after,
+            lambda start, end: F.struct(
+                F.get(ordered, start).alias("term"), (end - start).alias("tf")
+            ),
+        )
+
+    counted = _bind(_bind(F.sort_array(_column(tokens)), _run_starts), count)
+    return F.filter(counted, lambda entry: entry["term"].isNotNull())
 
 
 def without_apostrophes(word: Column | str) -> Column:

@@ -55,7 +55,7 @@ def best_word_features(
     tokens = tx.presence(tx.tokenize(text, strip_handles=True))
     rows = named.select(key, F.explode(tokens).alias("token"))
     kept = bayes.in_vocabulary(rows, vocabulary, k).groupBy(key).agg(
-        F.array_sort(F.collect_list("token")).alias("features")
+        F.sort_array(F.collect_list("token")).alias("features")
     )
     empty = F.array().cast("array<string>")
     return named.select(key, "label").join(kept, key, "left").select(

@@ -100,7 +100,7 @@ def _per_document(expression) -> Callable[[SparkSession, str], DataFrame]:
 def token_presence(spark, folder):
     tokens = tx.presence(tx.tokenize("text"))
     return table(spark, folder, "documents").select(
-        "doc_id", F.array_join(F.array_sort(tokens), " ").alias("features")
+        "doc_id", F.array_join(F.sort_array(tokens), " ").alias("features")
     )
 
 
