@@ -1,7 +1,8 @@
 """Tables with a business key: keep-first, anti joins, upserts, checks.
 
-Rows without a key never match anything. They bypass every window and join
-here, because a shuffle would send all of them to one task.
+Rows without a key never match anything. They bypass the windows and joins
+here, or are spread over them, because a plain shuffle on the key would send
+all of them to one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from wrenlight.sources.scratch import fits_broadcast
 
+# Tasks that share the rows without a key in an anti join.
+KEYLESS_SPREAD = 4096
+
 
 def _has_key(key: str) -> Column:
     return F.col(key).isNotNull()
@@ -43,9 +47,21 @@ def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not among the known ones; rows without a key stay."""
-    missing = rows.where(_has_key(key)).join(known.select(key), key, "left_anti")
-    return missing.unionByName(rows.where(~_has_key(key)))
+    """Rows whose key is not among the known ones; rows without a key stay.
+
+    A second join column spreads the rows without a key over all tasks.
+    """
+    names = [name for name in rows.columns if name != key]
+    spread = F.when(_has_key(key), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*names), F.lit(KEYLESS_SPREAD)).cast("int")
+        if names
+        else F.lit(0)
+    )
+    return (
+        rows.withColumn("_spread", spread)
+        .join(known.select(key, F.lit(0).alias("_spread")), [key, "_spread"], "left_anti")
+        .select(*rows.columns)
+    )
 
 
 def insert_ignore(
@@ -65,48 +81,62 @@ def upsert(
 ) -> DataFrame:
     """The target after inserting new keys and refreshing ``update`` on existing ones.
 
-    Repeated keys in the batch: the last by ``order`` wins. Columns outside
-    ``update`` keep their stored values; null incoming values do overwrite.
-    A batch within the size check is broadcast, so the target is not
-    shuffled; a larger one takes one full outer join. ``batch`` is read
-    several times and should be stored or persisted.
+    Repeated keys in the batch: the last by ``order`` wins.
+    """
+    return merge_unique(target, last_per_key(batch, key, order), key, update, max_rows)
+
+
+def merge_unique(
+    target: DataFrame,
+    batch: DataFrame,
+    key: str,
+    update: Sequence[str],
+    max_rows: int | None = None,
+) -> DataFrame:
+    """``upsert`` of a batch without repeated keys.
+
+    Columns outside ``update`` keep their stored values; null incoming values
+    do overwrite. A batch within the size check is broadcast, so the target is
+    not shuffled; a larger one takes one full outer join. ``batch`` is read
+    several times and should be stored.
     """
     names = target.columns
-    batch = last_per_key(batch, key, order)
-    for name in names:
-        if name not in batch.columns:
-            batch = batch.withColumn(name, F.lit(None).cast(target.schema[name].dataType))
-    batch = batch.select(*[F.col(n).cast(target.schema[n].dataType).alias(n) for n in names])
+    missing = [name for name in names if name not in batch.columns]
+    batch = batch.select("*", *[F.lit(None).alias(name) for name in missing]).select(
+        *[F.col(n).cast(target.schema[n].dataType).alias(n) for n in names]
+    )
     keyless = batch.where(~_has_key(key))
-    incoming = batch.where(_has_key(key)).select(
+    keyed_batch = batch.where(_has_key(key))
+    incoming = keyed_batch.select(
         key,
         *[F.col(n).alias(f"_new_{n}") for n in names if n != key],
         F.lit(True).alias("_incoming"),
     )
 
+    def refreshed(name: str) -> Column:
+        return F.when(F.col("_incoming"), F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
+
     if fits_broadcast(incoming, max_rows=max_rows):
         matched = target.select(key).join(F.broadcast(incoming.select(key)), key, "left_semi")
-        fresh = absent(batch.where(_has_key(key)), matched, key)
-        refreshed = target.join(F.broadcast(incoming), key, "left").select(
+        fresh = keyed_batch.join(matched, key, "left_anti")
+        kept = target.join(F.broadcast(incoming), key, "left").select(
+            *[refreshed(n) if n in update else F.col(n) for n in names]
+        )
+        return kept.unionByName(fresh).unionByName(keyless)
+
+    def inserted(name: str) -> Column:
+        return F.when(F.col("_stored"), F.col(name)).otherwise(F.col(f"_new_{name}")).alias(name)
+
+    merged = (
+        target.where(_has_key(key))
+        .withColumn("_stored", F.lit(True))
+        .join(incoming, key, "full_outer")
+        .select(
             *[
-                F.when(F.col("_incoming"), F.col(f"_new_{n}")).otherwise(F.col(n)).alias(n)
-                if n in update
-                else F.col(n)
+                F.col(n) if n == key else refreshed(n) if n in update else inserted(n)
                 for n in names
             ]
         )
-        return refreshed.unionByName(fresh).unionByName(keyless)
-
-    stored_rows = target.where(_has_key(key)).withColumn("_stored", F.lit(True))
-    merged = stored_rows.join(incoming, key, "full_outer").select(
-        *[
-            F.col(n)
-            if n == key
-            else F.when(F.col("_incoming"), F.col(f"_new_{n}")).otherwise(F.col(n)).alias(n)
-            if n in update
-            else F.when(F.col("_stored"), F.col(n)).otherwise(F.col(f"_new_{n}")).alias(n)
-            for n in names
-        ]
     )
     return merged.unionByName(target.where(~_has_key(key))).unionByName(keyless)
 

@@ -74,17 +74,18 @@ class KeyedTable:
         """The committed content."""
         return self._rows(self._current())
 
-    def _change(self, batch: DataFrame, order: Sequence[str], merge) -> None:
-        """Commit ``merge(content of the touched slices, batch)``."""
+    def _change(self, batch: DataFrame, choose, order: Sequence[str], merge) -> None:
+        """Commit ``merge(content of the touched slices, chosen rows of the batch)``."""
         version = (self._commits().agg(F.max("version")).first()[0] or 0) + 1
+        chosen = choose(stored(batch, "batch", self.spark), self.key, order)
         if self.id_column:
-            batch = assign_ids(self.read(), batch, [self.key, *order], self.id_column)
-        batch = stored(batch, "batch")
-        touched = stored(batch.select(self._slice().alias("slice")).distinct(), "touched")
+            chosen = assign_ids(self.read(), chosen, [self.key, *order], self.id_column)
+        chosen = stored(chosen, "chosen")
+        touched = stored(chosen.select(self._slice().alias("slice")).distinct(), "touched")
         if touched.isEmpty():
             return
         current = self._current().join(touched, "slice", "left_semi")
-        merged = merge(self._rows(current), batch).select(*self.schema.names)
+        merged = merge(self._rows(current), chosen).select(*self.schema.names)
         # Overwrite: an attempt that died before its commit may have left files.
         (
             merged.withColumn("slice", self._slice())
@@ -99,17 +100,22 @@ class KeyedTable:
     def upsert(self, batch: DataFrame, update: Sequence[str], order: Sequence[str]) -> None:
         """Insert new keys, refresh ``update`` on stored ones; the last repeat wins."""
         self._change(
-            keyed.last_per_key(batch, self.key, order),
+            batch,
+            keyed.last_per_key,
             order,
-            lambda rows, incoming: keyed.upsert(rows, incoming, self.key, update, order),
+            lambda rows, chosen: keyed.merge_unique(rows, chosen, self.key, update),
         )
 
     def insert_ignore(self, batch: DataFrame, order: Sequence[str]) -> None:
         """Insert new keys and leave stored ones; the first repeat wins."""
         self._change(
-            keyed.first_per_key(batch, self.key, order),
+            batch,
+            keyed.first_per_key,
             order,
-            lambda rows, incoming: rows.unionByName(
-                keyed.absent(incoming, rows, self.key), allowMissingColumns=True
+            lambda rows, chosen: rows.unionByName(
+                keyed.absent(chosen, rows, self.key).select(
+                    *[c for c in chosen.columns if c in rows.columns]
+                ),
+                allowMissingColumns=True,
             ),
         )

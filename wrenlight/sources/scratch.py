@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenlight.session import shared_dir
@@ -14,20 +14,20 @@ BROADCAST_ROWS = 200_000
 BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 
 
-def scratch_path(spark, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, by ``session`` if given.
 
     Cuts the lineage with files that outlive any executor, and keeps column
     pruning and filter pushdown for the readers.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, key: str | None = None, max_rows: int | None = None) -> bool:

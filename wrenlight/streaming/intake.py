@@ -68,8 +68,12 @@ def with_referenced(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def store_batch(
     raw: DataFrame, tweets: KeyedTable, users: KeyedTable | None = None, refresh_users: bool = True
 ) -> None:
-    """Upsert one batch of nested tweets; repeating it changes nothing."""
-    raw = stored(raw, "intake")
+    """Upsert one batch of nested tweets; repeating it changes nothing.
+
+    The stored batch is read by the tables' session: a micro-batch's own
+    session runs without adaptive execution.
+    """
+    raw = stored(raw, "intake", tweets.spark)
     tweet_batch, user_batch = with_referenced(raw)
     tweets.upsert(tweet_batch, TWEET_REFRESH, ARRIVAL)
     if users is not None:
