@@ -49,7 +49,9 @@ def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the known ones; rows without a key stay.
 
-    A second join column spreads the rows without a key over all tasks.
+    A second join column, 0 wherever there is a key, spreads the rows without
+    one over all tasks. The known side computes its 0 from the key, as a
+    literal would be optimized out of the shuffle.
     """
     names = [name for name in rows.columns if name != key]
     spread = F.when(_has_key(key), F.lit(0)).otherwise(
@@ -57,9 +59,10 @@ def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
         if names
         else F.lit(0)
     )
+    known_keys = known.select(key, F.pmod(F.hash(key), F.lit(1)).alias("_spread"))
     return (
         rows.withColumn("_spread", spread)
-        .join(known.select(key, F.lit(0).alias("_spread")), [key, "_spread"], "left_anti")
+        .join(known_keys, [key, "_spread"], "left_anti")
         .select(*rows.columns)
     )
 

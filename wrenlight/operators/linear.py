@@ -29,6 +29,7 @@ LOGISTIC_ITERATIONS = 100
 INVERSE_STRENGTH = 1.0
 HINGE_ALPHA = 1e-3
 HINGE_ITERATIONS = 100
+HINGE_TOLERANCE = 1e-4
 GRID_NGRAMS = ((1, 1), (1, 2))
 GRID_ALPHA = (1e-2, 1e-3)
 FOLDS = 3
@@ -163,6 +164,7 @@ def _hinge(alpha: float = HINGE_ALPHA) -> LinearSVC:
         regParam=alpha,
         standardization=False,
         maxIter=HINGE_ITERATIONS,
+        tol=HINGE_TOLERANCE,
         aggregationDepth=3,
     )
 
@@ -191,7 +193,7 @@ def grid_search(
     labels: tuple[str, str] = ("neg", "pos"),
     text: str = "text",
     folds: int = FOLDS,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> tuple[LinearTextModel, DataFrame]:
     """Cross-validated choice of n-gram range and penalty for the hinge model.
 

@@ -258,6 +258,12 @@ SELECT doc_id, trim({_replace(
         "text", (tx.HANDLE, " "), (tx.URL, " "), ("[0-9]+", " "), ("&amp;", " "),
         ("&quote;", " "), (tx.SYMBOL, ""), (tx.BLANKS, " "))}) AS cleaned
 FROM documents""",
+    "squeeze_letters": """WITH letters AS (
+  SELECT doc_id, regexp_extract_all(text, '(?s).') AS c,
+         regexp_extract_all(lower(text), '(?s).') AS low FROM documents)
+SELECT doc_id, coalesce(array_to_string(list_filter(c, lambda x, i:
+    i < 3 OR low[i] <> low[i - 1] OR low[i] <> low[i - 2]), ''), '') AS cleaned
+FROM letters""",
     "token_presence": f"""
 SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct({_TOKENS})), ' '), '') AS features
 FROM documents""",
