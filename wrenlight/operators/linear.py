@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenlight.functions.text import TERM, terms
+from wrenlight.sources.scratch import spread, stored
 
 # Solver settings of the three models and the parameter grid.
 LOGISTIC_ITERATIONS = 100
 INVERSE_STRENGTH = 1.0
 HINGE_ALPHA = 1e-3
 HINGE_ITERATIONS = 100
-HINGE_TOLERANCE = 1e-4
+HINGE_TOLERANCE = 1e-3
 GRID_NGRAMS = ((1, 1), (1, 2))
 GRID_ALPHA = (1e-2, 1e-3)
 FOLDS = 3
@@ -119,8 +120,10 @@ def _numbered(top: DataFrame, side: str, ascending: bool) -> DataFrame:
 
 
 def _training_rows(docs: DataFrame, label: Column, labels: tuple[str, str], text: str):
-    return docs.where(label.isin(list(labels))).select(
-        F.col(text).alias("text"), (label == labels[1]).cast("double").alias("label")
+    return spread(
+        docs.where(label.isin(list(labels))).select(
+            F.col(text).alias("text"), (label == labels[1]).cast("double").alias("label")
+        )
     )
 
 
@@ -133,6 +136,8 @@ def fit_tfidf_logistic(
 ) -> LinearTextModel:
     """Unit-length TF-IDF of word n-grams and L2 logistic regression.
 
+    ``docs`` is read in several passes and should be a stored table.
+
     MLlib's objective is the mean loss, so the penalty of a summed loss with
     strength ``C`` is ``1 / (C n)``. Its IDF lacks the added 1, which a fixed
     elementwise weight puts back.
@@ -141,7 +146,8 @@ def fit_tfidf_logistic(
     to_terms = SQLTransformer(statement=term_statement(ngram_range))
     counter = vectorizer(rows, ngram_range)
     counting = Pipeline(stages=[to_terms, counter]).fit(rows)
-    counted = counting.transform(rows).select("label", "counts")
+    # Stored, so that texts are cut into terms once and not in every pass.
+    counted = spread(stored(counting.transform(rows).select("label", "counts"), "counted"))
     weights = IDF(inputCol="counts", outputCol="weighted").fit(counted).idf.toArray() + 1.0
     weigh = ElementwiseProduct(
         inputCol="counts", outputCol="weighted", scalingVec=DenseVector(weights)

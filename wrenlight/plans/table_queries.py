@@ -26,17 +26,22 @@ from wrenlight.plans import classify
 from wrenlight.schemas import RAW_TWEET, TWEET, TWEETS, USERS
 from wrenlight.sources import files
 from wrenlight.sources.keyed_table import KeyedTable
-from wrenlight.sources.scratch import scratch_path, stored
+from wrenlight.sources.scratch import scratch_path, spread, stored
 from wrenlight.streaming import intake
 
 TOPIC = r"([Oo]f\s+[Tt]he)|([Dd]e\s+[Ll]a)|(#[A-Za-z]+)"
 STOPWORDS = 50
-SQUEEZE_DIGITS = 6
+WEIGHT_DIGITS = 6
 CHANGE_ORDER = ["l_linenumber", "l_partkey", "o_totalprice", "o_orderdate"]
 
 
+# Tables of texts and their keys.
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, *TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -388,7 +393,7 @@ def idf(spark, folder):
 def tfidf_rows(spark, folder):
     docs = table(spark, folder, "documents")
     rows = tfidf.tfidf(docs, "doc_id", tx.terms("text", (1, 2)))
-    return rows.withColumn("weight", F.round("weight", SQUEEZE_DIGITS))
+    return rows.withColumn("weight", F.round("weight", WEIGHT_DIGITS))
 
 
 # Language and lexicon

@@ -30,6 +30,19 @@ def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> Dat
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input with few splits, such as one large row group.
+
+    A scan that already has a split per core is left as it is, so at scale
+    nothing is moved. With ``keys``, later grouping by them needs no shuffle.
+    Call it on a scan: counting the splits plans ``df`` but runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def fits_broadcast(df: DataFrame, key: str | None = None, max_rows: int | None = None) -> bool:
     """Whether ``df`` is small enough to broadcast; reads at most ``max_rows + 1`` rows.
 
