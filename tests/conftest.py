@@ -14,8 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
-        {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"},
+        "local[4]",
+        {"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

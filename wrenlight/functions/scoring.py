@@ -29,8 +29,11 @@ def chi_square(n_ii: Column, n_ix: Column, n_xi: Column, n_xx: Column) -> Column
 
 def f_measure(precision: Column, recall: Column) -> Column:
     """Harmonic mean: null if either is null, 0 if either is 0."""
-    return F.when((precision == 0) | (recall == 0), F.lit(0.0)).otherwise(
-        F.lit(1.0) / (F.lit(0.5) / precision + F.lit(0.5) / recall)
+    undefined = precision.isNull() | recall.isNull()
+    return (
+        F.when(undefined, F.lit(None).cast("double"))
+        .when((precision == 0) | (recall == 0), F.lit(0.0))
+        .otherwise(F.lit(1.0) / (F.lit(0.5) / precision + F.lit(0.5) / recall))
     )
 
 

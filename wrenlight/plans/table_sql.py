@@ -387,7 +387,8 @@ pr AS (
   SELECT label, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted END AS precision,
          CASE WHEN actual > 0 THEN CAST(tp AS DOUBLE) / actual END AS recall FROM sides)
 SELECT label, precision, recall,
-       CASE WHEN precision = 0 OR recall = 0 THEN 0.0
+       CASE WHEN precision IS NULL OR recall IS NULL THEN NULL
+            WHEN precision = 0 OR recall = 0 THEN 0.0
             ELSE 1.0 / (0.5 / precision + 0.5 / recall) END AS f_measure FROM pr""",
     "class_report": f"""WITH {_HELD_OUT},
 clear AS (SELECT * FROM outcome WHERE label <> 'neutral'),{_sides("clear")},
