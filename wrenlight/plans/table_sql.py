@@ -422,7 +422,7 @@ idf AS (
   FROM tf GROUP BY term),
 raw AS (SELECT doc_id, tf.term, tf, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
 lengths AS (SELECT doc_id, sqrt(sum(w * w)) AS length FROM raw GROUP BY doc_id)
-SELECT r.doc_id, term, tf, round(w / length, 6) AS weight
+SELECT r.doc_id, term, CAST(tf AS INTEGER) AS tf, round(w / length, 6) AS weight
 FROM raw r JOIN lengths l ON r.doc_id = l.doc_id""",
     "lang_predict": f"""WITH turns AS (
   SELECT conv_id || ':' || turn AS turn_key, text FROM conversations),{_language("turns", "turn_key")}
