@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenlight.llm import exact_dedup, mixing, secrets
+from wrenlight.llm import exact_dedup, mixing, secrets, tokenizer
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,27 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file that the registered query reads."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokenizer.read_spec(vocabulary_path())
+    encoded = tokenizer.encode(documents(spark, sf_dir), spec)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
+    "op9_tokenize": op9_tokenize,
 }
