@@ -22,6 +22,12 @@ def group_count(spark) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def held_out_fold(doc_id: Column) -> Column:
+    """Whether a row is kept from training: every fifth by CRC-32 of the id, no null id."""
+    fold = F.crc32(doc_id.cast("string").cast("binary")) % 5
+    return F.coalesce(fold == 0, F.lit(False))
+
+
 def join_counted(
     rows: DataFrame, counted: DataFrame, key: str, count: str, total: int, spread: Column
 ) -> DataFrame:

@@ -5,17 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenlight.llm import exact_dedup, mixing, secrets, tokenizer
+from wrenlight.llm.common import held_out_fold
+from wrenlight.llm import exact_dedup, language, mixing, quality, secrets, tokenizer
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = held_out_fold(F.col("doc_id"))
+    filters = language.train(docs.where(~held_out))
+    return language.identify(docs, filters).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = held_out_fold(F.col("doc_id"))
+    model = quality.train(docs, labels.where(~held_out))
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -62,7 +85,9 @@ def op9_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op9_tokenize": op9_tokenize,
