@@ -5,10 +5,10 @@ encoding produces. It starts as one state with an arc for every base symbol
 and takes up the merges one by one. The gadget for a merge of ``u`` and ``v``
 copies the state that ``u`` leads to, leaves ``v`` out of the copy, lets ``u``
 lead there, and gives every state with an arc ``u`` an arc ``uv`` to where
-``v`` led. So all arcs of one token lead to one state, a state never changes
-once it is made, and it is told by the state it was copied from and the one
-token left out. That is how the tables hold it: three short arrays instead of
-states times tokens.
+``v`` led. So all arcs of one token lead to one state, and a state never changes
+once it is made. The states that a token has led to form a chain: it begins at
+a state of the token's right part, and each next one lacks one token more. The
+tables hold those chains instead of states times tokens.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +34,10 @@ UNASSIGNED = "\uffff"
 
 #: Words a Python task remembers at most before it starts afresh; results don't depend on it.
 CACHE_WORDS = 250_000
-CACHE_ARCS = 1_000_000
+CACHE_ARCS = 500_000
+
+#: Stands for the start state, which no token leads to.
+START = -1
 
 
 def byte_symbols() -> list[str]:
@@ -58,39 +63,47 @@ class Automaton:
         made = {vocab[u + v] for u, v in merges}
         if len(made) != len(merges):
             raise ValueError("two merges make the same token")
+        # The rank that made a token, and its left part.
         self.born = {i: -1 for i in vocab.values() if i not in made}
         self.left: dict[int, int] = {}
-        # State 0 is the start; each further state is a copy without one token.
-        self.copied_from, self.without, self.since = [0], [-1], [-1]
-        self.leads_to = dict.fromkeys(self.born, 0)
+        # A token's chain: the chain and length it begins at, the tokens left
+        # out since with their position, and the ranks at which that was.
+        self.begins: dict[int, tuple[int, int] | None] = dict.fromkeys(self.born)
+        self.lacks: dict[int, dict[int, int]] = {i: {} for i in self.born}
+        self.since: dict[int, list[int]] = {i: [] for i in self.born}
         for rank, (first, second) in enumerate(merges):
             self._gadget(rank, vocab[first], vocab[second], vocab[first + second])
         self.longest = max(map(len, vocab))
-        self._allowed: dict[tuple[int, int], bool] = {}
+        self._allowed: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        state, after = self.leads_to[u], self.leads_to[v]
-        self.born[uv], self.left[uv], self.leads_to[uv] = rank, u, after
-        if self.has_arc(state, v):
-            self.copied_from.append(state)
-            self.without.append(v)
-            self.since.append(rank)
-            self.leads_to[u] = len(self.since) - 1
-
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc for ``token``.
-
-        A copy has what its original had, but for the token left out. A state
-        older than the token got the arc if it had one for the token's left part.
+        self.born[uv], self.left[uv] = rank, u
+        self.begins[uv], self.lacks[uv], self.since[uv] = (v, len(self.since[v])), {}, []
+        if self.has_arc(u, v):
+            self.lacks[u][v] = len(self.since[u])
+            self.since[u].append(rank)
+
+    def has_arc(self, last: int, token: int) -> bool:
+        """Whether the state that ``last`` leads to has an arc for ``token``.
+
+        It has not if its chain left the token out before. Else it has one if,
+        when the token was made, the state of the chain at that time had one
+        for the token's left part; a base symbol starts out on every state.
         """
-        while state:
-            if self.since[state] > self.born[token]:
-                if self.without[state] == token:
-                    return False
-                state = self.copied_from[state]
-            else:
+        chain, length = last, len(self.since[last])
+        while True:
+            out = self.lacks[chain].get(token)
+            if out is not None and out < length:
+                return False
+            length = min(length, bisect_right(self.since[chain], self.born[token]))
+            if length:
+                token = self.left[token]
+            elif self.begins[chain] is None:
+                if self.born[token] < 0:
+                    return True
                 token = self.left[token]
-        return True
+            else:
+                chain, length = self.begins[chain]
 
     def encode(self, symbols: list[str]) -> list[int]:
         """The ids of one word given as base symbols.
@@ -101,33 +114,34 @@ class Automaton:
         length times that of the longest token.
         """
         n, longest = len(symbols), self.longest
-        vocab, leads_to, known = self.vocab, self.leads_to, self._allowed
+        vocab, known = self.vocab, self._allowed
         text = "".join(symbols)
         size = len(text)
         path: list[tuple[int, int, int, int]] = []
         left: set[int] = set()
-        start, state, end = 0, 0, min(n, longest)
+        start, last, end = 0, START, min(n, longest)
         while True:
             while end > start:
                 token = vocab.get(text[start : end if end < n else size])
                 if token is not None and end not in left:
-                    ok = known.get((state, token))
+                    arc = last << 32 | token
+                    ok = known.get(arc)
                     if ok is None:
                         if len(known) >= CACHE_ARCS:
                             known.clear()
-                        ok = known[state, token] = self.has_arc(state, token)
+                        ok = known[arc] = last == START or self.has_arc(last, token)
                     if ok:
                         break
                 end -= 1
             if end > start:
-                path.append((start, state, end, token))
+                path.append((start, last, end, token))
                 if end == n:
                     return [step[3] for step in path]
-                start, state = end, leads_to[token]
+                start, last = end, token
                 end = min(n, start + longest)
             else:
                 left.add(start)
-                start, state, end, _ = path.pop()
+                start, last, end, _ = path.pop()
                 end -= 1
 
     def decode(self, ids) -> str:
@@ -165,9 +179,8 @@ class Tokenizer:
             self.automaton.labels[i] = content
         longest_first = sorted(self.added, key=len, reverse=True)
         self._added = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)")
-        self._blanks = regex.compile(r"\s+")
         self._words = regex.compile(split["pattern"]["Regex"])
-        self._bytes = byte_symbols()
+        self._bytes = dict(enumerate(byte_symbols()))
         # The regex module may know letters and digits of a later Unicode version.
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         named = regex.findall(r"[\p{L}\p{N}]", every)
@@ -178,7 +191,8 @@ class Tokenizer:
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without added tokens."""
-        text = self._blanks.sub(" ", unicodedata.normalize("NFC", text))
+        # Blanks part words, be it one or many, so runs of them stay as they are.
+        text = unicodedata.normalize("NFC", text)
         # Each character is lowered by itself, so a final sigma is no exception.
         text = text.replace("Σ", "σ").lower()
         if self._may_be_later.search(text) and not self._later.isdisjoint(text):
@@ -187,7 +201,7 @@ class Tokenizer:
         return self._words.findall(text)
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = [self._bytes[b] for b in word.encode("utf-8")]
+        symbols = [*word.encode("utf-8").decode("latin-1").translate(self._bytes)]
         symbols[-1] += WORD_END
         return self.automaton.encode(symbols)
 
@@ -208,15 +222,11 @@ class _Remembered(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str):
-        import numpy as np
-
         if len(self) >= CACHE_WORDS:
             self.clear()
         ids = self.tokenizer.encode_word(word)
-        self[word] = found = (
-            np.array(ids, "<i4").tobytes(),
-            self.tokenizer.automaton.decode(ids),
-        )
+        found = array("i", ids).tobytes(), self.tokenizer.automaton.decode(ids)
+        self[word] = found
         return found
 
 
@@ -237,7 +247,7 @@ def _encode(spec: str, id_type, batches) -> Iterator:
             found = []
             for added, piece in tokenizer.pieces(text or ""):
                 if added:
-                    found.append((np.array([tokenizer.added[piece]], "<i4").tobytes(), piece))
+                    found.append((array("i", [tokenizer.added[piece]]).tobytes(), piece))
                 else:
                     found += [known[w] for w in tokenizer.words(piece)]
             ids = b"".join([x[0] for x in found])
@@ -245,7 +255,7 @@ def _encode(spec: str, id_type, batches) -> Iterator:
             counts.append(len(ids) // 4)
             decoded.append(" ".join([x[1] for x in found]))
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
-        values = np.frombuffer(b"".join(packed), "<i4")
+        values = np.frombuffer(b"".join(packed), np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(part["doc_id"], id_type),
