@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wrenlight.llm import (
+    exact_dedup,
+    language,
+    licenses,
+    mixing,
+    quality,
+    secrets,
+    syncmers,
+    tokenizer,
+)
 from wrenlight.llm.common import held_out_fold
-from wrenlight.llm import exact_dedup, language, mixing, quality, secrets, tokenizer
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +48,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compared(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -84,11 +105,23 @@ def op9_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.size("licenses").alias("n_licenses"),
+        F.col("unknown").alias("n_unknown"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op9_tokenize": op9_tokenize,
+    "op10_licenses": op10_licenses,
 }
