@@ -10,6 +10,7 @@ from wrenlight.llm import (
     language,
     licenses,
     mixing,
+    near_dedup,
     quality,
     secrets,
     syncmers,
@@ -87,6 +88,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def vocabulary_path() -> str:
     """The vocabulary file that the registered query reads."""
     import public_tokenizers
@@ -122,6 +127,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
+    "op8_near_dedup": op8_near_dedup,
     "op9_tokenize": op9_tokenize,
     "op10_licenses": op10_licenses,
 }
