@@ -16,10 +16,11 @@ from wrenlight.llm import (
     syncmers,
     tokenizer,
 )
-from wrenlight.llm.common import held_out_fold
+from wrenlight.llm.common import held_out_fold, ship_package
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
