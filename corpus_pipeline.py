@@ -3,10 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wrenlight.llm import line_dedup, mixing, near_dedup, quality, tokenizer
+from wrenlight.llm.common import held_out_fold, ship_package
+from wrenlight.llm.queries import vocabulary_path
 from wrenlight.sources.scratch import stored
 
-STAGES = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts; it learns from the training fold's labels."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(~held_out_fold(F.col("doc_id"))))
+    return quality.accepted(docs, model)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with one line kept of each class; those that keep none of theirs go."""
+    ship_package(spark)
+    found = line_dedup.deduplicated(docs).where("n_lines = 0 OR n_kept > 0")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id."""
+    ship_package(spark)
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes; a row for each copy."""
+    mixed = mixing.mix(docs).where("copies > 0")
+    copies = mixed.groupBy(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source")
+    ).agg(F.max("copies").alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    taken = docs.join(copies, same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document of the mix."""
+    ship_package(spark)
+    encoded = tokenizer.encode(docs, tokenizer.read_spec(vocabulary_path()))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_deduplication),
+    ("near_dedup", near_deduplication),
+    ("source_mixing", source_mixing),
+    ("bpe_encoding", bpe_encoding),
+]
 
 #: SQL can express neither the classifier nor the fuzzy stages; tests hold brute force against them.
 ORACLE_SQL = None

@@ -110,10 +110,11 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     percent: int = 150,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``.
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
 
-    ``size`` is the row's words (null: 0), ``taken`` how many words the mix
-    takes of it: none, all, or all twice where the target exceeds the source.
+    ``size`` is the row's words (null: 0), ``copies`` how often the mix takes
+    it, at most twice where the target exceeds the source, ``taken`` the words
+    of all copies.
     Which rows, a hash of the id decides, so reruns agree and a larger budget
     takes a superset; repeated ids are taken together. Sources without words
     have target 0. Null sources form one source of their own, null ids count as
@@ -140,9 +141,15 @@ def mix(
     plan = stored(wanted.join(cuts, "key", "left"), "mix-plan")
     total = plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     placed = join_counted(
-        sizes.select("doc_id", "key", "size", "hash"), plan, "key", "rows", total, F.xxhash64("hash")
+        sizes.select("doc_id", "source", "key", "size", "hash"), plan, "key", "rows", total, F.xxhash64("hash")
     )
     copies = F.when(twice, 1).otherwise(0) + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
     return placed.select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken")
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        copies.alias("copies"),
+        (copies * F.col("size")).alias("taken"),
     )

@@ -8,11 +8,12 @@ from functools import lru_cache
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from wrenlight.llm.common import slices
+from wrenlight.llm.common import SLICE_CHARS, slices
 
 #: A text is accepted from this score on.
 ACCEPT = 0.3
@@ -224,6 +225,23 @@ def train(
     return fit(table[names].to_numpy(), table["y"].to_numpy(float))
 
 
+def scorer(model: Trees):
+    """``model`` as a function of a text column: the chance of label 1."""
+
+    @pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        found, start, size = [], 0, 0
+        whole = texts.fillna("").tolist()
+        for end, text in enumerate(whole, 1):
+            size += len(text)
+            if size >= SLICE_CHARS or end == len(whole):
+                found.append(model.scores(statistics(whole[start:end])))
+                start, size = end, 0
+        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    return scored
+
+
 def score(
     docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -232,22 +250,9 @@ def score(
     Null and empty texts have statistics of zero and are scored like others.
     Repeated rows and other columns need no care.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType
-    arrow = to_arrow_type(kind)
+    return docs.select(F.col(doc_id).alias("doc_id"), scorer(model)(F.col(text)).alias("score"))
 
-    def scored(batches) -> Iterator:
-        import pyarrow as pa
 
-        for part in slices(batches):
-            found = model.scores(statistics([t or "" for t in part["text"]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part["doc_id"], arrow), pa.array(found)], names=["doc_id", "score"]
-            )
-
-    schema = T.StructType(
-        [T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())]
-    )
-    return rows.mapInArrow(scored, schema)
+def accepted(docs: DataFrame, model: Trees, text: str = "text", least: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, all columns as they are."""
+    return docs.where(scorer(model)(F.col(text)) >= least)
