@@ -51,7 +51,8 @@ def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
     A second join column, 0 wherever there is a key, spreads the rows without
     one over all tasks. The known side computes its 0 from the key, as a
-    literal would be optimized out of the shuffle.
+    literal would be optimized out of the shuffle. It is one row a key, merged
+    in the map task: Spark can't split the right side of an anti join.
     """
     names = [name for name in rows.columns if name != key]
     spread = F.when(_has_key(key), F.lit(0)).otherwise(
@@ -59,7 +60,7 @@ def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
         if names
         else F.lit(0)
     )
-    known_keys = known.select(key, F.pmod(F.hash(key), F.lit(1)).alias("_spread"))
+    known_keys = known.select(key, F.pmod(F.hash(key), F.lit(1)).alias("_spread")).distinct()
     return (
         rows.withColumn("_spread", spread)
         .join(known_keys, [key, "_spread"], "left_anti")
@@ -160,13 +161,13 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
     The child is counted per key before the join, so a hot key is one row.
     """
     counts = child.where(_has_key(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
+    return counts.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
 
 
 def orphan_rows(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows without a parent row."""
     return child.where(_has_key(key)).join(
-        parent.select(F.col(parent_key).alias(key)), key, "left_anti"
+        parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti"
     )
 
 
@@ -180,10 +181,9 @@ def latest_id(df: DataFrame, id_column: str, time_column: str) -> DataFrame:
 def newer_than(df: DataFrame, id_column: str, mark: DataFrame | int | None) -> DataFrame:
     """Rows above a high-water mark; no mark, or one not above 0, takes all.
 
-    ``mark`` is a value, which the scan can push down, or a one-row,
-    one-column DataFrame used as a subquery.
+    ``mark`` is a value, or a one-row, one-column DataFrame that is read for it,
+    so that the scan can push the comparison down.
     """
     if isinstance(mark, DataFrame):
-        value = mark.scalar()
-        return df.where((F.col(id_column) > value) | ~F.coalesce(value > 0, F.lit(False)))
+        mark = mark.first()[0]
     return df.where(F.col(id_column) > mark) if mark and mark > 0 else df

@@ -31,6 +31,7 @@ from wrenlight.streaming import intake
 
 TOPIC = r"([Oo]f\s+[Tt]he)|([Dd]e\s+[Ll]a)|(#[A-Za-z]+)"
 STOPWORDS = 50
+WORDS_CUT = 5_000
 WEIGHT_DIGITS = 6
 CHANGE_ORDER = ["l_linenumber", "l_partkey", "o_totalprice", "o_orderdate"]
 
@@ -78,6 +79,11 @@ def chi2_words_2class(spark, folder):
     return select.best_words(scores, select.BEST_WORDS_TWO)
 
 
+def chi2_words_cut(spark, folder):
+    """A selection that is smaller than the vocabulary of every table size."""
+    return select.best_words(classify.two_class_scores(labelled(spark, folder)), WORDS_CUT)
+
+
 def chi2_words_3class(spark, folder):
     scores = classify.three_class_scores(labelled(spark, folder))
     return select.best_words(scores, select.BEST_WORDS_THREE)
@@ -102,6 +108,16 @@ def _per_document(expression) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def page_cleaning(spark, folder):
+    """Both cleanings and the tokens of texts that hold addresses."""
+    return table(spark, folder, "pages").select(
+        "page_id",
+        tx.clean_spacing("url").alias("spacing"),
+        tx.clean_strict("url").alias("strict"),
+        F.array_join(tx.tokenize("url"), " ").alias("tokens"),
+    )
+
+
 def token_presence(spark, folder):
     tokens = tx.presence(tx.tokenize("text"))
     return table(spark, folder, "documents").select(
@@ -128,7 +144,12 @@ def stopword_removal(spark, folder):
 def polarity_label(spark, folder):
     codes = table(spark, folder, "labels").select(
         "doc_id",
-        F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 4).otherwise(2).alias("polarity"),
+        # Code 3 is none of the three.
+        F.when((F.col("toxic") == 1) & (F.col("quality") == 1), 3)
+        .when(F.col("toxic") == 1, 0)
+        .when(F.col("quality") == 1, 4)
+        .otherwise(2)
+        .alias("polarity"),
     )
     return codes.select(
         "doc_id",
@@ -291,11 +312,14 @@ def _upsert_orders(max_rows):
 
 
 def upsert_full(spark, folder):
-    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
-    target = keyed.first_per_key(events.where("event_type = 'signup'"), "user_id", ["event_id"])
-    return keyed.upsert(
-        target, events, "user_id", ["event_id", "event_type", "value"], ["event_id"]
+    # Keyed by user and minute, so that most keys of the target are not in the batch.
+    events = table(spark, folder, "events").select(
+        F.concat_ws(":", "user_id", F.date_format("ts", "HHmm")).alias("place"),
+        "event_id", "event_type", "value",
     )
+    target = keyed.first_per_key(events.where("event_type = 'signup'"), "place", ["event_id"])
+    batch = events.where("event_type IN ('purchase', 'error')")
+    return keyed.upsert(target, batch, "place", ["event_id", "event_type", "value"], ["event_id"])
 
 
 def duplicate_keys(spark, folder):
@@ -408,15 +432,19 @@ def lang_predict(spark, folder):
 
 
 def lang_filter(spark, folder):
+    """Documents without a label, by a model of those with one."""
     docs = table(spark, folder, "documents")
-    languages = bayes.predict_language(bayes.fit_language(docs), docs, "doc_id")
-    return bayes.keep_language(docs, languages, "doc_id", "en").select("doc_id", "n_chars")
+    known = table(spark, folder, "labels").select("doc_id")
+    seen = docs.join(known, "doc_id", "left_semi")
+    others = docs.join(known, "doc_id", "left_anti")
+    languages = bayes.predict_language(bayes.fit_language(seen), others, "doc_id")
+    return bayes.keep_language(others, languages, "doc_id", "en").select("doc_id", "n_chars")
 
 
-def _lexicon(spark, folder) -> DataFrame:
+def _lexicon(spark, folder, positive: str = "pos", negative: str = "neg") -> DataFrame:
     """Word weights from the labelled documents."""
     return stored(
-        lexicon.lexicon_from_counts(_label_counts(spark, folder), "pos", "neg"), "lexicon"
+        lexicon.lexicon_from_counts(_label_counts(spark, folder), positive, negative), "lexicon"
     )
 
 
@@ -427,12 +455,20 @@ def lexicon_label(spark, folder):
     return scores.withColumn("label", lb.sign_label("score"))
 
 
+def cleaned_sentiment(spark, folder):
+    """Long labels of cleaned texts."""
+    docs = table(spark, folder, "documents").select("doc_id", tx.clean_spacing("text").alias("text"))
+    words = F.transform(tx.tokenize("text"), lambda token: F.lower(token))
+    scores = lexicon.lexicon_scores(docs, "doc_id", words, _lexicon(spark, folder))
+    return scores.withColumn("label", lb.sign_label("score", "positive", "negative"))
+
+
 def sentiment_columns(spark, folder):
     docs = table(spark, folder, "documents")
     model = classify.selected_word_bayes(labelled(spark, folder))
-    weights = _lexicon(spark, folder)
+    lexicons = [_lexicon(spark, folder), _lexicon(spark, folder, "neutral", "pos")]
     language = bayes.fit_language(docs)
-    return classify.sentiment_table(docs, "doc_id", model, [weights, weights], language, TOPIC)
+    return classify.sentiment_table(docs, "doc_id", model, lexicons, language, TOPIC)
 
 
 # Linear models
@@ -485,11 +521,18 @@ def csv_round_trip(spark, folder):
         F.lit("-").alias("date"),
         F.lit("NO_QUERY").alias("query"),
         F.concat(F.lit("user "), F.col("doc_id")).alias("user"),
-        F.trim(F.regexp_replace("text", r"[\r\n]+", " ")).alias("text"),
+        "text",
     )
     place = scratch_path(spark, "csv")
-    files.write_labelled_csv(rows, place)
-    return files.read_labelled_csv(spark, place)
+    files.write_labelled_csv(rows, place, encoding="UTF-8")
+    return files.read_labelled_csv(spark, place, encoding="UTF-8")
+
+
+def csv_export(spark, folder):
+    turns = table(spark, folder, "conversations")
+    place = scratch_path(spark, "export")
+    files.export_csv(turns, ["conv_id", "turn", "text"], place)
+    return files.read_export(spark, place, "conv_id long, turn long, text string")
 
 
 def _landed(spark, folder, refresh_users) -> tuple[KeyedTable, KeyedTable]:
@@ -532,12 +575,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_freq_by_label": _label_counts,
     "label_totals": label_totals,
     "chi2_words_2class": chi2_words_2class,
+    "chi2_words_cut": chi2_words_cut,
     "chi2_words_3class": chi2_words_3class,
     "chi2_bigrams": chi2_bigrams,
     "feature_union": feature_union,
     "clean_spacing": _per_document(tx.clean_spacing),
     "clean_strict": _per_document(tx.clean_strict),
     "squeeze_letters": _per_document(tx.squeeze_letters),
+    "page_cleaning": page_cleaning,
     "token_presence": token_presence,
     "vocab_presence": vocab_presence,
     "stopword_removal": stopword_removal,
@@ -575,6 +620,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lang_predict": lang_predict,
     "lang_filter": lang_filter,
     "lexicon_label": lexicon_label,
+    "cleaned_sentiment": cleaned_sentiment,
     "sentiment_columns": sentiment_columns,
     "logreg_predict": logreg_predict,
     "linear_extremes": linear_extremes,
@@ -582,6 +628,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grid_search": grid_search,
     "json_round_trip": json_round_trip,
     "csv_round_trip": csv_round_trip,
+    "csv_export": csv_export,
     "stream_upsert": stream_upsert,
     "stream_users_once": stream_users_once,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wrenlight.functions import text as tx
 from wrenlight.operators.select import BEST_BIGRAMS, BEST_WORDS_THREE, BEST_WORDS_TWO
-from wrenlight.plans.table_queries import STOPWORDS, TOPIC
+from wrenlight.plans.table_queries import STOPWORDS, TOPIC, WORDS_CUT
 
 
 def _quote(pattern: str) -> str:
@@ -148,15 +148,15 @@ def _ratio(top: str, bottom: str) -> str:
     return f"CASE WHEN {bottom} = 0 THEN 0.0 ELSE CAST({top} AS DOUBLE) / {bottom} END"
 
 
-def _language(test: str, key: str) -> str:
-    """CTEs of the language model fitted on documents, ending in ``spoken``."""
+def _language(test: str, key: str, fitted: str = "documents") -> str:
+    """CTEs of the language model fitted on ``fitted``, ending in ``spoken``."""
     grams = """SELECT {columns}, substring(' ' || w || ' ', CAST(i AS BIGINT), 3) AS gram
   FROM (SELECT {columns}, w, unnest(range(1, length(w) + 1)) AS i FROM {rows})"""
     words = "unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w"
-    fit = grams.format(columns="lang", rows=f"(SELECT lang, {words} FROM documents)")
+    fit = grams.format(columns="lang", rows=f"(SELECT lang, {words} FROM {fitted})")
     use = grams.format(columns=key, rows=f"(SELECT {key}, {words} FROM {test})")
     return f"""
-lang_docs AS (SELECT lang, count(*) AS docs, sum(count(*)) OVER () AS total FROM documents GROUP BY lang),
+lang_docs AS (SELECT lang, count(*) AS docs, sum(count(*)) OVER () AS total FROM {fitted} GROUP BY lang),
 lang_grams AS (SELECT lang, gram, count(*) AS c FROM ({fit}) GROUP BY 1, 2),
 lang_sizes AS (
   SELECT lang, sum(c) AS size, (SELECT count(DISTINCT gram) FROM lang_grams) AS v
@@ -177,25 +177,31 @@ lang_ranked AS (
 spoken AS (SELECT {key}, lang FROM lang_ranked WHERE place = 1)"""
 
 
-_LEXICON = f"""
-word_weights AS (
-  SELECT token, CAST(n_pos - n_neg AS DOUBLE) / (n_pos + n_neg) AS weight
-  FROM best_counts WHERE n_pos + n_neg > 0)"""
+def _weights(name: str, plus: str, minus: str) -> str:
+    return f"""
+{name} AS (
+  SELECT token, CAST({plus} - {minus} AS DOUBLE) / ({plus} + {minus}) AS weight
+  FROM best_counts WHERE {plus} + {minus} > 0)"""
+
+
+_LEXICON = _weights("word_weights", "n_pos", "n_neg")
+_SECOND_LEXICON = _weights("other_weights", "n_neutral", "n_pos")
 
 
-def _lexicon_sums(test: str) -> str:
+def _lexicon_sums(test: str, name: str = "lexicon_sums", weights: str = "word_weights") -> str:
     return f"""
-lexicon_sums AS (
+{name} AS (
   SELECT x.doc_id, coalesce(sum(w.weight), 0) AS total, count(w.weight) AS found
   FROM {test} x LEFT JOIN (SELECT doc_id, lower(unnest({_TOKENS})) AS token FROM {test}) t
-    ON t.doc_id = x.doc_id LEFT JOIN word_weights w ON w.token = t.token GROUP BY x.doc_id)"""
+    ON t.doc_id = x.doc_id LEFT JOIN {weights} w ON w.token = t.token GROUP BY x.doc_id)"""
 
 
 def _sign(score: str, pos: str = "pos", neg: str = "neg") -> str:
     return f"CASE WHEN {score} > 0 THEN '{pos}' WHEN {score} < 0 THEN '{neg}' ELSE 'neutral' END"
 
 
-_POLARITY = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 4 ELSE 2 END"
+_CODE = """CASE WHEN toxic = 1 AND quality = 1 THEN 3 WHEN toxic = 1 THEN 0
+  WHEN quality = 1 THEN 4 ELSE 2 END"""
 _BATCH = """
 batch AS (
   SELECT l_orderkey AS o_orderkey, l_linestatus AS o_orderstatus, l_extendedprice AS o_totalprice,
@@ -231,7 +237,10 @@ _SHOWN = "CASE WHEN {k} = 'view' THEN 'long view' ELSE {k} END"
 
 
 def _bayes_and_language(test: str) -> str:
-    return f"{_presence('labelled', test)},{_LEXICON},{_lexicon_sums(test)}"
+    others = _lexicon_sums(test, "other_sums", "other_weights")
+    return (
+        f"{_presence('labelled', test)},{_LEXICON},{_lexicon_sums(test)},{_SECOND_LEXICON},{others}"
+    )
 
 
 SQL: dict[str, str] = {
@@ -244,6 +253,8 @@ SELECT * FROM best_counts""",
 SELECT CAST(t AS BIGINT) AS n, CAST(t_pos AS BIGINT) AS n_pos,
        CAST(t_neutral AS BIGINT) AS n_neutral, CAST(t_neg AS BIGINT) AS n_neg FROM best_totals""",
     "chi2_words_2class": f"WITH {_LABELLED},{_BEST_TWO} SELECT * FROM best_two",
+    "chi2_words_cut": f"""WITH {_LABELLED},{_BEST_TWO}
+SELECT * FROM two_scores ORDER BY score DESC, token LIMIT {WORDS_CUT}""",
     "chi2_words_3class": f"WITH {_LABELLED},{_best_three('labelled')} SELECT * FROM best",
     "chi2_bigrams": f"WITH {_BEST_BIGRAMS} SELECT * FROM best_bigrams",
     "feature_union": f"""WITH {_LABELLED},{_BEST_TWO},{_BEST_BIGRAMS}
@@ -264,6 +275,14 @@ FROM documents""",
 SELECT doc_id, coalesce(array_to_string(list_filter(c, lambda x, i:
     i < 3 OR low[i] <> low[i - 1] OR low[i] <> low[i - 2]), ''), '') AS cleaned
 FROM letters""",
+    "page_cleaning": f"""
+SELECT page_id, trim({_replace(
+        "url", (f"({tx.HANDLE})|({tx.SYMBOL})|({tx.URL})", " "), (tx.BLANKS, " "))}) AS spacing,
+       trim({_replace(
+        "url", (tx.HANDLE, " "), (tx.URL, " "), ("[0-9]+", " "), ("&amp;", " "),
+        ("&quote;", " "), (tx.SYMBOL, ""), (tx.BLANKS, " "))}) AS strict,
+       coalesce(array_to_string({_TOKENS.replace("text", "url")}, ' '), '') AS tokens
+FROM pages""",
     "token_presence": f"""
 SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct({_TOKENS})), ' '), '') AS features
 FROM documents""",
@@ -283,9 +302,9 @@ SELECT doc_id, coalesce(array_to_string(list_filter(regexp_split_to_array(text,
          lambda w: w <> '' AND NOT list_contains(words, w)), ' '), '') AS kept
 FROM documents, stop""",
     "polarity_label": f"""
-SELECT doc_id, CASE {_POLARITY} WHEN 4 THEN 'pos' WHEN 2 THEN 'neutral' ELSE 'neg' END AS label,
-       CASE {_POLARITY} WHEN 4 THEN 'pos' WHEN 2 THEN 'neutral' ELSE 'neg' END AS counted_three,
-       CASE {_POLARITY} WHEN 0 THEN '0' ELSE '4' END AS counted_two FROM labels""",
+SELECT doc_id, CASE {_CODE} WHEN 4 THEN 'pos' WHEN 2 THEN 'neutral' WHEN 0 THEN 'neg' END AS label,
+       CASE {_CODE} WHEN 4 THEN 'pos' WHEN 2 THEN 'neutral' ELSE 'neg' END AS counted_three,
+       CASE {_CODE} WHEN 0 THEN '0' ELSE '4' END AS counted_two FROM labels""",
     "sign_label": f"""
 SELECT c_custkey, {_sign("c_acctbal")} AS label,
        {_sign("c_acctbal", "positive", "negative")} AS long_label FROM customer""",
@@ -326,9 +345,16 @@ SELECT * FROM batch WHERE o_orderkey NOT IN (SELECT o_orderkey FROM target)
 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, o_totalprice, o_orderdate) = 1""",
     "upsert_partial": _UPSERTED,
     "upsert_partial_shuffled": _UPSERTED,
-    "upsert_full": """
-SELECT user_id, event_id, event_type, value FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
+    "upsert_full": """WITH placed AS (
+  SELECT user_id || ':' || strftime(ts, '%H%M') AS place, event_id, event_type, value FROM events),
+batch AS (
+  SELECT * FROM placed WHERE event_type IN ('purchase', 'error')
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY event_id DESC) = 1),
+target AS (
+  SELECT * FROM placed WHERE event_type = 'signup'
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY event_id) = 1)
+SELECT * FROM batch
+UNION ALL SELECT * FROM target WHERE place NOT IN (SELECT place FROM batch)""",
     "duplicate_keys": """
 SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1""",
     "orphan_rows": """
@@ -427,20 +453,30 @@ FROM raw r JOIN lengths l ON r.doc_id = l.doc_id""",
     "lang_predict": f"""WITH turns AS (
   SELECT conv_id || ':' || turn AS turn_key, text FROM conversations),{_language("turns", "turn_key")}
 SELECT turn_key, lang FROM spoken""",
-    "lang_filter": f"""WITH {_language("documents", "doc_id").lstrip()}
+    "lang_filter": f"""WITH seen AS (
+  SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+others AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),{
+        _language("others", "doc_id", "seen")}
 SELECT d.doc_id, d.n_chars FROM documents d JOIN spoken s ON s.doc_id = d.doc_id
 WHERE s.lang = 'en'""",
     "lexicon_label": f"""WITH {_LABELLED},{_best_three("labelled")},{_LEXICON},{_lexicon_sums("documents")},
 scored AS (SELECT doc_id, round(total / greatest(found, 1), 6) AS score FROM lexicon_sums)
 SELECT doc_id, score, {_sign("score")} AS label FROM scored""",
+    "cleaned_sentiment": f"""WITH {_LABELLED},{_best_three("labelled")},{_LEXICON},
+cleaned AS (SELECT doc_id, trim({_replace(
+        "text", (f"({tx.HANDLE})|({tx.SYMBOL})|({tx.URL})", " "), (tx.BLANKS, " "))}) AS text
+  FROM documents),{_lexicon_sums("cleaned")},
+scored AS (SELECT doc_id, round(total / greatest(found, 1), 6) AS score FROM lexicon_sums)
+SELECT doc_id, score, {_sign("score", "positive", "negative")} AS label FROM scored""",
     "sentiment_columns": f"""WITH {_LABELLED},{_language("documents", "doc_id")},
 chosen AS (
   SELECT d.doc_id, d.text FROM documents d JOIN spoken s ON s.doc_id = d.doc_id
   WHERE s.lang = 'en' AND {_TOPIC.replace("text", "d.text")}),{_bayes_and_language("chosen")},
 found_labels AS (
-  SELECT p.doc_id, p.prediction, round(total / greatest(found, 1), 6) AS mean,
-         round(total / sqrt(total * total + 15.0), 6) AS compound
-  FROM predicted p JOIN lexicon_sums l ON l.doc_id = p.doc_id)
+  SELECT p.doc_id, p.prediction, round(l.total / greatest(l.found, 1), 6) AS mean,
+         round(o.total / sqrt(o.total * o.total + 15.0), 6) AS compound
+  FROM predicted p JOIN lexicon_sums l ON l.doc_id = p.doc_id
+  JOIN other_sums o ON o.doc_id = p.doc_id)
 SELECT d.doc_id, coalesce(f.prediction, 'none') AS sentiment_naivebayes,
        CASE WHEN f.doc_id IS NULL THEN 'none' ELSE {_sign("f.mean")} END AS sentiment_textblob,
        CASE WHEN f.doc_id IS NULL THEN 'none' ELSE {_sign("f.compound")} END AS sentiment_vader
@@ -448,8 +484,9 @@ FROM documents d LEFT JOIN found_labels f ON f.doc_id = d.doc_id""",
     "json_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
     "csv_round_trip": f"""WITH {_LABELLED}
 SELECT CAST(polarity AS INTEGER) AS polarity, doc_id AS tweet_id, '-' AS date, 'NO_QUERY' AS query,
-       'user ' || doc_id AS "user", trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS text
+       'user ' || doc_id AS "user", text
 FROM labelled""",
+    "csv_export": "SELECT conv_id, turn, text FROM conversations",
     "stream_upsert": f"""WITH {_LANDED}
 SELECT coalesce(a.event_id, b.event_id) AS tweet_id,
        CASE WHEN a.event_id IS NULL THEN

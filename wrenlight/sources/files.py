@@ -9,8 +9,15 @@ from pyspark.sql.types import StructType
 
 from wrenlight.schemas import LABELLED, RAW_TWEET
 
-# Layout of the labelled files.
-LABELLED_OPTIONS = {"header": "false", "encoding": "ISO-8859-1", "quote": '"', "escape": '"'}
+# Layout of the labelled files. Outer blanks are part of a text.
+LABELLED_OPTIONS = {
+    "header": "false",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+LABELLED_ENCODING = "ISO-8859-1"
 
 
 def read_json_lines(
@@ -25,21 +32,40 @@ def append_json_lines(df: DataFrame, folder: str) -> None:
 
 
 def read_labelled_csv(
-    spark: SparkSession, path: str, schema: StructType = LABELLED, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: StructType = LABELLED,
+    multi_line: bool = True,
+    encoding: str = LABELLED_ENCODING,
 ) -> DataFrame:
-    """Labelled texts without header. ``multi_line`` only when fields hold line
-    breaks, because then a file is one task."""
-    return spark.read.schema(schema).options(**LABELLED_OPTIONS, multiLine=multi_line).csv(path)
+    """Labelled texts without header; an empty text comes back as null.
 
+    Quoted fields may hold line breaks, so a file is one task. Where a file is
+    known to have none, ``multi_line=False`` lets it be split.
+    """
+    options = LABELLED_OPTIONS | {"multiLine": multi_line, "encoding": encoding}
+    return spark.read.schema(schema).options(**options).csv(path)
 
-def write_labelled_csv(df: DataFrame, path: str) -> None:
-    """Write in the layout ``read_labelled_csv`` reads."""
-    df.write.options(**LABELLED_OPTIONS).csv(path)
+
+def write_labelled_csv(df: DataFrame, path: str, encoding: str = LABELLED_ENCODING) -> None:
+    """Write in the layout ``read_labelled_csv`` reads.
+
+    The default encoding is that of the labelled files; it has no place for
+    characters beyond Latin-1, which need UTF-8.
+    """
+    df.write.options(**LABELLED_OPTIONS, encoding=encoding).csv(path)
 
 
 def export_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
-    """Chosen columns with a header line."""
-    df.select(*columns).write.option("header", True).option("escape", '"').csv(path)
+    """Chosen columns with a header line, in UTF-8, texts as they are."""
+    options = LABELLED_OPTIONS | {"header": "true", "encoding": "UTF-8"}
+    df.select(*columns).write.options(**options).csv(path)
+
+
+def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``export_csv`` wrote; an empty text comes back as null."""
+    options = LABELLED_OPTIONS | {"header": "true", "encoding": "UTF-8", "multiLine": "true"}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def stored_ids(tweets: DataFrame, key: str = "tweet_id") -> DataFrame:
