@@ -83,31 +83,6 @@ def join_counted(
     )
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Inner join of ``rows`` to ``table``, one row a key but of any width, even under hot keys.
-
-    A key with more than ``1 / HOT_SHARE`` of the rows is dealt to as many tasks
-    as it has such parts, and its row of ``table`` is copied to each; at most
-    ``HOT_SHARE`` keys are, with at most twice as many copies. Only those keys
-    and their numbers are broadcast. ``rows`` should be a written table.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    limit = max(100, total // HOT_SHARE)
-    hot = counts.where(F.col("_n") > limit).select(
-        F.col(key).alias("_hot"), F.ceil(F.col("_n") / limit).cast("int").alias("_parts")
-    )
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    here = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").select(
-        *(F.col(c) for c in rows.columns), F.pmod(spread, parts).cast("int").alias("_salt")
-    )
-    there = table.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").select(
-        *(F.col(c) for c in table.columns),
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"),
-    )
-    return here.join(there, [key, "_salt"]).drop("_salt")
-
-
 def slices(batches, text: str = "text") -> Iterator[dict[str, list]]:
     """The columns of Arrow batches as lists, some ``SLICE_CHARS`` of text at a time."""
     for batch in batches:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenlight.llm.common import join_counted, join_salted, slices
+from wrenlight.llm.common import join_counted, slices
 from wrenlight.llm.linking import link
 from wrenlight.llm.near_dedup import mixed
 from wrenlight.sources.scratch import stored
@@ -144,66 +144,49 @@ def _fetch(wanted: np.ndarray):
     return run
 
 
-def _similar(similarity: float):
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        def cut(line: str) -> set[str]:
-            return {line[i : i + CHARS] for i in range(len(line) - CHARS + 1)}
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            kept, last, last_set = [], None, set()
-            for a, b, x, y in zip(rows["a"], rows["b"], rows["xa"], rows["xb"], strict=True):
-                if x != last:
-                    last, last_set = x, cut(x)
-                other = cut(y)
-                both = len(last_set & other)
-                if both >= similarity * (len(last_set) + len(other) - both) - 1e-9:
-                    kept.append((a, b))
-            ends = [pa.array([pair[i] for pair in kept], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-    return run
-
+def loaded(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """A line as the set of its shingles' hashes, all of weight 1."""
+    import xxhash
 
-def line_classes(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """``id, class`` for each line hash of ``lines`` that is linked to another."""
-    banded = lines.where(F.size("bands") > 0)
-    members = stored(
-        banded.select(F.explode("bands").alias("bucket"), F.col("line").alias("id")), "line-bands"
+    found = {
+        xxhash.xxh3_64_intdigest(line[i : i + CHARS].encode("utf-8", "surrogatepass"))
+        for i in range(len(line) - CHARS + 1)
+    }
+    elements = np.sort(np.fromiter(found, np.uint64, len(found)))
+    return elements, np.ones(len(elements))
+
+
+def line_classes(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """``id, class`` for each line hash of ``distinct`` that is linked to another."""
+    members = distinct.select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
+    shared = (
+        members.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        .where("low < high")
     )
-    texts: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        if not texts:
-            # Later pairs are of the same lines: all members of buckets are in the first ones.
-            texts.append(_texts(rows, pairs))
-        a = texts[0].select(F.col("line").alias("a"), F.col("body").alias("xa"))
-        b = texts[0].select(F.col("line").alias("b"), F.col("body").alias("xb"))
-        both = join_salted(pairs, a, "a", F.xxhash64("b")).join(b, "b")
-        return both.select("a", "b", "xa", "xb").mapInArrow(_similar(similarity), "a long, b long")
+    shared = stored(shared.select("bucket", "n"), "line-buckets")
+    met = join_counted(members, shared, "bucket", "n", members.count(), F.xxhash64("id"))
+    met = stored(met.where("n IS NOT NULL").select("bucket", "id"), "line-members")
+    return link(met, _texts(rows, met.select(F.col("id").alias("line"))), loaded, similarity)
 
-    return link(members, verify)
 
-
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``line, body`` for all lines of the pairs.
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, body`` for all wanted lines.
 
     A map of a fixed number of bits goes to the scan, so that only texts that
     may be wanted are moved.
     """
-    ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b"))
-    lines = stored(ends.distinct(), "line-wanted")
+    lines = stored(wanted.distinct(), "line-wanted")
     bit = F.col("line").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
     bits = lines.select(F.shiftright(bit, 6).alias("word"), bit.alias("bit"))
     mask = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
     words = bits.groupBy("word").agg(F.bit_or(mask).alias("mask"))
     table = words.toPandas()
-    wanted = np.zeros(1 << (WANTED_BITS - 6), np.uint64)
-    wanted[table["word"].to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
-    found = rows.select("text").mapInArrow(_fetch(wanted), "line long, body string")
-    return stored(found.join(lines, "line", "left_semi").dropDuplicates(["line"]), "line-texts")
+    bits_set = np.zeros(1 << (WANTED_BITS - 6), np.uint64)
+    bits_set[table["word"].to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
+    found = rows.select("text").mapInArrow(_fetch(bits_set), "line long, body string")
+    texts = found.join(lines, "line", "left_semi").dropDuplicates(["line"])
+    return stored(texts.withColumnRenamed("line", "id"), "line-texts")
 
 
 def deduplicated(
@@ -231,8 +214,14 @@ def deduplicated(
     )
     lines = stored(rows.mapInArrow(_cut, LINES), "lines")
     here = F.struct("doc_id", "place", "row")
-    firsts = lines.groupBy("line").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"))
-    linked = line_classes(rows, lines, similarity)
+    distinct = lines.groupBy("line").agg(
+        F.min(here).alias("first"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.size("bands") > 0, F.col("bands"))).alias("bands"),
+    )
+    distinct = stored(distinct, "line-distinct")
+    linked = line_classes(rows, distinct, similarity)
+    firsts = distinct.drop("bands")
     firsts = stored(
         firsts.join(linked.withColumnRenamed("id", "line"), "line", "left").where(
             "n > 1 OR class IS NOT NULL"

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenlight.llm.common import join_counted
+from wrenlight.llm.common import group_count, join_counted
 from wrenlight.sources.scratch import stored
 
-#: A bucket of at most so many members is verified pair by pair at once.
-SMALL = 8
+#: Members of a group that are compared in one step; a larger group is cut into such
+#: chunks, and every two chunks meet in a task.
+CHUNK = 512
 
-#: Members of a larger bucket that are compared with all its others in one round.
-LEADERS = 8
+#: Columns of the comparison that are laid out at a time.
+COLUMNS = 2048
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").select("a", "b")
     while True:
         edges = stored(edges.distinct(), "edges")
-        if edges.isEmpty():
+        total = 2 * edges.count()
+        if not total:
             break
         seed = len(merges)
 
@@ -45,7 +48,6 @@ def components(edges: DataFrame) -> DataFrame:
         into = F.when(drawn(F.col("b")) < drawn(F.col("a")), F.col("b")).otherwise(F.col("a"))
         merge = stored(first.select(F.col("a").alias("id"), into.alias("root"), "n"), "merges")
         merges.append(merge)
-        total = 2 * edges.count()
         for end in ("a", "b"):
             known = merge.select(F.col("id").alias(end), "root", "n")
             edges = join_counted(edges, known, end, "n", total, F.xxhash64("a", "b")).select(
@@ -69,61 +71,65 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(
+    members: DataFrame, sets: DataFrame, load: Callable[..., tuple], similarity: float
+) -> DataFrame:
     """``id, class`` for each id linked to another: the smallest id of its component.
 
-    ``members`` holds ``bucket, id`` (long) and should be a written table;
-    ``verify`` keeps those of the pairs ``a, b`` that are linked.
-
-    Every pair of a bucket is verified or lies in one component already. Small
-    buckets are verified pair by pair. In a larger one all members are compared
-    with the first; where that leaves several components, some members of the
-    smallest of them are compared with all others not yet compared, round by
-    round, until the rest lies in one component. So the pairs of a round number
-    at most a constant times the members, and a bucket of true copies is done
-    after one.
+    ``members`` holds ``bucket, id`` (long) and is read more than once; ``sets``
+    has one row an id; ``load`` turns its other columns into ascending elements
+    (64 bits) and their weights.
+
+    Buckets that overlap form a group: first the members of each are joined to
+    its smallest, whatever their similarity. Then the weighted Jaccard
+    similarity of all pairs of a group is worked out, so every pair that shares
+    a bucket is verified and no bucket is capped. A group of more than ``CHUNK``
+    members is spread over tasks by pairs of chunks. No pair is ever a row: a
+    task adds up what its members share, a matrix for some columns at a time,
+    and gives back links that span the components it has found.
     """
     counts = (
         members.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first < last")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        .where("low < high")
     )
-    counts = stored(counts.drop("last"), "bucket-counts")
-    total = members.count()
-    found = join_counted(members, counts, "bucket", "n", total, F.xxhash64("id"))
-    live = stored(found.where("first IS NOT NULL").distinct(), "bucket-members")
-    small = live.where(F.col("n") <= SMALL)
-    small = small.groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    within = small.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "ids",
-                    lambda a: F.transform(
-                        F.filter("ids", lambda b: a < b),
-                        lambda b: F.struct(a.alias("a"), b.alias("b")),
-                    ),
-                )
-            )
-        ).alias("pair")
-    ).select("pair.*")
-    star = live.where((F.col("n") > SMALL) & (F.col("id") != F.col("first"))).select(
-        F.col("first").alias("a"), F.col("id").alias("b")
+    counts = stored(counts.select("bucket", "n", "low"), "bucket-counts")
+    found = join_counted(members, counts, "bucket", "n", members.count(), F.xxhash64("id"))
+    near = found.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    loose = components(near)
+    sizes = stored(loose.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    total = loose.count()
+    grouped = join_counted(loose, sizes, "root", "n", total, F.xxhash64("id"))
+    # A stable hash, as the chunk is worked out for each pair of chunks.
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    placed = stored(grouped.select("id", "root", chunks.alias("chunks"), chunk.alias("chunk")), "placed")
+    groups = 4 * group_count(members.sparkSession)
+    alone = F.array(
+        F.struct(
+            F.pmod(F.xxhash64("root"), F.lit(groups)).alias("deal"),
+            F.lit(-1).alias("i"),
+            F.lit(-1).alias("j"),
+        )
     )
-    edges = stored(verify(stored(within.unionAll(star).distinct(), "pairs")), "links")
-    open_members = stored(
-        live.where((F.col("n") > SMALL) & (F.col("id") != F.col("first"))).select("bucket", "id"),
-        "open",
+    several = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda k: F.struct(
+            F.col("root").alias("deal"),
+            F.least("chunk", k).alias("i"),
+            F.greatest("chunk", k).alias("j"),
+        ),
     )
-    labels = components(edges)
-    while not open_members.isEmpty():
-        chosen, open_members = _next_leaders(open_members, labels)
-        if chosen is None:
-            break
-        more = stored(verify(stored(chosen.distinct(), "pairs")), "links")
-        if not more.isEmpty():
-            edges = edges.unionAll(more)
-            labels = components(edges)
+    seats = F.when(F.col("chunks") == 1, alone).otherwise(several)
+    wide = placed.join(sets, "id")
+    dealt = wide.withColumn("_seat", F.explode(seats)).select(
+        "_seat.deal", "_seat.i", "_seat.j", "root", *sets.columns
+    )
+    payload = [c for c in sets.columns if c != "id"]
+    edges = dealt.groupBy("deal", "i", "j").applyInArrow(
+        _spanning(load, payload, similarity), "a long, b long"
+    )
+    labels = components(stored(edges, "links"))
     least = stored(
         labels.groupBy("root").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")),
         "classes",
@@ -132,51 +138,78 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     return join_counted(labels, least, "root", "n", total, F.xxhash64("id")).select("id", "class")
 
 
-def _next_leaders(members: DataFrame, labels: DataFrame):
-    """The next pairs to verify and the members still open; no pairs if all is done."""
-    marked = members.join(labels, "id", "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("part")
-    )
-    marked = stored(marked, "open-marked")
-    several = (
-        marked.groupBy("bucket")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where("low < high")
-        .select("bucket", "n")
-    )
-    several = stored(several, "open-buckets")
-    if several.isEmpty():
-        return None, members
-    total = marked.count()
-    rest = join_counted(marked, several, "bucket", "n", total, F.xxhash64("id"))
-    rest = stored(rest.where("n IS NOT NULL"), "open-members")
-    parts = rest.groupBy("bucket", "part").agg(
-        F.count(F.lit(1)).alias("size"), F.min("id").alias("id")
-    )
-    # The smallest components of each bucket, all but its largest.
-    line = F.struct("size", "part", "id")
-    ranked = parts.groupBy("bucket").agg(F.max(line).alias("largest"))
-    order = Window.partitionBy("bucket").orderBy("size", "part")
-    least = (
-        parts.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= LEADERS)
-        .join(ranked, "bucket")
-        .where(F.col("part") != F.col("largest.part"))
-    )
-    leaders = least.groupBy("bucket").agg(
-        F.collect_list(F.struct("id", "part")).alias("leaders")
-    )
-    leaders = stored(leaders.join(several, "bucket"), "leaders")
-    met = join_counted(
-        rest.drop("n"), leaders, "bucket", "n", rest.count(), F.xxhash64("id")
-    )
-    met = stored(met, "met")
-    pairs = (
-        met.withColumn("leader", F.explode("leaders"))
-        .where(F.col("leader.part") != F.col("part"))
-        .select(
-            F.least("leader.id", "id").alias("a"), F.greatest("leader.id", "id").alias("b")
-        )
-    )
-    left = met.where(~F.exists("leaders", lambda x: x["id"] == F.col("id"))).select("bucket", "id")
-    return pairs, stored(left, "open")
+def _spanning(load: Callable[..., tuple], payload: list[str], similarity: float):
+    """Task: the links that span each group's components, among the members at hand."""
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = table.to_pydict()
+        by_root: dict[int, list[int]] = {}
+        for at, root in enumerate(rows["root"]):
+            by_root.setdefault(root, []).append(at)
+        ends: list[tuple[int, int]] = []
+        for places in by_root.values():
+            sets = [load(*(rows[c][at] for c in payload)) for at in places]
+            ids = [rows["id"][at] for at in places]
+            ends += [(ids[a], ids[b]) for a, b in links(sets, similarity)]
+        columns = [pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)]
+        return pa.Table.from_arrays(columns, names=["a", "b"])
+
+    return run
+
+
+def links(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> Iterator[tuple]:
+    """Pairs of places that span the components of similar weighted sets.
+
+    What two sets share is a scalar product once every weight of an element is
+    cut into steps from one occurring weight to the next: a set has all steps
+    up to its own weight.
+    """
+    n = len(sets)
+    if n < 2:
+        return
+    owner = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+    elements = np.concatenate([e for e, _ in sets])
+    weights = np.concatenate([w for _, w in sets])
+    totals = np.bincount(owner, weights, n)
+    order = np.lexsort((weights, elements))
+    owner, elements, weights = owner[order], elements[order], weights[order]
+    new_element = np.concatenate([[True], elements[1:] != elements[:-1]])
+    new_step = new_element | np.concatenate([[True], weights[1:] != weights[:-1]])
+    step = np.cumsum(new_step) - 1
+    first = np.flatnonzero(new_step)
+    before = np.concatenate([[0.0], weights[first][:-1]])
+    before[new_element[first]] = 0.0
+    rise = weights[first] - before
+    # The first step of the entry's element; an entry has those from there to its own.
+    lowest = step[np.maximum.accumulate(np.where(new_element, np.arange(len(step)), 0))]
+    many = step - lowest + 1
+    who = np.repeat(owner, many)
+    column = np.repeat(lowest, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    held = np.bincount(column, minlength=len(rise))
+    keep = held[column] > 1
+    who, column = who[keep], column[keep]
+    used, column = np.unique(column, return_inverse=True)
+    scale = np.sqrt(rise[used])
+    shared = np.zeros((n, n))
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    for start in range(0, len(used), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, len(used) - start)))
+        part[who[a:b], column[a:b] - start] = scale[column[a:b]]
+        shared += part @ part.T
+    similar = shared >= (similarity - 1e-9) * (totals[:, None] + totals[None, :] - shared)
+    waiting = np.ones(n, bool)
+    for start in range(n):
+        if not waiting[start]:
+            continue
+        waiting[start] = False
+        front = [start]
+        while front:
+            at = front.pop()
+            for other in np.flatnonzero(similar[at] & waiting):
+                waiting[other] = False
+                front.append(other)
+                yield at, other

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenlight.llm.common import group_count, join_counted, join_salted, slices
+from wrenlight.llm.common import group_count, join_counted, slices
 from wrenlight.llm.linking import link
 from wrenlight.sources.scratch import stored
 
@@ -27,6 +27,10 @@ WORDS = 5
 #: Weighted Jaccard similarity from which texts are near-duplicates.
 SIMILARITY = 0.8
 
+#: How much more a shingle of no text weighs than one of every text. At most this, or an
+#: edit of a text with many copies outweighs what they share.
+RARITY = 0.25
+
 #: Draws in a band and bands: of pairs at the least similarity 99.5 % share a band.
 ROWS, BANDS = 4, 10
 
@@ -35,7 +39,7 @@ ROWS, BANDS = 4, 10
 HASH_BITS = 48
 
 #: A task sends what it has after so many shingles.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -301,7 +305,8 @@ def _draw(rows_in_all: int, similarity: float):
         often, df = np.concatenate(often).astype(float), np.concatenate(df)
 
         def idf(rows):
-            return np.log((1 + rows_in_all) / (1 + rows)) + 1
+            rarity = np.log((1 + rows_in_all) / (1 + rows)) / np.log(1 + rows_in_all)
+            return 1 + RARITY * rarity
 
         weights = often * idf(df)
         met = np.bincount(owner, weights, n)
@@ -352,33 +357,9 @@ def _draw(rows_in_all: int, similarity: float):
 SETS = "key binary, flush long, id long, elements binary, weights binary, bands array<long>"
 
 
-def weighted_jaccard(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
-    """Similarity of two sets given as ascending elements and their weights."""
-    ea, eb = np.frombuffer(a[0], np.uint64), np.frombuffer(b[0], np.uint64)
-    wa, wb = np.frombuffer(a[1]), np.frombuffer(b[1])
-    _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-    both = np.minimum(wa[ia], wb[ib]).sum()
-    return both / (wa.sum() + wb.sum() - both)
-
-
-def _similar(similarity: float):
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            pairs = zip(
-                *(rows[c] for c in ("a", "b", "ea", "wa", "eb", "wb")), strict=True
-            )
-            kept = [
-                (a, b)
-                for a, b, ea, wa, eb, wb in pairs
-                if weighted_jaccard((ea, wa), (eb, wb)) >= similarity - 1e-9
-            ]
-            ends = [pa.array([pair[i] for pair in kept], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-    return run
+def loaded(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as it came from ``_draw``."""
+    return np.frombuffer(elements, np.uint64), np.frombuffer(weights)
 
 
 def near_duplicates(
@@ -387,13 +368,13 @@ def near_duplicates(
     """``doc_id, class_id, class_size, kept`` for every row of ``docs``.
 
     Rows are in one class if a chain of near-duplicates joins them: shingles of
-    five lower-case words, weighted by count times idf over all rows, with a
-    weighted Jaccard similarity of at least ``similarity``. ``class_id`` is the
+    five lower-case words, weighted by count times an idf over all rows that lies
+    between 1 and 1.25, with a weighted Jaccard similarity of at least ``similarity``. ``class_id`` is the
     class's smallest id, ``kept`` is true for the row that has it.
 
     Equal texts are one candidate. Those that lack the shared weight for any
     near-duplicate are left out, which loses no pair; of the others all pairs
-    that share a band are verified (see ``link``).
+    that share a band are verified, and some more (see ``link``).
 
     A text without words, null included, is a class of its own, and so is a row
     without id, whose class is null. Ids should be unique: repeated ones count
@@ -420,23 +401,15 @@ def near_duplicates(
     weighted = answers.groupBy("flush").applyInArrow(_draw(total, similarity), SETS)
     found = stored(weighted, "near-sets")
     # One set for each text, from the first flush that had it.
-    best = found.groupBy("key").agg(F.min(F.struct("id", "flush")).alias("best"))
-    chosen = best.where("best.id IS NOT NULL").select("key", "best.id", "best.flush")
+    best = (
+        found.where("id IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min(F.struct("id", "flush")).alias("best"))
+    )
+    chosen = best.select("key", "best.id", "best.flush")
     sets = stored(found.join(chosen, ["key", "id", "flush"]), "near-chosen")
-    members = stored(sets.select(F.explode("bands").alias("bucket"), "id"), "near-bands")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(
-            F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa")
-        )
-        b = sets.select(
-            F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb")
-        )
-        both = join_salted(pairs, a, "a", F.xxhash64("b"))
-        both = both.join(b, "b").select("a", "b", "ea", "wa", "eb", "wb")
-        return both.mapInArrow(_similar(similarity), "a long, b long")
-
-    linked = link(members, verify)
+    members = sets.select(F.explode("bands").alias("bucket"), "id")
+    linked = link(members, sets.select("id", "elements", "weights"), loaded, similarity)
     classes = texts.join(linked, "id", "left").select(
         "key", "n", F.coalesce("class", "id").alias("class_id")
     )
@@ -447,11 +420,11 @@ def near_duplicates(
     sized = join_counted(classes, sizes, "class_id", "texts", total, F.xxhash64("key"))
     classes = stored(sized.drop("texts"), "near-classes")
     placed = join_counted(keyed, classes, "key", "n", total, F.xxhash64("doc_id"))
-    alone = F.col("key").isNull() | F.col("doc_id").isNull()
-    class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
+    single = F.col("key").isNull() | F.col("doc_id").isNull()
+    class_id = F.when(single, F.col("doc_id")).otherwise(F.col("class_id"))
     return placed.select(
         "doc_id",
         class_id.alias("class_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        F.when(single, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         class_id.eqNullSafe(F.col("doc_id")).alias("kept"),
     )

@@ -58,7 +58,6 @@ class Automaton:
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
         self.labels = {i: token for token, i in vocab.items()}
         made = {vocab[u + v] for u, v in merges}
         if len(made) != len(merges):
@@ -71,17 +70,23 @@ class Automaton:
         self.begins: dict[int, tuple[int, int] | None] = dict.fromkeys(self.born)
         self.lacks: dict[int, dict[int, int]] = {i: {} for i in self.born}
         self.since: dict[int, list[int]] = {i: [] for i in self.born}
+        # A merge whose parts never meet makes no arc.
+        self.arcs = {token: i for token, i in vocab.items() if i in self.born}
         for rank, (first, second) in enumerate(merges):
             self._gadget(rank, vocab[first], vocab[second], vocab[first + second])
         self.longest = max(map(len, vocab))
         self._allowed: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
+        if self.labels[u] not in self.arcs or self.labels[v] not in self.arcs:
+            return
+        if not self.has_arc(u, v):
+            return
+        self.arcs[self.labels[uv]] = uv
         self.born[uv], self.left[uv] = rank, u
         self.begins[uv], self.lacks[uv], self.since[uv] = (v, len(self.since[v])), {}, []
-        if self.has_arc(u, v):
-            self.lacks[u][v] = len(self.since[u])
-            self.since[u].append(rank)
+        self.lacks[u][v] = len(self.since[u])
+        self.since[u].append(rank)
 
     def has_arc(self, last: int, token: int) -> bool:
         """Whether the state that ``last`` leads to has an arc for ``token``.
@@ -114,7 +119,7 @@ class Automaton:
         length times that of the longest token.
         """
         n, longest = len(symbols), self.longest
-        vocab, known = self.vocab, self._allowed
+        arcs, known = self.arcs, self._allowed
         text = "".join(symbols)
         size = len(text)
         path: list[tuple[int, int, int, int]] = []
@@ -122,7 +127,7 @@ class Automaton:
         start, last, end = 0, START, min(n, longest)
         while True:
             while end > start:
-                token = vocab.get(text[start : end if end < n else size])
+                token = arcs.get(text[start : end if end < n else size])
                 if token is not None and end not in left:
                     arc = last << 32 | token
                     ok = known.get(arc)
