@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wrenlight.operators import shape
 from wrenlight.plans import collect as plans
-from wrenlight.schemas import RAW_TWEET, TWEET, TWEETS, USERS
+from wrenlight.schemas import LABELLED, RAW_TWEET, TWEET, TWEETS, USERS
 from wrenlight.sources import files
 from wrenlight.sources.keyed_table import KeyedTable
 from wrenlight.sources.scratch import scratch_path
@@ -85,6 +85,58 @@ def test_keyed_table(spark):
     assert len({r["id"] for r in rows}) == len(rows) == 4
 
 
+def test_keyed_table_reads_live_files_only(spark):
+    table, _ = tables(spark)
+    schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
+    for turn in range(10):
+        batch = spark.createDataFrame([(turn % 3 * 10, "a", turn, 0)], schema)
+        table.upsert(batch, ["retweet_count"], ["seq"])
+    live = set(table.live_folders())
+    assert len(live) == 3
+    files_read = {f.rsplit("/", 1)[0] for f in table.read().inputFiles()}
+    assert {f.removeprefix("file://") for f in files_read} == live
+    touched = spark.createDataFrame([(0,)], "slice long")
+    assert len(table.live_folders(touched)) == 1
+
+
+def test_named_batch_counts_once(spark):
+    table, _ = tables(spark)
+    schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
+    batch = spark.createDataFrame([(None, "keyless", 1, 0), (1, "a", 1, 0)], schema)
+    for _ in range(2):
+        table.upsert(batch, ["retweet_count"], ["seq"], "first")
+    assert table.read().count() == 2
+    table.upsert(batch, ["retweet_count"], ["seq"], "second")
+    rows = table.read().collect()
+    assert len(rows) == 3 and len({r["id"] for r in rows}) == 3
+
+
+def test_later_row_of_a_file_wins(spark, tmp_path):
+    for name, counts in (("up", (5, 7)), ("down", (7, 5))):
+        tweets, users = tables(spark)
+        land(tmp_path / name, "a.json", [tweet(1, count=c) for c in (1, *counts)])
+        run(spark, tmp_path / name, tmp_path / f"p-{name}", tweets, users)
+        assert content(tweets, "tweet_id", "retweet_count") == [(1, counts[-1])]
+        tweets, _ = tables(spark)
+        plans.collect(files.read_json_lines(spark, f"{tmp_path}/{name}/", arrival=True), tweets)
+        assert content(tweets, "tweet_id", "retweet_count") == [(1, counts[-1])]
+
+
+def test_csv_loses_nothing(spark, tmp_path):
+    texts = ["  outer  ", "a\nb", "a\r\nb", 'say "hi", ok', "€ ł 漢", "tab\t", None]
+    rows = [(4, i, "-", "q", "u", text) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, LABELLED)
+    files.write_labelled_csv(df, f"{tmp_path}/in", encoding="UTF-8")
+    back = files.read_labelled_csv(spark, f"{tmp_path}/in", encoding="UTF-8").collect()
+    assert {r["tweet_id"]: r["text"] for r in back} == dict(enumerate(texts))
+    files.export_csv(df, ["tweet_id", "text"], f"{tmp_path}/out")
+    back = files.read_export(spark, f"{tmp_path}/out", "tweet_id long, text string").collect()
+    assert {r["tweet_id"]: r["text"] for r in back} == dict(enumerate(texts))
+    empty = spark.createDataFrame([(4, 1, "-", "q", "u", "")], LABELLED)
+    files.write_labelled_csv(empty, f"{tmp_path}/empty")
+    assert files.read_labelled_csv(spark, f"{tmp_path}/empty").first()["text"] in (None, "")
+
+
 def test_migrate_and_collect(spark):
     table, users = tables(spark)
     schema = "tweet_id long, tweet_text string, created_at timestamp"

@@ -50,9 +50,17 @@ def with_rank(
     )
 
 
-def assign_ids(existing: DataFrame, fresh: DataFrame, order: Sequence[str], id_column: str = "id"):
-    """Fresh rows with new ids above the existing ones, in ``order``."""
-    highest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
+def assign_ids(
+    existing: DataFrame | int, fresh: DataFrame, order: Sequence[str], id_column: str = "id"
+):
+    """Fresh rows with new ids above the existing ones, in ``order``.
+
+    ``existing`` is a table with ids or the highest id, if that is known.
+    """
+    if isinstance(existing, DataFrame):
+        highest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
+    else:
+        highest = F.lit(existing).cast("long")
     ranked = with_rank(fresh.drop(id_column), [], order, "_rank")
     return ranked.select(
         (highest + F.lit(1) + F.col("_rank")).cast("long").alias(id_column),

@@ -178,10 +178,11 @@ def sentiment_table(
         .join(mean.select(key, lb.sign_label("score").alias("sentiment_textblob")), key)
         .join(compound.select(key, lb.sign_label("score").alias("sentiment_vader")), key)
     )
-    joined = shape.with_labels(docs.select(key), labels, key)
+    joined = shape.with_labels(docs.select(key, text), labels, key)
     keep: Column = F.col("sentiment_naivebayes").isNotNull()
     return joined.select(
         key,
+        text,
         *[
             lb.gated(name, keep).alias(name)
             for name in ("sentiment_naivebayes", "sentiment_textblob", "sentiment_vader")

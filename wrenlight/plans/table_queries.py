@@ -22,8 +22,8 @@ from wrenlight.operators import (
     stopwords,
     tfidf,
 )
-from wrenlight.plans import classify
-from wrenlight.schemas import RAW_TWEET, TWEET, TWEETS, USERS
+from wrenlight.plans import classify, collect
+from wrenlight.schemas import RAW_TWEET, SENTIMENTS, TWEET, TWEETS, USERS
 from wrenlight.sources import files
 from wrenlight.sources.keyed_table import KeyedTable
 from wrenlight.sources.scratch import scratch_path, spread, stored
@@ -471,6 +471,21 @@ def sentiment_columns(spark, folder):
     return classify.sentiment_table(docs, "doc_id", model, lexicons, language, TOPIC)
 
 
+def sentiments_stored(spark, folder):
+    """Labels in their table: those of the short texts first, then all, which adds the others."""
+    labels = stored(sentiment_columns(spark, folder), "labels").select(
+        F.col("doc_id").alias("tweet_id"),
+        F.col("text").alias("tweet_text"),
+        *[f"sentiment_{kind}" for kind in ("naivebayes", "textblob", "vader")],
+    )
+    place = scratch_path(spark, "sentiments")
+    sentiments = KeyedTable(spark, place, SENTIMENTS, "tweet_id", span=1_000_000, id_column="id")
+    short = labels.where(F.length("tweet_text") < 1_000)
+    collect.store_labels(short.withColumn("sentiment_vader", F.lit("first")), sentiments, "short")
+    collect.store_labels(labels, sentiments, "all")
+    return sentiments.read().drop("id")
+
+
 # Linear models
 
 
@@ -565,6 +580,32 @@ def stream_upsert(spark, folder):
     return rows.select("tweet_id", "tweet_text", "user_id", "retweet_count", "favorite_count")
 
 
+def collect_batch(spark, folder):
+    """Events from files, but only those after the latest stored one."""
+    place = scratch_path(spark, "collect")
+    tweets = KeyedTable(spark, f"{place}/tweets", TWEETS, "tweet_id", span=2_000, id_column="id")
+    events = _nested_events(spark, folder).drop("retweeted_status")
+    files.append_json_lines(events, f"{place}/landing")
+    raw = files.read_json_lines(spark, f"{place}/landing/part-", arrival=True)
+    early = raw.where("id <= 4000 AND full_text <> 'error'")
+    collect.collect(early, tweets)
+    collect.collect(raw, tweets)
+    return tweets.read().select("tweet_id", "tweet_text", "user_id", "retweet_count")
+
+
+def stored_ids(spark, folder):
+    """The stored keys after an intake of at most one file a batch."""
+    place = scratch_path(spark, "capped")
+    tweets = KeyedTable(spark, f"{place}/tweets", TWEETS, "tweet_id", span=2_000, id_column="id")
+    events = _nested_events(spark, folder).drop("retweeted_status")
+    for kind in ("purchase", "signup"):
+        files.append_json_lines(events.where(F.col("full_text") == kind), f"{place}/landing")
+    intake.start_intake(
+        spark, f"{place}/landing", f"{place}/progress", tweets, max_files=1
+    ).awaitTermination()
+    return files.stored_ids(tweets.read())
+
+
 def stream_users_once(spark, folder):
     _, users = _landed(spark, folder, refresh_users=False)
     return users.read().select("twitter_user_id", "name", "screen_name", "statuses_count")
@@ -622,6 +663,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexicon_label": lexicon_label,
     "cleaned_sentiment": cleaned_sentiment,
     "sentiment_columns": sentiment_columns,
+    "sentiments_stored": sentiments_stored,
     "logreg_predict": logreg_predict,
     "linear_extremes": linear_extremes,
     "linear_svc_predict": linear_svc_predict,
@@ -631,4 +673,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_export": csv_export,
     "stream_upsert": stream_upsert,
     "stream_users_once": stream_users_once,
+    "collect_batch": collect_batch,
+    "stored_ids": stored_ids,
 }

@@ -243,6 +243,21 @@ def _bayes_and_language(test: str) -> str:
     )
 
 
+_SENTIMENTS = f"""WITH {_LABELLED},{_language("documents", "doc_id")},
+chosen AS (
+  SELECT d.doc_id, d.text FROM documents d JOIN spoken s ON s.doc_id = d.doc_id
+  WHERE s.lang = 'en' AND {_TOPIC.replace("text", "d.text")}),{_bayes_and_language("chosen")},
+found_labels AS (
+  SELECT p.doc_id, p.prediction, round(l.total / greatest(l.found, 1), 6) AS mean,
+         round(o.total / sqrt(o.total * o.total + 15.0), 6) AS compound
+  FROM predicted p JOIN lexicon_sums l ON l.doc_id = p.doc_id
+  JOIN other_sums o ON o.doc_id = p.doc_id)
+SELECT d.doc_id, d.text, coalesce(f.prediction, 'none') AS sentiment_naivebayes,
+       CASE WHEN f.doc_id IS NULL THEN 'none' ELSE {_sign("f.mean")} END AS sentiment_textblob,
+       CASE WHEN f.doc_id IS NULL THEN 'none' ELSE {_sign("f.compound")} END AS sentiment_vader
+FROM documents d LEFT JOIN found_labels f ON f.doc_id = d.doc_id"""
+
+
 SQL: dict[str, str] = {
     "word_freq": f"""
 SELECT token, count(*) AS n
@@ -468,19 +483,11 @@ cleaned AS (SELECT doc_id, trim({_replace(
   FROM documents),{_lexicon_sums("cleaned")},
 scored AS (SELECT doc_id, round(total / greatest(found, 1), 6) AS score FROM lexicon_sums)
 SELECT doc_id, score, {_sign("score", "positive", "negative")} AS label FROM scored""",
-    "sentiment_columns": f"""WITH {_LABELLED},{_language("documents", "doc_id")},
-chosen AS (
-  SELECT d.doc_id, d.text FROM documents d JOIN spoken s ON s.doc_id = d.doc_id
-  WHERE s.lang = 'en' AND {_TOPIC.replace("text", "d.text")}),{_bayes_and_language("chosen")},
-found_labels AS (
-  SELECT p.doc_id, p.prediction, round(l.total / greatest(l.found, 1), 6) AS mean,
-         round(o.total / sqrt(o.total * o.total + 15.0), 6) AS compound
-  FROM predicted p JOIN lexicon_sums l ON l.doc_id = p.doc_id
-  JOIN other_sums o ON o.doc_id = p.doc_id)
-SELECT d.doc_id, coalesce(f.prediction, 'none') AS sentiment_naivebayes,
-       CASE WHEN f.doc_id IS NULL THEN 'none' ELSE {_sign("f.mean")} END AS sentiment_textblob,
-       CASE WHEN f.doc_id IS NULL THEN 'none' ELSE {_sign("f.compound")} END AS sentiment_vader
-FROM documents d LEFT JOIN found_labels f ON f.doc_id = d.doc_id""",
+    "sentiment_columns": _SENTIMENTS,
+    "sentiments_stored": f"""SELECT doc_id AS tweet_id, text AS tweet_text, sentiment_naivebayes,
+  sentiment_textblob,
+  CASE WHEN length(text) < 1000 THEN 'first' ELSE sentiment_vader END AS sentiment_vader
+FROM ({_SENTIMENTS})""",
     "json_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
     "csv_round_trip": f"""WITH {_LABELLED}
 SELECT CAST(polarity AS INTEGER) AS polarity, doc_id AS tweet_id, '-' AS date, 'NO_QUERY' AS query,
@@ -494,6 +501,15 @@ SELECT coalesce(a.event_id, b.event_id) AS tweet_id,
        coalesce(a.user_id, b.user_id) AS user_id, coalesce(b.k, a.k) AS retweet_count,
        CAST(floor(coalesce(b.value, a.value)) AS INTEGER) AS favorite_count
 FROM stored_first a FULL JOIN second_landing b ON a.event_id = b.event_id""",
+    "collect_batch": f"""WITH early AS (
+  SELECT * FROM events WHERE event_id <= 4000 AND event_type <> 'error'),
+mark AS (SELECT event_id FROM early ORDER BY date_trunc('second', ts) DESC, event_id DESC LIMIT 1)
+SELECT event_id AS tweet_id, {_SHOWN.format(k="event_type")} AS tweet_text, user_id,
+       {_EVENT_COUNT} AS retweet_count
+FROM events WHERE (event_id <= 4000 AND event_type <> 'error')
+  OR event_id > (SELECT event_id FROM mark)""",
+    "stored_ids": """
+SELECT event_id AS tweet_id FROM events WHERE event_type IN ('purchase', 'signup')""",
     "stream_users_once": f"""WITH {_LANDED},
 named AS (
   SELECT user_id, max(event_id) AS seen, 1 AS rank FROM first_landing GROUP BY 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wrenlight.schemas import LABELLED, RAW_TWEET
@@ -21,10 +22,22 @@ LABELLED_ENCODING = "ISO-8859-1"
 
 
 def read_json_lines(
-    spark: SparkSession, prefix: str, schema: StructType = RAW_TWEET
+    spark: SparkSession, prefix: str, schema: StructType = RAW_TWEET, arrival: bool = False
 ) -> DataFrame:
-    """Every ``*.json`` file whose path starts with the prefix, one document per line."""
-    return spark.read.schema(schema).json(f"{prefix}*.json")
+    """Every ``*.json`` file whose path starts with the prefix, one document per line.
+
+    ``arrival`` adds when and where each row arrived, in the order of its file.
+    """
+    rows = spark.read.schema(schema).json(f"{prefix}*.json")
+    if not arrival:
+        return rows
+    return rows.select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("arrived_at"),
+        F.col("_metadata.file_path").alias("arrived_in"),
+        F.col("_metadata.file_block_start").alias("arrived_block"),
+        F.monotonically_increasing_id().alias("arrived_row"),
+    )
 
 
 def append_json_lines(df: DataFrame, folder: str) -> None:

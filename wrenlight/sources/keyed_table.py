@@ -7,13 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wrenlight.operators import keyed
 from wrenlight.operators.ranking import assign_ids
 from wrenlight.sources.scratch import stored
 
-COMMITS = StructType([StructField("version", LongType()), StructField("slice", LongType())])
+COMMITS = StructType(
+    [
+        StructField("version", LongType()),
+        StructField("slice", LongType()),
+        StructField("batch", StringType()),
+        StructField("highest", LongType()),
+    ]
+)
 
 
 @dataclass
@@ -24,8 +31,13 @@ class KeyedTable:
     appends one commit row per slice. The newest committed version of a slice
     is its content, so readers never see a half-written change, and a job
     that dies leaves only files nobody reads. Keys that grow with time touch
-    few slices. ``span`` is the width of a slice in key values. Repeating a
-    change gives the same content. One writer at a time.
+    few slices. ``span`` is the width of a slice in key values. One writer at
+    a time.
+
+    Reads name the folders of the live versions, so versions that were
+    replaced cost nothing. A commit row holds the highest id given so far, and
+    the name of the batch if it has one: a batch that was committed already is
+    skipped, with or without keys.
 
     With an ``id_column`` every incoming row draws a surrogate id; a stored
     row keeps its own, so ids are unique and may have gaps.
@@ -50,42 +62,47 @@ class KeyedTable:
                 return self.spark.createDataFrame([], COMMITS)
             raise
 
-    def _current(self) -> DataFrame:
-        return self._commits().groupBy("slice").agg(F.max("version").alias("version"))
+    def live_folders(self, slices: DataFrame | None = None) -> list[str]:
+        """The folders that hold the content, of all slices or of those given."""
+        commits = self._commits()
+        if slices is not None:
+            commits = commits.join(slices, "slice", "left_semi")
+        newest = commits.groupBy("slice").agg(F.max("version").alias("version"))
+        return [f"{self.path}/data/version={r.version}/slice={r.slice}" for r in newest.collect()]
 
-    def _rows(self, slices: DataFrame) -> DataFrame:
-        if slices.isEmpty():
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        layout = StructType(
-            [
-                *self.schema.fields,
-                StructField("version", LongType()),
-                StructField("slice", LongType()),
-            ]
-        )
-        files = self.spark.read.schema(layout).parquet(f"{self.path}/data")
-        # Both keys are partition columns: a small commit list is broadcast by its
-        # size and prunes folders at run time.
-        return files.join(slices, ["version", "slice"], "left_semi").select(
-            *self.schema.names
-        )
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
     def read(self) -> DataFrame:
         """The committed content."""
-        return self._rows(self._current())
+        return self._rows(self.live_folders())
 
-    def _change(self, batch: DataFrame, choose, order: Sequence[str], merge) -> None:
+    def _change(
+        self, batch: DataFrame, choose, order: Sequence[str], merge, name: str | None
+    ) -> None:
         """Commit ``merge(content of the touched slices, chosen rows of the batch)``."""
-        version = (self._commits().agg(F.max("version")).first()[0] or 0) + 1
-        chosen = choose(stored(batch, "batch", self.spark), self.key, order)
+        state = self._commits().agg(
+            F.coalesce(F.max("version"), F.lit(0)).alias("version"),
+            F.coalesce(F.max("highest"), F.lit(0)).alias("highest"),
+            F.max(F.col("batch") == F.lit(name)).alias("done"),
+        )
+        last = state.first()
+        if last.done:
+            return
+        version, highest = last.version + 1, last.highest
+        chosen = choose(batch, self.key, order)
         if self.id_column:
-            chosen = assign_ids(self.read(), chosen, [self.key, *order], self.id_column)
-        chosen = stored(chosen, "chosen")
-        touched = stored(chosen.select(self._slice().alias("slice")).distinct(), "touched")
-        if touched.isEmpty():
+            chosen = assign_ids(highest, chosen, [self.key, *order], self.id_column)
+        chosen = stored(chosen, "chosen", self.spark)
+        touched = chosen.groupBy(self._slice().alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+        touched = touched.collect()
+        if not touched:
             return
-        current = self._current().join(touched, "slice", "left_semi")
-        merged = merge(self._rows(current), chosen).select(*self.schema.names)
+        slices = self.spark.createDataFrame([(r.slice,) for r in touched], "slice long")
+        highest += sum(r.n for r in touched)
+        merged = merge(self._rows(self.live_folders(slices)), chosen).select(*self.schema.names)
         # Overwrite: an attempt that died before its commit may have left files.
         (
             merged.withColumn("slice", self._slice())
@@ -94,19 +111,37 @@ class KeyedTable:
             .partitionBy("slice")
             .parquet(f"{self.path}/data/version={version}")
         )
-        commit = touched.select(F.lit(version).cast("long").alias("version"), "slice")
+        commit = slices.select(
+            F.lit(version).cast("long").alias("version"),
+            "slice",
+            F.lit(name).cast("string").alias("batch"),
+            F.lit(highest).cast("long").alias("highest"),
+        )
+        # One file, so that a commit is there whole or not at all.
         commit.coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
-    def upsert(self, batch: DataFrame, update: Sequence[str], order: Sequence[str]) -> None:
-        """Insert new keys, refresh ``update`` on stored ones; the last repeat wins."""
+    def upsert(
+        self,
+        batch: DataFrame,
+        update: Sequence[str],
+        order: Sequence[str],
+        name: str | None = None,
+    ) -> None:
+        """Insert new keys, refresh ``update`` on stored ones; the last repeat wins.
+
+        ``name`` tells the batch from all others; a named batch counts once.
+        """
         self._change(
             batch,
             keyed.last_per_key,
             order,
             lambda rows, chosen: keyed.merge_unique(rows, chosen, self.key, update),
+            name,
         )
 
-    def insert_ignore(self, batch: DataFrame, order: Sequence[str]) -> None:
+    def insert_ignore(
+        self, batch: DataFrame, order: Sequence[str], name: str | None = None
+    ) -> None:
         """Insert new keys and leave stored ones; the first repeat wins."""
         self._change(
             batch,
@@ -118,4 +153,5 @@ class KeyedTable:
                 ),
                 allowMissingColumns=True,
             ),
+            name,
         )

@@ -11,8 +11,8 @@ from wrenlight.schemas import RAW_TWEET, TWEET_REFRESH, USER_REFRESH
 from wrenlight.sources.keyed_table import KeyedTable
 from wrenlight.sources.scratch import stored
 
-# Arrival order of a landed row: its file's time, then its file's name.
-ARRIVAL = ["arrived_at", "arrived_in"]
+# Arrival order of a landed row: its file's time and name, its block and its place in it.
+ARRIVAL = ["arrived_at", "arrived_in", "arrived_block", "arrived_row"]
 
 
 def landing_stream(
@@ -26,6 +26,7 @@ def landing_stream(
         "*",
         F.col("_metadata.file_modification_time").alias("arrived_at"),
         F.col("_metadata.file_path").alias("arrived_in"),
+        F.col("_metadata.file_block_start").alias("arrived_block"),
     )
 
 
@@ -66,21 +67,30 @@ def with_referenced(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def store_batch(
-    raw: DataFrame, tweets: KeyedTable, users: KeyedTable | None = None, refresh_users: bool = True
+    raw: DataFrame,
+    tweets: KeyedTable,
+    users: KeyedTable | None = None,
+    refresh_users: bool = True,
+    name: str | None = None,
 ) -> None:
-    """Upsert one batch of nested tweets; repeating it changes nothing.
+    """Upsert one batch of nested tweets; repeating a named one changes nothing.
 
-    The stored batch is read by the tables' session: a micro-batch's own
-    session runs without adaptive execution.
+    Arrival columns that ``raw`` lacks say nothing, but for the row's place. The
+    stored batch is read by the tables' session: a micro-batch's own session
+    runs without adaptive execution.
     """
+    lacking = [c for c in ARRIVAL[:-1] if c not in raw.columns]
+    raw = raw.select("*", *[F.lit(0).alias(c) for c in lacking])
+    if ARRIVAL[-1] not in raw.columns:
+        raw = raw.withColumn(ARRIVAL[-1], F.monotonically_increasing_id())
     raw = stored(raw, "intake", tweets.spark)
     tweet_batch, user_batch = with_referenced(raw)
-    tweets.upsert(tweet_batch, TWEET_REFRESH, ARRIVAL)
+    tweets.upsert(tweet_batch, TWEET_REFRESH, ARRIVAL, name)
     if users is not None:
         if refresh_users:
-            users.upsert(user_batch, USER_REFRESH, ARRIVAL)
+            users.upsert(user_batch, USER_REFRESH, ARRIVAL, name)
         else:
-            users.insert_ignore(user_batch, ARRIVAL)
+            users.insert_ignore(user_batch, ARRIVAL, name)
 
 
 def start_intake(
@@ -95,12 +105,16 @@ def start_intake(
     """Process what has landed since the last run, batch by batch, then stop.
 
     ``progress`` is the streaming checkpoint: it records exactly which files
-    were stored, and a batch that died is repeated.
+    were stored, and a batch that died is repeated under its name.
     """
+
+    def store(batch: DataFrame, number: int) -> None:
+        store_batch(batch, tweets, users, refresh_users, f"{progress}#{number}")
+
     return (
         landing_stream(spark, folder, max_files)
         .writeStream.option("checkpointLocation", progress)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: store_batch(batch, tweets, users, refresh_users))
+        .foreachBatch(store)
         .start()
     )
