@@ -4,6 +4,7 @@ from math import log, sqrt
 import pytest
 from pyspark.sql import functions as F
 
+from wrenlight.functions import text as tx
 from wrenlight.functions.labels import map_label
 from wrenlight.operators import bayes, lexicon, linear, metrics, tfidf
 from wrenlight.plans import classify
@@ -218,13 +219,19 @@ def test_logistic_objective_gradient(texts):
     assert np.allclose(np.linalg.norm(x, axis=1), 1.0)
 
 
-def test_linear_svc_and_hashing(texts, monkeypatch):
+def test_linear_svc(texts):
     labels = map_label("polarity")
     model = linear.fit_linear_svc(texts, labels)
     wrong = classify.evaluated(model.predict(texts, "tweet_id"), texts, "tweet_id").where(
         "label <> prediction"
     )
     assert wrong.count() == 0
-    monkeypatch.setattr(linear, "MAX_VOCABULARY", 32)
-    hashed = linear.fit_tfidf_logistic(texts, labels)
-    assert hashed.coefficients().count() == 32
+
+
+def test_linear_models_have_every_term(texts):
+    labels = map_label("polarity")
+    model = linear.fit_tfidf_logistic(texts, labels)
+    words = texts.where(labels.isNotNull() & (labels != "neutral"))
+    wanted = words.select(F.explode(tx.terms("text", (1, 2))).alias("term")).distinct().count()
+    assert model.coefficients().count() == wanted
+    assert linear.fit_tfidf_logistic(texts, labels, fit_rows=10**6).coefficients().count() == wanted

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
@@ -13,33 +15,33 @@ from pyspark.ml.feature import (
     CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
-    HashingTF,
     Normalizer,
     SQLTransformer,
 )
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenlight.functions.text import TERM, terms
-from wrenlight.sources.scratch import spread, stored
+from wrenlight.functions.text import TERM
+from wrenlight.sources.scratch import stored
 
 # Solver settings of the three models and the parameter grid.
 LOGISTIC_ITERATIONS = 100
 INVERSE_STRENGTH = 1.0
 HINGE_ALPHA = 1e-3
 HINGE_ITERATIONS = 100
-HINGE_TOLERANCE = 1e-3
 GRID_NGRAMS = ((1, 1), (1, 2))
 GRID_ALPHA = (1e-2, 1e-3)
 FOLDS = 3
 SEED = 42
 EXTREMES = 20
 
-# The driver holds one coefficient per term. Up to this many terms each has a
-# slot of its own; beyond, terms are hashed into this many slots.
-MAX_VOCABULARY = 1 << 22
+# The driver holds one coefficient per term, so a model is fitted on about so many
+# labelled rows at most; a larger table is thinned by a hash of its texts.
+FIT_ROWS = 200_000
+# More terms than any such table has.
+ALL_TERMS = (1 << 31) - 1
 
 
 def term_statement(ngram_range: tuple[int, int], text: str = "text") -> str:
@@ -57,19 +59,9 @@ def term_statement(ngram_range: tuple[int, int], text: str = "text") -> str:
     )
 
 
-def vectorizer(docs: DataFrame, ngram_range: tuple[int, int], text: str = "text"):
-    """A term counter that drops no term: exact slots, or hashing for huge vocabularies."""
-    distinct = (
-        docs.select(F.explode(terms(text, ngram_range)).alias("term"))
-        .distinct()
-        .limit(MAX_VOCABULARY + 1)
-        .count()
-    )
-    if distinct <= MAX_VOCABULARY:
-        return CountVectorizer(
-            inputCol="terms", outputCol="counts", vocabSize=max(distinct, 1), minDF=1.0
-        )
-    return HashingTF(inputCol="terms", outputCol="counts", numFeatures=MAX_VOCABULARY)
+def vectorizer() -> CountVectorizer:
+    """A term counter with a slot for every term."""
+    return CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0)
 
 
 @dataclass
@@ -84,46 +76,38 @@ class LinearTextModel:
         chosen = F.when(F.col("prediction") == 1.0, self.labels[1]).otherwise(self.labels[0])
         return scored.select(key, chosen.alias("prediction"))
 
+    def _named(self) -> tuple[list[str], np.ndarray]:
+        """The terms and their coefficients; both are already on the driver."""
+        counter = next(s for s in self.pipeline.stages if isinstance(s, CountVectorizerModel))
+        return counter.vocabulary, self.pipeline.stages[-1].coefficients.toArray()
+
     def coefficients(self) -> DataFrame:
-        """``(term, coef)``; the vector is already on the driver."""
-        values = self.pipeline.stages[-1].coefficients.toArray()
-        counter = next(
-            s for s in self.pipeline.stages if isinstance(s, (CountVectorizerModel, HashingTF))
-        )
-        if isinstance(counter, CountVectorizerModel):
-            names = counter.vocabulary
-        else:
-            names = [f"slot {i}" for i in range(len(values))]
+        """``(term, coef)``."""
+        names, values = self._named()
         return SparkSession.getActiveSession().createDataFrame(
             pd.DataFrame({"term": names, "coef": values}), "term string, coef double"
         )
 
     def extremes(self, n: int = EXTREMES) -> DataFrame:
         """The ``n`` lowest and ``n`` highest coefficients, paired by place."""
-        table = self.coefficients()
-        low = table.orderBy("coef", "term").limit(n)
-        high = table.orderBy(F.desc("coef"), F.desc("term")).limit(n)
-        # At most n rows each.
-        low_at = _numbered(low, "low", ascending=True)
-        high_at = _numbered(high, "high", ascending=False)
-        return low_at.join(high_at, "place")
-
-
-def _numbered(top: DataFrame, side: str, ascending: bool) -> DataFrame:
-    order = [F.asc("coef"), F.asc("term")] if ascending else [F.desc("coef"), F.desc("term")]
-    window = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return top.select(
-        F.row_number().over(window).alias("place"),
-        F.col("term").alias(f"{side}_term"),
-        F.col("coef").alias(f"{side}_coef"),
-    )
+        names, values = self._named()
+        pairs = list(zip(values.tolist(), names, strict=True))
+        low, high = heapq.nsmallest(n, pairs), heapq.nlargest(n, pairs)
+        rows = [(i, b, a, d, c) for i, ((a, b), (c, d)) in enumerate(zip(low, high), 1)]
+        return SparkSession.getActiveSession().createDataFrame(
+            rows, "place int, low_term string, low_coef double, high_term string, high_coef double"
+        )
 
 
-def _training_rows(docs: DataFrame, label: Column, labels: tuple[str, str], text: str):
-    return spread(
-        docs.where(label.isin(list(labels))).select(
-            F.col(text).alias("text"), (label == labels[1]).cast("double").alias("label")
-        )
+def _training_rows(
+    docs: DataFrame, label: Column, labels: tuple[str, str], text: str, fit_rows: int
+) -> DataFrame:
+    rows = docs.where(label.isin(list(labels)))
+    share = fit_rows / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return rows.select(
+        F.col(text).alias("text"), (label == labels[1]).cast("double").alias("label")
     )
 
 
@@ -133,6 +117,7 @@ def fit_tfidf_logistic(
     labels: tuple[str, str] = ("neg", "pos"),
     ngram_range: tuple[int, int] = (1, 2),
     text: str = "text",
+    fit_rows: int = FIT_ROWS,
 ) -> LinearTextModel:
     """Unit-length TF-IDF of word n-grams and L2 logistic regression.
 
@@ -142,12 +127,11 @@ def fit_tfidf_logistic(
     strength ``C`` is ``1 / (C n)``. Its IDF lacks the added 1, which a fixed
     elementwise weight puts back.
     """
-    rows = _training_rows(docs, label, labels, text)
+    rows = _training_rows(docs, label, labels, text, fit_rows)
     to_terms = SQLTransformer(statement=term_statement(ngram_range))
-    counter = vectorizer(rows, ngram_range)
-    counting = Pipeline(stages=[to_terms, counter]).fit(rows)
+    counting = Pipeline(stages=[to_terms, vectorizer()]).fit(rows)
     # Stored, so that texts are cut into terms once and not in every pass.
-    counted = spread(stored(counting.transform(rows).select("label", "counts"), "counted"))
+    counted = stored(counting.transform(rows).select("label", "counts"), "counted")
     weights = IDF(inputCol="counts", outputCol="weighted").fit(counted).idf.toArray() + 1.0
     weigh = ElementwiseProduct(
         inputCol="counts", outputCol="weighted", scalingVec=DenseVector(weights)
@@ -170,7 +154,6 @@ def _hinge(alpha: float = HINGE_ALPHA) -> LinearSVC:
         regParam=alpha,
         standardization=False,
         maxIter=HINGE_ITERATIONS,
-        tol=HINGE_TOLERANCE,
         aggregationDepth=3,
     )
 
@@ -182,15 +165,15 @@ def fit_linear_svc(
     ngram_range: tuple[int, int] = (1, 2),
     alpha: float = HINGE_ALPHA,
     text: str = "text",
+    fit_rows: int = FIT_ROWS,
 ) -> LinearTextModel:
     """Counts of word n-grams and a linear classifier with hinge loss and L2 penalty."""
-    rows = _training_rows(docs, label, labels, text)
-    stages = [
-        SQLTransformer(statement=term_statement(ngram_range)),
-        vectorizer(rows, ngram_range),
-        _hinge(alpha),
-    ]
-    return LinearTextModel(Pipeline(stages=stages).fit(rows), labels)
+    rows = _training_rows(docs, label, labels, text, fit_rows)
+    to_terms = SQLTransformer(statement=term_statement(ngram_range))
+    counting = Pipeline(stages=[to_terms, vectorizer()]).fit(rows)
+    counted = stored(counting.transform(rows).select("label", "counts"), "counted")
+    hinge = _hinge(alpha).fit(counted)
+    return LinearTextModel(PipelineModel([*counting.stages, hinge]), labels)
 
 
 def grid_search(
@@ -200,12 +183,13 @@ def grid_search(
     text: str = "text",
     folds: int = FOLDS,
     parallelism: int = 4,
+    fit_rows: int = FIT_ROWS,
 ) -> tuple[LinearTextModel, DataFrame]:
     """Cross-validated choice of n-gram range and penalty for the hinge model.
 
     Returns the best model and ``(ngram_high, alpha, accuracy)`` per setting.
     """
-    rows = _training_rows(docs, label, labels, text)
+    rows = stored(_training_rows(docs, label, labels, text, fit_rows), "grid-rows")
     to_terms = SQLTransformer(statement=term_statement(GRID_NGRAMS[-1]))
     hinge = _hinge()
     grid = (
@@ -215,7 +199,7 @@ def grid_search(
         .build()
     )
     search = CrossValidator(
-        estimator=Pipeline(stages=[to_terms, vectorizer(rows, GRID_NGRAMS[-1]), hinge]),
+        estimator=Pipeline(stages=[to_terms, vectorizer(), hinge]),
         estimatorParamMaps=grid,
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
         numFolds=folds,

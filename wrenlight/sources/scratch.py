@@ -31,16 +31,15 @@ def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> Dat
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input with few splits, such as one large row group.
+    """Use all cores on an input that is one split, such as a single row group.
 
-    A scan that already has a split per core is left as it is, so at scale
-    nothing is moved. With ``keys``, later grouping by them needs no shuffle.
+    Whatever has more splits is left as it is, so what is moved is bounded by
+    the size of a split. With ``keys``, later grouping by them needs no shuffle.
     Call it on a scan: counting the splits plans ``df`` but runs nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() > 1:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def fits_broadcast(df: DataFrame, key: str | None = None, max_rows: int | None = None) -> bool:
