@@ -25,7 +25,7 @@ def lookup(
     the tokens that carry most rows are never shuffled; the others are joined
     by a shuffle, and none of them can be hot. ``table`` must be stored.
     """
-    if fits_broadcast(table, key, max_rows):
+    if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), key)
     frequent = F.broadcast(
         table.where(F.octet_length(key) <= FREQUENT_TOKEN_BYTES)

@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from wrenlight.session import shared_dir
 
-# A table is broadcast only when it has at most this many rows and key bytes.
+# A table is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
-BROADCAST_KEY_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -42,21 +52,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def fits_broadcast(df: DataFrame, key: str | None = None, max_rows: int | None = None) -> bool:
-    """Whether ``df`` is small enough to broadcast; reads at most ``max_rows + 1`` rows.
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` is small enough to broadcast, by its rows and the bytes of all columns.
 
-    Call it on a stored table: the check is an action.
+    Call it on a stored table: the check is an action. Counts and sums are
+    made in the map tasks; one row of each comes together.
     """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    if key is None:
-        return df.limit(max_rows + 1).count() <= max_rows
-    rows, size = (
-        df.select(key)
-        .limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)),
-            F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)),
-        )
-        .first()
-    )
-    return rows <= max_rows and size <= BROADCAST_KEY_BYTES
+    width = reduce(add, [_width(field) for field in df.schema.fields])
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= BROADCAST_BYTES
+
+
+def _width(field: StructField) -> Column:
+    """About how many bytes a column takes in a row."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16)
+    if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + F.lit(16)
+    return F.lit(16)
