@@ -40,7 +40,9 @@ def two_class_scores(labelled: DataFrame, text: str = "text") -> DataFrame:
 def bigram_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     tokens = tx.tokenize(text)
     words = stored(counts.word_counts(docs, tokens, lower=False), "words")
-    return select.score_bigrams(counts.bigram_counts(docs, tokens), words)
+    # Stored, as a look-up in a large table reads its rows more than once.
+    bigrams = stored(counts.bigram_counts(docs, tokens), "bigrams")
+    return select.score_bigrams(bigrams, words)
 
 
 def best_word_features(

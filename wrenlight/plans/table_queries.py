@@ -387,7 +387,9 @@ def multinomial_nb_predict(spark, folder):
 
 def _held_out(spark, folder) -> DataFrame:
     """Labels and predictions of the validation part, all three classes."""
-    parts = ranking.positional_split(labelled(spark, folder), "polarity", [0, 2, 4], "doc_id")
+    # Stored, as selection, fit and prediction each read the texts.
+    rows = stored(labelled(spark, folder), "labelled")
+    parts = ranking.positional_split(rows, "polarity", [0, 2, 4], "doc_id")
     train, test = (parts.where(F.col("part") == name) for name in ("train", "val"))
     model = classify.selected_word_bayes(train)
     return classify.evaluated(classify.predict_sentiment(model, test, "doc_id"), test, "doc_id")
