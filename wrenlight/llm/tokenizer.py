@@ -33,8 +33,8 @@ WORD_END = "</w>"
 UNASSIGNED = "\uffff"
 
 #: Words a Python task remembers at most before it starts afresh; results don't depend on it.
-CACHE_WORDS = 250_000
-CACHE_ARCS = 500_000
+CACHE_WORDS = 600_000
+CACHE_ARCS = 1_000_000
 
 #: Stands for the start state, which no token leads to.
 START = -1
