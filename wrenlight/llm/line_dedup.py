@@ -22,6 +22,9 @@ SIMILARITY = 0.8
 #: Hashes in a band and bands: of pairs at the least similarity 99.3 % share a band.
 ROWS, BANDS = 3, 7
 
+#: Characters whose signatures are worked out at a time.
+BLOCK_CHARS = 60_000
+
 #: Bits of the map that tells which lines' texts are wanted. When it fills up, more
 #: texts than needed are moved, to the same result.
 WANTED_BITS = 24
@@ -37,8 +40,8 @@ def line_hash(line: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """``BANDS`` band hashes for each line of at least ``CHARS`` characters."""
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of lines of at least ``CHARS`` characters, and where each line's start."""
     sizes = np.array([len(x) for x in lines])
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -56,20 +59,36 @@ def bands(lines: list[str]) -> np.ndarray:
     whole = np.ones(len(code), bool)
     for k in range(CHARS - 1):
         whole[ends - 1 - k] = False
-    values = (h[whole[: len(h)]] >> np.uint64(32)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(sizes - CHARS + 1)[:-1]])
+    return h[whole[: len(h)]], np.concatenate([[0], np.cumsum(sizes - CHARS + 1)[:-1]])
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """``BANDS`` band hashes for each line of at least ``CHARS`` characters."""
     found = np.empty((len(lines), BANDS), np.uint64)
+    start = size = 0
+    for end, line in enumerate(lines, 1):
+        size += len(line)
+        # Short enough for the processor's cache.
+        if size >= BLOCK_CHARS or end == len(lines):
+            _bands(lines[start:end], found[start:end])
+            start, size = end, 0
+    return found
+
+
+def _bands(lines: list[str], found: np.ndarray) -> None:
+    hashes, starts = shingles(lines)
+    values = (hashes >> np.uint64(32)).astype(np.uint32)
+    v = np.empty_like(values)
     seeds = mixed(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32)
     for b in range(BANDS):
         band = np.full(len(lines), b, np.uint64)
         for r in range(ROWS):
             salt, factor = seeds[2 * (b * ROWS + r)], seeds[2 * (b * ROWS + r) + 1] | np.uint32(1)
-            v = (values ^ salt) * factor
-            v ^= v >> np.uint32(15)
+            np.bitwise_xor(values, salt, out=v)
+            np.multiply(v, factor, out=v)
             least = np.minimum.reduceat(v, starts)
             band = mixed(band + np.uint64(_STEP)) + least.astype(np.uint64)
         found[:, b] = mixed(band)
-    return found
 
 
 def _cut(batches) -> Iterator:
@@ -144,16 +163,14 @@ def _fetch(wanted: np.ndarray):
     return run
 
 
-def loaded(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """A line as the set of its shingles' hashes, all of weight 1."""
-    import xxhash
-
-    found = {
-        xxhash.xxh3_64_intdigest(line[i : i + CHARS].encode("utf-8", "surrogatepass"))
-        for i in range(len(line) - CHARS + 1)
-    }
-    elements = np.sort(np.fromiter(found, np.uint64, len(found)))
-    return elements, np.ones(len(elements))
+def loaded(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lines as the sets of their shingles' hashes, all of weight 1."""
+    hashes, starts = shingles(lines)
+    found = []
+    for a, b in zip(starts, [*starts[1:], len(hashes)], strict=True):
+        elements = np.unique(hashes[a:b])
+        found.append((elements, np.ones(len(elements))))
+    return found
 
 
 def line_classes(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:

@@ -72,13 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(
-    members: DataFrame, sets: DataFrame, load: Callable[..., tuple], similarity: float
+    members: DataFrame, sets: DataFrame, load: Callable[..., list[tuple]], similarity: float
 ) -> DataFrame:
     """``id, class`` for each id linked to another: the smallest id of its component.
 
     ``members`` holds ``bucket, id`` (long) and is read more than once; ``sets``
-    has one row an id; ``load`` turns its other columns into ascending elements
-    (64 bits) and their weights.
+    has one row an id; ``load`` turns lists of its other columns into ascending
+    elements (64 bits) and their weights, a pair for each row.
 
     Buckets that overlap form a group: first the members of each are joined to
     its smallest, whatever their similarity. Then the weighted Jaccard
@@ -138,7 +138,7 @@ def link(
     return join_counted(labels, least, "root", "n", total, F.xxhash64("id")).select("id", "class")
 
 
-def _spanning(load: Callable[..., tuple], payload: list[str], similarity: float):
+def _spanning(load: Callable[..., list[tuple]], payload: list[str], similarity: float):
     """Task: the links that span each group's components, among the members at hand."""
 
     def run(table):
@@ -148,11 +148,11 @@ def _spanning(load: Callable[..., tuple], payload: list[str], similarity: float)
         by_root: dict[int, list[int]] = {}
         for at, root in enumerate(rows["root"]):
             by_root.setdefault(root, []).append(at)
+        loaded = load(*(rows[c] for c in payload))
         ends: list[tuple[int, int]] = []
         for places in by_root.values():
-            sets = [load(*(rows[c][at] for c in payload)) for at in places]
-            ids = [rows["id"][at] for at in places]
-            ends += [(ids[a], ids[b]) for a, b in links(sets, similarity)]
+            found = links([loaded[at] for at in places], similarity)
+            ends += [(rows["id"][places[a]], rows["id"][places[b]]) for a, b in found]
         columns = [pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)]
         return pa.Table.from_arrays(columns, names=["a", "b"])
 
@@ -169,6 +169,13 @@ def links(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> Itera
     n = len(sets)
     if n < 2:
         return
+    if n == 2:
+        (ea, wa), (eb, wb) = sets
+        _, at_a, at_b = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
+        both = np.minimum(wa[at_a], wb[at_b]).sum()
+        if both >= (similarity - 1e-9) * (wa.sum() + wb.sum() - both):
+            yield 0, 1
+        return
     owner = np.repeat(np.arange(n), [len(e) for e, _ in sets])
     elements = np.concatenate([e for e, _ in sets])
     weights = np.concatenate([w for _, w in sets])

@@ -357,9 +357,12 @@ def _draw(rows_in_all: int, similarity: float):
 SETS = "key binary, flush long, id long, elements binary, weights binary, bands array<long>"
 
 
-def loaded(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A weighted set as it came from ``_draw``."""
-    return np.frombuffer(elements, np.uint64), np.frombuffer(weights)
+def loaded(elements: list[bytes], weights: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weighted sets as they came from ``_draw``."""
+    return [
+        (np.frombuffer(e, np.uint64), np.frombuffer(w))
+        for e, w in zip(elements, weights, strict=True)
+    ]
 
 
 def near_duplicates(
