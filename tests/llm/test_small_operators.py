@@ -180,6 +180,100 @@ def test_license_rules(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+MIT_TEXT = """{title}
+
+Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+
+BSD_TEXT = """Copyright (c) 2020, A. Name
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+GNU_TEXT = """This program is free software: you can redistribute it and/or modify it
+under the terms of the GNU {kind}General Public License as published by the
+Free Software Foundation; either version {version} of the License, or (at your
+option) any later version."""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_licenses_in_their_usual_forms(spark):
+    texts = [
+        (MIT_TEXT.format(title="MIT License"), ["MIT"], 0),
+        (MIT_TEXT.format(title="The MIT License (MIT)"), ["MIT"], 0),
+        (BSD_TEXT.format(third=""), ["BSD-2-Clause"], 0),
+        (BSD_TEXT.format(third=BSD_THIRD), ["BSD-3-Clause"], 0),
+        (APACHE_TEXT, ["Apache-2.0"], 0),
+        (GNU_TEXT.format(kind="", version="3"), ["GPL-3.0-or-later"], 0),
+        (GNU_TEXT.format(kind="", version="2"), ["GPL-2.0-or-later"], 0),
+        (GNU_TEXT.format(kind="Lesser ", version="3"), ["LGPL-3.0"], 0),
+        (GNU_TEXT.format(kind="Lesser ", version="2.1"), ["LGPL-2.1"], 0),
+        (GNU_TEXT.format(kind="Affero ", version="3"), ["AGPL-3.0"], 0),
+        ("It is released under the MIT License, see LICENSE", ["MIT"], 0),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", ["MPL-2.0"], 0),
+    ]
+    cases = [(f(t), *rest) for t, *rest in texts for f in (
+        str,
+        lambda t: re.sub(r"\s+", " ", t),
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "/*\n" + commented(t, " *") + "\n */\nint main() {",
+        lambda t: commented(t, "//"),
+        lambda t: commented(t, "#"),
+        lambda t: commented(t, "dnl"),
+    )]
+    cases += [
+        ("// SPDX-License-Identifier: MIT\nimport x", ["MIT"], 0),
+        ("Licensed under the MIT License; parts are licensed under the GNU General Public License, version 2.", ["MIT", "GPL-2.0"], 0),
+        ("licensed under the GNU General Public License and not the Mozilla version 3", ["GPL"], 0),
+        ("licensed under the GNU General Public License, version 2 as published", ["GPL-2.0"], 0),
+        ("license\n" + "the software is provided as is " * 200 + "gnu general public license " * 3000, [], 1),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, (text, names, unknown) in enumerate(cases):
+        assert (got[i]["licenses"], got[i]["unknown"]) == (names, unknown), (text, got[i])
+
+
 def test_license_sentences_hold_a_telling_word(spark):
     for rule in licenses.SENTENCES:
         assert re.search(licenses.TELLING.replace(r"\b", ""), rule.pattern.replace("?", "").replace("\\", ""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class SentenceRule:
-    """A sentence that licences use: ``pattern`` has to match a whole normalised sentence."""
+    """Words that licences use: ``pattern`` may stand anywhere in a normalised sentence."""
 
     name: str
     pattern: str
@@ -24,48 +24,70 @@ class LicenseRule:
     sequence: tuple[str, ...]
 
 
-# Sentences after normalising (lower case, words and digits and dots between
+# Words of a reference, and words between a licence's name and its version: none that starts
+# another name or version. They are counted only because Java's matcher recurses over them.
+_UNDER = r"\b(?:released|licensed|distributed|available) under (?:the terms of )?(?:the )?"
+_GAP = r"(?: (?!(?:gnu|version|v|v?[0-9.]+|mit|apache|mozilla|bsd)\b)[^ <]+){0,40}?"
+_LATER = r"(?: or(?: (?:at|in) (?:your|its) option)?(?: any)? (?:later|newer)\b| or(?: [^ <]+){0,8}? any later version\b)"
+
+
+def _gnu(name: str, version: str, after: str = "") -> str:
+    return rf"(?:{_UNDER})?\b{name}{_GAP} (?:version|v) ?{version}(?![0-9.]){after}"
+
+
+def _cc(kind: str) -> str:
+    return rf"\blicensed under (?:a |the )?(?:cc|creative commons) (?:by|attribution){kind}(?: license)? [0-9.]+(?: international| license)*"
+
+
+_GPL = r"gnu general public license(?: gpl)?"
+_LGPL = r"gnu (?:lesser|library) general public license(?: lgpl)?"
+
+# Words after normalising (lower case, words and digits and dots between
 # digits only, one space between words). A version that a sentence names is part of its rule.
+# Earlier rules take their words first.
 SENTENCES = (
-    SentenceRule("ApacheLicWRef2", r".*\blicensed under the apache license version 2(\.0)?( the license)?"),
-    SentenceRule("ApacheYouMayNot", r"you may not use this (file|work) except in compliance with the license"),
-    SentenceRule("ApacheCopyAt", r"you may obtain a copy of the license at .*"),
+    SentenceRule("ApacheLicWRef2", _UNDER + r"apache license (?:version |v ?)?2(?:\.0)?(?![0-9.])(?: the license)?"),
+    SentenceRule("ApacheYouMayNot", r"you may not use this (?:file|work) except in compliance with the license"),
+    SentenceRule("ApacheCopyAt", r"you may obtain a copy of the license at\b"),
+    SentenceRule("ApacheUrl", r"\bhttps? www apache org licenses license 2\.0"),
     SentenceRule("ApacheUnless", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    SentenceRule("SPDX-Apache-2.0", r".*spdx license identifier apache 2\.0"),
-    SentenceRule("MITLicRef", r"(.* )?(released|licensed|distributed|available) under (the terms of )?the mit license( mit)?"),
-    SentenceRule("MITTitle", r"(the )?mit license( mit)?"),
-    SentenceRule("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*"),
+    SentenceRule("SPDX-Apache-2.0", r"spdx license identifier apache 2\.0$"),
+    SentenceRule("MITLicRef", _UNDER + r"mit license\b(?: mit\b)?"),
+    SentenceRule("MITTitle", r"\b(?:the )?mit license(?: mit)?(?= copyright| permission|$)"),
+    SentenceRule("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     SentenceRule("MITNotice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    SentenceRule("SPDX-MIT", r".*spdx license identifier mit"),
-    SentenceRule("AsIs", r"th(e|is) software is provided .*as is.*without .*warrant(y|ies).*"),
-    SentenceRule("AGPLv3Ref", r".*\b(gnu )?affero general public license( agpl)?,? (version|v) ?3(\.0)?.*"),
-    SentenceRule("LGPLv3Ref", r".*\bgnu (lesser|library) general public license( lgpl)?,? (version|v) ?3(\.0)?.*"),
-    SentenceRule("LGPLv2.1Ref", r".*\bgnu (lesser|library) general public license( lgpl)?,? (version|v) ?2\.1.*"),
-    SentenceRule("GPLv3+Ref", r".*\bgnu general public license( gpl)?.*\b(version|v) ?3(\.0)? .*or .*any later version.*"),
-    SentenceRule("GPLv3Ref", r".*\bgnu general public license( gpl)?.*\b(version|v) ?3(\.0)?( only)?"),
-    SentenceRule("GPLv2+Ref", r".*\bgnu general public license( gpl)?.*\b(version|v) ?2(\.0)? .*or .*any later version.*"),
-    SentenceRule("GPLv2Ref", r".*\bgnu general public license( gpl)?.*\b(version|v) ?2(\.0)?( only)?"),
-    SentenceRule("GPLRef", r".*\blicensed under the gnu general public license( gpl)?"),
-    SentenceRule("SPDX-GPL-2.0", r".*spdx license identifier gpl 2\.0( only)?"),
-    SentenceRule("SPDX-GPL-3.0", r".*spdx license identifier gpl 3\.0( only)?"),
-    SentenceRule("CC-BY-NC-SA", r".*\blicensed under (a |the )?(cc|creative commons) (by|attribution) (nc|non ?commercial) (sa|share ?alike)( license)? [0-9.]+( international| license)*"),
-    SentenceRule("CC-BY-NC-ND", r".*\blicensed under (a |the )?(cc|creative commons) (by|attribution) (nc|non ?commercial) (nd|no ?derivatives)( license)? [0-9.]+( international| license)*"),
-    SentenceRule("CC-BY-NC", r".*\blicensed under (a |the )?(cc|creative commons) (by|attribution) (nc|non ?commercial)( license)? [0-9.]+( international| license)*"),
-    SentenceRule("CC-BY-SA", r".*\blicensed under (a |the )?(cc|creative commons) (by|attribution) (sa|share ?alike)( license)? [0-9.]+( international| license)*"),
-    SentenceRule("CC-BY", r".*\blicensed under (a |the )?(cc|creative commons) (by|attribution)( license)? [0-9.]+( international| license)*"),
-    SentenceRule("CC0", r".*\b(cc0|creative commons zero)\b.*"),
+    SentenceRule("SPDX-MIT", r"spdx license identifier mit$"),
+    SentenceRule("AsIs", r"\bth(?:e|is) software is provided\b(?=(?>.*?\bas is\b)(?>.*?\b(?:without|and any)\b).*?\bwarrant(?:y|ies))"),
+    SentenceRule("AGPLv3Ref", _gnu(r"(?:gnu )?affero general public license(?: agpl)?", r"3(?:\.0)?")),
+    SentenceRule("LGPLv3Ref", _gnu(_LGPL, r"3(?:\.0)?")),
+    SentenceRule("LGPLv2.1Ref", _gnu(_LGPL, r"2\.1")),
+    SentenceRule("GPLv3+Ref", _gnu(_GPL, r"3(?:\.0)?", _GAP + _LATER)),
+    SentenceRule("GPLv3Ref", _gnu(_GPL, r"3(?:\.0)?", r"(?: only\b)?")),
+    SentenceRule("GPLv2+Ref", _gnu(_GPL, r"2(?:\.0)?", _GAP + _LATER)),
+    SentenceRule("GPLv2Ref", _gnu(_GPL, r"2(?:\.0)?", r"(?: only\b)?")),
+    SentenceRule("GPLRef", _UNDER + r"gnu general public license\b(?: gpl\b)?"),
+    SentenceRule("SPDX-GPL-2.0", r"spdx license identifier gpl 2\.0(?: only)?$"),
+    SentenceRule("SPDX-GPL-3.0", r"spdx license identifier gpl 3\.0(?: only)?$"),
+    SentenceRule("CC-BY-NC-SA", _cc(r" (?:nc|non ?commercial) (?:sa|share ?alike)")),
+    SentenceRule("CC-BY-NC-ND", _cc(r" (?:nc|non ?commercial) (?:nd|no ?derivatives)")),
+    SentenceRule("CC-BY-NC", _cc(r" (?:nc|non ?commercial)")),
+    SentenceRule("CC-BY-SA", _cc(r" (?:sa|share ?alike)")),
+    SentenceRule("CC-BY", _cc("")),
+    SentenceRule("CC0", r"\b(?:cc0|creative commons zero)\b"),
     SentenceRule("BSDPre", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    SentenceRule("BSDSource", r"(1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    SentenceRule("BSDBinary", r"(2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer .*"),
-    SentenceRule("BSDEndorse", r"(3 )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
-    SentenceRule("BSDRef", r".*\blicensed under the bsd license"),
-    SentenceRule("MPLv2Ref", r".*\bsubject to the terms of the mozilla public license v(ersion )? ?2\.0"),
-    SentenceRule("MPLv2RefLic", r".*\blicensed under the mozilla public license,? v(ersion)? ?2\.0"),
-    SentenceRule("AllRights", r".*\ball rights reserved"),
+    SentenceRule("BSDSource", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    SentenceRule("BSDBinary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    SentenceRule("BSDEndorse", r"neither the name of .*? may be used to endorse or promote products derived from this software without specific prior written permission"),
+    SentenceRule("BSDRef", _UNDER + r"bsd license\b"),
+    SentenceRule("MPLv2Ref", r"\bsubject to the terms of the mozilla public license v(?:ersion )? ?2\.0"),
+    SentenceRule("MPLv2RefLic", r"\blicensed under the mozilla public license v(?:ersion)? ?2\.0"),
+    SentenceRule("AllRights", r"\ball rights reserved\b"),
 )
 
 # Rules in order; the first that fits at a place takes its sentences.
 RULES = (
+    LicenseRule("Apache-2.0", ("ApacheLicWRef2", "ApacheYouMayNot", "ApacheCopyAt", "ApacheUrl", "ApacheUnless")),
+    LicenseRule("Apache-2.0", ("ApacheLicWRef2", "ApacheYouMayNot", "ApacheCopyAt", "ApacheUrl")),
     LicenseRule("Apache-2.0", ("ApacheLicWRef2", "ApacheYouMayNot", "ApacheCopyAt", "ApacheUnless")),
     LicenseRule("Apache-2.0", ("ApacheLicWRef2", "ApacheYouMayNot", "ApacheCopyAt")),
     LicenseRule("Apache-2.0", ("ApacheLicWRef2",)),
@@ -103,8 +125,21 @@ RULES = (
 # Fixed value: every sentence above holds one of these words, so that others need no rule.
 TELLING = r"licen[sc]e|spdx|permission|warrant|redistribution|rights reserved|\bcc0\b|creative commons|required by applicable law"
 
-#: A sentence ends at a line break or at ``.``, ``!``, ``?`` or ``:`` before a blank or the end.
-SENTENCE_END = r"[.!?:;]+(?=\s|$)|\n"
+#: A sentence ends at ``.``, ``!`` or ``?`` before a blank or the end, but not at that of
+#: ``v. 2``, and at a line without letters and digits. Other line breaks are wrapping.
+SENTENCE_END = r"(?<!\b[vV])[.!?]+(?=\s|$)|\n[^\p{L}\p{N}\n]*(?=\n)"
+
+#: Comment marks made of letters; others vanish with the punctuation.
+MARKS = r"(?im)^[ \t]*(?:dnl|rem)\b"
+
+#: An identifier of this kind ends with its line.
+TAG = r"(?i)(spdx-license-identifier[^\n]*)\n"
+
+
+def joined(text: Column) -> Column:
+    """The text with plain line breaks, no comment marks of letters, and identifiers set off."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), MARKS, "")
+    return F.regexp_replace(plain, TAG, "$1\n\n")
 
 
 def normalised(sentence: Column) -> Column:
@@ -114,21 +149,24 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(words, r" {2,}", " "))
 
 
-def sentence_id(sentence: Column, rules: tuple[SentenceRule, ...] = SENTENCES) -> Column:
-    """The first rule that a normalised sentence fits; null if none."""
-    found = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        found = F.when(sentence.rlike(f"^(?:{rule.pattern})$"), F.lit(rule.name)).otherwise(found)
-    return found
+def sentence_ids(sentence: Column, rules: tuple[SentenceRule, ...] = SENTENCES) -> Column:
+    """The rules that a normalised sentence holds, each once, by place; ``?`` if none."""
+    marked = sentence
+    for rule in rules:
+        marked = F.regexp_replace(marked, rule.pattern, f"<{rule.name}>")
+    found = F.regexp_extract_all(marked, F.lit("<([^>]+)>"), F.lit(1))
+    return F.transform(
+        F.array(F.array_distinct(found)),
+        lambda names: F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("?"))),
+    )[0]
 
 
 def license_matches(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order, ``?`` for runs of others."""
+    """The identifiers of a text's telling sentences, in order, ``?`` for one without."""
     sentences = F.filter(
-        F.transform(F.split(text, SENTENCE_END), lambda s: F.when(F.lower(s).rlike(TELLING), s)),
-        lambda s: s.isNotNull(),
+        F.split(joined(text), SENTENCE_END), lambda s: F.lower(s).rlike(TELLING)
     )
-    return F.transform(sentences, lambda s: F.coalesce(sentence_id(normalised(s)), F.lit("?")))
+    return F.flatten(F.transform(sentences, lambda s: sentence_ids(normalised(s))))
 
 
 def _pattern(rules: tuple[LicenseRule, ...]) -> str:
@@ -146,12 +184,13 @@ def scan(
 ) -> DataFrame:
     """``doc_id, sentence_ids, licenses, unknown`` for every row.
 
-    A text is cut into sentences at line breaks and sentence ends. Those with a
-    telling word are normalised and get the identifier of the first sentence
-    rule they fit, or ``?``. The rules are tried in their order at each place
+    Wrapped lines are joined, comment marks included, and the text is cut into
+    sentences at sentence ends and blank lines. Those with a telling word are
+    normalised and get the identifiers of all sentence rules whose words they
+    hold, by place, or ``?``. The rules are tried in their order at each place
     of the identifier sequence; one that fits takes its sentences.
     ``licenses`` lists the licences found in order of place, repeats included,
-    ``unknown`` counts the telling sentences that no rule took.
+    ``unknown`` counts the identifiers, ``?`` included, that no rule took.
 
     All of it happens inside the row: nothing is shuffled. Null and empty texts
     have empty lists; repeated rows and other columns need no care.
