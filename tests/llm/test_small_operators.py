@@ -328,3 +328,24 @@ def test_edited_texts_and_next_rows(spark):
     one = spark.createDataFrame([(None, "abc")], "doc_id long, text string")
     assert syncmers.compared(one).first()["near_next"] == 1
     assert syncmers.compared(one.limit(0)).count() == 0
+
+
+def test_likeness_of_short_texts(spark):
+    draw = random.Random(7)
+    texts = [
+        "".join(draw.choice("abcdefghijklmnopqrstuvwxyz é🙂") for _ in range(n))
+        for n in [*range(4, 101), *range(10, 101, 5)]
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in syncmers.compared(df).collect():
+        assert r["near_next"] < 0.1 and r["near_edited"] > r["near_next"] + 0.15
+        if r["n_chars"] >= 10:
+            assert 0.3 < r["near_edited"] <= 1
+
+
+def test_anchors_outlast_edits_every_32_characters(spark):
+    draw = random.Random(8)
+    text = "".join(draw.choice("abcdefgh ijklmnop") for _ in range(3000))
+    edited = "".join("#" if i % 32 == 0 else c for i, c in enumerate(text))
+    df = spark.createDataFrame([(1, text), (2, edited)], "doc_id long, text string")
+    assert all(r["near_next"] > 0.15 for r in syncmers.compared(df).collect())

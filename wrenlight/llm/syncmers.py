@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Code points in a k-mer and in its inner s-mers: about 2 / (K - S + 1) of all places are chosen.
-K, S = 32, 8
+K, S = 16, 5
+
+#: With fewer anchors than this in either text, likeness is that of all runs of so many code points.
+FEW, GRAM = 10, 3
 
 #: A text is worked on in pieces of so many places, which overlap by ``K - 1``.
 PIECE = 2048
@@ -96,11 +99,32 @@ def fingerprint(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared by all distinct anchors, 0 to 1."""
+    """Shared by all distinct hashes, 0 to 1."""
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - shared)
 
 
+def grams(text: Column) -> Column:
+    """The hashes of all runs of ``GRAM`` code points; of a shorter text, its own."""
+
+    def of_text(wide: Column) -> Column:
+        last = F.greatest(F.lit(1), F.octet_length(wide) - (GRAM * _WIDE - 1))
+        return F.transform(
+            F.sequence(F.lit(1), last, F.lit(_WIDE)),
+            lambda at: F.xxhash64(F.substring(wide, at, F.lit(GRAM * _WIDE))),
+        )
+
+    return _with(F.encode(text, "UTF-32"), of_text)
+
+
+def text_likeness(a: Column, a_text: Column, b: Column, b_text: Column) -> Column:
+    """The likeness of two texts by their anchors, or by all grams where anchors are few."""
+    pair = F.array(F.struct(grams(a_text).alias("a"), grams(b_text).alias("b")))
+    fine = F.transform(pair, lambda p: likeness(p["a"], p["b"]))[0]
+    few = (F.size(a) < FEW) | (F.size(b) < FEW)
+    return F.when(few, fine).otherwise(likeness(a, b))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_chars, anchors, hashes, fingerprint`` for every row (null text: empty).
 
@@ -171,7 +195,8 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     The edited text has its last quarter replaced by the beginning of the next
     text by ascending id (after the last: the first). Its anchors are those of
     the kept part and those of the places that the edit touches; nothing else is
-    hashed again.
+    hashed again. Where one of two texts has fewer than ``FEW`` anchors, their
+    likeness is that of their runs of ``GRAM`` code points.
 
     Returns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint,
     near_edited, near_next``. Null texts are empty, null ids come first,
@@ -212,6 +237,10 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         "edited",
         fingerprint(F.col("hashes")).alias("fingerprint"),
         fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        text_likeness(
+            F.col("hashes"), F.col("text"), F.col("edited_hashes"), F.col("edited")
+        ).alias("near_edited"),
+        text_likeness(
+            F.col("hashes"), F.col("text"), F.col("next_hashes"), F.col("next_text")
+        ).alias("near_next"),
     )
