@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from wrenlight.llm.linking import link
 from wrenlight.llm.near_dedup import mixed
 from wrenlight.sources.scratch import stored
 
-#: Characters in a shingle. A shorter line is compared as a whole.
+#: Characters in a shingle, unless others are asked for. A shorter line is compared as a whole.
 CHARS = 9
 
 #: Jaccard similarity of shingle sets from which lines are the same.
@@ -22,6 +23,13 @@ SIMILARITY = 0.8
 #: Hashes in a band and bands: of pairs at the least similarity 99.3 % share a band.
 ROWS, BANDS = 3, 7
 
+#: Characters in a shingle by which an edited character in a line of 49 or more is found.
+FINE_CHARS = 5
+
+#: Hashes in a band and bands by characters in a shingle. Unlike lines share more of the
+#: shorter shingles, so they take longer bands: 99.4 % are found at the least similarity.
+FITS = {CHARS: (ROWS, BANDS), FINE_CHARS: (5, 13)}
+
 #: Characters whose signatures are worked out at a time.
 BLOCK_CHARS = 60_000
 
@@ -40,8 +48,8 @@ def line_hash(line: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of lines of at least ``CHARS`` characters, and where each line's start."""
+def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of lines of at least ``chars`` characters, and where each line's start."""
     sizes = np.array([len(x) for x in lines])
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -51,39 +59,40 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     one = code.astype(np.uint64)
     h, width = one, 1
-    while 2 * width <= CHARS:
+    while 2 * width <= chars:
         h, width = joined(h, h[width:]), 2 * width
-    for k in range(width, CHARS):
+    for k in range(width, chars):
         h = joined(h, one[k:])
     ends = np.cumsum(sizes)
     whole = np.ones(len(code), bool)
-    for k in range(CHARS - 1):
+    for k in range(chars - 1):
         whole[ends - 1 - k] = False
-    return h[whole[: len(h)]], np.concatenate([[0], np.cumsum(sizes - CHARS + 1)[:-1]])
+    return h[whole[: len(h)]], np.concatenate([[0], np.cumsum(sizes - chars + 1)[:-1]])
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """``BANDS`` band hashes for each line of at least ``CHARS`` characters."""
-    found = np.empty((len(lines), BANDS), np.uint64)
+def bands(lines: list[str], chars: int = CHARS) -> np.ndarray:
+    """Band hashes for each line of at least ``chars`` characters."""
+    found = np.empty((len(lines), FITS[chars][1]), np.uint64)
     start = size = 0
     for end, line in enumerate(lines, 1):
         size += len(line)
         # Short enough for the processor's cache.
         if size >= BLOCK_CHARS or end == len(lines):
-            _bands(lines[start:end], found[start:end])
+            _bands(lines[start:end], found[start:end], chars)
             start, size = end, 0
     return found
 
 
-def _bands(lines: list[str], found: np.ndarray) -> None:
-    hashes, starts = shingles(lines)
+def _bands(lines: list[str], found: np.ndarray, chars: int) -> None:
+    n_rows, n_bands = FITS[chars]
+    hashes, starts = shingles(lines, chars)
     values = (hashes >> np.uint64(32)).astype(np.uint32)
     v = np.empty_like(values)
-    seeds = mixed(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32)
-    for b in range(BANDS):
+    seeds = mixed(np.arange(1, 2 * n_rows * n_bands + 1, dtype=np.uint64)).astype(np.uint32)
+    for b in range(n_bands):
         band = np.full(len(lines), b, np.uint64)
-        for r in range(ROWS):
-            salt, factor = seeds[2 * (b * ROWS + r)], seeds[2 * (b * ROWS + r) + 1] | np.uint32(1)
+        for r in range(n_rows):
+            salt, factor = seeds[2 * (b * n_rows + r)], seeds[2 * (b * n_rows + r) + 1] | np.uint32(1)
             np.bitwise_xor(values, salt, out=v)
             np.multiply(v, factor, out=v)
             least = np.minimum.reduceat(v, starts)
@@ -91,7 +100,7 @@ def _bands(lines: list[str], found: np.ndarray) -> None:
         found[:, b] = mixed(band)
 
 
-def _cut(batches) -> Iterator:
+def _cut(batches, chars: int) -> Iterator:
     """Map task: every line that isn't blank, with its bands where it comes first in the task."""
     import pyarrow as pa
 
@@ -103,7 +112,7 @@ def _cut(batches) -> Iterator:
                 if not line or line.isspace():
                     continue
                 h = line_hash(line)
-                if h not in seen and len(line) >= CHARS:
+                if h not in seen and len(line) >= chars:
                     fresh.append(line)
                     fresh_at.append(len(hashes))
                     seen.add(h)
@@ -116,8 +125,8 @@ def _cut(batches) -> Iterator:
         if not hashes:
             continue
         counts = np.zeros(len(hashes), np.int32)
-        counts[fresh_at] = BANDS
-        values = bands(fresh).view(np.int64).ravel() if fresh else np.zeros(0, np.int64)
+        counts[fresh_at] = FITS[chars][1]
+        values = bands(fresh, chars).view(np.int64).ravel() if fresh else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
@@ -134,7 +143,7 @@ def _cut(batches) -> Iterator:
 LINES = "row long, doc_id long, place int, line long, bands array<long>"
 
 
-def _fetch(wanted: np.ndarray):
+def _fetch(wanted: np.ndarray, chars: int):
     """Map task: the texts of lines whose bit is set in ``wanted``."""
 
     def run(batches) -> Iterator:
@@ -146,7 +155,7 @@ def _fetch(wanted: np.ndarray):
             found = {}
             for text in part["text"]:
                 for line in text.split("\n"):
-                    if len(line) < CHARS:
+                    if len(line) < chars:
                         continue
                     h = line_hash(line)
                     bit = h & ((1 << WANTED_BITS) - 1)
@@ -163,9 +172,9 @@ def _fetch(wanted: np.ndarray):
     return run
 
 
-def loaded(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def loaded(lines: list[str], chars: int = CHARS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Lines as the sets of their shingles' hashes, all of weight 1."""
-    hashes, starts = shingles(lines)
+    hashes, starts = shingles(lines, chars)
     found = []
     for a, b in zip(starts, [*starts[1:], len(hashes)], strict=True):
         elements = np.unique(hashes[a:b])
@@ -173,7 +182,9 @@ def loaded(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def line_classes(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+def line_classes(
+    rows: DataFrame, distinct: DataFrame, similarity: float, chars: int = CHARS
+) -> DataFrame:
     """``id, class`` for each line hash of ``distinct`` that is linked to another."""
     members = distinct.select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
     shared = (
@@ -184,10 +195,11 @@ def line_classes(rows: DataFrame, distinct: DataFrame, similarity: float) -> Dat
     shared = stored(shared.select("bucket", "n"), "line-buckets")
     met = join_counted(members, shared, "bucket", "n", members.count(), F.xxhash64("id"))
     met = stored(met.where("n IS NOT NULL").select("bucket", "id"), "line-members")
-    return link(met, _texts(rows, met.select(F.col("id").alias("line"))), loaded, similarity)
+    texts = _texts(rows, met.select(F.col("id").alias("line")), chars)
+    return link(met, texts, partial(loaded, chars=chars), similarity)
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, wanted: DataFrame, chars: int) -> DataFrame:
     """``id, body`` for all wanted lines.
 
     A map of a fixed number of bits goes to the scan, so that only texts that
@@ -201,21 +213,26 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     table = words.toPandas()
     bits_set = np.zeros(1 << (WANTED_BITS - 6), np.uint64)
     bits_set[table["word"].to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
-    found = rows.select("text").mapInArrow(_fetch(bits_set), "line long, body string")
+    found = rows.select("text").mapInArrow(_fetch(bits_set, chars), "line long, body string")
     texts = found.join(lines, "line", "left_semi").dropDuplicates(["line"])
     return stored(texts.withColumnRenamed("line", "id"), "line-texts")
 
 
 def deduplicated(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    chars: int = CHARS,
 ) -> DataFrame:
     """``docs`` with one line kept of each class, and ``n_lines, n_kept`` for every row.
 
     Lines are in one class if they are equal, or if a chain of lines joins them
-    with a Jaccard similarity of their nine-character shingles of at least
-    ``similarity``. The line of the smallest id, and in it the first, stays; the
+    with a Jaccard similarity of their shingles of ``chars`` characters of at
+    least ``similarity``. The line of the smallest id, and in it the first, stays; the
     others go, with their line breaks. Blank lines stay and are not counted;
-    lines under nine characters are only compared as a whole.
+    lines under ``chars`` characters are only compared as a whole. ``chars`` is
+    one of ``FITS``.
 
     A null text stays null and has no lines; a null id counts as the smallest;
     repeated rows share what happens to them. Other columns are kept as they
@@ -229,7 +246,7 @@ def deduplicated(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    lines = stored(rows.mapInArrow(_cut, LINES), "lines")
+    lines = stored(rows.mapInArrow(partial(_cut, chars=chars), LINES), "lines")
     here = F.struct("doc_id", "place", "row")
     distinct = lines.groupBy("line").agg(
         F.min(here).alias("first"),
@@ -237,7 +254,7 @@ def deduplicated(
         F.max(F.when(F.size("bands") > 0, F.col("bands"))).alias("bands"),
     )
     distinct = stored(distinct, "line-distinct")
-    linked = line_classes(rows, distinct, similarity)
+    linked = line_classes(rows, distinct, similarity, chars)
     firsts = distinct.drop("bands")
     firsts = stored(
         firsts.join(linked.withColumnRenamed("id", "line"), "line", "left").where(

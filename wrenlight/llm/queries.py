@@ -36,7 +36,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return line_dedup.deduplicated(docs)
+    return line_dedup.deduplicated(docs, chars=line_dedup.FINE_CHARS)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
