@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenlight.llm import (
@@ -12,6 +12,7 @@ from wrenlight.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    periodic,
     quality,
     secrets,
     syncmers,
@@ -128,6 +129,61 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text of op11: of every tenth document the words from one on repeat, by its id."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        found = F.transform(
+            F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))
+        )
+        return F.array_join(found, " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # Binds the words once.
+    edited = F.get(
+        F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise(text)), 0
+    )
+    return F.when((h % 10 == 0) & text.isNotNull(), edited).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    edited = docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.runs(edited)
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    )
+    best = found.withColumn("best", longest).select(
+        "*",
+        F.col("best.length").alias("length"),
+        (-F.col("best.col2")).alias("start"),
+        (-F.col("best.col3")).alias("period"),
+    )
+    listed = F.transform(
+        "runs",
+        lambda r: F.concat(
+            F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))),
+            F.lit("\n"),
+        ),
+    )
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -139,4 +195,5 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_tokenize": op9_tokenize,
     "op10_licenses": op10_licenses,
+    "op11_periodic_runs": op11_periodic_runs,
 }
