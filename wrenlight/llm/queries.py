@@ -15,6 +15,7 @@ from wrenlight.llm import (
     periodic,
     quality,
     secrets,
+    substring_dedup,
     syncmers,
     tokenizer,
 )
@@ -184,6 +185,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -196,4 +203,5 @@ QUERIES = {
     "op9_tokenize": op9_tokenize,
     "op10_licenses": op10_licenses,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_substring_dedup": op12_substring_dedup,
 }

