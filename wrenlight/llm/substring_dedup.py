@@ -165,7 +165,7 @@ def _pack(ids: list, texts: list[bytes | None]) -> tuple[bytes, bytes]:
 
     import zstandard
 
-    packed = zstandard.ZstdCompressor(level=1).compress(b"".join(t or b"" for t in texts))
+    packed = zstandard.ZstdCompressor(level=3).compress(b"".join(t or b"" for t in texts))
     return packed, pickle.dumps((ids, np.array([len(t or b"") for t in texts])))
 
 
