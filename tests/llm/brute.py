@@ -45,14 +45,16 @@ def near_classes(texts: dict[int, str | None], least: float = 0.8) -> dict[int,
     return {i: union.find(i) for i in texts}
 
 
-def deduplicated(texts: dict[int, str | None], least: float = 0.8) -> dict[int, str | None]:
+def deduplicated(
+    texts: dict[int, str | None], least: float = 0.8, chars: int = 5
+) -> dict[int, str | None]:
     """The texts with one line kept of each class; ids ascend."""
     first = {}
     for i, text in texts.items():
         for place, line in enumerate((text or "").split("\n")):
             if line.strip():
                 first.setdefault(line, (i, place))
-    cut = {x: {x[k : k + 9] for k in range(len(x) - 8)} for x in first}
+    cut = {x: {x[k : k + chars] for k in range(len(x) - chars + 1)} for x in first}
     union = Union(first)
     lines = list(first)
     for n, a in enumerate(lines):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wrenlight.llm import language, line_dedup, linking, near_dedup, quality, queries, tokenizer
 
+LINE_NAMES = (
+    "line n_kept _row _gone _at _given row id gone at of word mask bucket class place first n"
+).split()
 TEXTS = "doc_id long, text string"
 
 
@@ -255,8 +258,10 @@ def test_links_in_large_buckets_are_all_found(spark, monkeypatch):
     assert [least.get(i, i) for i in range(100)] == [want.find(i) for i in range(100)]
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_line_dedup_by_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,chars", [(1, 5), (2, 5), (1, 9)])
+def test_line_dedup_by_brute_force(spark, monkeypatch, seed, chars):
+    # Some bands are shared often enough to be sent once.
+    monkeypatch.setattr(line_dedup, "OFTEN", 4)
     draw = random.Random(seed)
     word = ["the", "garden", "house", "walks", "under", "green", "stone", "reads", "a", "of"]
     lines = [" ".join(draw.choice(word) for _ in range(draw.choice([1, 8, 14]))) for _ in range(60)]
@@ -271,11 +276,13 @@ def test_line_dedup_by_brute_force(spark, seed):
     }
     texts |= {200: None, 201: "", 202: "\n\n", 203: "long line " * 20_000}
     df = spark.createDataFrame(list(texts.items()), TEXTS)
-    df = df.withColumn("line", F.lit("x")).withColumn("n_kept", F.lit("y"))
-    rows = line_dedup.deduplicated(df.repartition(4)).collect()
+    for name in LINE_NAMES:
+        df = df.withColumn(name, F.lit("x"))
+    rows = line_dedup.deduplicated(df.repartition(4), chars=chars).collect()
     got = {r["doc_id"]: r["text"] for r in rows}
-    want = deduplicated(texts)
+    want = deduplicated(texts, chars=chars)
     assert sum(got[i] != want[i] for i in texts) <= 1
+    assert all(r[name] == "x" for r in rows for name in LINE_NAMES if name != "n_kept")
     assert {r["line"] for r in rows} == {"x"} and len(rows) == len(texts)
     for r in rows:
         held = [x for x in (texts[r["doc_id"]] or "").split("\n") if x.strip()]
@@ -283,6 +290,81 @@ def test_line_dedup_by_brute_force(spark, seed):
         assert (r["n_lines"], r["n_kept"]) == (len(held), len(kept))
 
 
+def test_line_dedup_of_string_ids(spark):
+    rows = [("b", "one line of some length\nother"), ("a", "one line of some length"), (None, "x")]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in got.collect()} == {
+        "b": ("other", 2, 1),
+        "a": (rows[1][1], 1, 1),
+        None: ("x", 1, 1),
+    }
+
+
+def test_bucket_links_span_the_similar(monkeypatch):
+    monkeypatch.setattr(linking, "PAIRS", 50)
+    draw = np.random.default_rng(4)
+    base = [draw.choice(5000, n, replace=False) for n in (40, 400, 3000)]
+    sets = []
+    for k in range(60):
+        kept = base[k % 3][draw.random(len(base[k % 3])) > draw.choice([0, 0.05, 0.15])]
+        sets.append(np.unique(kept.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+    sets = [np.sort(s) for s in sets]
+    buckets = [np.arange(0, 40), np.arange(30, 60), np.array([0, 59])]
+    found = linking.bucket_links(sets, buckets, 0.8)
+    got, want = Union(range(60)), Union(range(60))
+    for a, b in found:
+        got.join(a, b)
+    for bucket in buckets:
+        for a in bucket:
+            for b in bucket:
+                both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+                if a < b and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-6:
+                    want.join(int(a), int(b))
+    assert [got.find(i) for i in range(60)] == [want.find(i) for i in range(60)]
+    assert len(found) == 60 - len({want.find(i) for i in range(60)})
+
+
+def test_buckets_of_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "CHUNK", 16)
+    draw = random.Random(6)
+    lines = [" ".join(draw.choice(["ab", "cd", "ef", "gh"]) for _ in range(20)) for _ in range(70)]
+    members = [(1, i) for i in range(50)] + [(2, i) for i in range(50)] + [(3, i) for i in range(45, 70)]
+    members += [(4, 1)]
+    linked = linking.link_buckets(
+        spark.createDataFrame(members, "bucket long, id long"),
+        spark.createDataFrame(list(enumerate(lines)), "id long, body string"),
+        line_dedup.loaded,
+        0.6,
+    )
+    sets, want = line_dedup.loaded(lines), Union(range(70))
+    for bucket in (range(50), range(45, 70)):
+        for a in bucket:
+            for b in bucket:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if a < b and both >= 0.6 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                    want.join(a, b)
+    least = {r["id"]: r["class"] for r in linked.collect()}
+    assert [least.get(i, i) for i in range(70)] == [want.find(i) for i in range(70)]
+    assert least
+
+
+def test_compared_pairs_grow_with_shared_buckets(spark):
+    """Members come from shared buckets alone, a line in each bucket once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    for share in (0.25, 0.5, 1.0):
+        part = rows.limit(int(1000 * share))
+        sent = part.mapInArrow(line_dedup._bands(5, 3), line_dedup.PACKED)
+        met = sent.groupBy("deal").applyInArrow(line_dedup._meet, "bucket long, id long").toPandas()
+        texts = {x for r in part.collect() for x in r["text"].split("\n") if len(x) >= 5 and x.strip()}
+        bands, sketch = line_dedup.signatures(list(texts))
+        shared = 0
+        for b in range(line_dedup.BANDS):
+            _, size = np.unique(bands[:, b], return_counts=True)
+            shared += int(size[size > 1].sum())
+        assert 0 < len(met) <= shared and not met.duplicated().any()
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = [(1, "a\nb"), (1, "a\nb"), (None, "b\nc"), (2, "c")]
     got = line_dedup.deduplicated(spark.createDataFrame(rows, TEXTS)).collect()
@@ -306,7 +388,7 @@ def test_lines_with_one_edit_are_found(spark):
     texts |= {100 + i: edited(line, 1) for i, line in enumerate(lines)}
     texts |= {200 + i: edited(line, 4) for i, line in enumerate(lines)}
     df = spark.createDataFrame(list(texts.items()), TEXTS)
-    found = line_dedup.deduplicated(df, chars=line_dedup.FINE_CHARS).collect()
+    found = line_dedup.deduplicated(df).collect()
     kept = {r["doc_id"]: r["n_kept"] for r in found}
     assert all(kept[i] for i in range(len(lines)))
     # A pair at exactly 0.8 is missed by the bands once in 170 times.

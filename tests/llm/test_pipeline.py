@@ -65,4 +65,4 @@ def test_encoding_stage_is_whole(steps):
 def test_registered():
     names = driver.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -1,4 +1,10 @@
-"""Fuzzy line de-duplication: MinHash bands, exact Jaccard similarity, union-find."""
+"""Fuzzy line de-duplication: MinHash bands, exact Jaccard similarity, union-find.
+
+Bands travel packed: a task sends, by hash range, what its lines' bands are, and with each the
+line's hash and one bit of each MinHash value. Where the bands of different lines
+meet and those bits don't tell them apart, the lines are members of a bucket. Only such
+lines' texts are fetched, and only pairs that share a bucket are compared.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +14,44 @@ from functools import partial
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from wrenlight.llm.common import join_counted, slices
-from wrenlight.llm.linking import link
+from wrenlight.llm.common import SLICE_CHARS, join_counted, ship_package, slices
+from wrenlight.llm.linking import link_buckets
 from wrenlight.llm.near_dedup import mixed
+from wrenlight.llm.words import text_slices
 from wrenlight.sources.scratch import stored
 
-#: Characters in a shingle, unless others are asked for. A shorter line is compared as a whole.
-CHARS = 9
+#: Characters in a shingle. A shorter line is compared as a whole.
+CHARS = 5
 
 #: Jaccard similarity of shingle sets from which lines are the same.
 SIMILARITY = 0.8
 
-#: Hashes in a band and bands: of pairs at the least similarity 99.3 % share a band.
-ROWS, BANDS = 3, 7
-
-#: Characters in a shingle by which an edited character in a line of 49 or more is found.
-FINE_CHARS = 5
+#: Hashes in a band and bands: of pairs at the least similarity 99.4 % share a band.
+ROWS, BANDS = 5, 13
 
-#: Hashes in a band and bands by characters in a shingle. Unlike lines share more of the
-#: shorter shingles, so they take longer bands: 99.4 % are found at the least similarity.
-FITS = {CHARS: (ROWS, BANDS), FINE_CHARS: (5, 13)}
+#: Of so many bits, one of each MinHash value, similar lines differ in this many at most: at the
+#: least similarity a tenth differs, and this lies five standard deviations above.
+SKETCH, SKETCH_APART = 64, 18
 
 #: Characters whose signatures are worked out at a time.
 BLOCK_CHARS = 60_000
 
-#: Bits of the map that tells which lines' texts are wanted. When it fills up, more
-#: texts than needed are moved, to the same result.
+#: A task sends its bands after so many lines.
+FLUSH = 100_000
+
+#: A band that more lines of a flush share is sent once; its lines are members at once.
+OFTEN = 32
+
+#: Bands of one hash range, about: so many are met in one task's memory.
+RANGE_BANDS = 1_000_000
+
+#: Characters for each band, about; it only decides into how many ranges they are cut.
+CHARS_A_BAND = 25
+
+#: Bits of the maps that tell which lines' texts are wanted and which rows change. When
+#: they fill up, more than needed is moved, to the same result.
 WANTED_BITS = 24
 
 _STEP = 0x9E3779B97F4A7C15
@@ -70,77 +87,200 @@ def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarr
     return h[whole[: len(h)]], np.concatenate([[0], np.cumsum(sizes - chars + 1)[:-1]])
 
 
-def bands(lines: list[str], chars: int = CHARS) -> np.ndarray:
-    """Band hashes for each line of at least ``chars`` characters."""
-    found = np.empty((len(lines), FITS[chars][1]), np.uint64)
+def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes and the sketch of each line of at least ``chars`` characters."""
+    found = np.empty((len(lines), BANDS), np.uint64)
+    sketch = np.zeros(len(lines), np.uint64)
     start = size = 0
     for end, line in enumerate(lines, 1):
         size += len(line)
         # Short enough for the processor's cache.
         if size >= BLOCK_CHARS or end == len(lines):
-            _bands(lines[start:end], found[start:end], chars)
+            _signatures(lines[start:end], found[start:end], sketch[start:end], chars)
             start, size = end, 0
-    return found
+    return found, sketch
 
 
-def _bands(lines: list[str], found: np.ndarray, chars: int) -> None:
-    n_rows, n_bands = FITS[chars]
+def _signatures(lines: list[str], found: np.ndarray, sketch: np.ndarray, chars: int) -> None:
     hashes, starts = shingles(lines, chars)
     values = (hashes >> np.uint64(32)).astype(np.uint32)
     v = np.empty_like(values)
-    seeds = mixed(np.arange(1, 2 * n_rows * n_bands + 1, dtype=np.uint64)).astype(np.uint32)
-    for b in range(n_bands):
+    seeds = mixed(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32)
+    for b in range(BANDS):
         band = np.full(len(lines), b, np.uint64)
-        for r in range(n_rows):
-            salt, factor = seeds[2 * (b * n_rows + r)], seeds[2 * (b * n_rows + r) + 1] | np.uint32(1)
-            np.bitwise_xor(values, salt, out=v)
-            np.multiply(v, factor, out=v)
-            least = np.minimum.reduceat(v, starts)
-            band = mixed(band + np.uint64(_STEP)) + least.astype(np.uint64)
+        for r in range(ROWS):
+            k = b * ROWS + r
+            np.bitwise_xor(values, seeds[2 * k], out=v)
+            np.multiply(v, seeds[2 * k + 1] | np.uint32(1), out=v)
+            least = np.minimum.reduceat(v, starts).astype(np.uint64)
+            band = mixed(band + np.uint64(_STEP)) + least
+            if k < SKETCH:
+                sketch |= (mixed(least + np.uint64(k)) & np.uint64(1)) << np.uint64(k)
         found[:, b] = mixed(band)
 
 
-def _cut(batches, chars: int) -> Iterator:
-    """Map task: every line that isn't blank, with its bands where it comes first in the task."""
-    import pyarrow as pa
+def _cut(names: list[str]):
+    """Map task: every line that isn't blank."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for part in text_slices(batches, SLICE_CHARS):
+            at, places, hashes = [], [], []
+            for k, text in enumerate(part.column("text").to_pylist()):
+                for place, line in enumerate(text.split("\n")):
+                    if line and not line.isspace():
+                        at.append(k)
+                        places.append(place)
+                        hashes.append(line_hash(line))
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("row").take(taken),
+                    part.column("id").take(taken),
+                    pa.array(places, pa.int32()),
+                    pa.array(hashes, pa.int64()),
+                ],
+                names=names,
+            )
 
-    seen: set[int] = set()
-    for part in slices(batches):
-        rows, docs, places, hashes, fresh, fresh_at = [], [], [], [], [], []
-        for row, doc, text in zip(part["row"], part["doc_id"], part["text"], strict=True):
-            for place, line in enumerate(text.split("\n")):
-                if not line or line.isspace():
-                    continue
-                h = line_hash(line)
-                if h not in seen and len(line) >= chars:
-                    fresh.append(line)
-                    fresh_at.append(len(hashes))
-                    seen.add(h)
-                rows.append(row)
-                docs.append(doc)
-                places.append(place)
-                hashes.append(h)
-        if len(seen) > 300_000:
-            seen.clear()
-        if not hashes:
-            continue
-        counts = np.zeros(len(hashes), np.int32)
-        counts[fresh_at] = FITS[chars][1]
-        values = bands(fresh, chars).view(np.int64).ravel() if fresh else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows, pa.int64()),
-                pa.array(docs, pa.int64()),
-                pa.array(places, pa.int32()),
-                pa.array(hashes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-            ],
-            names=["row", "doc_id", "place", "line", "bands"],
+    return run
+
+
+PACKED = "deal long, hashes binary, lines binary, sketches binary, often binary"
+_ALL = np.uint64((1 << 40) - 1)
+
+
+def _five(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def _packed(lines: list[str], hashes: list[int], chars: int, groups: int, own: int) -> Iterator:
+    """The bands of different lines as ``PACKED`` rows; ``own`` is a range of the task's own."""
+    found, sketch = signatures(lines, chars)
+    named = np.array(hashes, np.int64)
+    hashed, line = found.ravel(), np.repeat(np.arange(len(lines)), BANDS)
+    # The range is the hash's top, what is sent lies below.
+    group = (hashed >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)
+    order = np.lexsort((hashed & _ALL, group))
+    group, low, line = group[order].astype(np.int64), (hashed & _ALL)[order], line[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(low))) > OFTEN
+    often = np.repeat(many, np.diff(np.append(first, len(low))))
+    if often.any():
+        bucket = _bucket(group[often], low[often])
+        yield own, bucket.tobytes(), named[line[often]].tobytes(), b"", b""
+    hot = first[many]
+    sent = np.flatnonzero(~often)
+    ends = np.searchsorted(group[sent], np.arange(groups + 1))
+    hot_ends = np.searchsorted(group[hot], np.arange(groups + 1))
+    for g in np.flatnonzero((np.diff(ends) > 0) | (np.diff(hot_ends) > 0)):
+        at, more = sent[ends[g] : ends[g + 1]], hot[hot_ends[g] : hot_ends[g + 1]]
+        yield (
+            int(g),
+            _five(low[at]),
+            named[line[at]].tobytes(),
+            sketch[line[at]].tobytes(),
+            _five(low[more]),
         )
 
 
-LINES = "row long, doc_id long, place int, line long, bands array<long>"
+def _bucket(group: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mixed((np.asarray(group).astype(np.uint64) << np.uint64(40)) | low).view(np.int64)
+
+
+def _bands(chars: int, groups: int):
+    """Map task: the bands of lines, each line where it comes first in the flush."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        seen: set[int] = set()
+        lines, hashes, flushes = [], [], 0
+
+        def batch():
+            nonlocal flushes
+            flushes += 1
+            rows = list(_packed(lines, hashes, chars, groups, -1 - (task << 24 | flushes)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                names=["deal", "hashes", "lines", "sketches", "often"],
+            )
+
+        for part in slices(batches):
+            for text in part["text"]:
+                for line in text.split("\n"):
+                    if len(line) < chars or line.isspace():
+                        continue
+                    h = line_hash(line)
+                    if h not in seen:
+                        seen.add(h)
+                        lines.append(line)
+                        hashes.append(h)
+            if len(lines) >= FLUSH:
+                yield batch()
+                lines, hashes = [], []
+                if len(seen) > 300_000:
+                    seen.clear()
+        if lines:
+            yield batch()
+
+    return run
+
+
+def _alike(sketches: np.ndarray) -> np.ndarray:
+    """Which of the lines of a bucket have another that their sketch doesn't tell apart."""
+    found = np.zeros(len(sketches), bool)
+    for start in range(0, len(sketches), 512):
+        apart = np.bitwise_count(sketches[start : start + 512, None] ^ sketches[None, :])
+        near = apart <= SKETCH_APART
+        found[start : start + 512] |= near.sum(1) > 1
+    return found
+
+
+def _meet(table):
+    """Group task: ``bucket, id`` of the lines that share a band of one hash range."""
+    import pyarrow as pa
+
+    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    if columns["deal"][0] < 0:
+        bucket = np.frombuffer(b"".join(columns["hashes"]), np.int64)
+        line = np.frombuffer(b"".join(columns["lines"]), np.int64)
+        return pa.table({"bucket": bucket, "id": line})
+    low = _from_five(b"".join(columns["hashes"]))
+    line = np.frombuffer(b"".join(columns["lines"]), np.int64)
+    sketch = np.frombuffer(b"".join(columns["sketches"]), np.uint64)
+    often = np.unique(_from_five(b"".join(columns["often"])))
+    order = np.lexsort((line, low))
+    low, line, sketch = low[order], line[order], sketch[order]
+    keep = np.ones(len(low), bool)
+    keep[1:] = (low[1:] != low[:-1]) | (line[1:] != line[:-1])
+    low, line, sketch = low[keep], line[keep], sketch[keep]
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(low)))
+    member = np.repeat(np.isin(low[first], often), size)
+    two = first[size == 2]
+    near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]) <= SKETCH_APART]
+    member[near] = member[near + 1] = True
+    for at, n in zip(first[size > 2], size[size > 2], strict=True):
+        if not member[at]:
+            member[at : at + n] = _alike(sketch[at : at + n])
+    bucket = _bucket(np.full(member.sum(), columns["deal"][0]), low[member])
+    return pa.table({"bucket": bucket, "id": line[member]})
 
 
 def _fetch(wanted: np.ndarray, chars: int):
@@ -172,31 +312,38 @@ def _fetch(wanted: np.ndarray, chars: int):
     return run
 
 
-def loaded(lines: list[str], chars: int = CHARS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Lines as the sets of their shingles' hashes, all of weight 1."""
+def loaded(lines: list[str], chars: int = CHARS) -> list[np.ndarray]:
+    """Lines as the sets of their shingles' hashes, ascending."""
     hashes, starts = shingles(lines, chars)
-    found = []
-    for a, b in zip(starts, [*starts[1:], len(hashes)], strict=True):
-        elements = np.unique(hashes[a:b])
-        found.append((elements, np.ones(len(elements))))
-    return found
+    return [np.unique(hashes[a:b]) for a, b in zip(starts, [*starts[1:], len(hashes)], strict=True)]
 
 
 def line_classes(
-    rows: DataFrame, distinct: DataFrame, similarity: float, chars: int = CHARS
+    rows: DataFrame, similarity: float = SIMILARITY, chars: int = CHARS
 ) -> DataFrame:
-    """``id, class`` for each line hash of ``distinct`` that is linked to another."""
-    members = distinct.select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
-    shared = (
-        members.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-        .where("low < high")
-    )
-    shared = stored(shared.select("bucket", "n"), "line-buckets")
-    met = join_counted(members, shared, "bucket", "n", members.count(), F.xxhash64("id"))
-    met = stored(met.where("n IS NOT NULL").select("bucket", "id"), "line-members")
-    texts = _texts(rows, met.select(F.col("id").alias("line")), chars)
-    return link(met, texts, partial(loaded, chars=chars), similarity)
+    """``id, class`` for each line hash of the texts of ``rows`` that is linked to another."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(partitions, 1 + size // (CHARS_A_BAND * RANGE_BANDS))
+    sent = rows.select("text").mapInArrow(_bands(chars, groups), PACKED)
+    met = sent.groupBy("deal").applyInArrow(_meet, "bucket long, id long")
+    members = stored(met, "line-members")
+    texts = _texts(rows, members.select(F.col("id").alias("line")), chars)
+    return link_buckets(members, texts, partial(loaded, chars=chars), similarity)
+
+
+def _word_and_bit(hashed: Column) -> tuple[Column, Column]:
+    """Where the bit of a hash lies in a map of ``WANTED_BITS`` bits of 64 each."""
+    bit = hashed.bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    return F.shiftright(bit, 6), bit.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bit_map(hashes: DataFrame, column: str) -> DataFrame:
+    """``word, mask`` of the bits of the hashes, at most 2^(``WANTED_BITS`` - 6) rows."""
+    word, bit = _word_and_bit(F.col(column))
+    bits = hashes.select(word.alias("word"), bit.alias("bit"))
+    return bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, chars: int) -> DataFrame:
@@ -206,11 +353,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, chars: int) -> DataFrame:
     may be wanted are moved.
     """
     lines = stored(wanted.distinct(), "line-wanted")
-    bit = F.col("line").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
-    bits = lines.select(F.shiftright(bit, 6).alias("word"), bit.alias("bit"))
-    mask = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
-    words = bits.groupBy("word").agg(F.bit_or(mask).alias("mask"))
-    table = words.toPandas()
+    table = _bit_map(lines, "line").toPandas()
     bits_set = np.zeros(1 << (WANTED_BITS - 6), np.uint64)
     bits_set[table["word"].to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
     found = rows.select("text").mapInArrow(_fetch(bits_set, chars), "line long, body string")
@@ -231,33 +374,32 @@ def deduplicated(
     with a Jaccard similarity of their shingles of ``chars`` characters of at
     least ``similarity``. The line of the smallest id, and in it the first, stays; the
     others go, with their line breaks. Blank lines stay and are not counted;
-    lines under ``chars`` characters are only compared as a whole. ``chars`` is
-    one of ``FITS``.
+    lines under ``chars`` characters are only compared as a whole.
 
     A null text stays null and has no lines; a null id counts as the smallest;
-    repeated rows share what happens to them. Other columns are kept as they
-    are, but for ``n_lines`` and ``n_kept``, which are replaced. An empty table
-    gives no rows.
+    ids may be of any type with an order. Repeated rows share what happens to them.
+    Other columns are kept as they are, whatever their names, but for ``n_lines``
+    and ``n_kept``, which are replaced. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    row = F.xxhash64(F.col(doc_id), F.col(text))
-    rows = docs.select(
-        row.alias("row"),
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    id_type = docs.schema[doc_id].dataType
+    # The given columns travel as one, so that no name can clash.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_given")).select(
+        "_given",
+        F.col("_given")[doc_id].alias("id"),
+        F.coalesce(F.col("_given")[text], F.lit("")).alias("text"),
+        F.xxhash64(F.col("_given")[doc_id], F.col("_given")[text]).alias("row"),
     )
-    lines = stored(rows.mapInArrow(partial(_cut, chars=chars), LINES), "lines")
-    here = F.struct("doc_id", "place", "row")
-    distinct = lines.groupBy("line").agg(
-        F.min(here).alias("first"),
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.size("bands") > 0, F.col("bands"))).alias("bands"),
-    )
-    distinct = stored(distinct, "line-distinct")
-    linked = line_classes(rows, distinct, similarity, chars)
-    firsts = distinct.drop("bands")
+    rows = whole.select("row", "id", "text")
+    fields = [("row", LongType()), ("id", id_type), ("place", IntegerType()), ("line", LongType())]
+    schema = StructType([StructField(name, kind) for name, kind in fields])
+    lines = stored(rows.mapInArrow(_cut([name for name, _ in fields]), schema), "lines")
+    here = F.struct("id", "place", "row")
+    distinct = lines.groupBy("line").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"))
+    linked = line_classes(rows, similarity, chars)
     firsts = stored(
-        firsts.join(linked.withColumnRenamed("id", "line"), "line", "left").where(
+        distinct.join(linked.withColumnRenamed("id", "line"), "line", "left").where(
             "n > 1 OR class IS NOT NULL"
         ),
         "line-firsts",
@@ -270,29 +412,42 @@ def deduplicated(
     )
     ruled = join_counted(named, kept, "class", "lines", total, F.xxhash64("line"))
     ruled = stored(ruled.select("line", "n", "keep"), "line-rules")
-    every = lines.select("row", "doc_id", "place", "line")
-    met = join_counted(every, ruled, "line", "n", total, F.xxhash64("row", "place"))
-    goes = F.col("keep").isNotNull() & (F.struct("doc_id", "place", "row") != F.col("keep"))
-    by_row = (
-        met.distinct()
-        .groupBy("row")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.collect_list(F.when(goes, F.col("place"))).alias("_gone"),
-        )
-        .withColumnRenamed("row", "_row")
+    met = join_counted(lines, ruled, "line", "n", total, F.xxhash64("row", "place"))
+    goes = F.col("keep").isNotNull() & (here != F.col("keep"))
+    gone = met.where(goes).groupBy("row", "id").agg(F.collect_set("place").alias("gone"))
+    gone = stored(gone, "line-gone")
+    word, bit = _word_and_bit(F.col("row"))
+    # Rows that lose no line stay where they are, but for those whose bit another has set.
+    mapped = whole.join(F.broadcast(_bit_map(gone, "row")), word == F.col("word"), "left")
+    may = F.coalesce(F.expr("shiftright(mask, cast(row & 63 AS int)) & 1") == 1, F.lit(False))
+    places = gone.select(F.col("row").alias("at"), F.col("id").alias("of"), "gone")
+    same = (F.col("row") == F.col("at")) & F.col("id").eqNullSafe(F.col("of"))
+    none = F.lit(None).cast("array<int>")
+    every = (
+        mapped.where(~may)
+        .select("_given", none.alias("gone"))
+        .unionAll(mapped.where(may).join(places, same, "left").select("_given", "gone"))
     )
-    rowed = docs.select(*columns).withColumn("_at", row)
-    joined = rowed.join(by_row, F.col("_at") == F.col("_row"), "left")
-    rest = F.when(F.size("_gone") > 0, _without(F.col(text), F.col("_gone"))).otherwise(F.col(text))
-    n_lines = F.coalesce("n_lines", F.lit(0))
-    return joined.select(
-        *(rest.alias(c) if c == text else F.col(c) for c in columns),
+    body = F.col("_given")[text]
+    rest = F.when(F.size("gone") > 0, _without(body, F.col("gone"))).otherwise(body)
+    n_lines = F.coalesce(_filled(body), F.lit(0)).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return every.select(
+        *((rest if c == text else F.col("_given")[c]).alias(c) for c in columns),
         n_lines.alias("n_lines"),
-        (n_lines - F.coalesce(F.size("_gone"), F.lit(0))).alias("n_kept"),
+        (n_lines - n_gone).alias("n_kept"),
     )
 
 
+#: A character that doesn't leave a line blank, as Python tells them.
+FILLED = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _filled(text: Column) -> Column:
+    """How many lines of a text aren't blank."""
+    return F.size(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(FILLED)))
+
+
 def _without(text: Column, places: Column) -> Column:
     """The text less the lines at those places."""
 

@@ -18,6 +18,12 @@ CHUNK = 512
 #: Columns of the comparison that are laid out at a time.
 COLUMNS = 2048
 
+#: Bytes of texts that a task compares together, about.
+GROUP_BYTES = 8 << 20
+
+#: Bits of the map that bounds what two sets share, and pairs that are bounded at a time.
+MAP_BITS, PAIRS = 1024, 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, root`` for every end of the edges ``a, b`` (long): equal roots where connected.
@@ -159,6 +165,142 @@ def _spanning(load: Callable[..., list[tuple]], payload: list[str], similarity:
     return run
 
 
+def link_buckets(
+    members: DataFrame, texts: DataFrame, load: Callable[..., list[np.ndarray]], similarity: float
+) -> DataFrame:
+    """``id, class`` for each id linked to another: the smallest id of its component.
+
+    ``members`` holds ``bucket, id`` (long), once each, and is read more than once;
+    ``texts`` has one row ``id, body``; ``load`` turns bodies into sets of ascending 64-bit
+    elements. All pairs that share a bucket are linked if their Jaccard similarity is
+    high enough, unless other links join them already.
+
+    Of buckets with the same members one is looked at. Members of several buckets go to a
+    task together with their texts; a bucket of more than ``CHUNK`` members
+    is spread over tasks by pairs of chunks. No pair is ever a row: a task gives back
+    links that span the components it has found.
+    """
+    spark = members.sparkSession
+    of = F.col("id")
+    named = members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64(of, F.lit(1))).alias("one"),
+        F.bit_xor(F.xxhash64(of, F.lit(2))).alias("two"),
+    )
+    kept = named.groupBy("n", "one", "two").agg(F.min("bucket").alias("bucket"))
+    kept = stored(kept.where("n > 1").select("bucket", "n"), "buckets")
+    total = members.count()
+    met = join_counted(members, kept, "bucket", "n", total, F.xxhash64("id"))
+    met = stored(met.where("n IS NOT NULL"), "bucket-members")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    mean = texts.agg(F.avg(F.octet_length("body"))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(partitions, 1 + int(met.count() * mean) // GROUP_BYTES)
+    alone = F.array(
+        F.struct(
+            F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("deal"),
+            F.lit(-1).alias("i"),
+            F.lit(-1).alias("j"),
+        )
+    )
+    several = F.transform(
+        F.sequence(F.lit(0), chunks - 1),
+        lambda k: F.struct(
+            F.col("bucket").alias("deal"), F.least(chunk, k).alias("i"), F.greatest(chunk, k).alias("j")
+        ),
+    )
+    seats = F.when(F.col("n") <= CHUNK, alone).otherwise(several)
+    seated = met.select("bucket", "id", F.explode(seats).alias("seat"))
+    dealt = seated.join(texts, "id").select("seat.deal", "seat.i", "seat.j", "bucket", "id", "body")
+    edges = dealt.groupBy("deal", "i", "j").applyInArrow(
+        _spanning_buckets(load, similarity), "a long, b long"
+    )
+    labels = components(stored(edges, "links"))
+    least = stored(
+        labels.groupBy("root").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")),
+        "classes",
+    )
+    linked = labels.count()
+    return join_counted(labels, least, "root", "n", linked, F.xxhash64("id")).select("id", "class")
+
+
+def _spanning_buckets(load: Callable[..., list[np.ndarray]], similarity: float):
+    """Task: the links that span the components of lines that share buckets."""
+
+    def run(table):
+        import pyarrow as pa
+
+        ids, first, place = np.unique(
+            table.column("id").to_numpy(), return_index=True, return_inverse=True
+        )
+        bodies = table.column("body").take(pa.array(first)).to_pylist()
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        ends = bucket_links(load(bodies), np.split(place[order], cuts), similarity)
+        return pa.table({"a": ids[[a for a, _ in ends]], "b": ids[[b for _, b in ends]]})
+
+    return run
+
+
+def bucket_links(
+    sets: list[np.ndarray], buckets: list[np.ndarray], similarity: float
+) -> list[tuple[int, int]]:
+    """Pairs of places that span the components of sets that share a bucket and are similar.
+
+    Of a pair, what a map of ``MAP_BITS`` bits shows bounds how much it can share; those
+    that may be similar, and aren't joined yet, are compared element by element.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    maps = np.zeros((n, MAP_BITS // 64), np.uint64)
+    for start in range(0, n, 2048):
+        part = sets[start : start + 2048]
+        marks = np.zeros((len(part), MAP_BITS), bool)
+        owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        marks[owner, np.concatenate(part) % np.uint64(MAP_BITS)] = True
+        maps[start : start + 2048] = np.packbits(marks, axis=1).view(np.uint64)
+    extra = sizes - np.bitwise_count(maps).sum(1)
+    up = list(range(n))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    found: list[tuple[int, int]] = []
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        need = (similarity - 1e-9) / (1 + similarity) * (sizes[a] + sizes[b])
+        able = np.minimum(sizes[a], sizes[b]) >= need
+        a, b, need = a[able], b[able], need[able]
+        most = np.bitwise_count(maps[a] & maps[b]).sum(1) + np.minimum(extra[a], extra[b])
+        able = most >= need
+        for x, y, least in zip(a[able].tolist(), b[able].tolist(), need[able], strict=True):
+            rx, ry = find(x), find(y)
+            if rx == ry:
+                continue
+            if len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= least:
+                up[max(rx, ry)] = min(rx, ry)
+                found.append((x, y))
+
+    left, right, waiting = [], [], 0
+    for members in buckets:
+        # A row of pairs at a time, so that large buckets need no more memory.
+        for k in range(len(members) - 1):
+            rest = members[k + 1 :]
+            left.append(np.full(len(rest), members[k]))
+            right.append(rest)
+            waiting += len(rest)
+            if waiting > PAIRS:
+                compare(np.concatenate(left), np.concatenate(right))
+                left, right, waiting = [], [], 0
+    if waiting:
+        compare(np.concatenate(left), np.concatenate(right))
+    return found
+
+
 def links(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> Iterator[tuple]:
     """Pairs of places that span the components of similar weighted sets.
 
