@@ -1,6 +1,9 @@
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from brute import deduplicated, near_classes
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from wrenlight.llm.queries import QUERIES
@@ -66,3 +69,64 @@ def test_registered():
     names = driver.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names)
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
+
+#: Names that stages use themselves.
+CLASHING = "given id of copies col kept _kept _id _source _copies _copy row gone key n class".split()
+
+
+def odd_documents(spark, rows):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kinds)
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit(7))
+    return docs
+
+
+ODD = [
+    (1, "a line of its own here\nshared line of words", "en", "web", 0),
+    (1, "a line of its own here\nshared line of words", "en", "web", 0),
+    (2, "shared line of words\nand one more line", "en", None, 0),
+    (None, "no id has this line\nshared line of words", "en", "web", 0),
+    (None, None, None, None, None),
+    (3, "", "en", "books", 0),
+    (4, None, "en", "web", None),
+    (5, "one two three four five six seven eight nine ten", "en", "web", 0),
+    (6, "one two three four five six seven eight nine ten", "en", "books", 0),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_clashing_names(spark, name, stage):
+    folder = "/root/testdata/sf0.001"
+    docs = odd_documents(spark, ODD)
+    found = stage(spark, docs, folder)
+    rows = found.collect()
+    if name == "bpe_encoding":
+        assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)
+        return
+    assert found.columns == docs.columns
+    assert all(r[c] == 7 for r in rows for c in CLASHING)
+    if name == "line_dedup":
+        texts = Counter((r["doc_id"], r["text"]) for r in rows)
+        assert texts == Counter(
+            [
+                (None, "no id has this line\nshared line of words"),
+                (None, None),
+                (1, "a line of its own here"),
+                (1, "a line of its own here"),
+                (2, "and one more line"),
+                (3, ""),
+                (4, None),
+                (5, "one two three four five six seven eight nine ten"),
+            ]
+        )
+    if name == "near_dedup":
+        assert Counter(r["doc_id"] for r in rows) == Counter({1: 2, 2: 1, None: 2, 3: 1, 4: 1, 5: 1})
+    if name == "source_mixing":
+        assert {r["doc_id"] for r in rows} <= {r[0] for r in ODD} and len(rows) >= 9
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables(spark, name, stage):
+    found = stage(spark, odd_documents(spark, ODD).limit(0), "/root/testdata/sf0.001")
+    assert found.count() == 0
