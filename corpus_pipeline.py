@@ -20,28 +20,45 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with one line kept of each class; those that keep none of theirs go."""
+    """The documents with one line kept of each class; those that keep none of theirs go.
+
+    Texts that are null or blank have no lines and stay.
+    """
     ship_package(spark)
     found = line_dedup.deduplicated(docs).where("n_lines = 0 OR n_kept > 0")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id."""
+    """One document of each class of near-duplicates, the one with the smallest id.
+
+    Rows without an id are classes of their own; repeated rows share an id, so all stay or go.
+    """
     ship_package(spark)
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"))
+    same = F.col("given.doc_id").eqNullSafe(F.col("id"))
+    return _given(docs).join(kept.distinct(), same, "left_semi").select("given.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes; a row for each copy."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    copies = mixed.groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source")
-    ).agg(F.max("copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    taken = docs.join(copies, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    """The documents that the mix takes; a row for each copy.
+
+    Rows of one id and source share their copies; a null id or source equals a null.
+    """
+    mixed = mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0")
+    copies = mixed.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(
+        F.max("copies").alias("copies")
+    )
+    same = F.col("given.doc_id").eqNullSafe(F.col("id")) & F.col("given.source").eqNullSafe(
+        F.col("of")
+    )
+    taken = _given(docs).join(copies, same)
+    return taken.select("given", F.explode(F.sequence(F.lit(1), "copies"))).select("given.*")
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    """All columns as one, so that no name can clash with those of a stage."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
