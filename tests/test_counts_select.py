@@ -1,5 +1,7 @@
+import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from wrenlight.functions import text as tx
@@ -72,15 +74,61 @@ def test_bigram_scores_against_brute_force(spark, folder):
     assert [(r["w1"], r["w2"]) for r in best] == [(a, b) for _, a, b in scored]
 
 
-def test_lookup_split_equals_broadcast(spark):
-    rows = spark.createDataFrame(
-        [(i, t) for i, t in enumerate("a a a a b b c d e f a b".split())], "id int, token string"
+LONG = "long" * 100
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_ways_are_equal(spark, how):
+    """One token is hot in the rows and rare in the table, one hot and long, one not there."""
+    tokens = ["hot"] * 3000 + [LONG] * 3000 + ["absent"] * 3000 + [None] * 20
+    tokens += [f"t{i % 700}" for i in range(2800)]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "id int, token string").repartition(3)
+    table = [("hot", 1), (LONG, 7)] + [(f"t{i}", 10_000) for i in range(0, 700, 2)]
+    table = stored(spark.createDataFrame(table, "token string, n long"), "lookup")
+    whole = lookup.lookup(rows, table, how=how).select("id", "token", "n")
+    cut = lookup.lookup(rows, table, max_rows=0, how=how).select("id", "token", "n")
+    found = Counter(map(tuple, cut.collect()))
+    assert found == Counter(map(tuple, whole.collect()))
+    assert sum(found.values()) == (7400 if how == "inner" else len(tokens))
+
+
+def test_hot_tokens_are_found_in_the_rows(spark):
+    tokens = ["the"] * 500 + [f"t{i}" for i in range(5000)] + [None] * 9
+    rows = spark.createDataFrame([(t,) for t in tokens], "token string").repartition(5)
+    assert [r[0] for r in lookup.hot_tokens(rows).collect()] == ["the"]
+    assert lookup.hot_tokens(rows.limit(0)).count() == 0
+
+
+def test_large_lookup_cuts_texts_once(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(50)], "id long, text string")
+    rows = docs.select("id", F.explode(tx.tokenize("text")).alias("token"))
+    table = stored(rows.groupBy("token").agg(F.count("*").alias("n")), "table")
+    plan = lookup.lookup(rows, table, max_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 2048])
+def test_highest_by_histogram(spark, monkeypatch, buckets):
+    monkeypatch.setattr(select, "SORTED_ROWS", 0)
+    monkeypatch.setattr(select, "BUCKETS", buckets)
+    draw = random.Random(buckets)
+    values = [draw.choice([0.0, 0.0, 1e-6, 2.5, draw.random(), 10 ** draw.randrange(12) / 7]) for _ in range(500)]
+    rows = [(f"w{i:03}", v) for i, v in enumerate(values)]
+    scores = spark.createDataFrame(rows, "token string, score double").repartition(4)
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for k in (1, 3, 40, 250, 499, 500, 900):
+        best = select.highest(scores, k, "score", ["token"]).collect()
+        assert sorted(map(tuple, best)) == sorted(ordered[:k])
+    assert select.highest(scores.limit(0), 5, "score", ["token"]).count() == 0
+
+
+def test_large_selection_has_no_single_task(spark):
+    scores = spark.range(5000).select(
+        F.col("id").cast("string").alias("token"), (F.col("id") % 900).cast("double").alias("score")
     )
-    table = stored(rows.groupBy("token").agg(F.count("*").alias("n")), "lookup")
-    whole = lookup.lookup(rows, table)
-    cut = lookup.lookup(rows, table, max_rows=2)
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
-    assert whole.count() == 12
+    best = select.best_words(scores, 2000)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan and best.count() == 2000
 
 
 def test_feature_union_and_stopwords(spark):

@@ -123,7 +123,7 @@ def test_selected_word_bayes_and_case(spark):
     rows = [(1, 4, "good Good"), (2, 0, "bad"), (3, 2, "plain"), (4, 9, "odd")]
     docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string")
     vocabulary = spark.createDataFrame([("good",), ("bad",)], "token string")
-    found = classify.best_word_features(docs, vocabulary, 2, "tweet_id").orderBy("tweet_id")
+    found = classify.best_word_features(docs, vocabulary, "tweet_id").orderBy("tweet_id")
     assert [tuple(r) for r in found.collect()] == [
         (1, "pos", ["good"]), (2, "neg", ["bad"]), (3, "neutral", []),
     ]

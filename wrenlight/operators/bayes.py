@@ -17,21 +17,25 @@ from wrenlight.sources.scratch import BROADCAST_ROWS, stored
 # Additive smoothing of the two estimators.
 EXPECTED_LIKELIHOOD = 0.5
 ADD_ONE = 1.0
-# Distinct labels a model may have; more is taken for a mistake in the label column.
+# Distinct labels a model may have, unless told otherwise; more is taken for a mistake
+# in the label column.
 MAX_CLASSES = 500
 
 
 def class_sizes(
-    docs: DataFrame, label: Column, classes: Sequence[str] | None = None
+    docs: DataFrame,
+    label: Column,
+    classes: Sequence[str] | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> dict[str, int]:
     """Rows per label, for the labels that occur; one small row per class is collected."""
     rows = docs.select(label.alias("label")).where(F.col("label").isNotNull())
     if classes is not None:
         rows = rows.where(F.col("label").isin(list(classes)))
-    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1)
+    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1)
     sizes = {row["label"]: row["n"] for row in counted.collect()}
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} labels")
+    if len(sizes) > max_classes:
+        raise ValueError(f"more than {max_classes} labels")
     return dict(sorted(sizes.items()))
 
 
@@ -57,10 +61,11 @@ class TokenBayes:
 
         The sums are combined per document inside the scan task when the model
         is broadcast. A document without known tokens gets the prior's label.
+        ``key`` should be unique: rows of one key, null included, are one document.
         """
         weights = {name: f"w_{i}" for i, name in enumerate(self.classes)}
         table = self.counts.select(
-            "token", "n", *[self.log_likelihood[c].alias(w) for c, w in weights.items()]
+            "token", *[self.log_likelihood[c].alias(w) for c, w in weights.items()]
         )
         rows = docs.select(key, F.explode(tokens).alias("token"))
         hits = lookup(rows, table, max_rows=max_rows).select(key, *weights.values())
@@ -128,22 +133,19 @@ def fit_presence(
     tokens: Column,
     classes: Sequence[str] | None = None,
     vocabulary: DataFrame | None = None,
-    vocabulary_size: int | None = None,
 ) -> TokenBayes:
     """Presence-only naive Bayes with expected-likelihood estimates.
 
     Absent tokens do not score, unlike in a Bernoulli model. With a
-    ``vocabulary`` (column ``token``, cut to ``vocabulary_size``) only its
-    tokens are features.
+    ``vocabulary`` (a stored table with distinct ``token``) only its tokens are
+    features.
     """
     sizes = class_sizes(docs, label, classes)
     names, total = list(sizes), sum(sizes.values())
     rows = docs.select(label.alias("label"), F.explode(F.array_distinct(tokens)).alias("token"))
     rows = rows.where(F.col("label").isin(names))
     if vocabulary is not None:
-        if vocabulary_size is None:
-            raise ValueError("give the size the vocabulary was cut to")
-        rows = in_vocabulary(rows, vocabulary, vocabulary_size)
+        rows = in_vocabulary(rows, vocabulary)
     counts = stored(_counts(rows, names), "presence")
 
     bins = F.when(F.col("n") == F.lit(total), F.lit(1.0)).otherwise(F.lit(2.0))

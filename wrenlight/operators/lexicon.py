@@ -31,16 +31,15 @@ def lexicon_scores(
 ) -> DataFrame:
     """``(key, score)`` for every row; a text without lexicon tokens scores 0.
 
-    ``lexicon`` is a stored table ``(token, weight)``, with a frequency ``n``
-    when it has too many rows to broadcast. ``how`` is the ``mean`` weight, or
-    the ``compound`` of the summed weights.
+    ``lexicon`` is a stored table ``(token, weight)`` with distinct tokens. ``how`` is the
+    ``mean`` weight, or the ``compound`` of the summed weights. ``key`` should be
+    unique: rows of one key, null included, are one text.
     """
     if how not in ("mean", "compound"):
         raise ValueError(f"unknown score: {how}")
-    if "n" not in lexicon.columns:
-        lexicon = lexicon.withColumn("n", F.lit(1))
     rows = docs.select(key, F.explode(tokens).alias("token"))
-    hits = lookup(rows, lexicon, max_rows=max_rows).select(key, "weight")
+    weights = lexicon.select("token", "weight")
+    hits = lookup(rows, weights, max_rows=max_rows).select(key, "weight")
     every = docs.select(key, F.lit(None).cast("double").alias("weight"))
     sums = hits.unionByName(every).groupBy(key).agg(
         F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total"), F.count("weight").alias("found")

@@ -5,48 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenlight.sources.scratch import BROADCAST_ROWS, fits_broadcast
+from wrenlight.sources.scratch import BROADCAST_ROWS, fits_broadcast, stored
 
-# Longer tokens are never part of the broadcast table of frequent tokens.
-FREQUENT_TOKEN_BYTES = 256
+#: A token is hot when it is in more than one of so many rows; fewer than this many can be.
+HOT_SHARE = 1000
+#: Tokens that the count of frequent ones tracks; what it misses is in fewer rows than a hot one.
+TRACKED = 16 * 1024
+#: A longer hot token is not broadcast but dealt to this many salts.
+HOT_TOKEN_BYTES = 256
+SALTS = 64
+
+
+def hot_tokens(rows: DataFrame, key: str = "token") -> DataFrame:
+    """The tokens in more than a thousandth of ``rows``, and perhaps a few that aren't.
+
+    Frequent items are counted in the map tasks, each in bounded memory, and the
+    tasks' counts are merged, so no token is shuffled.
+    """
+    some = rows.where(F.col(key).isNotNull())
+    merged = some.agg(
+        F.expr(f"approx_top_k(`{key}`, {HOT_SHARE}, {TRACKED})").alias("top"),
+        F.count(F.lit(1)).alias("all"),
+    )
+    listed = merged.select("all", F.inline("top"))
+    return listed.where(F.col("count") > F.col("all") / HOT_SHARE).select(
+        F.col("item").alias(key)
+    )
 
 
 def lookup(
     rows: DataFrame,
     table: DataFrame,
     key: str = "token",
-    hits: str = "n",
     max_rows: int = BROADCAST_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of ``rows`` with ``table`` (unique ``key``, frequency ``hits``).
+    """Join of ``rows`` with ``table`` (unique ``key``), ``inner`` or ``left``.
 
-    A table within the size check is broadcast. A larger one is cut in two:
-    its most frequent tokens, bounded in number and length, are broadcast, so
-    the tokens that carry most rows are never shuffled; the others are joined
-    by a shuffle, and none of them can be hot. ``table`` must be stored.
+    A table within the size check is broadcast. Else the rows are stored, so that
+    what makes them runs once, and the hot tokens are found in them: their part of the table,
+    under ``HOT_SHARE`` rows, is broadcast, whether or not they are frequent in
+    the table, and the other tokens are joined by a shuffle. Hot tokens too long to
+    broadcast are spread there over ``SALTS``. ``table`` must be stored. A null
+    token has no match.
     """
     if fits_broadcast(table, max_rows):
-        return rows.join(F.broadcast(table), key)
-    frequent = F.broadcast(
-        table.where(F.octet_length(key) <= FREQUENT_TOKEN_BYTES)
-        .orderBy(F.desc(hits), F.asc(key))
-        .limit(max_rows)
+        return rows.join(F.broadcast(table), key, how)
+    rows = stored(rows, "lookup-rows")
+    hot = stored(hot_tokens(rows, key), "hot-tokens")
+    short = F.broadcast(hot.where(F.octet_length(key) <= HOT_TOKEN_BYTES))
+    often = rows.join(short, key, "left_semi").join(
+        F.broadcast(table.join(short, key, "left_semi")), key, how
+    )
+    seldom, others = (side.join(short, key, "left_anti") for side in (rows, table))
+    long = hot.where(F.octet_length(key) > HOT_TOKEN_BYTES)
+    if long.isEmpty():
+        return often.unionByName(seldom.join(others, key, how))
+    # Hashes of the long tokens are few and short; another token with the same hash is
+    # only spread without need.
+    hashes = F.broadcast(long.select(F.xxhash64(key).alias("_hash")))
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    spread = seldom.join(hashes, F.xxhash64(key) == F.col("_hash"), "left").withColumn(
+        "_salt", F.when(F.col("_hash").isNull(), 0).otherwise(place)
     )
-    frequent_keys = F.broadcast(frequent.select(key))
-    rare = table.join(frequent_keys, key, "left_anti")
-    return rows.join(frequent, key).unionByName(
-        rows.join(frequent_keys, key, "left_anti").join(rare, key)
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    repeated = others.join(hashes, F.xxhash64(key) == F.col("_hash"), "left").withColumn(
+        "_salt",
+        F.explode(F.when(F.col("_hash").isNull(), F.array(F.lit(0).cast("long"))).otherwise(salts)),
     )
+    met = spread.drop("_hash").join(repeated.drop("_hash"), [key, "_salt"], how).drop("_salt")
+    return often.unionByName(met)
 
 
-def in_vocabulary(
-    rows: DataFrame, vocabulary: DataFrame, size: int, key: str = "token"
-) -> DataFrame:
-    """Rows whose token is one of the ``size`` selected ones.
-
-    ``size`` is the limit the vocabulary was cut to, so it bounds the broadcast.
-    """
-    vocabulary = vocabulary.select(key)
-    if size <= BROADCAST_ROWS:
-        vocabulary = F.broadcast(vocabulary)
-    return rows.join(vocabulary, key, "left_semi")
+def in_vocabulary(rows: DataFrame, vocabulary: DataFrame, key: str = "token") -> DataFrame:
+    """Rows whose token is in ``vocabulary``, a stored table with distinct tokens."""
+    return lookup(rows, vocabulary.select(key), key)

@@ -46,9 +46,9 @@ def bigram_scores(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def best_word_features(
-    labelled: DataFrame, vocabulary: DataFrame, k: int, key: str, text: str = "text"
+    labelled: DataFrame, vocabulary: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
-    """``(key, label, features)``: distinct tokens in the vocabulary, sorted.
+    """``(key, label, features)``: distinct tokens in the stored vocabulary, sorted.
 
     Tokens keep their case, as the vocabulary's are lower-cased a capitalised
     token is no feature. Texts of other codes are dropped.
@@ -56,7 +56,7 @@ def best_word_features(
     named = labelled.withColumn("label", lb.map_label("polarity")).where("label IS NOT NULL")
     tokens = tx.presence(tx.tokenize(text, strip_handles=True))
     rows = named.select(key, F.explode(tokens).alias("token"))
-    kept = bayes.in_vocabulary(rows, vocabulary, k).groupBy(key).agg(
+    kept = bayes.in_vocabulary(rows, vocabulary).groupBy(key).agg(
         F.sort_array(F.collect_list("token")).alias("features")
     )
     empty = F.array().cast("array<string>")
@@ -76,7 +76,6 @@ def selected_word_bayes(
         tx.tokenize(text, strip_handles=True),
         THREE,
         vocabulary,
-        k,
     )
 
 

@@ -26,7 +26,7 @@ from wrenlight.plans import classify, collect
 from wrenlight.schemas import RAW_TWEET, SENTIMENTS, TWEET, TWEETS, USERS
 from wrenlight.sources import files
 from wrenlight.sources.keyed_table import KeyedTable
-from wrenlight.sources.scratch import scratch_path, spread, stored
+from wrenlight.sources.scratch import scratch_path, stored
 from wrenlight.streaming import intake
 
 TOPIC = r"([Oo]f\s+[Tt]he)|([Dd]e\s+[Ll]a)|(#[A-Za-z]+)"
@@ -36,13 +36,8 @@ WEIGHT_DIGITS = 6
 CHANGE_ORDER = ["l_linenumber", "l_partkey", "o_totalprice", "o_orderdate"]
 
 
-# Tables of texts and their keys.
-TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows, *TEXT_KEYS[name]) if name in TEXT_KEYS else rows
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,10 +121,8 @@ def token_presence(spark, folder):
 
 
 def vocab_presence(spark, folder):
-    vocabulary = chi2_words_3class(spark, folder)
-    rows = classify.best_word_features(
-        labelled(spark, folder), vocabulary, select.BEST_WORDS_THREE, "doc_id"
-    )
+    vocabulary = stored(chi2_words_3class(spark, folder), "vocabulary")
+    rows = classify.best_word_features(labelled(spark, folder), vocabulary, "doc_id")
     return rows.withColumn("features", F.array_join("features", " "))
 
 

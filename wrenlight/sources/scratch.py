@@ -40,18 +40,6 @@ def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> Dat
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that is one split, such as a single row group.
-
-    Whatever has more splits is left as it is, so what is moved is bounded by
-    the size of a split. With ``keys``, later grouping by them needs no shuffle.
-    Call it on a scan: counting the splits plans ``df`` but runs nothing.
-    """
-    if df.rdd.getNumPartitions() > 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` is small enough to broadcast, by its rows and the bytes of all columns.
 
