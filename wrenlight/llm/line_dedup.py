@@ -36,7 +36,7 @@ ROWS, BANDS = 5, 13
 SKETCH, SKETCH_APART = 64, 18
 
 #: Characters whose signatures are worked out at a time.
-BLOCK_CHARS = 60_000
+BLOCK_CHARS = 250_000
 
 #: A task sends its bands after so many lines.
 FLUSH = 100_000
@@ -94,7 +94,7 @@ def signatures(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.nda
     start = size = 0
     for end, line in enumerate(lines, 1):
         size += len(line)
-        # Short enough for the processor's cache.
+        # Short enough for the processor's cache, long enough for numpy.
         if size >= BLOCK_CHARS or end == len(lines):
             _signatures(lines[start:end], found[start:end], sketch[start:end], chars)
             start, size = end, 0
@@ -166,12 +166,13 @@ def _packed(lines: list[str], hashes: list[int], chars: int, groups: int, own: i
     found, sketch = signatures(lines, chars)
     named = np.array(hashes, np.int64)
     hashed, line = found.ravel(), np.repeat(np.arange(len(lines)), BANDS)
-    # The range is the hash's top, what is sent lies below.
-    group = (hashed >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)
-    order = np.lexsort((hashed & _ALL, group))
-    group, low, line = group[order].astype(np.int64), (hashed & _ALL)[order], line[order]
+    order = np.argsort(hashed)
+    hashed, line = hashed[order], line[order]
+    # The range is the hash's top, so it ascends too; what is sent lies below.
+    group = ((hashed >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)).astype(np.int64)
+    low = hashed & _ALL
     new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (group[1:] != group[:-1])
+    new[1:] = hashed[1:] != hashed[:-1]
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(low))) > OFTEN
     often = np.repeat(many, np.diff(np.append(first, len(low))))
@@ -314,8 +315,16 @@ def _fetch(wanted: np.ndarray, chars: int):
 
 def loaded(lines: list[str], chars: int = CHARS) -> list[np.ndarray]:
     """Lines as the sets of their shingles' hashes, ascending."""
-    hashes, starts = shingles(lines, chars)
-    return [np.unique(hashes[a:b]) for a, b in zip(starts, [*starts[1:], len(hashes)], strict=True)]
+    found = []
+    for start in range(0, len(lines), 1024):
+        hashes, starts = shingles(lines[start : start + 1024], chars)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(hashes)], strict=True):
+            part = np.sort(hashes[a:b])
+            new = np.empty(len(part), bool)
+            new[0] = True
+            np.not_equal(part[1:], part[:-1], out=new[1:])
+            found.append(part[new])
+    return found
 
 
 def line_classes(
