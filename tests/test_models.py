@@ -1,3 +1,5 @@
+import random
+import re
 from collections import Counter, defaultdict
 from math import log, sqrt
 
@@ -204,24 +206,96 @@ def test_logistic_job(texts):
     assert [r["low_term"] for r in rows] == [r["low_term"] for r in again]
 
 
-def test_logistic_objective_gradient(texts):
-    """At the solution the gradient of the summed loss plus half the squared norm is 0."""
+def plain_features(rows, weighted):
+    """A column for every term: the values of each row, worked out one by one."""
     import numpy as np
 
-    model = linear.fit_tfidf_logistic(texts, map_label("polarity"))
-    scored = model.pipeline.transform(texts).select("features", "polarity").collect()
-    x = np.array([r["features"].toArray() for r in scored])
-    y = np.array([1.0 if r["polarity"] == 4 else 0.0 for r in scored])
-    fitted = model.pipeline.stages[-1]
-    weights = fitted.coefficients.toArray()
-    chance = 1 / (1 + np.exp(-(x @ weights + fitted.intercept)))
-    assert np.abs(x.T @ (chance - y) + weights).max() < 1e-2
-    assert np.allclose(np.linalg.norm(x, axis=1), 1.0)
+    cut = []
+    for text in rows:
+        words = re.findall(r"\w{2,}", text.lower())
+        cut.append(Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+    names = sorted(set().union(*cut))
+    df = Counter(t for c in cut for t in c)
+    x = np.array([[float(c[t]) for t in names] for c in cut])
+    if weighted:
+        x *= [log((1 + len(cut)) / (1 + df[t])) + 1 for t in names]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return names, x
+
+
+def own_words(n=40):
+    """Texts with shared words, words of their own, and one without any words."""
+    draw = random.Random(3)
+    kinds = {4: "nice great fun lovely day".split(), 0: "awful sad bad rain day".split()}
+    rows = [(i, 4 if i % 2 else 0) for i in range(n)]
+    return [
+        (i, p, " ".join([*draw.choices(kinds[p] + kinds[4], k=5), *([f"own{i}", f"mine{i}"] * (i % 3))]))
+        for i, p in rows
+    ]
+
+
+def test_logistic_is_the_optimum_over_all_terms(spark):
+    """Coefficients as by Newton's method with a column for every term."""
+    import numpy as np
+
+    rows = own_words()
+    docs = stored(spark.createDataFrame(rows, "tweet_id long, polarity int, text string"), "own")
+    label = map_label("polarity")
+    model = linear.fit_tfidf_logistic(docs, "tweet_id", label, iterations=500, tolerance=1e-13)
+    names, x = plain_features([r[2] for r in rows], True)
+    assert sum((x > 0).sum(0) == 1) > 20
+    y = np.array([1.0 if r[1] == 4 else 0.0 for r in rows])
+    wide = np.hstack([x, np.ones((len(rows), 1))])
+    penalty = np.diag([1.0] * len(names) + [0.0])
+    w = np.zeros(wide.shape[1])
+    for _ in range(50):
+        chance = 1 / (1 + np.exp(-wide @ w))
+        slope = wide.T @ (chance - y) + penalty @ w
+        w -= np.linalg.solve(wide.T @ (wide * (chance * (1 - chance))[:, None]) + penalty, slope)
+    found = {r["term"]: r["coef"] for r in model.coefficients().collect()}
+    assert found == pytest.approx(dict(zip(names, w)), abs=1e-6)
+    assert model.intercept == pytest.approx(w[-1], abs=1e-6)
+    margins = {r["tweet_id"]: r["margin"] for r in model.margins(docs, "tweet_id").collect()}
+    assert margins == pytest.approx(dict(enumerate(wide @ w)), abs=1e-5)
+    proof = linear.largest_gradient(model, docs, "tweet_id", label).first()
+    assert (proof["rows"], proof["terms"]) == (len(rows), len(names))
+    assert proof["gradient"] < 1e-5
+    worse = linear.LinearTextModel(model.terms, model.intercept + 0.5, model.labels, (1, 2))
+    assert linear.largest_gradient(worse, docs, "tweet_id", label).first()["gradient"] > 0.1
+
+
+def test_hinge_features_have_equal_products(spark):
+    """Scalar products, all that the penalized models depend on, are those over all terms."""
+    import numpy as np
+
+    rows = own_words(15) + [(15, 4, "")]
+    docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string")
+    train = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO)
+    for weighted in (False, True):
+        features = linear.term_features(train, (1, 2), weighted, F.col("row").cast("double"))
+        got = features.read().orderBy("label").collect()
+        x = np.array([r["features"].toArray() for r in got])
+        with np.errstate(invalid="ignore"):
+            _, wanted = plain_features([r[2] for r in rows], weighted)
+        assert np.allclose(x @ x.T, np.nan_to_num(wanted @ np.nan_to_num(wanted).T))
+        assert x.shape[1] < wanted.shape[1]
 
 
 def test_linear_svc(texts):
     labels = map_label("polarity")
-    model = linear.fit_linear_svc(texts, labels)
+    model = linear.fit_linear_svc(texts, "tweet_id", labels)
+    wrong = classify.evaluated(model.predict(texts, "tweet_id"), texts, "tweet_id").where(
+        "label <> prediction"
+    )
+    assert wrong.count() == 0
+
+
+def test_grid_search_shares_features(texts):
+    labels = map_label("polarity")
+    model, settings = linear.grid_search(texts, "tweet_id", labels)
+    rows = {(r["ngram_high"], r["alpha"]): r["accuracy"] for r in settings.collect()}
+    assert set(rows) == {(n, a) for n in (1, 2) for a in linear.GRID_ALPHA}
+    assert max(rows.values()) == 1.0
     wrong = classify.evaluated(model.predict(texts, "tweet_id"), texts, "tweet_id").where(
         "label <> prediction"
     )
@@ -230,8 +304,22 @@ def test_linear_svc(texts):
 
 def test_linear_models_have_every_term(texts):
     labels = map_label("polarity")
-    model = linear.fit_tfidf_logistic(texts, labels)
+    model = linear.fit_tfidf_logistic(texts, "tweet_id", labels)
     words = texts.where(labels.isNotNull() & (labels != "neutral"))
     wanted = words.select(F.explode(tx.terms("text", (1, 2))).alias("term")).distinct().count()
     assert model.coefficients().count() == wanted
-    assert linear.fit_tfidf_logistic(texts, labels, fit_rows=10**6).coefficients().count() == wanted
+
+
+def test_fit_rows_thin_by_key(spark):
+    rows = [(i, 4 if i % 2 else 0, "the same text") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string")
+    train = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO, fit_rows=1000)
+    assert 900 < train.count() < 1100
+    assert train.select("row").distinct().count() == train.count()
+
+
+def test_logistic_evaluation_rows(texts):
+    found = classify.logistic_evaluation(texts, texts, "tweet_id").collect()
+    rows = {(r["measure"], r["row"]): r["value"] for r in found}
+    assert rows["accuracy", "all"] == 1.0 and rows["n", "train"] == 40
+    assert rows["support", "pos"] == 20 and rows["f1", "macro avg"] == 1.0

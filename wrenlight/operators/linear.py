@@ -1,30 +1,33 @@
-"""Linear text classifiers on MLlib: counts or TF-IDF of word n-grams."""
+"""Linear text classifiers: counts or TF-IDF of word n-grams, fitted by MLlib.
+
+Most terms occur in one text alone. Under a squared penalty their coefficients are
+in proportion to their values in that text, so together they act as one column, whose value
+is the root of the sum of their squares. Features have a column for each shared
+term and one for each text; after the fit the text's coefficient is dealt to its own terms.
+The model is the same as with a column for every term, the solver's vectors
+are several times shorter.
+
+A fitted model is a table of terms; scoring is a join. Only the solver's vectors are on the driver.
+"""
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    CountVectorizerModel,
-    ElementwiseProduct,
-    Normalizer,
-    SQLTransformer,
-)
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import Vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenlight.functions.text import TERM
-from wrenlight.sources.scratch import stored
+from wrenlight.functions.text import term_counts, terms
+from wrenlight.operators.lookup import lookup
+from wrenlight.operators.ranking import with_rank
+from wrenlight.operators.tfidf import inverse_frequency
+from wrenlight.sources.scratch import scratch_path, stored
 
 # Solver settings of the three models and the parameter grid.
 LOGISTIC_ITERATIONS = 100
@@ -37,129 +40,249 @@ FOLDS = 3
 SEED = 42
 EXTREMES = 20
 
-# The driver holds one coefficient per term, so a model is fitted on about so many
-# labelled rows at most; a larger table is thinned by a hash of its texts.
+# The driver holds one coefficient per shared term and text, so a model is fitted on about so
+# many labelled rows; a larger table is thinned by a hash of its keys.
 FIT_ROWS = 200_000
-# More terms than any such table has.
-ALL_TERMS = (1 << 31) - 1
-
-
-def term_statement(ngram_range: tuple[int, int], text: str = "text") -> str:
-    """The SQL that adds the ``terms`` column; it can vary in a parameter grid."""
-    words = f"regexp_extract_all(lower({text}), r'{TERM}', 0)"
-    pairs = (
-        "zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)),"
-        " slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> concat_ws(' ', a, b))"
-    )
-    low, high = ngram_range
-    chosen = ", ".join({1: "_words", 2: pairs}[n] for n in range(low, high + 1))
-    return (
-        f"SELECT * EXCEPT (_words), concat({chosen}) AS terms"
-        f" FROM (SELECT *, {words} AS _words FROM __THIS__)"
-    )
-
-
-def vectorizer() -> CountVectorizer:
-    """A term counter with a slot for every term."""
-    return CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0)
 
 
 @dataclass
 class LinearTextModel:
-    """A fitted pipeline with its two labels, ``labels[1]`` being class 1."""
+    """A fitted model with its two labels, ``labels[1]`` being class 1.
+
+    ``terms`` is a stored table ``term, idf, coef``; ``idf`` is null for a model of
+    plain counts, and the values of one with idf are scaled to length 1.
+    """
 
-    pipeline: PipelineModel
+    terms: DataFrame
+    intercept: float
     labels: tuple[str, str]
+    ngram_range: tuple[int, int]
 
-    def predict(self, docs: DataFrame, key: str) -> DataFrame:
-        scored = self.pipeline.transform(docs)
-        chosen = F.when(F.col("prediction") == 1.0, self.labels[1]).otherwise(self.labels[0])
-        return scored.select(key, chosen.alias("prediction"))
+    def margins(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """``(key, margin)`` for every row; unknown terms count for nothing.
 
-    def _named(self) -> tuple[list[str], np.ndarray]:
-        """The terms and their coefficients; both are already on the driver."""
-        counter = next(s for s in self.pipeline.stages if isinstance(s, CountVectorizerModel))
-        return counter.vocabulary, self.pipeline.stages[-1].coefficients.toArray()
+        ``key`` should be unique: rows of one key are one text.
+        """
+        counted = docs.select(key, F.inline(term_counts(terms(text, self.ngram_range))))
+        met = lookup(counted, self.terms, "term")
+        value = F.col("tf") * F.coalesce("idf", F.lit(1.0))
+        length = F.when(F.col("idf").isNotNull(), value * value)
+        hits = met.select(key, (value * F.col("coef")).alias("sum"), length.alias("square"))
+        none = F.lit(0.0)
+        every = docs.select(key, none.alias("sum"), F.lit(None).cast("double").alias("square"))
+        summed = hits.unionByName(every).groupBy(key).agg(
+            F.sum("sum").alias("sum"), F.sqrt(F.sum("square")).alias("length")
+        )
+        margin = F.col("sum") / F.coalesce("length", F.lit(1.0)) + F.lit(self.intercept)
+        return summed.select(key, margin.alias("margin"))
+
+    def predict(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+        chosen = F.when(F.col("margin") > 0, self.labels[1]).otherwise(self.labels[0])
+        return self.margins(docs, key, text).select(key, chosen.alias("prediction"))
 
     def coefficients(self) -> DataFrame:
         """``(term, coef)``."""
-        names, values = self._named()
-        return SparkSession.getActiveSession().createDataFrame(
-            pd.DataFrame({"term": names, "coef": values}), "term string, coef double"
-        )
+        return self.terms.select("term", "coef")
 
     def extremes(self, n: int = EXTREMES) -> DataFrame:
         """The ``n`` lowest and ``n`` highest coefficients, paired by place."""
-        names, values = self._named()
-        pairs = list(zip(values.tolist(), names, strict=True))
-        low, high = heapq.nsmallest(n, pairs), heapq.nlargest(n, pairs)
-        rows = [(i, b, a, d, c) for i, ((a, b), (c, d)) in enumerate(zip(low, high), 1)]
-        return SparkSession.getActiveSession().createDataFrame(
+        found = []
+        for order in (F.asc, F.desc):
+            # Few rows: each task keeps its own n.
+            rows = self.coefficients().orderBy(order("coef"), order("term")).limit(n).collect()
+            found.append([(r["term"], r["coef"]) for r in rows])
+        rows = [(i, *low, *high) for i, (low, high) in enumerate(zip(*found, strict=True), 1)]
+        return self.terms.sparkSession.createDataFrame(
             rows, "place int, low_term string, low_coef double, high_term string, high_coef double"
         )
 
 
-def _training_rows(
-    docs: DataFrame, label: Column, labels: tuple[str, str], text: str, fit_rows: int
+def training_rows(
+    docs: DataFrame,
+    key: str,
+    label: Column,
+    labels: tuple[str, str],
+    text: str = "text",
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
+    """Stored ``row, key, label, text`` of the rows with one of the labels, numbered from 0.
+
+    More than ``fit_rows`` are thinned by a hash of the key to about so many.
+    """
     rows = docs.where(label.isin(list(labels)))
     share = fit_rows / max(1, rows.count())
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return rows.select(
-        F.col(text).alias("text"), (label == labels[1]).cast("double").alias("label")
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = rows.select(
+        F.col(key).alias("key"),
+        F.col(text).alias("text"),
+        (label == labels[1]).cast("double").alias("label"),
     )
+    return stored(with_rank(chosen, [], ["key"], "row"), "linear-rows")
+
+
+@dataclass
+class Features:
+    """The features of training rows and the way back from columns to terms."""
+
+    path: str  # the rows in LIBSVM form
+    columns: int
+    rows: int
+    shared: DataFrame  # term, slot, idf
+    alone: DataFrame  # row, term, value, whole: a text's own terms and their root of squares
+    single_idf: float | None
+
+    def read(self) -> DataFrame:
+        """``label, features``, the label as it was given."""
+        reader = self.shared.sparkSession.read.format("libsvm")
+        return reader.option("numFeatures", str(self.columns)).load(self.path)
+
+    def by_term(self, coefficients: Vector) -> DataFrame:
+        """Stored ``term, idf, coef`` of all terms."""
+        values = pd.DataFrame({"coef": coefficients.toArray()}).rename_axis("slot").reset_index()
+        spark = self.shared.sparkSession
+        table = stored(spark.createDataFrame(values, "slot long, coef double"), "coefficients")
+        own = self.alone.withColumn("slot", F.col("row") + F.lit(self.columns - self.rows))
+        single = own.join(table, "slot").select(
+            "term",
+            F.lit(self.single_idf).cast("double").alias("idf"),
+            (F.col("coef") * F.col("value") / F.col("whole")).alias("coef"),
+        )
+        return stored(
+            self.shared.join(table, "slot").select("term", "idf", "coef").unionByName(single),
+            "linear-model",
+        )
+
+
+def term_features(
+    rows: DataFrame, ngram_range: tuple[int, int], weighted: bool, label: Column | str = "label"
+) -> Features:
+    """Counts of n-grams of ``row, text``, or their TF-IDF scaled to length 1, by columns.
+
+    Columns are the terms of several rows, in order, then one for each row.
+    """
+    kept = rows.select("row", (F.col(label) if isinstance(label, str) else label).alias("label"))
+    counted = stored(
+        rows.select("row", F.inline(term_counts(terms("text", ngram_range)))), "linear-terms"
+    )
+    total = rows.count()
+    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    none = F.lit(None).cast("double")
+    idf = inverse_frequency(F.lit(total), F.col("df")) if weighted else none
+    shared = stored(
+        with_rank(df, [], ["term"], "slot").select("term", "slot", idf.alias("idf")), "linear-shared"
+    )
+    size = shared.count()
+    single = rows.sparkSession.range(1).select(
+        inverse_frequency(F.lit(total), F.lit(1)).alias("idf")
+    ).first()["idf"] if weighted else None
+    value = F.col("tf") * F.coalesce("idf", F.lit(single if weighted else 1.0))
+    met = stored(
+        lookup(counted, shared, "term", how="left").select(
+            "row", "slot", F.when(F.col("slot").isNull(), F.col("term")).alias("term"), value.alias("value")
+        ),
+        "linear-values",
+    )
+    square = F.col("value") * F.col("value")
+    inside = F.struct("slot", "value")
+    by_row = met.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), inside))).alias("entries"),
+        F.sqrt(F.sum(F.when(F.col("slot").isNull(), square))).alias("whole"),
+        F.sqrt(F.sum(square)).alias("length"),
+    )
+    by_row = stored(by_row, "linear-by-row")
+    scale = F.col("length") if weighted else F.lit(1.0)
+
+    def entry(slot: Column, amount: Column) -> Column:
+        return F.concat_ws(":", (slot + 1).cast("string"), (amount / scale).cast("string"))
+
+    own = F.when(F.col("whole").isNotNull(), entry(F.col("row") + size, F.col("whole")))
+    line = F.concat_ws(
+        " ",
+        F.col("label").cast("string"),
+        F.transform("entries", lambda e: entry(e["slot"], e["value"])),
+        own,
+    )
+    path = scratch_path(rows.sparkSession, "features")
+    kept.join(by_row, "row", "left").select(line.alias("value")).write.text(path)
+    alone = met.where("slot IS NULL").select("row", "term", "value")
+    whole = by_row.where("whole IS NOT NULL").select("row", "whole")
+    return Features(path, size + total, total, shared, alone.join(whole, "row"), single)
 
 
 def fit_tfidf_logistic(
     docs: DataFrame,
+    key: str,
     label: Column,
     labels: tuple[str, str] = ("neg", "pos"),
     ngram_range: tuple[int, int] = (1, 2),
     text: str = "text",
     fit_rows: int = FIT_ROWS,
+    iterations: int = LOGISTIC_ITERATIONS,
+    tolerance: float = 1e-6,
 ) -> LinearTextModel:
     """Unit-length TF-IDF of word n-grams and L2 logistic regression.
 
-    ``docs`` is read in several passes and should be a stored table.
-
     MLlib's objective is the mean loss, so the penalty of a summed loss with
-    strength ``C`` is ``1 / (C n)``. Its IDF lacks the added 1, which a fixed
-    elementwise weight puts back.
+    strength ``C`` is ``1 / (C n)``.
     """
-    rows = _training_rows(docs, label, labels, text, fit_rows)
-    to_terms = SQLTransformer(statement=term_statement(ngram_range))
-    counting = Pipeline(stages=[to_terms, vectorizer()]).fit(rows)
-    # Stored, so that texts are cut into terms once and not in every pass.
-    counted = stored(counting.transform(rows).select("label", "counts"), "counted")
-    weights = IDF(inputCol="counts", outputCol="weighted").fit(counted).idf.toArray() + 1.0
-    weigh = ElementwiseProduct(
-        inputCol="counts", outputCol="weighted", scalingVec=DenseVector(weights)
-    )
-    scale = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    features = scale.transform(weigh.transform(counted)).select("label", "features")
+    rows = training_rows(docs, key, label, labels, text, fit_rows)
+    features = term_features(rows, ngram_range, weighted=True)
     logistic = LogisticRegression(
-        regParam=1.0 / (INVERSE_STRENGTH * rows.count()),
+        regParam=1.0 / (INVERSE_STRENGTH * max(1, features.rows)),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=LOGISTIC_ITERATIONS,
-        aggregationDepth=3,
-    ).fit(features)
-    return LinearTextModel(PipelineModel([*counting.stages, weigh, scale, logistic]), labels)
+        maxIter=iterations,
+        tol=tolerance,
+    ).fit(features.read())
+    return LinearTextModel(
+        features.by_term(logistic.coefficients), logistic.intercept, labels, ngram_range
+    )
 
 
-def _hinge(alpha: float = HINGE_ALPHA) -> LinearSVC:
-    return LinearSVC(
-        featuresCol="counts",
-        regParam=alpha,
-        standardization=False,
-        maxIter=HINGE_ITERATIONS,
-        aggregationDepth=3,
+def largest_gradient(
+    model: LinearTextModel, docs: DataFrame, key: str, label: Column, text: str = "text"
+) -> DataFrame:
+    """One row: training rows, terms, and how far the logistic ``model`` is from its optimum.
+
+    ``gradient`` is the largest entry, by size, of the gradient of the summed loss and the
+    penalty, over all terms and the intercept; it is 0 at the optimum alone, whatever
+    found it. Worked out from the texts and the table of terms by joins.
+    """
+    known = docs.where(label.isin(list(model.labels)))
+    error = known.select(
+        key, (label == model.labels[1]).cast("double").alias("truth")
+    ).join(model.margins(known, key, text), key)
+    error = stored(
+        error.select(key, (1 / (1 + F.exp(-F.col("margin"))) - F.col("truth")).alias("error")), "errors"
+    )
+    counted = known.select(key, F.inline(term_counts(terms(text, model.ngram_range))))
+    met = stored(
+        lookup(counted, model.terms, "term").select(
+            key, "term", "coef", (F.col("tf") * F.col("idf")).alias("value")
+        ),
+        "gradient-values",
+    )
+    square = F.col("value") * F.col("value")
+    length = met.groupBy(key).agg(F.sqrt(F.sum(square)).alias("length"))
+    of_row = error.join(length, key).select(key, (F.col("error") / F.col("length")).alias("error"))
+    slope = met.join(of_row, key).groupBy("term").agg(
+        (F.sum(F.col("value") * F.col("error")) + F.first("coef")).alias("slope")
+    )
+    at_terms = slope.agg(F.count(F.lit(1)).alias("terms"), F.max(F.abs("slope")).alias("slope"))
+    at_rows = error.agg(F.count(F.lit(1)).alias("rows"), F.abs(F.sum("error")).alias("offset"))
+    return at_rows.crossJoin(at_terms).select(
+        "rows", "terms", F.greatest("slope", "offset").alias("gradient")
     )
 
 
+def _hinge(alpha: float = HINGE_ALPHA) -> LinearSVC:
+    return LinearSVC(regParam=alpha, standardization=False, maxIter=HINGE_ITERATIONS)
+
+
 def fit_linear_svc(
     docs: DataFrame,
+    key: str,
     label: Column,
     labels: tuple[str, str] = ("neg", "pos"),
     ngram_range: tuple[int, int] = (1, 2),
@@ -168,50 +291,68 @@ def fit_linear_svc(
     fit_rows: int = FIT_ROWS,
 ) -> LinearTextModel:
     """Counts of word n-grams and a linear classifier with hinge loss and L2 penalty."""
-    rows = _training_rows(docs, label, labels, text, fit_rows)
-    to_terms = SQLTransformer(statement=term_statement(ngram_range))
-    counting = Pipeline(stages=[to_terms, vectorizer()]).fit(rows)
-    counted = stored(counting.transform(rows).select("label", "counts"), "counted")
-    hinge = _hinge(alpha).fit(counted)
-    return LinearTextModel(PipelineModel([*counting.stages, hinge]), labels)
+    rows = training_rows(docs, key, label, labels, text, fit_rows)
+    features = term_features(rows, ngram_range, weighted=False)
+    hinge = _hinge(alpha).fit(features.read())
+    return LinearTextModel(
+        features.by_term(hinge.coefficients), hinge.intercept, labels, ngram_range
+    )
 
 
 def grid_search(
     docs: DataFrame,
+    key: str,
     label: Column,
     labels: tuple[str, str] = ("neg", "pos"),
     text: str = "text",
     folds: int = FOLDS,
     parallelism: int = 4,
     fit_rows: int = FIT_ROWS,
+    ngrams: Sequence[tuple[int, int]] = GRID_NGRAMS,
+    alphas: Sequence[float] = GRID_ALPHA,
 ) -> tuple[LinearTextModel, DataFrame]:
     """Cross-validated choice of n-gram range and penalty for the hinge model.
 
     Returns the best model and ``(ngram_high, alpha, accuracy)`` per setting.
+
+    All folds share the features of an n-gram range, made once from all rows: a term that
+    a fold's training rows lack keeps the coefficient 0, and so does the column of a row that is
+    held out, as if neither were there. Folds are drawn by a hash of the key.
     """
-    rows = stored(_training_rows(docs, label, labels, text, fit_rows), "grid-rows")
-    to_terms = SQLTransformer(statement=term_statement(GRID_NGRAMS[-1]))
-    hinge = _hinge()
-    grid = (
-        ParamGridBuilder()
-        .addGrid(to_terms.statement, [term_statement(r) for r in GRID_NGRAMS])
-        .addGrid(hinge.regParam, list(GRID_ALPHA))
-        .build()
+    rows = training_rows(docs, key, label, labels, text, fit_rows)
+    fold = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(folds)).cast("int")
+    settings, best = [], None
+    for ngram_range in ngrams:
+        # The files hold one number beside the features, so it says the fold too.
+        features = term_features(rows, ngram_range, False, F.col("label") + 2 * fold)
+        table = stored(
+            features.read().select(
+                (F.col("label") % 2).alias("label"),
+                F.floor(F.col("label") / 2).cast("int").alias("fold"),
+                "features",
+            ),
+            "grid-features",
+        )
+        hinge = _hinge()
+        search = CrossValidator(
+            estimator=hinge,
+            estimatorParamMaps=ParamGridBuilder().addGrid(hinge.regParam, list(alphas)).build(),
+            evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
+            numFolds=folds,
+            foldCol="fold",
+            parallelism=parallelism,
+        ).fit(table)
+        settings += [
+            (ngram_range[1], alpha, float(value))
+            for alpha, value in zip(alphas, search.avgMetrics, strict=True)
+        ]
+        reached = max(search.avgMetrics)
+        if best is None or reached > best[0]:
+            best = reached, search.bestModel, features, ngram_range
+    _, chosen, features, ngram_range = best
+    model = LinearTextModel(
+        features.by_term(chosen.coefficients), chosen.intercept, labels, ngram_range
     )
-    search = CrossValidator(
-        estimator=Pipeline(stages=[to_terms, vectorizer(), hinge]),
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds,
-        seed=SEED,
-        parallelism=parallelism,
-    ).fit(rows)
-    by_statement = {term_statement(r): r[1] for r in GRID_NGRAMS}
-    settings = [
-        (by_statement[params[to_terms.statement]], params[hinge.regParam], float(value))
-        for params, value in zip(grid, search.avgMetrics)
-    ]
-    table = docs.sparkSession.createDataFrame(
+    return model, docs.sparkSession.createDataFrame(
         settings, "ngram_high int, alpha double, accuracy double"
     )
-    return LinearTextModel(search.bestModel, labels), table

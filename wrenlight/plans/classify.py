@@ -147,11 +147,28 @@ def logistic_job(
     """Split, clean, fit TF-IDF logistic regression, evaluate, list extreme terms."""
     train, held_out = logistic_split(labelled, key)
     train = stored(train, "train")
-    model = linear.fit_tfidf_logistic(train, lb.map_label("polarity"), TWO)
+    model = linear.fit_tfidf_logistic(train, key, lb.map_label("polarity"), TWO)
     rows = evaluated(model.predict(held_out, key), held_out, key)
     return model, evaluation(rows, train.count(), held_out.count()), model.extremes(n)
 
 
+def logistic_evaluation(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
+    """All that the logistic job prints as rows ``measure, row, value``."""
+    model = linear.fit_tfidf_logistic(train, key, lb.map_label("polarity"), TWO)
+    rows = evaluated(model.predict(held_out, key), held_out, key)
+    found = evaluation(rows, train.count(), held_out.count())
+
+    def listed(table: DataFrame, row: str, *names: str) -> DataFrame:
+        pairs = [F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names]
+        return table.select(F.col(row).alias("row"), F.inline(F.array(*pairs)))
+
+    return (
+        listed(found.sizes, "part", "n")
+        .unionByName(listed(found.accuracy.withColumn("row", F.lit("all")), "row", "accuracy"))
+        .unionByName(listed(found.report, "row", "precision", "recall", "f1", "support"))
+    )
+
+
 def sentiment_table(
     docs: DataFrame,
     key: str,

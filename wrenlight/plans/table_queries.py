@@ -484,32 +484,53 @@ def sentiments_stored(spark, folder):
 # Linear models
 
 
+def _logistic(spark, folder, **settings) -> tuple[linear.LinearTextModel, DataFrame, DataFrame]:
+    train, held_out = classify.logistic_split(labelled(spark, folder), "doc_id")
+    train = stored(train, "train")
+    label = lb.map_label("polarity")
+    return linear.fit_tfidf_logistic(train, "doc_id", label, classify.TWO, **settings), train, held_out
+
+
 def logreg_predict(spark, folder):
+    model, _, held_out = _logistic(spark, folder)
+    return classify.evaluated(model.predict(held_out, "doc_id"), held_out, "doc_id")
+
+
+def logreg_report(spark, folder):
+    """Accuracy, report and sizes of the logistic model on the held-out part."""
     train, held_out = classify.logistic_split(labelled(spark, folder), "doc_id")
-    model = linear.fit_tfidf_logistic(
-        stored(train, "train"), lb.map_label("polarity"), classify.TWO
+    train, held_out = stored(train, "train"), stored(held_out, "held-out")
+    return classify.logistic_evaluation(train, held_out, "doc_id")
+
+
+def logreg_optimum(spark, folder):
+    """That the fitted model is the optimum: its gradient, worked out anew, is 0."""
+    model, train, _ = _logistic(spark, folder, iterations=500, tolerance=1e-10)
+    found = linear.largest_gradient(model, train, "doc_id", lb.map_label("polarity"))
+    return found.select(
+        "rows",
+        "terms",
+        F.lit(linear.INVERSE_STRENGTH).alias("strength"),
+        F.round("gradient", 3).alias("gradient"),
     )
-    return classify.evaluated(model.predict(held_out, "doc_id"), held_out, "doc_id")
 
 
 def linear_extremes(spark, folder):
-    train, _ = classify.logistic_split(labelled(spark, folder), "doc_id")
-    model = linear.fit_tfidf_logistic(
-        stored(train, "train"), lb.map_label("polarity"), classify.TWO
-    )
-    return model.extremes()
+    return _logistic(spark, folder)[0].extremes()
 
 
 def linear_svc_predict(spark, folder):
     train, held_out = classify.logistic_split(labelled(spark, folder), "doc_id")
-    model = linear.fit_linear_svc(stored(train, "train"), lb.map_label("polarity"), classify.TWO)
+    model = linear.fit_linear_svc(
+        stored(train, "train"), "doc_id", lb.map_label("polarity"), classify.TWO
+    )
     return classify.evaluated(model.predict(held_out, "doc_id"), held_out, "doc_id")
 
 
 def grid_search(spark, folder):
     train, _ = classify.logistic_split(labelled(spark, folder), "doc_id")
     _, settings = linear.grid_search(
-        stored(train, "train"), lb.map_label("polarity"), classify.TWO
+        stored(train, "train"), "doc_id", lb.map_label("polarity"), classify.TWO
     )
     return settings
 
@@ -660,6 +681,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentiment_columns": sentiment_columns,
     "sentiments_stored": sentiments_stored,
     "logreg_predict": logreg_predict,
+    "logreg_report": logreg_report,
+    "logreg_optimum": logreg_optimum,
     "linear_extremes": linear_extremes,
     "linear_svc_predict": linear_svc_predict,
     "grid_search": grid_search,
