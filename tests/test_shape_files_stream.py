@@ -1,6 +1,7 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from wrenlight.operators import shape
@@ -85,30 +86,61 @@ def test_keyed_table(spark):
     assert len({r["id"] for r in rows}) == len(rows) == 4
 
 
-def test_keyed_table_reads_live_files_only(spark):
+def test_keyed_table_rewrites_touched_folders_only(spark):
     table, _ = tables(spark)
     schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
-    for turn in range(10):
-        batch = spark.createDataFrame([(turn % 3 * 10, "a", turn, 0)], schema)
-        table.upsert(batch, ["retweet_count"], ["seq"])
-    live = set(table.live_folders())
-    assert len(live) == 3
-    files_read = {f.rsplit("/", 1)[0] for f in table.read().inputFiles()}
-    assert {f.removeprefix("file://") for f in files_read} == live
-    touched = spark.createDataFrame([(0,)], "slice long")
-    assert len(table.live_folders(touched)) == 1
-
-
-def test_named_batch_counts_once(spark):
+
+    def files_of(slice_):
+        return sorted(f for f in table.read().inputFiles() if f"slice={slice_}/" in f)
+
+    rows = [(n, "a", 1, 0) for n in (0, 10, 25)]
+    table.upsert(spark.createDataFrame(rows, schema), ["retweet_count"], ["seq"])
+    before = {n: files_of(n) for n in (0, 1, 2)}
+    assert all(before.values())
+    table.upsert(spark.createDataFrame([(11, "b", 2, 0)], schema), ["retweet_count"], ["seq"])
+    assert files_of(0) == before[0] and files_of(2) == before[2] and files_of(1) != before[1]
+    assert sorted(r["tweet_id"] for r in table.read().collect()) == [0, 10, 11, 25]
+    table.insert_ignore(spark.createDataFrame([(10, "c", 3, 0), (12, "c", 3, 0)], schema), ["seq"])
+    assert content(table, "tweet_id", "tweet_text") == [(0, "a"), (10, "a"), (11, "b"), (12, "c"), (25, "a")]
+
+
+def test_repeated_batch_changes_nothing(spark):
     table, _ = tables(spark)
     schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
-    batch = spark.createDataFrame([(None, "keyless", 1, 0), (1, "a", 1, 0)], schema)
+    batch = spark.createDataFrame([(None, "keyless", 1, 0), (1, "a", 1, 0), (-7, "n", 1, 0)], schema)
     for _ in range(2):
         table.upsert(batch, ["retweet_count"], ["seq"], "first")
-    assert table.read().count() == 2
-    table.upsert(batch, ["retweet_count"], ["seq"], "second")
+    assert table.read().count() == 3
+    for _ in range(2):
+        table.insert_ignore(batch, ["seq"], "second")
     rows = table.read().collect()
-    assert len(rows) == 3 and len({r["id"] for r in rows}) == 3
+    assert len(rows) == 4 and len({r["id"] for r in rows}) == 4
+
+
+def test_batch_that_died_half_way_is_mended(spark, monkeypatch):
+    """Its staged rows were written for some folders only; repeating it gives all."""
+    table, _ = tables(spark)
+    schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
+    first = spark.createDataFrame([(n, "a", 1, 0) for n in range(0, 60, 5)], schema)
+    table.upsert(first, ["retweet_count"], ["seq"], "one")
+    whole = KeyedTable._write
+    second = spark.createDataFrame([(n, "b", 2, 0) for n in range(0, 80, 4)] + [(None, "k", 2, 0)], schema)
+
+    def half(self, rows, mode):
+        whole(self, rows.where("slice % 2 = 0"), mode)
+        raise OSError("lost")
+
+    monkeypatch.setattr(KeyedTable, "_write", half)
+    with pytest.raises(OSError):
+        table.upsert(second, ["retweet_count"], ["seq"], "two")
+    monkeypatch.setattr(KeyedTable, "_write", whole)
+    table.upsert(second, ["retweet_count"], ["seq"], "two")
+    rows = table.read().collect()
+    found = {r["tweet_id"]: (r["tweet_text"], r["retweet_count"]) for r in rows}
+    expected = {n: ("a", 1) for n in range(0, 60, 5)}
+    expected |= {n: ("a", 2) if n % 5 == 0 and n < 60 else ("b", 2) for n in range(0, 80, 4)}
+    assert found == expected | {None: ("k", 2)}
+    assert len(rows) == len(found) == len({r["id"] for r in rows})
 
 
 def test_later_row_of_a_file_wins(spark, tmp_path):

@@ -33,6 +33,8 @@ TOPIC = r"([Oo]f\s+[Tt]he)|([Dd]e\s+[Ll]a)|(#[A-Za-z]+)"
 STOPWORDS = 50
 WORDS_CUT = 5_000
 WEIGHT_DIGITS = 6
+# All kinds of events.
+EVENT_KINDS = ("view", "click", "purchase", "signup", "error")
 CHANGE_ORDER = ["l_linenumber", "l_partkey", "o_totalprice", "o_orderdate"]
 
 
@@ -310,8 +312,9 @@ def upsert_full(spark, folder):
         F.concat_ws(":", "user_id", F.date_format("ts", "HHmm")).alias("place"),
         "event_id", "event_type", "value",
     )
-    target = keyed.first_per_key(events.where("event_type = 'signup'"), "place", ["event_id"])
-    batch = events.where("event_type IN ('purchase', 'error')")
+    late = F.col("event_type").isin("purchase", "error")
+    target = keyed.first_per_key(events.where(~late), "place", ["event_id"])
+    batch = events.where(late)
     return keyed.upsert(target, batch, "place", ["event_id", "event_type", "value"], ["event_id"])
 
 
@@ -610,12 +613,13 @@ def collect_batch(spark, folder):
 
 
 def stored_ids(spark, folder):
-    """The stored keys after an intake of at most one file a batch."""
+    """The stored keys after an intake of one file a batch, a landing for each kind of event."""
     place = scratch_path(spark, "capped")
     tweets = KeyedTable(spark, f"{place}/tweets", TWEETS, "tweet_id", span=2_000, id_column="id")
     events = _nested_events(spark, folder).drop("retweeted_status")
-    for kind in ("purchase", "signup"):
-        files.append_json_lines(events.where(F.col("full_text") == kind), f"{place}/landing")
+    for kind in EVENT_KINDS:
+        landed = events.where(F.col("full_text") == kind).coalesce(1)
+        files.append_json_lines(landed, f"{place}/landing")
     intake.start_intake(
         spark, f"{place}/landing", f"{place}/progress", tweets, max_files=1
     ).awaitTermination()

@@ -366,7 +366,7 @@ batch AS (
   SELECT * FROM placed WHERE event_type IN ('purchase', 'error')
   QUALIFY row_number() OVER (PARTITION BY place ORDER BY event_id DESC) = 1),
 target AS (
-  SELECT * FROM placed WHERE event_type = 'signup'
+  SELECT * FROM placed WHERE event_type NOT IN ('purchase', 'error')
   QUALIFY row_number() OVER (PARTITION BY place ORDER BY event_id) = 1)
 SELECT * FROM batch
 UNION ALL SELECT * FROM target WHERE place NOT IN (SELECT place FROM batch)""",
@@ -488,6 +488,19 @@ SELECT doc_id, score, {_sign("score", "positive", "negative")} AS label FROM sco
   sentiment_textblob,
   CASE WHEN length(text) < 1000 THEN 'first' ELSE sentiment_vader END AS sentiment_vader
 FROM ({_SENTIMENTS})""",
+    # The solver's optimum can't be found by SQL, but its gradient is 0.
+    "logreg_optimum": f"""WITH {_LABELLED},{_split("labelled", "polarity IN (0, 4)")},
+cleaned AS (SELECT doc_id, trim({_replace(
+        "text", (tx.HANDLE, " "), (tx.URL, " "), ("[0-9]+", " "), ("&amp;", " "),
+        ("&quote;", " "), (tx.SYMBOL, ""), (tx.BLANKS, " "))}) AS text
+  FROM parts WHERE part = 'train'),
+lists AS (SELECT {_WORDS} AS t FROM cleaned),
+terms AS (
+  SELECT unnest(t) AS term FROM lists UNION
+  SELECT p[1] || ' ' || p[2] FROM (
+    SELECT unnest(list_zip(t[1:len(t) - 1], t[2:len(t)])) AS p FROM lists WHERE len(t) > 1))
+SELECT (SELECT count(*) FROM cleaned) AS rows, count(*) AS terms, 1.0 AS strength, 0.0 AS gradient
+FROM terms""",
     "json_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
     "csv_round_trip": f"""WITH {_LABELLED}
 SELECT CAST(polarity AS INTEGER) AS polarity, doc_id AS tweet_id, '-' AS date, 'NO_QUERY' AS query,
@@ -508,8 +521,7 @@ SELECT event_id AS tweet_id, {_SHOWN.format(k="event_type")} AS tweet_text, user
        {_EVENT_COUNT} AS retweet_count
 FROM events WHERE (event_id <= 4000 AND event_type <> 'error')
   OR event_id > (SELECT event_id FROM mark)""",
-    "stored_ids": """
-SELECT event_id AS tweet_id FROM events WHERE event_type IN ('purchase', 'signup')""",
+    "stored_ids": "SELECT event_id AS tweet_id FROM events",
     "stream_users_once": f"""WITH {_LANDED},
 named AS (
   SELECT user_id, max(event_id) AS seen, 1 AS rank FROM first_landing GROUP BY 1

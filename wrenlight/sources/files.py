@@ -21,6 +21,12 @@ LABELLED_OPTIONS = {
 LABELLED_ENCODING = "ISO-8859-1"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_json_lines(
     spark: SparkSession, prefix: str, schema: StructType = RAW_TWEET, arrival: bool = False
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A keyed table on plain Parquet that can be upserted while it is read."""
+"""A table on Parquet with one row a key; a batch rewrites the key ranges it touches."""
 
 from __future__ import annotations
 
@@ -11,36 +11,23 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wrenlight.operators import keyed
 from wrenlight.operators.ranking import assign_ids
-from wrenlight.sources.scratch import stored
+from wrenlight.sources.files import exists
+from wrenlight.sources.scratch import fits_broadcast, stored
 
-COMMITS = StructType(
-    [
-        StructField("version", LongType()),
-        StructField("slice", LongType()),
-        StructField("batch", StringType()),
-        StructField("highest", LongType()),
-    ]
-)
+#: Folders that share the rows without a key.
+KEYLESS = 64
 
 
 @dataclass
 class KeyedTable:
-    """Rows under ``path/data``, sliced by key range; commits under ``path/commits``.
-
-    A change writes new files for the slices its keys fall into and then
-    appends one commit row per slice. The newest committed version of a slice
-    is its content, so readers never see a half-written change, and a job
-    that dies leaves only files nobody reads. Keys that grow with time touch
-    few slices. ``span`` is the width of a slice in key values. One writer at
-    a time.
-
-    Reads name the folders of the live versions, so versions that were
-    replaced cost nothing. A commit row holds the highest id given so far, and
-    the name of the batch if it has one: a batch that was committed already is
-    skipped, with or without keys.
-
-    With an ``id_column`` every incoming row draws a surrogate id; a stored
-    row keeps its own, so ids are unique and may have gaps.
+    """Rows under ``path`` in one folder for each ``span`` of key values, their ``slice``.
+
+    Spark's dynamic partition overwrite replaces the touched folders; the new content is staged
+    in the shared folder first. One writer at a time. Rows carry the name of the batch that wrote
+    them, so a batch that died half-way, or comes again, changes nothing when it is
+    repeated: keys are upserted anew, and its rows without a key replaced.
+
+    With an ``id_column`` new rows draw surrogate ids above all stored ones.
     """
 
     spark: SparkSession
@@ -50,108 +37,60 @@ class KeyedTable:
     span: int = 1 << 40
     id_column: str | None = None
 
-    def _slice(self):
-        # Rows without a key share the slice -1.
-        return F.coalesce(F.floor(F.col(self.key) / F.lit(self.span)), F.lit(-1)).cast("long")
-
-    def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COMMITS).json(f"{self.path}/commits")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], COMMITS)
-            raise
-
-    def live_folders(self, slices: DataFrame | None = None) -> list[str]:
-        """The folders that hold the content, of all slices or of those given."""
-        commits = self._commits()
-        if slices is not None:
-            commits = commits.join(slices, "slice", "left_semi")
-        newest = commits.groupBy("slice").agg(F.max("version").alias("version"))
-        return [f"{self.path}/data/version={r.version}/slice={r.slice}" for r in newest.collect()]
-
-    def _rows(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
+    def _rows(self) -> DataFrame:
+        own = [StructField("batch", StringType()), StructField("slice", LongType())]
+        schema = StructType([*self.schema.fields, *own])
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def read(self) -> DataFrame:
-        """The committed content."""
-        return self._rows(self.live_folders())
-
-    def _change(
-        self, batch: DataFrame, choose, order: Sequence[str], merge, name: str | None
-    ) -> None:
-        """Commit ``merge(content of the touched slices, chosen rows of the batch)``."""
-        state = self._commits().agg(
-            F.coalesce(F.max("version"), F.lit(0)).alias("version"),
-            F.coalesce(F.max("highest"), F.lit(0)).alias("highest"),
-            F.max(F.col("batch") == F.lit(name)).alias("done"),
-        )
-        last = state.first()
-        if last.done:
-            return
-        version, highest = last.version + 1, last.highest
-        chosen = choose(batch, self.key, order)
+        """The content."""
+        return self._rows().select(*self.schema.names)
+
+    def _staged(self, chosen: DataFrame, order: Sequence[str], name: str | None) -> DataFrame:
+        """The batch with slices and ids, stored."""
+        # Where a row without a key goes must not depend on its id.
+        keyless = -1 - F.pmod(F.xxhash64(*chosen.columns), F.lit(KEYLESS))
+        slices = F.coalesce(F.expr(f"`{self.key}` div {self.span}"), keyless)
+        own = {"batch": F.lit(name).cast("string"), "slice": slices.cast("long")}
+        chosen = chosen.withColumns(own)
         if self.id_column:
+            highest = self._rows().agg(F.max(self.id_column)).first()[0] or 0
             chosen = assign_ids(highest, chosen, [self.key, *order], self.id_column)
-        chosen = stored(chosen, "chosen", self.spark)
-        touched = chosen.groupBy(self._slice().alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-        touched = touched.collect()
-        if not touched:
-            return
-        slices = self.spark.createDataFrame([(r.slice,) for r in touched], "slice long")
-        highest += sum(r.n for r in touched)
-        merged = merge(self._rows(self.live_folders(slices)), chosen).select(*self.schema.names)
-        # Overwrite: an attempt that died before its commit may have left files.
-        (
-            merged.withColumn("slice", self._slice())
-            .hint("rebalance", "slice")
-            .write.mode("overwrite")
-            .partitionBy("slice")
-            .parquet(f"{self.path}/data/version={version}")
-        )
-        commit = slices.select(
-            F.lit(version).cast("long").alias("version"),
-            "slice",
-            F.lit(name).cast("string").alias("batch"),
-            F.lit(highest).cast("long").alias("highest"),
-        )
-        # One file, so that a commit is there whole or not at all.
-        commit.coalesce(1).write.mode("append").json(f"{self.path}/commits")
+        return stored(chosen, "batch", self.spark)
 
-    def upsert(
-        self,
-        batch: DataFrame,
-        update: Sequence[str],
-        order: Sequence[str],
-        name: str | None = None,
-    ) -> None:
-        """Insert new keys, refresh ``update`` on stored ones; the last repeat wins.
-
-        ``name`` tells the batch from all others; a named batch counts once.
-        """
-        self._change(
-            batch,
-            keyed.last_per_key,
-            order,
-            lambda rows, chosen: keyed.merge_unique(rows, chosen, self.key, update),
-            name,
-        )
+    def _touched(self, chosen: DataFrame, name: str | None) -> DataFrame:
+        """The stored rows of the folders that the batch touches, less its own without a key."""
+        slices = stored(chosen.select("slice").distinct(), "slices", self.spark)
+        slices = F.broadcast(slices) if fits_broadcast(slices) else slices
+        mine = F.col(self.key).isNull() & (F.col("batch") == F.lit(name))
+        return self._rows().join(slices, "slice", "left_semi").where(~F.coalesce(mine, F.lit(False)))
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.hint("rebalance", "slice").write.mode(mode).partitionBy("slice")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
-    def insert_ignore(
-        self, batch: DataFrame, order: Sequence[str], name: str | None = None
+    def upsert(
+        self, batch: DataFrame, update: Sequence[str], order: Sequence[str], name: str | None = None
     ) -> None:
-        """Insert new keys and leave stored ones; the first repeat wins."""
-        self._change(
-            batch,
-            keyed.first_per_key,
-            order,
-            lambda rows, chosen: rows.unionByName(
-                keyed.absent(chosen, rows, self.key).select(
-                    *[c for c in chosen.columns if c in rows.columns]
-                ),
-                allowMissingColumns=True,
-            ),
-            name,
+        """Insert new keys, refresh ``update`` on stored ones; the last repeat wins."""
+        chosen = self._staged(keyed.last_per_key(batch, self.key, order), order, name)
+        rows = keyed.merge_unique(
+            self._touched(chosen, name), chosen, self.key, [*update, "batch"]
         )
+        self._write(stored(rows, "merged", self.spark), "overwrite")
+
+    def insert_ignore(self, batch: DataFrame, order: Sequence[str], name: str | None = None) -> None:
+        """Insert new keys and leave stored ones, whose files stay; the first repeat wins."""
+        if name is not None:
+            known = self._rows().where(F.col(self.key).isNull() & (F.col("batch") == name))
+            if not known.isEmpty():
+                batch = batch.where(F.col(self.key).isNotNull())
+        fresh = keyed.absent(keyed.first_per_key(batch, self.key, order), self.read(), self.key)
+        chosen = self._staged(fresh, order, name)
+        names = [*self.schema.names, "batch", "slice"]
+        lacking = {n: F.lit(None) for n in names if n not in chosen.columns}
+        kinds = {f.name: f.dataType for f in self._rows().schema.fields}
+        rows = chosen.withColumns(lacking) if lacking else chosen
+        self._write(rows.select(*(F.col(n).cast(kinds[n]).alias(n) for n in names)), "append")
