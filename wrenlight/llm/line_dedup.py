@@ -264,6 +264,15 @@ def _meet(table):
     line = np.frombuffer(b"".join(columns["lines"]), np.int64)
     sketch = np.frombuffer(b"".join(columns["sketches"]), np.uint64)
     often = np.unique(_from_five(b"".join(columns["often"])))
+    order = np.argsort(low)
+    low = low[order]
+    # Most bands are of one line alone.
+    shared = np.isin(low, often) if len(often) else np.zeros(len(low), bool)
+    same = low[1:] == low[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    order, low = order[shared], low[shared]
+    line, sketch = line[order], sketch[order]
     order = np.lexsort((line, low))
     low, line, sketch = low[order], line[order], sketch[order]
     keep = np.ones(len(low), bool)
