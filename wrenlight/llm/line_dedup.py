@@ -39,13 +39,13 @@ SKETCH, SKETCH_APART = 64, 18
 BLOCK_CHARS = 250_000
 
 #: A task sends its bands after so many lines.
-FLUSH = 100_000
+FLUSH = 40_000
 
 #: A band that more lines of a flush share is sent once; its lines are members at once.
 OFTEN = 32
 
 #: Bands of one hash range, about: so many are met in one task's memory.
-RANGE_BANDS = 1_000_000
+RANGE_BANDS = 600_000
 
 #: Characters for each band, about; it only decides into how many ranges they are cut.
 CHARS_A_BAND = 25

@@ -19,10 +19,10 @@ CHUNK = 512
 COLUMNS = 2048
 
 #: Bytes of texts that a task compares together, about.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 #: Bits of the map that bounds what two sets share, and pairs that are bounded at a time.
-MAP_BITS, PAIRS = 1024, 100_000
+MAP_BITS, PAIRS = 1024, 30_000
 
 
 def components(edges: DataFrame) -> DataFrame:
