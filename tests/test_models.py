@@ -259,9 +259,9 @@ def test_logistic_is_the_optimum_over_all_terms(spark):
     assert margins == pytest.approx(dict(enumerate(wide @ w)), abs=1e-5)
     proof = linear.largest_gradient(model, docs, "tweet_id", label).first()
     assert (proof["rows"], proof["terms"]) == (len(rows), len(names))
-    assert proof["gradient"] < 1e-5
+    assert proof["gradient"] < 1e-6
     worse = linear.LinearTextModel(model.terms, model.intercept + 0.5, model.labels, (1, 2))
-    assert linear.largest_gradient(worse, docs, "tweet_id", label).first()["gradient"] > 0.1
+    assert linear.largest_gradient(worse, docs, "tweet_id", label).first()["gradient"] > 0.02
 
 
 def test_hinge_features_have_equal_products(spark):

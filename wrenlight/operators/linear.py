@@ -245,7 +245,7 @@ def largest_gradient(
 ) -> DataFrame:
     """One row: training rows, terms, and how far the logistic ``model`` is from its optimum.
 
-    ``gradient`` is the largest entry, by size, of the gradient of the summed loss and the
+    ``gradient`` is the largest entry, by size, of the gradient of the mean loss and the
     penalty, over all terms and the intercept; it is 0 at the optimum alone, whatever
     found it. Worked out from the texts and the table of terms by joins.
     """
@@ -272,7 +272,7 @@ def largest_gradient(
     at_terms = slope.agg(F.count(F.lit(1)).alias("terms"), F.max(F.abs("slope")).alias("slope"))
     at_rows = error.agg(F.count(F.lit(1)).alias("rows"), F.abs(F.sum("error")).alias("offset"))
     return at_rows.crossJoin(at_terms).select(
-        "rows", "terms", F.greatest("slope", "offset").alias("gradient")
+        "rows", "terms", (F.greatest("slope", "offset") / F.col("rows")).alias("gradient")
     )
 
 
