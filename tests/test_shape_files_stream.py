@@ -1,8 +1,12 @@
+import csv
+import io
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wrenlight.operators import shape
 from wrenlight.plans import collect as plans
@@ -162,13 +166,45 @@ def test_csv_loses_nothing(spark, tmp_path):
     back = files.read_labelled_csv(spark, f"{tmp_path}/in", encoding="UTF-8").collect()
     assert {r["tweet_id"]: r["text"] for r in back} == dict(enumerate(texts))
     files.export_csv(df, ["tweet_id", "text"], f"{tmp_path}/out")
-    back = files.read_export(spark, f"{tmp_path}/out", "tweet_id long, text string").collect()
+    back = files.read_export(spark, f"{tmp_path}/out", df.select("tweet_id", "text").schema).collect()
     assert {r["tweet_id"]: r["text"] for r in back} == dict(enumerate(texts))
     empty = spark.createDataFrame([(4, 1, "-", "q", "u", "")], LABELLED)
     files.write_labelled_csv(empty, f"{tmp_path}/empty")
     assert files.read_labelled_csv(spark, f"{tmp_path}/empty").first()["text"] in (None, "")
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [64, 300, 5000, 1 << 20])
+def test_csv_of_one_file_in_many_tasks(spark, tmp_path, block, end):
+    """Records that start, end and go on anywhere in a block, as a plain reader finds them."""
+    draw = random.Random(block)
+    pieces = ["plain", "é\n", '"', "\n\n", ",", "x" * 90, '""', "\r", " ", "a,b\n"]
+    rows = [[str(4), str(i), "-", "q", "u", "t" + "".join(draw.choices(pieces, k=draw.randrange(6)))] for i in range(150)]
+    rows = [[*r[:5], r[5].replace("\r\n", "\n").rstrip("\r")] for r in rows]
+    text = io.StringIO()
+    csv.writer(text, lineterminator=end, quoting=csv.QUOTE_ALL).writerows(rows)
+    (tmp_path / "in.csv").write_bytes(text.getvalue().encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        path = f"{tmp_path}/in.csv"
+        if block == 300:
+            assert spark.read.text(path).rdd.getNumPartitions() > 10
+        back = files.read_labelled_csv(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["tweet_id"]: r["text"] for r in back} == {int(r[1]): r[5] for r in rows}
+    assert len(back) == len(rows)
+
+
+def test_csv_headers_of_each_file(spark, tmp_path):
+    for name, rows in (("a", ["1,one", '2,"two\nlines"']), ("b", ["3,three"]), ("c", [])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(['n,"long\ntitle"', *rows]) + "\n")
+    back = files.read_export(spark, str(tmp_path), StructType.fromDDL("n int, t string")).collect()
+    assert sorted(map(tuple, back)) == [(1, "one"), (2, "two\nlines"), (3, "three")]
+
+
 def test_migrate_and_collect(spark):
     table, users = tables(spark)
     schema = "tweet_id long, tweet_text string, created_at timestamp"

@@ -566,7 +566,7 @@ def csv_export(spark, folder):
     turns = table(spark, folder, "conversations")
     place = scratch_path(spark, "export")
     files.export_csv(turns, ["conv_id", "turn", "text"], place)
-    return files.read_export(spark, place, "conv_id long, turn long, text string")
+    return files.read_export(spark, place, turns.select("conv_id", "turn", "text").schema)
 
 
 def _landed(spark, folder, refresh_users) -> tuple[KeyedTable, KeyedTable]:
