@@ -270,9 +270,10 @@ def test_hinge_features_have_equal_products(spark):
 
     rows = own_words(15) + [(15, 4, "")]
     docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string")
-    train = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO)
+    train, total = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO)
     for weighted in (False, True):
-        features = linear.term_features(train, (1, 2), weighted, F.col("row").cast("double"))
+        label = F.col("row").cast("double")
+        features = linear.term_features(train, total, (1, 2), weighted, label)
         got = features.read().orderBy("label").collect()
         x = np.array([r["features"].toArray() for r in got])
         with np.errstate(invalid="ignore"):
@@ -313,13 +314,13 @@ def test_linear_models_have_every_term(texts):
 def test_fit_rows_thin_by_key(spark):
     rows = [(i, 4 if i % 2 else 0, "the same text") for i in range(4000)]
     docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string")
-    train = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO, fit_rows=1000)
-    assert 900 < train.count() < 1100
+    train, total = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO, fit_rows=1000)
+    assert 900 < total < 1100 and train.count() == total
     assert train.select("row").distinct().count() == train.count()
 
 
-def test_logistic_evaluation_rows(texts):
-    found = classify.logistic_evaluation(texts, texts, "tweet_id").collect()
+def test_evaluation_as_rows(texts):
+    found = classify.evaluation_rows(classify.logistic_job(texts)[1]).collect()
     rows = {(r["measure"], r["row"]): r["value"] for r in found}
-    assert rows["accuracy", "all"] == 1.0 and rows["n", "train"] == 40
-    assert rows["support", "pos"] == 20 and rows["f1", "macro avg"] == 1.0
+    assert rows["accuracy", "all"] == 1.0 and rows["n", "train"] == 24
+    assert rows["support", "pos"] == 4 and rows["f1", "macro avg"] == 1.0

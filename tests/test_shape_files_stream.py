@@ -11,9 +11,9 @@ from pyspark.sql.types import StructType
 from wrenlight.operators import shape
 from wrenlight.plans import collect as plans
 from wrenlight.schemas import LABELLED, RAW_TWEET, TWEET, TWEETS, USERS
-from wrenlight.sources import files
+from wrenlight.sources import checked, files
 from wrenlight.sources.keyed_table import KeyedTable
-from wrenlight.sources.scratch import scratch_path
+from wrenlight.sources.scratch import scratch_path, stored_observed
 from wrenlight.streaming import intake
 
 
@@ -271,3 +271,50 @@ def test_first_users_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r[0] for r in spark.sql("SELECT twitter_user_id FROM first_users").collect()) == [1, 2]
+
+
+def test_run_is_capped_by_rows_newest_first(spark, tmp_path):
+    for i, name in enumerate("abcd"):
+        land(tmp_path / "land", f"{name}.json", [tweet(10 * i + k) for k in range(3)])
+        time.sleep(0.05)
+    tweets, users = tables(spark)
+    args = (spark, str(tmp_path / "land"), str(tmp_path / "progress"), tweets, users)
+    assert intake.run_intake(*args, max_rows=4)
+    assert [r[0] for r in content(tweets, "tweet_id")] == [20, 21, 22, 30, 31, 32]
+    assert not intake.run_intake(*args)
+    assert len(content(tweets, "tweet_id")) == 12
+
+
+def test_first_users_over_a_restart(spark, tmp_path):
+    _, users = tables(spark)
+    for name, who in (("a", (1, 2, 1)), ("b", (2, 3, 1, 3))):
+        land(tmp_path / "land", f"{name}.json", [tweet(i, by=u) for i, u in enumerate(who)])
+        intake.start_first_users(spark, str(tmp_path / "land"), str(tmp_path / "p"), users).awaitTermination()
+    found = content(users, "id", "twitter_user_id")
+    assert [u for _, u in found] == [1, 2, 3] or sorted(u for _, u in found) == [1, 2, 3]
+    assert len(found) == 3
+
+
+def test_constraints_are_held_when_writing(spark, tmp_path):
+    table, _ = tables(spark)
+    parents = spark.createDataFrame([(1,), (2,), (3,), (None,)], "user_id long")
+    schema = "tweet_id long, tweet_text string, user_id long"
+    first = [(1, "b", 1), (1, "a", 1), (2, "c", 9), (None, "d", 2), (None, "e", None), (4, "f", None)]
+    second = [(1, "again", 1), (5, "g", 3), (5, "h", 3), (6, "i", 7)]
+    for rows in (first, second):
+        checked.insert_checked(
+            table, spark.createDataFrame(rows, schema).repartition(2), ["tweet_text"], f"{tmp_path}/r", parents, "user_id"
+        )
+    written = {r["tweet_text"] for r in table.read().collect()}
+    assert written == {"a", "d", "e", "f", "g"}
+    rejects = {r["tweet_text"]: r["reason"] for r in spark.read.parquet(f"{tmp_path}/r").collect()}
+    assert rejects == {
+        "b": checked.REPEATED, "c": checked.ORPHAN, "again": checked.KNOWN,
+        "h": checked.REPEATED, "i": checked.ORPHAN,
+    }
+
+
+def test_rows_are_counted_by_their_write(spark):
+    rows = spark.range(1000).withColumn("part", F.col("id") % 3)
+    table, seen = stored_observed(rows, "seen", first=F.count_if(F.col("part") == 0))
+    assert seen == {"rows": 1000, "first": 334} and table.count() == 1000

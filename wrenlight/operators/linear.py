@@ -27,7 +27,7 @@ from wrenlight.functions.text import term_counts, terms
 from wrenlight.operators.lookup import lookup
 from wrenlight.operators.ranking import with_rank
 from wrenlight.operators.tfidf import inverse_frequency
-from wrenlight.sources.scratch import scratch_path, stored
+from wrenlight.sources.scratch import scratch_path, stored, stored_observed
 
 # Solver settings of the three models and the parameter grid.
 LOGISTIC_ITERATIONS = 100
@@ -104,21 +104,25 @@ def training_rows(
     labels: tuple[str, str],
     text: str = "text",
     fit_rows: int = FIT_ROWS,
-) -> DataFrame:
-    """Stored ``row, key, label, text`` of the rows with one of the labels, numbered from 0.
+) -> tuple[DataFrame, int]:
+    """Stored ``row, key, label, text`` of the rows with one of the labels, and their number.
 
-    More than ``fit_rows`` are thinned by a hash of the key to about so many.
+    Rows are numbered from 0. More than ``fit_rows`` are thinned by a hash of the key to
+    about so many. They are counted while they are written.
     """
-    rows = docs.where(label.isin(list(labels)))
-    share = fit_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = rows.select(
-        F.col(key).alias("key"),
-        F.col(text).alias("text"),
-        (label == labels[1]).cast("double").alias("label"),
+    chosen, seen = stored_observed(
+        docs.where(label.isin(list(labels))).select(
+            F.col(key).alias("key"),
+            F.col(text).alias("text"),
+            (label == labels[1]).cast("double").alias("label"),
+        ),
+        "linear-chosen",
     )
-    return stored(with_rank(chosen, [], ["key"], "row"), "linear-rows")
+    share = fit_rows / max(1, seen["rows"])
+    if share < 1:
+        chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows, seen = stored_observed(with_rank(chosen, [], ["key"], "row"), "linear-rows")
+    return rows, seen["rows"]
 
 
 @dataclass
@@ -155,24 +159,26 @@ class Features:
 
 
 def term_features(
-    rows: DataFrame, ngram_range: tuple[int, int], weighted: bool, label: Column | str = "label"
+    rows: DataFrame,
+    total: int,
+    ngram_range: tuple[int, int],
+    weighted: bool,
+    label: Column | str = "label",
 ) -> Features:
     """Counts of n-grams of ``row, text``, or their TF-IDF scaled to length 1, by columns.
 
-    Columns are the terms of several rows, in order, then one for each row.
+    Columns are the terms of several rows, in order, then one for each of the ``total`` rows.
     """
     kept = rows.select("row", (F.col(label) if isinstance(label, str) else label).alias("label"))
     counted = stored(
         rows.select("row", F.inline(term_counts(terms("text", ngram_range)))), "linear-terms"
     )
-    total = rows.count()
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     none = F.lit(None).cast("double")
     idf = inverse_frequency(F.lit(total), F.col("df")) if weighted else none
-    shared = stored(
-        with_rank(df, [], ["term"], "slot").select("term", "slot", idf.alias("idf")), "linear-shared"
-    )
-    size = shared.count()
+    ranked = with_rank(df, [], ["term"], "slot").select("term", "slot", idf.alias("idf"))
+    shared, seen = stored_observed(ranked, "linear-shared")
+    size = seen["rows"]
     single = rows.sparkSession.range(1).select(
         inverse_frequency(F.lit(total), F.lit(1)).alias("idf")
     ).first()["idf"] if weighted else None
@@ -226,8 +232,8 @@ def fit_tfidf_logistic(
     MLlib's objective is the mean loss, so the penalty of a summed loss with
     strength ``C`` is ``1 / (C n)``.
     """
-    rows = training_rows(docs, key, label, labels, text, fit_rows)
-    features = term_features(rows, ngram_range, weighted=True)
+    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    features = term_features(rows, total, ngram_range, weighted=True)
     logistic = LogisticRegression(
         regParam=1.0 / (INVERSE_STRENGTH * max(1, features.rows)),
         elasticNetParam=0.0,
@@ -291,8 +297,8 @@ def fit_linear_svc(
     fit_rows: int = FIT_ROWS,
 ) -> LinearTextModel:
     """Counts of word n-grams and a linear classifier with hinge loss and L2 penalty."""
-    rows = training_rows(docs, key, label, labels, text, fit_rows)
-    features = term_features(rows, ngram_range, weighted=False)
+    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    features = term_features(rows, total, ngram_range, weighted=False)
     hinge = _hinge(alpha).fit(features.read())
     return LinearTextModel(
         features.by_term(hinge.coefficients), hinge.intercept, labels, ngram_range
@@ -319,12 +325,12 @@ def grid_search(
     a fold's training rows lack keeps the coefficient 0, and so does the column of a row that is
     held out, as if neither were there. Folds are drawn by a hash of the key.
     """
-    rows = training_rows(docs, key, label, labels, text, fit_rows)
+    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
     fold = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(folds)).cast("int")
     settings, best = [], None
     for ngram_range in ngrams:
         # The files hold one number beside the features, so it says the fold too.
-        features = term_features(rows, ngram_range, False, F.col("label") + 2 * fold)
+        features = term_features(rows, total, ngram_range, False, F.col("label") + 2 * fold)
         table = stored(
             features.read().select(
                 (F.col("label") % 2).alias("label"),

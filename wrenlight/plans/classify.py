@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wrenlight.functions import labels as lb
 from wrenlight.functions import text as tx
 from wrenlight.operators import bayes, counts, lexicon, linear, metrics, ranking, select, shape
-from wrenlight.sources.scratch import stored
+from wrenlight.sources.scratch import stored, stored_observed
 
 THREE = ("pos", "neutral", "neg")
 TWO = ("neg", "pos")
@@ -145,18 +145,16 @@ def logistic_job(
     labelled: DataFrame, key: str = "tweet_id", n: int = linear.EXTREMES
 ) -> tuple[linear.LinearTextModel, Evaluation, DataFrame]:
     """Split, clean, fit TF-IDF logistic regression, evaluate, list extreme terms."""
-    train, held_out = logistic_split(labelled, key)
-    train = stored(train, "train")
+    (train, seen), (held_out, held) = (
+        stored_observed(part, "part") for part in logistic_split(labelled, key)
+    )
     model = linear.fit_tfidf_logistic(train, key, lb.map_label("polarity"), TWO)
     rows = evaluated(model.predict(held_out, key), held_out, key)
-    return model, evaluation(rows, train.count(), held_out.count()), model.extremes(n)
+    return model, evaluation(rows, seen["rows"], held["rows"]), model.extremes(n)
 
 
-def logistic_evaluation(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
-    """All that the logistic job prints as rows ``measure, row, value``."""
-    model = linear.fit_tfidf_logistic(train, key, lb.map_label("polarity"), TWO)
-    rows = evaluated(model.predict(held_out, key), held_out, key)
-    found = evaluation(rows, train.count(), held_out.count())
+def evaluation_rows(found: Evaluation) -> DataFrame:
+    """All that a classification job prints as rows ``measure, row, value``."""
 
     def listed(table: DataFrame, row: str, *names: str) -> DataFrame:
         pairs = [F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,9 @@ from wrenlight.operators import (
 )
 from wrenlight.plans import classify, collect
 from wrenlight.schemas import RAW_TWEET, SENTIMENTS, TWEET, TWEETS, USERS
-from wrenlight.sources import files
+from wrenlight.sources import checked, files
 from wrenlight.sources.keyed_table import KeyedTable
-from wrenlight.sources.scratch import scratch_path, stored
+from wrenlight.sources.scratch import scratch_path, stored, stored_observed
 from wrenlight.streaming import intake
 
 TOPIC = r"([Oo]f\s+[Tt]he)|([Dd]e\s+[Ll]a)|(#[A-Za-z]+)"
@@ -364,6 +365,14 @@ def split_counts(spark, folder):
     return counts.row_counts(stratified_split(spark, folder), "polarity", "part")
 
 
+def write_counts(spark, folder):
+    """How many rows of each part there are, counted by the write of the split."""
+    parts = ranking.positional_split(labelled(spark, folder), "polarity", [0, 4], "doc_id")
+    of_part = {name: F.count_if(F.col("part") == name) for name in ranking.SPLIT_PARTS}
+    _, seen = stored_observed(parts, "parts", **of_part)
+    return spark.createDataFrame(sorted(seen.items()), "part string, n long")
+
+
 def presence_nb_predict(spark, folder):
     model = classify.selected_word_bayes(labelled(spark, folder))
     return classify.predict_sentiment(model, table(spark, folder, "documents"), "doc_id")
@@ -501,9 +510,7 @@ def logreg_predict(spark, folder):
 
 def logreg_report(spark, folder):
     """Accuracy, report and sizes of the logistic model on the held-out part."""
-    train, held_out = classify.logistic_split(labelled(spark, folder), "doc_id")
-    train, held_out = stored(train, "train"), stored(held_out, "held-out")
-    return classify.logistic_evaluation(train, held_out, "doc_id")
+    return classify.evaluation_rows(classify.logistic_job(labelled(spark, folder), "doc_id")[1])
 
 
 def logreg_optimum(spark, folder):
@@ -626,6 +633,59 @@ def stored_ids(spark, folder):
     return files.stored_ids(tweets.read())
 
 
+def capped_intake(spark, folder):
+    """Keys after a run, newest files first, that may take one row more than the newest has."""
+    place = scratch_path(spark, "newest")
+    tweets = KeyedTable(spark, f"{place}/tweets", TWEETS, "tweet_id", span=2_000, id_column="id")
+    events = _nested_events(spark, folder).drop("retweeted_status")
+    for kind in EVENT_KINDS:
+        landed = events.where(F.col("full_text") == kind).coalesce(1)
+        files.append_json_lines(landed, f"{place}/landing")
+        # File times tell landings apart.
+        time.sleep(0.05)
+    newest = events.where(F.col("full_text") == EVENT_KINDS[-1]).count()
+    intake.run_intake(spark, f"{place}/landing", f"{place}/progress", tweets, max_rows=newest + 1)
+    return files.stored_ids(tweets.read())
+
+
+def first_users_stream(spark, folder):
+    """Each user with the landing that named it first, in two runs of one stream."""
+    place = scratch_path(spark, "users")
+    users = KeyedTable(spark, f"{place}/users", USERS, "twitter_user_id", id_column="id")
+    events = table(spark, folder, "events")
+    for landing, rows in (("first", events.where("value >= 99")), ("second", events.where("value < 99 OR value IS NULL"))):
+        user = F.struct(
+            F.col("user_id").alias("id"),
+            F.concat(F.lit("user "), "user_id").alias("name"),
+            F.lit(landing).alias("location"),
+        )
+        files.append_json_lines(rows.select(F.col("event_id").alias("id"), user.alias("user")), f"{place}/landing")
+        intake.start_first_users(
+            spark, f"{place}/landing", f"{place}/progress", users
+        ).awaitTermination()
+    return users.read().select("twitter_user_id", "name", "location")
+
+
+def sentiments_checked(spark, folder):
+    """Labels of all documents, those with a label twice, into a table that refers to the latter."""
+    place = scratch_path(spark, "checked")
+    sentiments = KeyedTable(spark, f"{place}/rows", SENTIMENTS, "tweet_id", id_column="id")
+    parents = table(spark, folder, "labels").select(F.col("doc_id").alias("tweet_id"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("tweet_id"), F.col("text").alias("tweet_text"))
+    again = parents.select("tweet_id", F.lit("~ again").alias("tweet_text"))
+    batch = docs.unionByName(again).withColumns(
+        {f"sentiment_{kind}": F.lit("none") for kind in ("naivebayes", "textblob", "vader")}
+    )
+    rejects = f"{place}/rejects"
+    first = batch.where(F.length("tweet_text") < 1_000)
+    for part in (first, batch):
+        checked.insert_checked(sentiments, part, ["tweet_text"], rejects, parents)
+    written = sentiments.read().select("tweet_id", "tweet_text", F.lit("written").alias("outcome"))
+    return written.unionByName(
+        spark.read.parquet(rejects).select("tweet_id", "tweet_text", F.col("reason").alias("outcome"))
+    )
+
+
 def stream_users_once(spark, folder):
     _, users = _landed(spark, folder, refresh_users=False)
     return users.read().select("twitter_user_id", "name", "screen_name", "statuses_count")
@@ -669,6 +729,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ids_since": ids_since,
     "stratified_split": stratified_split,
     "split_counts": split_counts,
+    "write_counts": write_counts,
     "presence_nb_predict": presence_nb_predict,
     "nb_informative": nb_informative,
     "multinomial_nb_predict": multinomial_nb_predict,
@@ -697,4 +758,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_users_once": stream_users_once,
     "collect_batch": collect_batch,
     "stored_ids": stored_ids,
+    "capped_intake": capped_intake,
+    "first_users_stream": first_users_stream,
+    "sentiments_checked": sentiments_checked,
 }

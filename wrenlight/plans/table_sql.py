@@ -389,6 +389,9 @@ SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey > (
 SELECT doc_id, polarity, part FROM parts""",
     "split_counts": f"""WITH {_LABELLED},{_split("labelled", "polarity IN (0, 4)")}
 SELECT polarity, part, count(*) AS n FROM parts GROUP BY polarity, part""",
+    "write_counts": f"""WITH {_LABELLED},{_split("labelled", "polarity IN (0, 4)")}
+SELECT part, count(*) AS n FROM parts GROUP BY part
+UNION ALL SELECT 'rows', count(*) FROM parts""",
     "presence_nb_predict": f"""WITH {_LABELLED},{_presence("labelled", "documents")}
 SELECT doc_id, prediction FROM predicted""",
     "nb_informative": f"""WITH {_LABELLED},{_presence("labelled", "labelled")},
@@ -521,6 +524,30 @@ SELECT event_id AS tweet_id, {_SHOWN.format(k="event_type")} AS tweet_text, user
        {_EVENT_COUNT} AS retweet_count
 FROM events WHERE (event_id <= 4000 AND event_type <> 'error')
   OR event_id > (SELECT event_id FROM mark)""",
+    # The newest landings are those of the last two kinds.
+    "capped_intake": """
+SELECT event_id AS tweet_id FROM events WHERE event_type IN ('signup', 'error')""",
+    "first_users_stream": """
+SELECT user_id AS twitter_user_id, 'user ' || user_id AS name,
+       CASE WHEN bool_or(coalesce(value, 0) >= 99) THEN 'first' ELSE 'second' END AS location
+FROM events GROUP BY user_id""",
+    "sentiments_checked": """WITH batch AS (
+  SELECT doc_id AS tweet_id, text AS tweet_text, 0 AS place FROM documents
+  UNION ALL SELECT doc_id, '~ again', 1 FROM labels),
+runs AS (
+  SELECT *, 1 AS run FROM batch WHERE length(tweet_text) < 1000
+  UNION ALL SELECT *, 2 FROM batch),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run, tweet_id ORDER BY tweet_text) AS r FROM runs),
+parents AS (SELECT doc_id FROM labels),
+written AS (SELECT tweet_id, run FROM ranked WHERE r = 1 AND tweet_id IN (SELECT doc_id FROM parents)),
+first_run AS (SELECT tweet_id FROM written WHERE run = 1)
+SELECT tweet_id, tweet_text,
+       CASE WHEN r > 1 THEN 'repeated key'
+            WHEN run = 2 AND tweet_id IN (SELECT tweet_id FROM first_run) THEN 'stored key'
+            WHEN tweet_id NOT IN (SELECT doc_id FROM parents) THEN 'no parent'
+            ELSE 'written' END AS outcome
+FROM ranked""",
     "stored_ids": "SELECT event_id AS tweet_id FROM events",
     "stream_users_once": f"""WITH {_LANDED},
 named AS (

@@ -6,7 +6,7 @@ import uuid
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -40,6 +40,20 @@ def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> Dat
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
+def stored_observed(
+    df: DataFrame, name: str, session: SparkSession | None = None, **measures: Column
+) -> tuple[DataFrame, dict]:
+    """``stored``, with ``rows`` and the given aggregates, worked out by the write itself.
+
+    The tasks that write count as they go, so nothing is read a second time.
+    """
+    seen = Observation()
+    counted = df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), *(m.alias(n) for n, m in measures.items())
+    )
+    return stored(counted, name, session), seen.get
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` is small enough to broadcast, by its rows and the bytes of all columns.
 

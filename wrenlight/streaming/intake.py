@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,17 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 from wrenlight.operators import keyed, shape
 from wrenlight.schemas import RAW_TWEET, TWEET_REFRESH, USER_REFRESH
 from wrenlight.sources.keyed_table import KeyedTable
-from wrenlight.sources.scratch import stored
+from wrenlight.sources.scratch import stored_observed
 
 # Arrival order of a landed row: its file's time and name, its block and its place in it.
 ARRIVAL = ["arrived_at", "arrived_in", "arrived_block", "arrived_row"]
 
+# Fixed value: the cap of a run.
+MAX_ROWS = 1_000_000
+
+
+class Enough(Exception):
+    """Ends a run that has taken as many rows as it may, before the next batch is stored."""
+
 
 def landing_stream(
-    spark: SparkSession, folder: str, max_files: int | None = None
+    spark: SparkSession, folder: str, max_files: int | None = None, newest_first: bool = False
 ) -> DataFrame:
     """New JSON-lines files of a folder, each read once; ``max_files`` caps a batch."""
-    reader = spark.readStream.schema(RAW_TWEET)
+    reader = spark.readStream.schema(RAW_TWEET).option("latestFirst", newest_first)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(folder).select(
@@ -45,6 +53,27 @@ def first_users(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def start_first_users(
+    spark: SparkSession, folder: str, progress: str, users: KeyedTable, delay: str = "1 day"
+) -> StreamingQuery:
+    """Store each user as first seen, from what has landed since the last run, then stop.
+
+    The stream's state, kept in ``progress`` over restarts, drops repeats while the watermark
+    remembers them; ``users`` drops the later ones.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        users.insert_ignore(batch, ["arrived_at"], f"{progress}#{number}")
+
+    return (
+        first_users(landing_stream(spark, folder), delay)
+        .writeStream.option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .foreachBatch(store)
+        .start()
+    )
+
+
 def with_referenced(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tweets and users of a batch, with the tweets it refers to.
 
@@ -72,10 +101,10 @@ def store_batch(
     users: KeyedTable | None = None,
     refresh_users: bool = True,
     name: str | None = None,
-) -> None:
-    """Upsert one batch of nested tweets; repeating a named one changes nothing.
+) -> int:
+    """Upsert one batch of nested tweets and say how many; repeating a named one changes nothing.
 
-    Arrival columns that ``raw`` lacks say nothing, but for the row's place. The
+    The rows are counted while they are stored. Arrival columns that ``raw`` lacks say nothing, but for the row's place. The
     stored batch is read by the tables' session: a micro-batch's own session
     runs without adaptive execution.
     """
@@ -83,7 +112,7 @@ def store_batch(
     raw = raw.select("*", *[F.lit(0).alias(c) for c in lacking])
     if ARRIVAL[-1] not in raw.columns:
         raw = raw.withColumn(ARRIVAL[-1], F.monotonically_increasing_id())
-    raw = stored(raw, "intake", tweets.spark)
+    raw, seen = stored_observed(raw, "intake", tweets.spark)
     tweet_batch, user_batch = with_referenced(raw)
     tweets.upsert(tweet_batch, TWEET_REFRESH, ARRIVAL, name)
     if users is not None:
@@ -91,6 +120,7 @@ def store_batch(
             users.upsert(user_batch, USER_REFRESH, ARRIVAL, name)
         else:
             users.insert_ignore(user_batch, ARRIVAL, name)
+    return seen["rows"]
 
 
 def start_intake(
@@ -101,20 +131,55 @@ def start_intake(
     users: KeyedTable | None = None,
     max_files: int | None = None,
     refresh_users: bool = True,
+    newest_first: bool = False,
+    max_rows: int | None = None,
 ) -> StreamingQuery:
     """Process what has landed since the last run, batch by batch, then stop.
 
     ``progress`` is the streaming checkpoint: it records exactly which files
-    were stored, and a batch that died is repeated under its name.
+    were stored, and a batch that died is repeated under its name. A run that has taken
+    ``max_rows`` ends with ``Enough`` before the next batch, which the next run
+    begins with; see ``run_intake``.
     """
+    taken = 0
 
     def store(batch: DataFrame, number: int) -> None:
-        store_batch(batch, tweets, users, refresh_users, f"{progress}#{number}")
+        nonlocal taken
+        if max_rows is not None and taken >= max_rows:
+            raise Enough
+        taken += store_batch(batch, tweets, users, refresh_users, f"{progress}#{number}")
 
     return (
-        landing_stream(spark, folder, max_files)
+        landing_stream(spark, folder, max_files, newest_first)
         .writeStream.option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .foreachBatch(store)
         .start()
     )
+
+
+def run_intake(
+    spark: SparkSession,
+    folder: str,
+    progress: str,
+    tweets: KeyedTable,
+    users: KeyedTable | None = None,
+    max_rows: int = MAX_ROWS,
+    page_files: int = 1,
+    refresh_users: bool = True,
+) -> bool:
+    """One run of collecting: newest files first, ``page_files`` a batch, up to ``max_rows``.
+
+    The batch that reaches the cap is stored whole. Returns whether the cap ended the run;
+    what it left is taken by the next.
+    """
+    query = start_intake(
+        spark, folder, progress, tweets, users, page_files, refresh_users, True, max_rows
+    )
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if Enough.__name__ not in str(error):
+            raise
+        return True
+    return False
