@@ -237,6 +237,52 @@ def commented(text, mark):
     return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
 
 
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+
+
+def plain_matches(ids, rules):
+    """The rules tried in order at each place, one by one."""
+    found, at, unknown = [], 0, 0
+    while at < len(ids):
+        for rule in rules:
+            if tuple(ids[at : at + len(rule.sequence)]) == rule.sequence:
+                found.append(rule.license)
+                at += len(rule.sequence)
+                break
+        else:
+            if ids[at].startswith(licenses.TAGGED):
+                found.append(ids[at].removeprefix(licenses.TAGGED))
+            else:
+                unknown += 1
+            at += 1
+    return found, unknown
+
+
+def test_license_sequences_by_a_plain_matcher(spark):
+    draw = random.Random(8)
+    texts = [
+        MIT_TEXT.format(title="MIT License"), BSD_TEXT.format(third=BSD_THIRD), BSD_TEXT.format(third=""),
+        APACHE_TEXT, ISC_TEXT, UNLICENSE_TEXT, GNU_TEXT.format(kind="", version="3"),
+        "All rights reserved.", "An unknown license.", "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+    ]
+    rows = [(i, "\n\n".join(draw.choices(texts, k=draw.randrange(1, 6)))) for i in range(40)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        assert (r["licenses"], r["unknown"]) == plain_matches(r["sentence_ids"], licenses.RULES)
+    assert sum(len(r["licenses"]) for r in found) > 60
+
+
 def test_licenses_in_their_usual_forms(spark):
     texts = [
         (MIT_TEXT.format(title="MIT License"), ["MIT"], 0),
@@ -246,9 +292,9 @@ def test_licenses_in_their_usual_forms(spark):
         (APACHE_TEXT, ["Apache-2.0"], 0),
         (GNU_TEXT.format(kind="", version="3"), ["GPL-3.0-or-later"], 0),
         (GNU_TEXT.format(kind="", version="2"), ["GPL-2.0-or-later"], 0),
-        (GNU_TEXT.format(kind="Lesser ", version="3"), ["LGPL-3.0"], 0),
-        (GNU_TEXT.format(kind="Lesser ", version="2.1"), ["LGPL-2.1"], 0),
-        (GNU_TEXT.format(kind="Affero ", version="3"), ["AGPL-3.0"], 0),
+        (GNU_TEXT.format(kind="Lesser ", version="3"), ["LGPL-3.0-or-later"], 0),
+        (GNU_TEXT.format(kind="Lesser ", version="2.1"), ["LGPL-2.1-or-later"], 0),
+        (GNU_TEXT.format(kind="Affero ", version="3"), ["AGPL-3.0-or-later"], 0),
         ("It is released under the MIT License, see LICENSE", ["MIT"], 0),
         ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", ["MPL-2.0"], 0),
     ]
@@ -263,6 +309,32 @@ def test_licenses_in_their_usual_forms(spark):
     )]
     cases += [
         ("// SPDX-License-Identifier: MIT\nimport x", ["MIT"], 0),
+        ("# SPDX-License-Identifier: GPL-2.0+\n", ["GPL-2.0-or-later"], 0),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", ["GPL-2.0-or-later"], 0),
+        ("<!-- SPDX-License-Identifier: BSD-3-Clause -->", ["BSD-3-Clause"], 0),
+        ("Copyright X\n# SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode", ["(MIT OR Apache-2.0)"], 0),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"], 0),
+        ("License: MIT", ["MIT"], 0),
+        ("# License: GPL-3.0+\n# Author: me", ["GPL-3.0-or-later"], 0),
+        ("License: see the file", [], 1),
+        ("Released under the MIT Licence", ["MIT"], 0),
+        ("Licensed under the GNU LGPL", [], 1),
+        ("licensed under the GNU Lesser General Public License, version 2.1 or any later version", ["LGPL-2.1-or-later"], 0),
+        ("licensed under the GNU Lesser General Public License version 2.1 only", ["LGPL-2.1"], 0),
+        ("GNU Affero General Public License version 3 or (at your option) any later version", ["AGPL-3.0-or-later"], 0),
+        ("Eclipse Public License - v 2.0", ["EPL-2.0"], 0),
+        ("available under the Eclipse Public License 1.0", ["EPL-1.0"], 0),
+        (ISC_TEXT, ["ISC"], 0),
+        (UNLICENSE_TEXT, ["Unlicense"], 0),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it", ["Zlib"], 0),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"], 0),
+        ("Licensed under the 3-clause BSD license", ["BSD-3-Clause"], 0),
+        ("Distributed under the BSD 2-Clause License.", ["BSD-2-Clause"], 0),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"], 0),
+        ("subject to the Microsoft Public License (Ms-PL)", ["MS-PL"], 0),
+        ("under the Artistic License 2.0", ["Artistic-2.0"], 0),
+        ("Common Development and Distribution License (CDDL) Version 1.0", ["CDDL-1.0"], 0),
+        ("the Python Software Foundation License Version 2", ["PSF-2.0"], 0),
         ("Licensed under the MIT License; parts are licensed under the GNU General Public License, version 2.", ["MIT", "GPL-2.0"], 0),
         ("licensed under the GNU General Public License and not the Mozilla version 3", ["GPL"], 0),
         ("licensed under the GNU General Public License, version 2 as published", ["GPL-2.0"], 0),
