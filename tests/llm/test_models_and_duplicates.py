@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,11 +80,56 @@ def test_languages_of_odd_texts(spark):
     assert {r["lang_pred"] for r in language.identify(df, nothing).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """The 3- and 4-grams of a text's words, with a blank at each end."""
+    found, word = [], ""
+    for c in text + " ":
+        if c.isalpha():
+            word += c.lower() if len(c.lower()) == 1 else c
+            continue
+        if word:
+            padded = f" {word} "
+            found += [padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1)]
+        word = ""
+    return found
+
+
+def test_languages_by_sets_of_grams(spark):
+    """Filters decide as sets of n-grams do, but for texts that are almost even."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    rows = [r for r in docs.collect() if r["lang"] and r["text"]]
+    counts = {}
+    for r in rows:
+        counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    share = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    most = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            most[g] = max(most[g], x)
+    sets = {k: {g for g, x in s.items() if x >= 2e-6 and x >= 0.2 * most[g]} for k, s in share.items()}
+    filters = language.train(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, filters).collect()}
+    compared = 0
+    for r in rows:
+        grams = plain_grams(r["text"])
+        hits = {k: sum(g in s for g in grams) for k, s in sets.items()}
+        first, second = sorted(hits.values(), reverse=True)[:2]
+        if first - second > 0.05 * len(grams):
+            compared += 1
+            assert got[r["doc_id"]]["lang_pred"] == max(hits, key=hits.get)
+            assert abs(got[r["doc_id"]]["score"] - first / sum(hits.values())) < 0.05
+    assert compared > 0.9 * len(rows)
+
+
 def test_filters_hold_every_gram_and_few_others():
     draw = np.random.default_rng(1)
     grams = draw.integers(0, 2**63, 20_000, dtype=np.uint64)
-    holders = {int(g): [i % 70] for i, g in enumerate(grams)}
-    filters = language.Filters.build([str(i) for i in range(70)], holders, 16)
+    words = np.zeros((2, 1 << 16), np.uint64)
+    for places in language._places(grams, 16):
+        for i, place in enumerate(places):
+            words[i % 70 // 64, place] |= np.uint64(1 << (i % 70 % 64))
+    part, place = np.nonzero(words)
+    filters = language.Filters.of([str(i) for i in range(70)], part, place, words[part, place], 16)
     masks = filters.containing(grams)
     for i in (0, 3, 64, 69):
         bit = (masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenlight.llm.common import slices
+from wrenlight.llm.common import ship_package, slices
 
 #: Characters in an n-gram; a word is seen with a blank before and after it.
 GRAMS = (3, 4)
@@ -87,13 +87,12 @@ class Filters:
     false_rate: np.ndarray
 
     @classmethod
-    def build(cls, langs: list[str], holders: dict[int, list[int]], bits: int) -> Filters:
-        """``holders``: the hash of each n-gram and the languages that contain it."""
+    def of(
+        cls, langs: list[str], part: np.ndarray, place: np.ndarray, mask: np.ndarray, bits: int
+    ) -> Filters:
+        """``mask``: the languages of slice ``part`` whose filters hold ``place``, once each."""
         words = np.zeros((-(-max(len(langs), 1) // 64), 1 << bits), np.uint64)
-        for lang in range(len(langs)):
-            mine = np.array([g for g, who in holders.items() if lang in who], np.uint64)
-            for place in _places(mine, bits):
-                words[lang // 64, place] |= np.uint64(1 << (lang % 64))
+        words[part, place] = mask
         filled = [
             np.count_nonzero(words[i // 64] & np.uint64(1 << (i % 64))) for i in range(len(langs))
         ]
@@ -172,16 +171,16 @@ def train(
     of their text; a language with fewer gives all. A language contains an
     n-gram if that makes up ``least_share`` of its n-grams and ``rival`` of the
     share in any other language, which keeps names, quotes and words from
-    elsewhere out. So at most ``1 / least_share`` n-grams a language come to
-    the driver, however large the corpus, and the filters take ``2 ** bits``
-    words for each 64 languages.
+    elsewhere out. Spark sets the bits; at most ``2 ** bits`` words for each 64
+    languages, which are the filters, come to the driver.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
     names = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not names:
-        return Filters.build([], {}, bits)
+        return Filters.of([], *(np.zeros(0, np.int64) for _ in range(3)), bits)
     shares = F.create_map(
         *(F.lit(x) for k, n in names.items() for x in (k, min(1.0, rows_per_language / n)))
     )
@@ -211,11 +210,20 @@ def train(
         .getField("lang")
         .alias("langs"),
     ).where(F.size("langs") > 0)
-    place = {k: i for i, k in enumerate(langs)}
-    holders = {
-        r["gram"] & (2**64 - 1): [place[x] for x in r["langs"]] for r in holding.toLocalIterator()
-    }
-    return Filters.build(langs, holders, bits)
+    index = F.create_map(*(F.lit(x) for i, k in enumerate(langs) for x in (k, i)))
+    low = F.lit((1 << bits) - 1)
+    places = [F.shiftrightunsigned("gram", 28 * k).bitwiseAND(low) for k in range(PLACES)]
+    held = holding.select("gram", F.explode("langs").alias("lang")).select(
+        index[F.col("lang")].alias("index"), F.explode(F.array(*places)).alias("place")
+    )
+    bit = F.expr("shiftleft(1L, index % 64)")
+    table = (
+        held.groupBy(F.expr("index div 64").alias("part"), "place")
+        .agg(F.bit_or(bit).alias("mask"))
+        .toPandas()
+    )
+    part, place = (table[c].to_numpy(np.int64) for c in ("part", "place"))
+    return Filters.of(langs, part, place, table["mask"].to_numpy(np.int64).view(np.uint64), bits)
 
 
 def identify(
@@ -230,6 +238,7 @@ def identify(
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
