@@ -441,3 +441,11 @@ def test_lines_with_one_edit_are_found(spark):
     for edit, least in ((100, 49), (200, 76)):
         assert sum(kept[edit + i] for i, line in enumerate(lines) if len(line) >= least) <= 1
         assert all(kept[edit + i] for i, line in enumerate(lines) if len(line) < least)
+
+
+def test_near_duplicates_of_string_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [("b", " ".join(words)), ("a", " ".join(words + ["more"])), ("c", "other text"), (None, "x y")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    found = {r["doc_id"]: (r["class_id"], r["class_size"], r["kept"]) for r in got}
+    assert found == {"a": ("a", 2, True), "b": ("a", 2, False), "c": ("c", 1, True), None: (None, 1, True)}

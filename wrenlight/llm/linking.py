@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -83,7 +85,7 @@ def link(
     """``id, class`` for each id linked to another: the smallest id of its component.
 
     ``members`` holds ``bucket, id`` (long) and is read more than once; ``sets``
-    has one row an id; ``load`` turns lists of its other columns into ascending
+    has one row an id, the other columns binary or text; ``load`` turns lists of its other columns into ascending
     elements (64 bits) and their weights, a pair for each row.
 
     Buckets that overlap form a group: first the members of each are joined to
@@ -110,7 +112,9 @@ def link(
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
     placed = stored(grouped.select("id", "root", chunks.alias("chunks"), chunk.alias("chunk")), "placed")
-    groups = 4 * group_count(members.sparkSession)
+    payload = [c for c in sets.columns if c != "id"]
+    width = sets.agg(F.sum(reduce(add, (F.octet_length(c) for c in payload)))).first()[0] or 0
+    groups = max(group_count(members.sparkSession), 1 + width // GROUP_BYTES)
     alone = F.array(
         F.struct(
             F.pmod(F.xxhash64("root"), F.lit(groups)).alias("deal"),
@@ -131,7 +135,6 @@ def link(
     dealt = wide.withColumn("_seat", F.explode(seats)).select(
         "_seat.deal", "_seat.i", "_seat.j", "root", *sets.columns
     )
-    payload = [c for c in sets.columns if c != "id"]
     edges = dealt.groupBy("deal", "i", "j").applyInArrow(
         _spanning(load, payload, similarity), "a long, b long"
     )

@@ -16,9 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from wrenlight.llm.common import group_count, join_counted, slices
+from wrenlight.llm.common import group_count, join_counted, ship_package, slices
 from wrenlight.llm.linking import link
+from wrenlight.operators.ranking import with_rank
 from wrenlight.sources.scratch import stored
 
 #: Words in a shingle; a shorter text is one shingle.
@@ -41,6 +43,9 @@ HASH_BITS = 48
 #: A task sends what it has after so many shingles.
 FLUSH = 1_000_000
 
+#: Bytes of text whose shingles fall into one hash range, about; a task counts one range.
+RANGE_BYTES = 10 << 20
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -381,9 +386,13 @@ def near_duplicates(
 
     A text without words, null included, is a class of its own, and so is a row
     without id, whose class is null. Ids should be unique: repeated ones count
-    as one text's. Other columns are ignored; an empty table gives no rows.
+    as one text's. They may be of any type with an order; those that are no whole numbers
+    are numbered first. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship_package(spark)
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        return _by_number(docs, doc_id, text, similarity)
     body = F.col(text)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -398,7 +407,8 @@ def near_duplicates(
         "near-texts",
     )
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = group_count(spark)
+    size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    groups = max(group_count(spark), 1 + size // RANGE_BYTES)
     sent = rows.mapInArrow(_cut(groups), PACKED)
     answers = sent.groupBy("deal").applyInArrow(_count, PACKED)
     weighted = answers.groupBy("flush").applyInArrow(_draw(total, similarity), SETS)
@@ -431,3 +441,16 @@ def near_duplicates(
         F.when(single, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         class_id.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
+
+
+def _by_number(docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """``near_duplicates`` of rows whose ids are replaced by their numbers in order."""
+    rows = docs.select(F.col(doc_id).alias("name"), F.col(text).alias("text"))
+    names = rows.select("name").where("name IS NOT NULL").distinct()
+    numbers = stored(with_rank(names, [], ["name"], "number"), "near-ids")
+    numbered = rows.join(numbers, "name", "left").select(F.col("number").alias("doc_id"), "text")
+    found = near_duplicates(numbered, similarity=similarity)
+    for column in ("doc_id", "class_id"):
+        back = numbers.select(F.col("number").alias(column), "name")
+        found = found.join(back, column, "left").drop(column).withColumnRenamed("name", column)
+    return found.select("doc_id", "class_id", "class_size", "kept")
