@@ -156,6 +156,15 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.scan_unseen(first, older).count() == 2
 
 
+def test_secrets_in_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SHORT_LIST", 2)
+    many = " ".join(f"AKIA{i:020d}" for i in range(9))
+    rows = [(1, many), (2, "AKIA" + "A" * 20), (3, many), (4, None), (None, many)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), len([s for s in r["spans"] if s["kind"] == "access"])) for r in secrets.secrets(df).collect())
+    assert got == [("1", 9), ("2", 1), ("3", 9), ("4", 0), ("None", 9)]
+
+
 def test_license_rules(spark):
     apache = (
         "Licensed under the Apache License, Version 2.0 (the \"License\");\n"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenlight.llm.common import join_counted, slices
+from wrenlight.llm.common import join_counted, slices, ship_package
 from wrenlight.sources.scratch import stored
 
 # The patterns of each kind, in the order in which ties are listed.
@@ -90,6 +90,10 @@ def _scan(batches) -> Iterator:
         )
 
 
+#: Spans in a list that may be broadcast; there are less than a thousand such lists.
+SHORT_LIST = 1_000
+
+
 def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
     """``versions`` with the content address of its text (null: empty)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -104,6 +108,7 @@ def scan_unseen(
     Copies of a text become one row in the map task already and are scanned
     once. ``ledger`` holds the rows of earlier calls; append the result to it.
     """
+    ship_package(versions.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     blobs = (
         versions.select(F.sha2(body, 256).alias("blob"), body.alias("text"))
@@ -126,9 +131,18 @@ def findings_of(versions: DataFrame, ledger: DataFrame, text: str = "text") -> D
     hits = current.where(F.size("spans") > 0).select("blob", "spans", "copies")
     rows = addressed(versions, text).drop(text)
     total = current.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    found = join_counted(rows, hits, "blob", "copies", total, F.xxhash64(*rows.columns))
+    # Lists are broadcast with the blobs of many rows if they are short; long ones
+    # are joined by a shuffle, in which Spark can split the rows of one blob.
+    short = F.size("spans") <= SHORT_LIST
+    found = join_counted(
+        rows, hits.where(short), "blob", "copies", total, F.xxhash64(*rows.columns)
+    )
+    long = hits.where(~short).select(F.col("blob").alias("_blob"), F.col("spans").alias("_long"))
+    found = found.join(long, F.col("blob") == F.col("_blob"), "left")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    return found.drop("copies").withColumn("spans", F.coalesce("spans", none))
+    return found.drop("copies", "_blob").withColumn(
+        "spans", F.coalesce("spans", "_long", none)
+    ).drop("_long")
 
 
 def secrets(
