@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wrenlight.llm.common import SLICE_CHARS, slices
+from wrenlight.llm.common import SLICE_CHARS, ship_package, slices
 
 #: A text is accepted from this score on.
 ACCEPT = 0.3
@@ -200,6 +200,7 @@ def train(
     without id or label are left out; without labels of both kinds the score
     is a constant.
     """
+    ship_package(docs.sparkSession)
     marked = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).where(
         "_id IS NOT NULL AND y IN (0, 1)"
     )
@@ -250,9 +251,11 @@ def score(
     Null and empty texts have statistics of zero and are scored like others.
     Repeated rows and other columns need no care.
     """
+    ship_package(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), scorer(model)(F.col(text)).alias("score"))
 
 
 def accepted(docs: DataFrame, model: Trees, text: str = "text", least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``least``, all columns as they are."""
+    ship_package(docs.sparkSession)
     return docs.where(scorer(model)(F.col(text)) >= least)
