@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wrenlight.functions.text import without_apostrophes
 
-# A stop-word list is held by the driver; more words than this is not one.
+# A stop-word list is held by the driver; more words than this, unless told otherwise, is not one.
 MAX_STOPWORDS = 20_000
 
 
@@ -18,12 +18,16 @@ def plain_stopwords(words: DataFrame, column: str = "word") -> DataFrame:
 
 
 def remove_stopwords(
-    docs: DataFrame, words: DataFrame, text: str = "text", output: str = "kept"
+    docs: DataFrame,
+    words: DataFrame,
+    text: str = "text",
+    output: str = "kept",
+    max_words: int = MAX_STOPWORDS,
 ) -> DataFrame:
     """Add the text without the stop words; case matters, repeated words stay."""
-    listed = [row["word"] for row in words.select("word").limit(MAX_STOPWORDS + 1).collect()]
-    if len(listed) > MAX_STOPWORDS:
-        raise ValueError(f"more than {MAX_STOPWORDS} stop words")
+    listed = [row["word"] for row in words.select("word").limit(max_words + 1).collect()]
+    if len(listed) > max_words:
+        raise ValueError(f"more than {max_words} stop words")
     split = F.filter(F.split(F.col(text), r"\s+"), lambda word: word != "")
     remover = StopWordsRemover(
         inputCol="_words", outputCol="_kept", stopWords=listed, caseSensitive=True
