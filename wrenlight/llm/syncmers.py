@@ -8,6 +8,9 @@ that touch it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ FEW, GRAM = 10, 3
 #: A text is worked on in pieces of so many places, which overlap by ``K - 1``.
 PIECE = 2048
 
+#: Inner hashes of which the smallest is worked out once, at most K - S - 1.
+RUN = 3
+
 #: Ranges of ids for each shuffle partition, so that hashing the ranges deals them evenly.
 RANGES_PER_PARTITION = 4
 
@@ -50,11 +56,19 @@ def anchors(text: Column) -> Column:
             lambda at: F.xxhash64(F.substring(wide, at, F.lit(S * _WIDE))),
         )
 
-        def chosen(hashes: Column, least: Column, width: int) -> Column:
+        # The smallest of RUN hashes from each place on; such runs then cover all that lie
+        # between the edges. Nearly half of the places fail at the first run.
+        def runs(hashes: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), count + (window - RUN - 1)),
+                lambda i: F.least(*(F.get(hashes, i + k) for k in range(RUN))),
+            )
+
+        def chosen(hashes: Column, least: Column) -> Column:
             def closed(i: Column) -> Column:
+                at = [*range(1, window - 1 - RUN, RUN), window - 1 - RUN]
                 edge = F.least(F.get(hashes, i), F.get(hashes, i + (window - 1)))
-                between = F.least(F.get(least, i + 1), F.get(least, i + (window - 1 - width)))
-                return edge <= between
+                return reduce(and_, (edge <= F.get(least, i + k) for k in at))
 
             return F.transform(
                 F.filter(F.sequence(F.lit(0), count - 1), closed),
@@ -64,18 +78,7 @@ def anchors(text: Column) -> Column:
                 ),
             )
 
-        # The smallest of 1, 2, 4, ... hashes from each place on, as long as they lie
-        # between the edges; two such runs then cover all that does.
-        def doubled(hashes: Column, least: Column, width: int) -> Column:
-            if 2 * width > window - 2:
-                return chosen(hashes, least, width)
-            ahead = F.slice(least, F.lit(width + 1), F.size(least))
-            return _with(
-                F.zip_with(least, ahead, lambda a, b: F.least(a, b)),
-                lambda wider: doubled(hashes, wider, 2 * width)
-            )
-
-        return _with(inner, lambda hashes: doubled(hashes, hashes, 1))
+        return _with(inner, lambda hashes: _with(runs(hashes), lambda least: chosen(hashes, least)))
 
     return _with(F.encode(text, "UTF-32"), of_text)
 
