@@ -291,6 +291,40 @@ def test_linear_svc(texts):
     assert wrong.count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_sgd_as_by_brute_force(spark, blocks):
+    """A column for every term, one row after the other, blocks averaged after each pass."""
+    import numpy as np
+
+    rows = own_words(30) + [(30, 4, "")]
+    docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string").repartition(3)
+    model = linear.fit_sgd(docs, "tweet_id", map_label("polarity"), blocks=blocks)
+    names, x = plain_features([r[2] for r in rows], False)
+    sign = [1.0 if r[1] == 4 else -1.0 for r in rows]
+    drawn = docs.select("tweet_id", F.pmod(F.xxhash64(F.col("tweet_id").cast("string"), F.lit(42)), F.lit(blocks)).alias("block"), *(
+        F.xxhash64(F.col("tweet_id").cast("string"), F.lit(42), F.lit(k)).alias(f"o{k}") for k in range(5)
+    )).collect()
+    w, b, alpha = np.zeros(len(names)), 0.0, 1e-3
+    for number in range(5):
+        ends = []
+        for block in sorted({r["block"] for r in drawn}):
+            mine = sorted((r for r in drawn if r["block"] == block), key=lambda r: r[f"o{number}"])
+            v, c = w.copy(), b
+            for k, r in enumerate(mine):
+                i = r["tweet_id"]
+                step = 1 / (alpha * (1 / (alpha**-0.25 * alpha) + number * len(mine) + k))
+                short = sign[i] * (x[i] @ v + c) < 1
+                v *= 1 - step * alpha
+                if short:
+                    v += step * sign[i] * x[i]
+                    c += step * sign[i] * 0.01
+            ends.append((v, c))
+        w, b = np.mean([e[0] for e in ends], axis=0), np.mean([e[1] for e in ends])
+    found = {r["term"]: r["coef"] for r in model.coefficients().collect()}
+    assert found == pytest.approx(dict(zip(names, w)), abs=1e-8)
+    assert model.intercept == pytest.approx(b, abs=1e-9)
+
+
 def test_grid_search_shares_features(texts):
     labels = map_label("polarity")
     model, settings = linear.grid_search(texts, "tweet_id", labels)

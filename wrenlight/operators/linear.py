@@ -15,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.linalg import Vector
+from pyspark.ml.linalg import DenseVector, Vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from wrenlight.functions.text import term_counts, terms
 from wrenlight.operators.lookup import lookup
 from wrenlight.operators.ranking import with_rank
 from wrenlight.operators.tfidf import inverse_frequency
+from wrenlight.session import ship_package
 from wrenlight.sources.scratch import scratch_path, stored, stored_observed
 
 # Solver settings of the three models and the parameter grid.
@@ -38,12 +40,17 @@ GRID_NGRAMS = ((1, 1), (1, 2))
 GRID_ALPHA = (1e-2, 1e-3)
 FOLDS = 3
 SEED = 42
+SGD_PASSES = 5
+INTERCEPT_RATE = 0.01
 EXTREMES = 20
 
 # The driver holds one coefficient per shared term and text, so a model is fitted on about so
 # many labelled rows; a larger table is thinned by a hash of its keys.
 FIT_ROWS = 200_000
 
+# Blocks of rows that descend side by side.
+SGD_BLOCKS = 4
+
 
 @dataclass
 class LinearTextModel:
@@ -305,6 +312,132 @@ def fit_linear_svc(
     )
 
 
+def sgd_pass(
+    rows: list[tuple[float, np.ndarray, np.ndarray]],
+    weights: np.ndarray,
+    intercept: float,
+    alpha: float,
+    done: int,
+) -> tuple[np.ndarray, float, float]:
+    """One pass of stochastic gradient descent on the hinge loss over ``sign, slots, values``.
+
+    The step falls as ``1 / (alpha (t0 + t))``, ``t`` being the rows seen so far; ``t0`` makes the
+    first step as long as typical weights. Returns weights less their common scale, that
+    scale, and the intercept.
+    """
+    typical = alpha**-0.25
+    offset = 1.0 / (typical * alpha)
+    weights, scale = weights.copy(), 1.0
+    for t, (sign, slots, values) in enumerate(rows, done):
+        step = 1.0 / (alpha * (offset + t))
+        margin = sign * (scale * float(values @ weights[slots]) + intercept)
+        scale *= 1.0 - step * alpha
+        if margin < 1.0:
+            weights[slots] += step * sign / scale * values
+            intercept += step * sign * INTERCEPT_RATE
+    return weights, scale, intercept
+
+
+def _descend(sent, alpha: float, number: int, columns: int):
+    """Group task: a block's pass from the weights that were sent, as changes by column."""
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("order", "ascending")])
+        listed = (table.column(c).to_pylist() for c in ("sign", "slots", "values"))
+        rows = [
+            (sign, np.asarray(slots, np.int64), np.asarray(values, float))
+            for sign, slots, values in zip(*listed, strict=True)
+        ]
+        start, offset = sent.value
+        found, scale, shift = sgd_pass(rows, start, offset, alpha, number * len(rows))
+        # What the scale alone doesn't explain; the last two rows are scale and intercept.
+        at = np.flatnonzero(found != start)
+        return pa.table(
+            {
+                "slot": np.append(at, [columns, columns + 1]),
+                "change": np.append(scale * (found[at] - start[at]), [scale, shift]),
+            }
+        )
+
+    return run
+
+
+def fit_sgd(
+    docs: DataFrame,
+    key: str,
+    label: Column,
+    labels: tuple[str, str] = ("neg", "pos"),
+    ngram_range: tuple[int, int] = (1, 2),
+    alpha: float = HINGE_ALPHA,
+    passes: int = SGD_PASSES,
+    seed: int = SEED,
+    blocks: int = SGD_BLOCKS,
+    text: str = "text",
+    fit_rows: int = FIT_ROWS,
+) -> LinearTextModel:
+    """Counts of n-grams and a hinge model by ``passes`` of stochastic gradient descent.
+
+    The rows, numbered by key, are dealt to ``blocks`` by a hash of number and seed. In each pass every block goes
+    through its rows in an order drawn anew, from the same weights, and the blocks' weights
+    are averaged; with one block it is plain descent. The number of blocks, not that of
+    tasks, decides the result, so reruns agree. Terms of one text alone move
+    together, so their common column changes nothing here either.
+
+    A task holds the weights and one block; only the changes of a pass are sent back, summed by
+    column.
+    """
+    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    # The files hold one value beside the features, so it says the row too.
+    named = F.concat_ws(":", "row", (2 * F.col("label") - 1).cast("int"))
+    features = term_features(rows, total, ngram_range, weighted=False, label=named)
+    spark = docs.sparkSession
+    ship_package(spark)
+    words = F.split("value", " ")
+    head = F.get(words, 0)
+    name = F.substring_index(head, ":", 1)
+    entries = F.filter(F.slice(words, 2, F.size(words)), lambda e: e != "")
+    lines = spark.read.text(features.path).select(
+        name.alias("name"),
+        F.substring_index(head, ":", -1).cast("double").alias("sign"),
+        F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(blocks)).cast("int").alias("block"),
+        F.transform(
+            entries, lambda e: F.substring_index(e, ":", 1).cast("int") - 1
+        ).alias("slots"),
+        F.transform(
+            entries, lambda e: F.substring_index(e, ":", -1).cast("double")
+        ).alias("values"),
+    )
+    lines = stored(lines, "sgd-rows")
+    weights, intercept, columns = np.zeros(features.columns), 0.0, features.columns
+    for number in range(passes):
+        order = F.xxhash64("name", F.lit(seed), F.lit(number))
+        sent = spark.sparkContext.broadcast((weights, intercept))
+
+        descend = _descend(sent, alpha, number, columns)
+        moved = (
+            lines.withColumn("order", order)
+            .groupBy("block")
+            .applyInArrow(descend, "slot long, change double")
+            .groupBy("slot")
+            .agg(F.sum("change").alias("change"), F.count(F.lit(1)).alias("n"))
+            .toPandas()
+            .set_index("slot")
+        )
+        if columns not in moved.index:
+            break
+        used = int(moved.loc[columns, "n"])
+        weights = weights * (moved.loc[columns, "change"] / used)
+        intercept = float(moved.loc[columns + 1, "change"] / used)
+        changed = moved.drop([columns, columns + 1])
+        weights[changed.index.to_numpy()] += changed["change"].to_numpy() / used
+        sent.unpersist()
+    return LinearTextModel(
+        features.by_term(DenseVector(weights)), intercept, labels, ngram_range
+    )
+
+
 def grid_search(
     docs: DataFrame,
     key: str,

@@ -537,6 +537,14 @@ def linear_svc_predict(spark, folder):
     return classify.evaluated(model.predict(held_out, "doc_id"), held_out, "doc_id")
 
 
+def sgd_predict(spark, folder):
+    train, held_out = classify.logistic_split(labelled(spark, folder), "doc_id")
+    model = linear.fit_sgd(
+        stored(train, "train"), "doc_id", lb.map_label("polarity"), classify.TWO
+    )
+    return classify.evaluated(model.predict(held_out, "doc_id"), held_out, "doc_id")
+
+
 def grid_search(spark, folder):
     train, _ = classify.logistic_split(labelled(spark, folder), "doc_id")
     _, settings = linear.grid_search(
@@ -750,6 +758,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "logreg_optimum": logreg_optimum,
     "linear_extremes": linear_extremes,
     "linear_svc_predict": linear_svc_predict,
+    "sgd_predict": sgd_predict,
     "grid_search": grid_search,
     "json_round_trip": json_round_trip,
     "csv_round_trip": csv_round_trip,

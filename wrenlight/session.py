@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +20,7 @@ SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(
@@ -51,3 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="wrenlight-")
     return _local_dirs[context.applicationId]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python tasks, in case it isn't installed where they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="wrenlight-"))) / "wrenlight.zip"
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for file in sorted(package.rglob("*.py")):
+            zipped.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
