@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wrenlight.session import ship_package  # noqa: F401  the operators take it from here
+
 #: A key is hot when it holds more than one row in so many; fewer than this many keys can.
 HOT_SHARE = 1000
 
@@ -18,23 +16,6 @@ HOT_SHARE = 1000
 SLICE_CHARS = 2_000_000
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python tasks, in case it isn't installed where they run."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="wrenlight-"))) / "wrenlight.zip"
-    with zipfile.ZipFile(archive, "w") as zipped:
-        for file in sorted(package.rglob("*.py")):
-            zipped.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def group_count(spark: SparkSession) -> int:
     """Into how many groups work that is packed by hash is dealt.
 
