@@ -14,7 +14,7 @@ def test_flagship(spark):
 
 FAST = [
     "chi2_words_3class", "vocab_presence", "split_nested", "surrogate_ids", "presence_nb_predict",
-    "class_prf", "tfidf", "lang_filter",
+    "class_prf", "tfidf", "lang_filter", "write_counts", "sentiments_checked", "upsert_full",
 ]
 
 

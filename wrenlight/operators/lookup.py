@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenlight.sources.scratch import BROADCAST_ROWS, fits_broadcast, stored
@@ -16,15 +16,20 @@ HOT_TOKEN_BYTES = 256
 SALTS = 64
 
 
+def _head(key: str) -> Column:
+    """What of a token is counted: all of it, unless it is too long to broadcast."""
+    return F.left(F.col(key), F.lit(HOT_TOKEN_BYTES + 1))
+
+
 def hot_tokens(rows: DataFrame, key: str = "token") -> DataFrame:
     """The tokens in more than a thousandth of ``rows``, and perhaps a few that aren't.
 
     Frequent items are counted in the map tasks, each in bounded memory, and the
-    tasks' counts are merged, so no token is shuffled.
+    tasks' counts are merged, so no token is shuffled. Of long tokens the beginning is counted.
     """
-    some = rows.where(F.col(key).isNotNull())
+    some = rows.where(F.col(key).isNotNull()).select(_head(key).alias("head"))
     merged = some.agg(
-        F.expr(f"approx_top_k(`{key}`, {HOT_SHARE}, {TRACKED})").alias("top"),
+        F.expr(f"approx_top_k(head, {HOT_SHARE}, {TRACKED})").alias("top"),
         F.count(F.lit(1)).alias("all"),
     )
     listed = merged.select("all", F.inline("top"))
@@ -61,15 +66,16 @@ def lookup(
     long = hot.where(F.octet_length(key) > HOT_TOKEN_BYTES)
     if long.isEmpty():
         return often.unionByName(seldom.join(others, key, how))
-    # Hashes of the long tokens are few and short; another token with the same hash is
-    # only spread without need.
+    # Hashes of the long tokens' beginnings are few and short; another token with the same
+    # hash is only spread without need.
     hashes = F.broadcast(long.select(F.xxhash64(key).alias("_hash")))
+    head = F.xxhash64(_head(key))
     place = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
-    spread = seldom.join(hashes, F.xxhash64(key) == F.col("_hash"), "left").withColumn(
+    spread = seldom.join(hashes, head == F.col("_hash"), "left").withColumn(
         "_salt", F.when(F.col("_hash").isNull(), 0).otherwise(place)
     )
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    repeated = others.join(hashes, F.xxhash64(key) == F.col("_hash"), "left").withColumn(
+    repeated = others.join(hashes, head == F.col("_hash"), "left").withColumn(
         "_salt",
         F.explode(F.when(F.col("_hash").isNull(), F.array(F.lit(0).cast("long"))).otherwise(salts)),
     )
