@@ -191,7 +191,7 @@ def term_features(
     ).first()["idf"] if weighted else None
     value = F.col("tf") * F.coalesce("idf", F.lit(single if weighted else 1.0))
     met = stored(
-        lookup(counted, shared, "term", how="left").select(
+        lookup(counted, shared, "term", how="left", is_stored=True).select(
             "row", "slot", F.when(F.col("slot").isNull(), F.col("term")).alias("term"), value.alias("value")
         ),
         "linear-values",

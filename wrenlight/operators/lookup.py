@@ -44,11 +44,12 @@ def lookup(
     key: str = "token",
     max_rows: int = BROADCAST_ROWS,
     how: str = "inner",
+    is_stored: bool = False,
 ) -> DataFrame:
     """Join of ``rows`` with ``table`` (unique ``key``), ``inner`` or ``left``.
 
-    A table within the size check is broadcast. Else the rows are stored, so that
-    what makes them runs once, and the hot tokens are found in them: their part of the table,
+    A table within the size check is broadcast. Else the rows are stored, unless they
+    are a stored table already, so that what makes them runs once, and the hot tokens are found in them: their part of the table,
     under ``HOT_SHARE`` rows, is broadcast, whether or not they are frequent in
     the table, and the other tokens are joined by a shuffle. Hot tokens too long to
     broadcast are spread there over ``SALTS``. ``table`` must be stored. A null
@@ -56,7 +57,7 @@ def lookup(
     """
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), key, how)
-    rows = stored(rows, "lookup-rows")
+    rows = rows if is_stored else stored(rows, "lookup-rows")
     hot = stored(hot_tokens(rows, key), "hot-tokens")
     short = F.broadcast(hot.where(F.octet_length(key) <= HOT_TOKEN_BYTES))
     often = rows.join(short, key, "left_semi").join(

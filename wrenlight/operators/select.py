@@ -104,11 +104,11 @@ def best_words(scores: DataFrame, k: int) -> DataFrame:
 def score_bigrams(
     bigrams: DataFrame, words: DataFrame, score: ScoreFunction = chi_square
 ) -> DataFrame:
-    """``(w1, w2, n, score)`` from bigram counts and stored word counts."""
+    """``(w1, w2, n, score)`` from stored bigram counts and stored word counts."""
     total = words.agg(F.sum("n")).scalar()
     first = words.select(F.col("token").alias("w1"), F.col("n").alias("n1"))
     second = words.select(F.col("token").alias("w2"), F.col("n").alias("n2"))
-    joined = lookup(lookup(bigrams, first, "w1"), second, "w2")
+    joined = lookup(lookup(bigrams, first, "w1", is_stored=True), second, "w2")
     value = score(F.col("n"), F.col("n1"), F.col("n2"), total)
     return joined.select("w1", "w2", "n", F.round(value, SCORE_DIGITS).alias("score"))
 
