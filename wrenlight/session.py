@@ -19,6 +19,11 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Rows that go to a Python task at a time, where the session's settings name no number. Texts are
+#: long, and Spark's own 10,000 of them can fill hundreds of megabytes twice over.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
+
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -58,8 +63,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python tasks, in case it isn't installed where they run."""
+    """Send this package to the Python tasks, in case it isn't installed where they run.
+
+    Also bounds the rows of a batch in this session, unless its settings do.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH):
+        spark.conf.set(BATCH, BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
