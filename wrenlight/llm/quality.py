@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wrenlight.llm.common import SLICE_CHARS, ship_package, slices
+from wrenlight.llm.common import ship_package, slices
 
 #: A text is accepted from this score on.
 ACCEPT = 0.3
@@ -89,6 +89,10 @@ def statistics(texts: list[str]) -> np.ndarray:
     )
 
 
+#: Characters whose statistics are worked out at a time; a worker keeps what memory they took.
+SCORED_CHARS = 250_000
+
+
 @dataclass
 class Trees:
     """Boosted trees as arrays: the children of node ``i`` are ``2i + 1`` and ``2i + 2``."""
@@ -235,7 +239,7 @@ def scorer(model: Trees):
         whole = texts.fillna("").tolist()
         for end, text in enumerate(whole, 1):
             size += len(text)
-            if size >= SLICE_CHARS or end == len(whole):
+            if size >= SCORED_CHARS or end == len(whole):
                 found.append(model.scores(statistics(whole[start:end])))
                 start, size = end, 0
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
