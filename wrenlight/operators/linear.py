@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -186,9 +187,8 @@ def term_features(
     ranked = with_rank(df, [], ["term"], "slot").select("term", "slot", idf.alias("idf"))
     shared, seen = stored_observed(ranked, "linear-shared")
     size = seen["rows"]
-    single = rows.sparkSession.range(1).select(
-        inverse_frequency(F.lit(total), F.lit(1)).alias("idf")
-    ).first()["idf"] if weighted else None
+    # The idf of a term of one text.
+    single = log((1 + total) / 2) + 1 if weighted else None
     value = F.col("tf") * F.coalesce("idf", F.lit(single if weighted else 1.0))
     met = stored(
         lookup(counted, shared, "term", how="left", is_stored=True).select(

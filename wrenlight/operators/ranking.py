@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenlight.sources.scratch import fits_broadcast, stored
@@ -23,13 +23,29 @@ def with_rank(
     partition and group, counted from the stored result, makes it a position.
     Storing matters: range bounds are sampled and must be drawn only once.
     """
-    placed = stored(
-        df.repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn("_block", F.spark_partition_id())
-        .withColumn("_slot", F.monotonically_increasing_id()),
-        "ranked",
+    placed = _placed(
+        df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order), "ranked"
     )
+    return _positions(placed, group, df.columns, name)
+
+
+def numbered(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """Add a position from 0 on, in whatever order the rows come; no row is moved.
+
+    The rows are stored and read by ``session``, if given.
+    """
+    return _positions(_placed(df, "numbered", session), [], df.columns, name)
+
+
+def _placed(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """``df``, stored with each row's partition and slot in it."""
+    slots = {"_block": F.spark_partition_id(), "_slot": F.monotonically_increasing_id()}
+    return stored(df.withColumns(slots), name, session)
+
+
+def _positions(
+    placed: DataFrame, group: Sequence[str], columns: Sequence[str], name: str
+) -> DataFrame:
     block_keys = [*group, "_block"]
     blocks = placed.groupBy(*block_keys).agg(
         F.count(F.lit(1)).alias("_size"), F.min("_slot").alias("_first")
@@ -46,7 +62,7 @@ def with_rank(
         offsets = F.broadcast(offsets)
     same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in block_keys]
     return placed.join(offsets, same).select(
-        *df.columns, (F.col("_slot") + F.col("_shift")).alias(name)
+        *columns, (F.col("_slot") + F.col("_shift")).alias(name)
     )
 
 

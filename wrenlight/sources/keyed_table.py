@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wrenlight.operators import keyed
-from wrenlight.operators.ranking import assign_ids
+from wrenlight.operators.ranking import numbered
 from wrenlight.sources.files import exists
-from wrenlight.sources.scratch import fits_broadcast, stored
+from wrenlight.sources.scratch import stored
 
 #: Folders that share the rows without a key.
 KEYLESS = 64
 
+#: So many touched folders are named to the scan; more are found by a join.
+LISTED = 4_096
+
 
 @dataclass
 class KeyedTable:
@@ -48,24 +51,30 @@ class KeyedTable:
         """The content."""
         return self._rows().select(*self.schema.names)
 
-    def _staged(self, chosen: DataFrame, order: Sequence[str], name: str | None) -> DataFrame:
+    def _staged(self, chosen: DataFrame, name: str | None) -> DataFrame:
         """The batch with slices and ids, stored."""
         # Where a row without a key goes must not depend on its id.
         keyless = -1 - F.pmod(F.xxhash64(*chosen.columns), F.lit(KEYLESS))
         slices = F.coalesce(F.expr(f"`{self.key}` div {self.span}"), keyless)
         own = {"batch": F.lit(name).cast("string"), "slice": slices.cast("long")}
         chosen = chosen.withColumns(own)
-        if self.id_column:
-            highest = self._rows().agg(F.max(self.id_column)).first()[0] or 0
-            chosen = assign_ids(highest, chosen, [self.key, *order], self.id_column)
-        return stored(chosen, "batch", self.spark)
+        if not self.id_column:
+            return stored(chosen, "batch", self.spark)
+        highest = self._rows().agg(F.max(self.id_column)).first()[0] or 0
+        drawn = numbered(chosen.drop(self.id_column), self.id_column, self.spark)
+        return drawn.withColumn(self.id_column, F.col(self.id_column) + F.lit(highest + 1))
 
     def _touched(self, chosen: DataFrame, name: str | None) -> DataFrame:
         """The stored rows of the folders that the batch touches, less its own without a key."""
-        slices = stored(chosen.select("slice").distinct(), "slices", self.spark)
-        slices = F.broadcast(slices) if fits_broadcast(slices) else slices
+        slices = chosen.select("slice").distinct()
+        listed = [r["slice"] for r in slices.limit(LISTED + 1).collect()]
+        if len(listed) <= LISTED:
+            # Folders are left out when the scan is planned.
+            rows = self._rows().where(F.col("slice").isin(listed))
+        else:
+            rows = self._rows().join(slices, "slice", "left_semi")
         mine = F.col(self.key).isNull() & (F.col("batch") == F.lit(name))
-        return self._rows().join(slices, "slice", "left_semi").where(~F.coalesce(mine, F.lit(False)))
+        return rows.where(~F.coalesce(mine, F.lit(False)))
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         writer = rows.hint("rebalance", "slice").write.mode(mode).partitionBy("slice")
@@ -75,7 +84,7 @@ class KeyedTable:
         self, batch: DataFrame, update: Sequence[str], order: Sequence[str], name: str | None = None
     ) -> None:
         """Insert new keys, refresh ``update`` on stored ones; the last repeat wins."""
-        chosen = self._staged(keyed.last_per_key(batch, self.key, order), order, name)
+        chosen = self._staged(keyed.last_per_key(batch, self.key, order), name)
         rows = keyed.merge_unique(
             self._touched(chosen, name), chosen, self.key, [*update, "batch"]
         )
@@ -88,7 +97,7 @@ class KeyedTable:
             if not known.isEmpty():
                 batch = batch.where(F.col(self.key).isNotNull())
         fresh = keyed.absent(keyed.first_per_key(batch, self.key, order), self.read(), self.key)
-        chosen = self._staged(fresh, order, name)
+        chosen = self._staged(fresh, name)
         names = [*self.schema.names, "batch", "slice"]
         lacking = {n: F.lit(None) for n in names if n not in chosen.columns}
         kinds = {f.name: f.dataType for f in self._rows().schema.fields}
