@@ -358,3 +358,64 @@ def test_evaluation_as_rows(texts):
     rows = {(r["measure"], r["row"]): r["value"] for r in found}
     assert rows["accuracy", "all"] == 1.0 and rows["n", "train"] == 24
     assert rows["support", "pos"] == 4 and rows["f1", "macro avg"] == 1.0
+
+
+def test_fits_hold_a_number_for_each_row(spark, monkeypatch):
+    """What a pass is given and gives back has a number a row, whatever the terms are."""
+    import numpy as np
+
+    from wrenlight.operators import columns
+
+    rows = own_words(25) + [(25, 4, "")]
+    docs = spark.createDataFrame(rows, "tweet_id long, polarity int, text string").repartition(3)
+    train, total = linear.training_rows(docs, "tweet_id", map_label("polarity"), classify.TWO)
+    monkeypatch.setattr(columns, "CHUNK", 7)
+    for weighted in (False, True):
+        made = columns.term_columns(train, total, (1, 2), weighted)
+        with np.errstate(invalid="ignore"):
+            x = np.nan_to_num(plain_features([r[2] for r in rows], weighted)[1])
+        v = np.random.default_rng(1).normal(size=(2, total))
+        assert np.allclose(made.products(v), v @ x @ x.T)
+        assert made.own.any() and x.shape[1] > total
+    shapes, plain = [], columns.TermColumns.products
+    monkeypatch.setattr(columns.TermColumns, "products", lambda self, v: shapes.append(v.shape) or plain(self, v))
+    linear.fit_tfidf_logistic(docs, "tweet_id", map_label("polarity"), iterations=5)
+    linear.fit_linear_svc(docs, "tweet_id", map_label("polarity"))
+    assert set(shapes) == {(1, total)}
+
+
+def test_folds_and_penalties_share_each_pass(texts, monkeypatch):
+    from wrenlight.operators import columns
+
+    shapes, plain = [], columns.TermColumns.products
+    monkeypatch.setattr(columns.TermColumns, "products", lambda self, v: shapes.append(v.shape[0]) or plain(self, v))
+    linear.grid_search(texts, "tweet_id", map_label("polarity"), ngrams=((1, 1),))
+    assert shapes[0] == linear.FOLDS * len(linear.GRID_ALPHA)
+    assert len(shapes) <= 2 * (linear.HINGE_ITERATIONS + 1)
+
+
+def test_a_block_descends_batch_by_batch(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    pulled, seen = [], []
+
+    def batches():
+        for k in range(4):
+            pulled.append(k)
+            yield pa.RecordBatch.from_pydict(
+                {"block": [0, 0], "sign": [1.0, -1.0], "slots": [[0], [1, 2]], "values": [[1.0], [1.0, float(k)]]}
+            )
+
+    def watch(rows, weights, intercept, alpha, done):
+        seen.extend((len(pulled), sign, list(slots), list(values)) for sign, slots, values in rows)
+        return weights.copy(), 1.0, 0.0
+
+    class Sent:
+        value = (np.zeros(3), 0.0)
+
+    monkeypatch.setattr(linear, "sgd_pass", watch)
+    monkeypatch.setattr(linear.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    ends = list(linear._descend(Sent, 1e-3, 0, {0: 8})(batches()))
+    assert [s[0] for s in seen] == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert seen[5] == (3, -1.0, [1, 2], [1.0, 2.0]) and len(ends) == 2

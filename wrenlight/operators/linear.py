@@ -1,31 +1,40 @@
-"""Linear text classifiers: counts or TF-IDF of word n-grams, fitted by MLlib.
+"""Linear text classifiers: counts or TF-IDF of word n-grams.
 
 Most terms occur in one text alone. Under a squared penalty their coefficients are
 in proportion to their values in that text, so together they act as one column, whose value
-is the root of the sum of their squares. Features have a column for each shared
-term and one for each text; after the fit the text's coefficient is dealt to its own terms.
-The model is the same as with a column for every term, the solver's vectors
-are several times shorter.
+is the root of the sum of their squares. After the fit the text's coefficient is dealt to its
+own terms. The model is the same as with a column for every term.
 
-A fitted model is a table of terms; scoring is a join. Only the solver's vectors are on the driver.
+A fitted model is a table of terms; scoring is a join. The penalized models are fitted by
+``columns``, with a number for each row on the driver; the descent has its weights there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import product
+from itertools import groupby, pairwise, product
 from math import log
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.linalg import DenseVector, Vector
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenlight.functions.text import term_counts, terms
+from wrenlight.operators.columns import (
+    CHUNK,
+    SUMS_SCHEMA,
+    Fit,
+    TermColumns,
+    added,
+    descend,
+    hinge_loss,
+    logistic_loss,
+    sent_sums,
+    term_columns,
+)
 from wrenlight.operators.lookup import lookup
 from wrenlight.operators.ranking import with_rank
 from wrenlight.operators.tfidf import inverse_frequency
@@ -40,12 +49,13 @@ HINGE_ITERATIONS = 100
 GRID_NGRAMS = ((1, 1), (1, 2))
 GRID_ALPHA = (1e-2, 1e-3)
 FOLDS = 3
+TOLERANCE = 1e-6
 SEED = 42
 SGD_PASSES = 5
 INTERCEPT_RATE = 0.01
 EXTREMES = 20
 
-# The driver holds one coefficient per shared term and text, so a model is fitted on about so
+# The driver holds some numbers for each row, so a model is fitted on about so
 # many labelled rows; a larger table is thinned by a hash of its keys.
 FIT_ROWS = 200_000
 
@@ -149,21 +159,38 @@ class Features:
         reader = self.shared.sparkSession.read.format("libsvm")
         return reader.option("numFeatures", str(self.columns)).load(self.path)
 
-    def by_term(self, coefficients: Vector) -> DataFrame:
-        """Stored ``term, idf, coef`` of all terms."""
-        values = pd.DataFrame({"coef": coefficients.toArray()}).rename_axis("slot").reset_index()
+    def by_term(self, weights: np.ndarray) -> DataFrame:
+        """Stored ``term, idf, coef`` of all terms, by a weight for each column."""
         spark = self.shared.sparkSession
-        table = stored(spark.createDataFrame(values, "slot long, coef double"), "coefficients")
-        own = self.alone.withColumn("slot", F.col("row") + F.lit(self.columns - self.rows))
-        single = own.join(table, "slot").select(
+        ship_package(spark)
+        sent = spark.sparkContext.broadcast(weights)
+        weighed = _weighed(sent)
+        slot = F.col("row") + F.lit(self.columns - self.rows)
+        own = self.alone.select(
             "term",
             F.lit(self.single_idf).cast("double").alias("idf"),
-            (F.col("coef") * F.col("value") / F.col("whole")).alias("coef"),
-        )
-        return stored(
-            self.shared.join(table, "slot").select("term", "idf", "coef").unionByName(single),
-            "linear-model",
+            slot.alias("slot"),
+            (F.col("value") / F.col("whole")).alias("share"),
         )
+        columns = self.shared.select("term", "idf", "slot", F.lit(1.0).alias("share")).unionByName(own)
+        model = stored(columns.mapInArrow(weighed, "term string, idf double, coef double"), "linear-model")
+        sent.destroy()
+        return model
+
+
+def _weighed(sent):
+    """Task: the coefficients of terms, each its share of its column's weight."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            coef = sent.value[batch.column("slot").to_numpy()] * batch.column("share").to_numpy()
+            yield pa.RecordBatch.from_pydict(
+                {"term": batch.column("term"), "idf": batch.column("idf"), "coef": pa.array(coef)}
+            )
+
+    return run
 
 
 def term_features(
@@ -232,25 +259,28 @@ def fit_tfidf_logistic(
     text: str = "text",
     fit_rows: int = FIT_ROWS,
     iterations: int = LOGISTIC_ITERATIONS,
-    tolerance: float = 1e-6,
+    tolerance: float = TOLERANCE,
 ) -> LinearTextModel:
     """Unit-length TF-IDF of word n-grams and L2 logistic regression.
 
-    MLlib's objective is the mean loss, so the penalty of a summed loss with
+    The objective is the mean loss, so the penalty of a summed loss with
     strength ``C`` is ``1 / (C n)``.
     """
     rows, total = training_rows(docs, key, label, labels, text, fit_rows)
-    features = term_features(rows, total, ngram_range, weighted=True)
-    logistic = LogisticRegression(
-        regParam=1.0 / (INVERSE_STRENGTH * max(1, features.rows)),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=iterations,
-        tol=tolerance,
-    ).fit(features.read())
-    return LinearTextModel(
-        features.by_term(logistic.coefficients), logistic.intercept, labels, ngram_range
+    columns = term_columns(rows, total, ngram_range, weighted=True)
+    ones = columns.labels.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = float(np.log(ones / (total - ones))) if total else 0.0
+    logistic = Fit(
+        logistic_loss,
+        columns.labels,
+        1.0 / (INVERSE_STRENGTH * max(1, total)),
+        iterations,
+        tolerance,
+        start=odds,
     )
+    descend(columns, [logistic])
+    return _fitted(columns, logistic, labels, ngram_range)
 
 
 def largest_gradient(
@@ -289,8 +319,12 @@ def largest_gradient(
     )
 
 
-def _hinge(alpha: float = HINGE_ALPHA) -> LinearSVC:
-    return LinearSVC(regParam=alpha, standardization=False, maxIter=HINGE_ITERATIONS)
+def _fitted(columns: TermColumns, fit: Fit, labels, ngram_range) -> LinearTextModel:
+    return LinearTextModel(columns.model(fit.at.numbers), fit.at.intercept, labels, ngram_range)
+
+
+def _hinge(columns: TermColumns, alpha: float, used: np.ndarray | None = None) -> Fit:
+    return Fit(hinge_loss, columns.labels, alpha, HINGE_ITERATIONS, TOLERANCE, used)
 
 
 def fit_linear_svc(
@@ -305,15 +339,14 @@ def fit_linear_svc(
 ) -> LinearTextModel:
     """Counts of word n-grams and a linear classifier with hinge loss and L2 penalty."""
     rows, total = training_rows(docs, key, label, labels, text, fit_rows)
-    features = term_features(rows, total, ngram_range, weighted=False)
-    hinge = _hinge(alpha).fit(features.read())
-    return LinearTextModel(
-        features.by_term(hinge.coefficients), hinge.intercept, labels, ngram_range
-    )
+    columns = term_columns(rows, total, ngram_range, weighted=False)
+    hinge = _hinge(columns, alpha)
+    descend(columns, [hinge])
+    return _fitted(columns, hinge, labels, ngram_range)
 
 
 def sgd_pass(
-    rows: list[tuple[float, np.ndarray, np.ndarray]],
+    rows: Iterable[tuple[float, np.ndarray, np.ndarray]],
     weights: np.ndarray,
     intercept: float,
     alpha: float,
@@ -338,28 +371,38 @@ def sgd_pass(
     return weights, scale, intercept
 
 
-def _descend(sent, alpha: float, number: int, columns: int):
-    """Group task: a block's pass from the weights that were sent, as changes by column."""
+def _listed(batches) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    """``block, sign, slots, values`` of rows, one after the other, as arrays over the batch."""
+    for batch in batches:
+        blocks, signs = (batch.column(c).to_pylist() for c in ("block", "sign"))
+        lists = [batch.column(c) for c in ("slots", "values")]
+        bounds = lists[0].offsets.to_numpy()
+        slots, values = (x.values.to_numpy() for x in lists)
+        for i, (start, end) in enumerate(pairwise(bounds)):
+            yield blocks[i], signs[i], slots[start:end], values[start:end]
 
-    def run(table):
-        import pyarrow as pa
 
-        table = table.sort_by([("order", "ascending")])
-        listed = (table.column(c).to_pylist() for c in ("sign", "slots", "values"))
-        rows = [
-            (sign, np.asarray(slots, np.int64), np.asarray(values, float))
-            for sign, slots, values in zip(*listed, strict=True)
-        ]
+def _descend(sent, alpha: float, number: int, sizes: dict[int, int]):
+    """Task: the passes of its blocks from the weights that were sent, added up.
+
+    Rows come block by block in the order of the pass and are let go one batch after the other.
+    The last place holds the intercepts and the number of blocks.
+    """
+
+    def run(batches):
         start, offset = sent.value
-        found, scale, shift = sgd_pass(rows, start, offset, alpha, number * len(rows))
-        # What the scale alone doesn't explain; the last two rows are scale and intercept.
-        at = np.flatnonzero(found != start)
-        return pa.table(
-            {
-                "slot": np.append(at, [columns, columns + 1]),
-                "change": np.append(scale * (found[at] - start[at]), [scale, shift]),
-            }
-        )
+        places = -(-len(start) // CHUNK)
+        total, ends = np.zeros(0), np.zeros(2)
+        for block, rows in groupby(_listed(batches), key=itemgetter(0)):
+            entries = (row[1:] for row in rows)
+            found, scale, shift = sgd_pass(entries, start, offset, alpha, number * sizes[block])
+            found *= scale
+            total = total + found if len(total) else found
+            ends += [shift, 1.0]
+        if ends[1]:
+            task = TaskContext.get().partitionId()
+            yield from sent_sums(total, task)
+            yield from sent_sums(ends, task, places)
 
     return run
 
@@ -385,8 +428,8 @@ def fit_sgd(
     tasks, decides the result, so reruns agree. Terms of one text alone move
     together, so their common column changes nothing here either.
 
-    A task holds the weights and one block; only the changes of a pass are sent back, summed by
-    column.
+    A task holds the weights and one batch of rows, which Spark has sorted; the blocks' weights
+    are added up by tasks.
     """
     rows, total = training_rows(docs, key, label, labels, text, fit_rows)
     # The files hold one value beside the features, so it says the row too.
@@ -410,32 +453,19 @@ def fit_sgd(
         ).alias("values"),
     )
     lines = stored(lines, "sgd-rows")
-    weights, intercept, columns = np.zeros(features.columns), 0.0, features.columns
-    for number in range(passes):
+    sizes = {r["block"]: r["count"] for r in lines.groupBy("block").count().collect()}
+    weights, intercept = np.zeros(features.columns), 0.0
+    for number in range(passes if sizes else 0):
         order = F.xxhash64("name", F.lit(seed), F.lit(number))
         sent = spark.sparkContext.broadcast((weights, intercept))
-
-        descend = _descend(sent, alpha, number, columns)
-        moved = (
-            lines.withColumn("order", order)
-            .groupBy("block")
-            .applyInArrow(descend, "slot long, change double")
-            .groupBy("slot")
-            .agg(F.sum("change").alias("change"), F.count(F.lit(1)).alias("n"))
-            .toPandas()
-            .set_index("slot")
-        )
-        if columns not in moved.index:
-            break
-        used = int(moved.loc[columns, "n"])
-        weights = weights * (moved.loc[columns, "change"] / used)
-        intercept = float(moved.loc[columns + 1, "change"] / used)
-        changed = moved.drop([columns, columns + 1])
-        weights[changed.index.to_numpy()] += changed["change"].to_numpy() / used
-        sent.unpersist()
-    return LinearTextModel(
-        features.by_term(DenseVector(weights)), intercept, labels, ngram_range
-    )
+        dealt = lines.withColumn("order", order).repartition(blocks, "block")
+        ordered = dealt.sortWithinPartitions("block", "order").drop("order", "name")
+        found = added(ordered.mapInArrow(_descend(sent, alpha, number, sizes), SUMS_SCHEMA))
+        sent.destroy()
+        shift, used = found.pop(max(found))
+        intercept = float(shift / used)
+        weights = np.concatenate([found[place] for place in sorted(found)]) / used
+    return LinearTextModel(features.by_term(weights), intercept, labels, ngram_range)
 
 
 def grid_search(
@@ -445,7 +475,6 @@ def grid_search(
     labels: tuple[str, str] = ("neg", "pos"),
     text: str = "text",
     folds: int = FOLDS,
-    parallelism: int = 6,
     fit_rows: int = FIT_ROWS,
     ngrams: Sequence[tuple[int, int]] = GRID_NGRAMS,
     alphas: Sequence[float] = GRID_ALPHA,
@@ -454,49 +483,34 @@ def grid_search(
 
     Returns the best model and ``(ngram_high, alpha, accuracy)`` per setting.
 
-    All folds share the features of an n-gram range, made once from all rows: a term that
-    a fold's training rows lack keeps the coefficient 0, and so does the column of a row that is
-    held out, as if neither were there. Folds are drawn by a hash of the key.
+    All fits of an n-gram range share its columns, made once from all rows, and each pass over
+    them: a row that is held out has no slope, so terms that a fold's training rows lack keep the
+    coefficient 0. The margins of the rows held out are known when a fit ends. Folds are drawn by
+    a hash of the key.
     """
     rows, total = training_rows(docs, key, label, labels, text, fit_rows)
     fold = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(folds)).cast("int")
-    made, tables = {}, {}
+    told = rows.select("row", fold.alias("fold")).toArrow()
+    held = np.zeros(total, np.int32)
+    held[told.column("row").to_numpy()] = told.column("fold").to_numpy()
+    made, means = {}, {}
     for ngram_range in ngrams:
-        # The files hold one number beside the features, so it says the fold too.
-        made[ngram_range] = term_features(
-            rows, total, ngram_range, False, F.col("label") + 2 * fold
-        )
-        tables[ngram_range] = stored(
-            made[ngram_range].read().select(
-                (F.col("label") % 2).alias("label"),
-                F.floor(F.col("label") / 2).cast("int").alias("fold"),
-                "features",
-            ),
-            "grid-features",
-        )
-
-    def accuracy(setting: tuple[tuple[int, int], float, int]) -> float | None:
-        ngram_range, alpha, held = setting
-        table = tables[ngram_range]
-        # A copy, as it leaves out the training summary, which holds the session.
-        fitted = _hinge(alpha).fit(table.where(F.col("fold") != held)).copy()
-        hit = (F.col("prediction") == F.col("label")).cast("double")
-        return fitted.transform(table.where(F.col("fold") == held)).agg(F.avg(hit)).first()[0]
-
+        columns = made[ngram_range] = term_columns(rows, total, ngram_range, False)
+        fits = [_hinge(columns, alpha, held != k) for alpha, k in product(alphas, range(folds))]
+        descend(columns, fits)
+        for i, alpha in enumerate(alphas):
+            reached = []
+            for k, fit in enumerate(fits[i * folds : (i + 1) * folds]):
+                above = fit.at.product + fit.at.intercept > 0
+                hits = (above == (columns.labels > 0))[held == k]
+                reached += [float(hits.mean())] if len(hits) else []
+            means[ngram_range, alpha] = sum(reached) / len(reached) if reached else 0.0
     pairs = list(product(ngrams, alphas))
-    # Each fit is a chain of small jobs; side by side they fill the cluster.
-    with ThreadPoolExecutor(parallelism) as pool:
-        reached = list(pool.map(accuracy, [(*pair, k) for pair in pairs for k in range(folds)]))
-    means = []
-    for i in range(len(pairs)):
-        known = [r for r in reached[i * folds : (i + 1) * folds] if r is not None]
-        means.append(sum(known) / len(known) if known else 0.0)
-    ngram_range, alpha = pairs[max(range(len(pairs)), key=means.__getitem__)]
-    chosen = _hinge(alpha).fit(tables[ngram_range])
-    model = LinearTextModel(
-        made[ngram_range].by_term(chosen.coefficients), chosen.intercept, labels, ngram_range
-    )
-    settings = [(n[1], alpha, mean) for (n, alpha), mean in zip(pairs, means, strict=True)]
-    return model, docs.sparkSession.createDataFrame(
+    ngram_range, alpha = max(pairs, key=means.__getitem__)
+    columns = made[ngram_range]
+    chosen = _hinge(columns, alpha)
+    descend(columns, [chosen])
+    settings = [(n[1], alpha, means[n, alpha]) for n, alpha in pairs]
+    return _fitted(columns, chosen, labels, ngram_range), docs.sparkSession.createDataFrame(
         settings, "ngram_high int, alpha double, accuracy double"
     )
