@@ -318,3 +318,27 @@ def test_rows_are_counted_by_their_write(spark):
     rows = spark.range(1000).withColumn("part", F.col("id") % 3)
     table, seen = stored_observed(rows, "seen", first=F.count_if(F.col("part") == 0))
     assert seen == {"rows": 1000, "first": 334} and table.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["stored_ids", "capped_intake"])
+def test_landings_are_joined_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """A landing is one file, but the task that writes it doesn't make its rows."""
+    from wrenlight.plans import table_queries
+
+    rows = ["id event_id", "timestamp'2024-01-01' ts", "id % 7 user_id", "'view' event_type", "1.0D value", "'{}' props"]
+    spark.range(50).selectExpr(*rows).write.parquet(str(tmp_path / "events.parquet"))
+    landed = []
+
+    class Landed(Exception):
+        pass
+
+    def look(df, folder):
+        landed.append(df)
+        raise Landed
+
+    monkeypatch.setattr(table_queries.files, "append_json_lines", look)
+    with pytest.raises(Landed):
+        table_queries.QUERIES[name](spark, str(tmp_path))
+    plan = landed[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1, true" in plan and "Repartition 1, false" not in plan
+    assert landed[0].rdd.getNumPartitions() == 1 and landed[0].count() == 50

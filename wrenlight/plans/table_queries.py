@@ -633,7 +633,7 @@ def stored_ids(spark, folder):
     tweets = KeyedTable(spark, f"{place}/tweets", TWEETS, "tweet_id", span=2_000, id_column="id")
     events = _nested_events(spark, folder).drop("retweeted_status")
     for kind in EVENT_KINDS:
-        landed = events.where(F.col("full_text") == kind).coalesce(1)
+        landed = events.where(F.col("full_text") == kind).repartition(1)
         files.append_json_lines(landed, f"{place}/landing")
     intake.start_intake(
         spark, f"{place}/landing", f"{place}/progress", tweets, max_files=1
@@ -647,7 +647,7 @@ def capped_intake(spark, folder):
     tweets = KeyedTable(spark, f"{place}/tweets", TWEETS, "tweet_id", span=2_000, id_column="id")
     events = _nested_events(spark, folder).drop("retweeted_status")
     for kind in EVENT_KINDS:
-        landed = events.where(F.col("full_text") == kind).coalesce(1)
+        landed = events.where(F.col("full_text") == kind).repartition(1)
         files.append_json_lines(landed, f"{place}/landing")
         # File times tell landings apart.
         time.sleep(0.05)
