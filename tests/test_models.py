@@ -419,3 +419,27 @@ def test_a_block_descends_batch_by_batch(monkeypatch):
     ends = list(linear._descend(Sent, 1e-3, 0, {0: 8})(batches()))
     assert [s[0] for s in seen] == [1, 1, 2, 2, 3, 3, 4, 4]
     assert seen[5] == (3, -1.0, [1, 2], [1.0, 2.0]) and len(ends) == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_of_frequent_tokens_first(spark, monkeypatch, how):
+    """What the table's counts call frequent is broadcast; only the other rows are stored."""
+    from wrenlight.operators import lookup
+
+    rows = [(i, None if i % 50 == 0 else f"t{i % 90}" if i % 3 else "hot") for i in range(2000)]
+    docs = stored(spark.createDataFrame(rows, "id long, token string"), "docs")
+    listed = [(f"t{k}", k, 100 - k) for k in range(0, 80)] + [("hot", 1000, 1)]
+    table = stored(spark.createDataFrame(listed, "token string, weight long, n long"), "listed")
+    sizes, plain = [], lookup.stored
+    monkeypatch.setattr(lookup, "stored", lambda df, name: sizes.append((name, df.count())) or plain(df, name))
+    found = lookup.lookup(docs, table, max_rows=40, how=how, count=F.col("n"))
+    got = sorted((r["id"], r["token"], r["weight"]) for r in found.collect()) if how == "inner" else None
+    known = {t: w for t, w, _ in listed}
+    if how == "inner":
+        assert got == sorted((i, t, known[t]) for i, t in rows if t in known)
+    else:
+        got = {r["id"]: r["weight"] for r in found.collect()}
+        assert got == {i: known.get(t) for i, t in rows} and found.count() == len(rows)
+    kept = lookup.frequent(table, F.col("n"), 40)
+    assert 20 <= table.where(kept).count() <= 40
+    assert dict(sizes)["lookup-rows"] < 1700

@@ -31,15 +31,17 @@ def lexicon_scores(
 ) -> DataFrame:
     """``(key, score)`` for every row; a text without lexicon tokens scores 0.
 
-    ``lexicon`` is a stored table ``(token, weight)`` with distinct tokens. ``how`` is the
+    ``lexicon`` is a stored table ``(token, weight)`` with distinct tokens, and perhaps their
+    counts ``n``. ``how`` is the
     ``mean`` weight, or the ``compound`` of the summed weights. ``key`` should be
     unique: rows of one key, null included, are one text.
     """
     if how not in ("mean", "compound"):
         raise ValueError(f"unknown score: {how}")
     rows = docs.select(key, F.explode(tokens).alias("token"))
-    weights = lexicon.select("token", "weight")
-    hits = lookup(rows, weights, max_rows=max_rows).select(key, "weight")
+    known = [c for c in ("token", "weight", "n") if c in lexicon.columns]
+    count = F.coalesce("n", F.lit(0)) if "n" in known else None
+    hits = lookup(rows, lexicon.select(known), max_rows=max_rows, count=count).select(key, "weight")
     every = docs.select(key, F.lit(None).cast("double").alias("weight"))
     sums = hits.unionByName(every).groupBy(key).agg(
         F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total"), F.count("weight").alias("found")

@@ -108,7 +108,8 @@ def score_bigrams(
     total = words.agg(F.sum("n")).scalar()
     first = words.select(F.col("token").alias("w1"), F.col("n").alias("n1"))
     second = words.select(F.col("token").alias("w2"), F.col("n").alias("n2"))
-    joined = lookup(lookup(bigrams, first, "w1", is_stored=True), second, "w2")
+    met = lookup(bigrams, first, "w1", is_stored=True, count=F.col("n1"))
+    joined = lookup(met, second, "w2", count=F.col("n2"))
     value = score(F.col("n"), F.col("n1"), F.col("n2"), total)
     return joined.select("w1", "w2", "n", F.round(value, SCORE_DIGITS).alias("score"))
 
