@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from wrenlight.operators import shape
 from wrenlight.plans import collect as plans
 from wrenlight.schemas import LABELLED, RAW_TWEET, TWEET, TWEETS, USERS
-from wrenlight.sources import checked, files
+from wrenlight.sources import checked, files, keyed_table
 from wrenlight.sources.keyed_table import KeyedTable
 from wrenlight.sources.scratch import scratch_path, stored_observed
 from wrenlight.streaming import intake
@@ -108,6 +108,37 @@ def test_keyed_table_rewrites_touched_folders_only(spark):
     assert content(table, "tweet_id", "tweet_text") == [(0, "a"), (10, "a"), (11, "b"), (12, "c"), (25, "a")]
 
 
+def test_folders_do_not_grow_with_a_batch(spark, monkeypatch):
+    """A batch over many ranges takes few folders; its keys are found by batches of any size."""
+    table, _ = tables(spark)
+    schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
+
+    def wide(text, first, count, step):
+        rows = spark.range(count).selectExpr(f"id * {step} + {first} tweet_id", f"'{text}' tweet_text")
+        return rows.selectExpr("*", "1 retweet_count", "0 seq")
+
+    def folders():
+        return {f.rsplit("/", 2)[1] for f in table.read().inputFiles()}
+
+    table.upsert(spark.createDataFrame([(5, "a", 1, 0), (-25, "a", 1, 0)], schema), ["retweet_count"], ["seq"])
+    table.upsert(wide("b", -3_000, 1_000, 10), ["retweet_count"], ["seq"])
+    assert len(folders()) < 300
+    before = folders()
+    small = [(-3_000, "c", 7, 0), (-25, "c", 7, 0), (5, "c", 7, 0), (6_990, "c", 7, 0), (None, "c", 7, 0)]
+    table.upsert(spark.createDataFrame(small, schema), ["retweet_count"], ["seq"])
+    assert len(folders()) == len(before) + 1
+    table.insert_ignore(wide("d", -3_000, 2_000, 5), ["seq"])
+    monkeypatch.setattr(keyed_table, "LISTED", 3)
+    table.upsert(wide("e", -3_000, 6_000, 70), ["retweet_count"], ["seq"])
+    rows = table.read().collect()
+    expected = {n: ("e", 1) for n in range(-3_000, 417_000, 70)}
+    expected |= {n: ("d", 1) for n in range(-3_000, 7_000, 5)}
+    expected |= {n: ("b", 1) for n in range(-3_000, 7_000, 10)}
+    expected |= {-25: ("a", 7), 5: ("a", 7), 6_990: ("b", 7), None: ("c", 7)}
+    assert {r["tweet_id"]: (r["tweet_text"], r["retweet_count"]) for r in rows} == expected
+    assert len(rows) == len(expected) == len({r["id"] for r in rows})
+
+
 def test_repeated_batch_changes_nothing(spark):
     table, _ = tables(spark)
     schema = "tweet_id long, tweet_text string, retweet_count int, seq int"
