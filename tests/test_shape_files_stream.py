@@ -373,3 +373,17 @@ def test_landings_are_joined_by_many_tasks(spark, tmp_path, monkeypatch, name):
     plan = landed[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 1, true" in plan and "Repartition 1, false" not in plan
     assert landed[0].rdd.getNumPartitions() == 1 and landed[0].count() == 50
+
+
+def test_landings_join_plain_columns(spark, tmp_path):
+    """Tweets are made behind the join, so it doesn't shuffle the fields they repeat."""
+    from wrenlight.plans import table_queries
+
+    kinds = "element_at(array('view', 'purchase'), int(id % 2) + 1) event_type"
+    rows = ["id event_id", "timestamp'2024-01-01' ts", "id % 7 user_id", kinds, "1.0D value", "'{\"k\": 3}' props"]
+    spark.range(6).selectExpr(*rows).write.parquet(str(tmp_path / "events.parquet"))
+    nested = table_queries._nested_events(spark, str(tmp_path))
+    below = nested._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "date_format" not in below and "get_json_object" not in below
+    found = {r["id"]: r["retweeted_status"] and r["retweeted_status"]["id"] for r in nested.collect()}
+    assert found == {0: None, 1: 0, 2: None, 3: 2, 4: None, 5: 4}

@@ -214,15 +214,20 @@ def _event_struct(prefix: str = "") -> list:
 
 
 def _nested_events(spark, folder) -> DataFrame:
-    """Events as nested tweets; a purchase refers to the event before it."""
+    """Events as nested tweets; a purchase refers to the event before it.
+
+    The join moves the plain columns; tweets are made of them behind it.
+    """
     events = table(spark, folder, "events")
     before = events.select(
-        (F.col("event_id") + 1).alias("next_id"), F.struct(*_event_struct()).alias("before")
+        (F.col("event_id") + 1).alias("next_id"),
+        *[F.col(name).alias(f"before_{name}") for name in events.columns],
     )
     joined = events.join(before, F.col("event_id") == F.col("next_id"), "left")
+    refers = (F.col("event_type") == "purchase") & F.col("next_id").isNotNull()
     nested = joined.select(
         *_event_struct(),
-        F.when(F.col("event_type") == "purchase", F.col("before")).alias("retweeted_status"),
+        F.when(refers, F.struct(*_event_struct("before_"))).alias("retweeted_status"),
     )
     return nested.select(*[F.col(f.name).cast(f.dataType) for f in RAW_TWEET.fields])
 
