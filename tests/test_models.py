@@ -443,3 +443,65 @@ def test_lookup_of_frequent_tokens_first(spark, monkeypatch, how):
     kept = lookup.frequent(table, F.col("n"), 40)
     assert 20 <= table.where(kept).count() <= 40
     assert dict(sizes)["lookup-rows"] < 1700
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("fit", ["fit_tfidf_logistic", "fit_linear_svc", "fit_sgd", "grid_search"])
+def test_models_are_fitted_on_all_rows(spark, monkeypatch, fit):
+    """More labelled rows than once were fitted at most, 200,000: none is left out."""
+    rows = 201_000
+    docs = spark.range(rows).select(
+        F.col("id").alias("tweet_id"), (F.col("id") % 2 * 4).cast("int").alias("polarity"), F.lit("same").alias("text")
+    )
+    seen = []
+
+    def stop(train, total, *args, **settings):
+        seen.append((total, train.count(), train.select("key").distinct().count()))
+        raise Stop
+
+    monkeypatch.setattr(linear, "term_columns", stop)
+    monkeypatch.setattr(linear, "term_features", stop)
+    with pytest.raises(Stop):
+        getattr(linear, fit)(docs, "tweet_id", map_label("polarity"))
+    assert seen == [(rows, rows, rows)]
+
+
+def test_fits_remember_their_steps_in_a_file(spark, monkeypatch):
+    """Beyond some bytes; entries are joined before they are added up. Neither changes the model."""
+    from wrenlight.operators import columns
+
+    docs = stored(spark.createDataFrame(own_words(60), "tweet_id long, polarity int, text string"), "own")
+    label, found = map_label("polarity"), []
+    for mapped, packed in ((columns.MAPPED_BYTES, columns.PACKED), (0, 7)):
+        monkeypatch.setattr(columns, "MAPPED_BYTES", mapped)
+        monkeypatch.setattr(columns, "PACKED", packed)
+        model = linear.fit_tfidf_logistic(docs, "tweet_id", label, iterations=12, tolerance=0.0)
+        found.append({r["term"]: r["coef"] for r in model.coefficients().collect()})
+    assert found[0] == pytest.approx(found[1], abs=1e-9) and len(found[0]) > 100
+    assert columns._space(3, 5).base is not None and not columns._space(3, 5).any()
+
+
+def test_entries_are_joined_before_they_are_added_up():
+    import numpy as np
+    import pyarrow as pa
+
+    from wrenlight.operators import columns
+
+    def batch(k):
+        ints = [np.array(x, np.int32).tobytes() for x in ([k, k + 1], [1, 2], [2])]
+        return pa.RecordBatch.from_pydict(dict(zip(("rows", "counts", "lengths"), ([i] * 3 for i in ints))))
+
+    joined = list(columns._gathered(map(batch, range(4)), 40))
+    assert [len(rows) for rows, _, _ in joined] == [10, 10, 4]
+    assert [len(lengths) for _, _, lengths in joined] == [5, 5, 2]
+    assert [len(rows) for rows, _, _ in columns._gathered(map(batch, range(2)), 3)] == [2] * 6
+
+
+def test_a_pass_has_a_task_for_each_core(spark):
+    from wrenlight.operators import columns
+
+    many = spark.range(100).repartition(40)
+    assert columns.few_tasks(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -8,6 +8,7 @@ numbers: every task has whole columns, so it works out its share alone, and shar
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
@@ -24,9 +25,13 @@ from wrenlight.sources.scratch import stored
 PACKED = 1 << 16
 #: So many numbers of a sum travel as one.
 CHUNK = 1 << 16
-#: Steps that the solver remembers, and the bytes that all fits side by side may take for them.
+#: Steps that the solver remembers.
 MEMORY = 10
+#: Bytes that all fits side by side may take on the driver, and how many numbers a row each holds at a time.
 SIDE_BY_SIDE_BYTES = 256 * 1024 * 1024
+AT_A_TIME = 8
+#: What a fit remembers beyond so many bytes is in a file that the driver maps.
+MAPPED_BYTES = 16 * 1024 * 1024
 #: Iterations over which the objective must fall by the tolerance.
 PATIENCE = 10
 
@@ -74,6 +79,20 @@ def added(parts: DataFrame) -> dict[int, np.ndarray]:
     }
 
 
+def placed(found: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """The ``size`` sums of ``added`` as one vector."""
+    result = np.zeros(size)
+    for place in list(found):
+        sums = found.pop(place)
+        result[place * CHUNK : place * CHUNK + len(sums)] = sums
+    return result
+
+
+def few_tasks(packed: DataFrame) -> DataFrame:
+    """In one task a core: each sends a sum for every row, so more tasks would send more of them."""
+    return packed.coalesce(max(1, packed.sparkSession.sparkContext.defaultParallelism))
+
+
 def _task() -> int:
     from pyspark import TaskContext
 
@@ -146,26 +165,51 @@ def _entries(batch, prefix: str = ""):
         yield tuple(map(_ints, packed))
 
 
+def _gathered(batches, total: int, prefix: str = "") -> Iterator[tuple]:
+    """``_entries`` of all batches, joined to a quarter of ``total`` entries or more.
+
+    What follows goes over all rows once for each of them, so its work is in proportion to the entries.
+    """
+    held, size = [], 0
+    for batch in batches:
+        for parts in _entries(batch, prefix):
+            if len(parts[0]):
+                held.append(parts)
+                size += len(parts[0])
+            if held and size >= total // 4:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _values(counts, lengths, total: int, weighted: bool) -> np.ndarray:
     if not weighted:
         return counts.astype(float)
     return counts * np.repeat(np.log((1.0 + total) / (lengths + 1)) + 1, lengths)
 
 
-def _squares(total: int, weighted: bool):
-    """Task: sums of squares by row, of shared terms and of a row's own."""
+def _shared_squares(total: int, weighted: bool):
+    """Task: sums of squares by row, of shared terms."""
 
     def run(batches):
-        sums = np.zeros((2, total))
+        sums = np.zeros(total)
+        for rows, counts, lengths in _gathered(batches, total):
+            value = _values(counts, lengths, total, weighted)
+            sums += np.bincount(rows, value * value, total)
+        yield from sent_sums(sums, _task())
+
+    return run
+
+
+def _own_squares(total: int, weighted: bool):
+    """Task: sums of squares by row, of a row's own terms."""
+
+    def run(batches):
+        sums = np.zeros(total)
         single = _single(total) if weighted else 1.0
-        for batch in batches:
-            for rows, counts, lengths in _entries(batch):
-                if len(rows):
-                    value = _values(counts, lengths, total, weighted)
-                    sums[0] += np.bincount(rows, value * value, total)
-            for rows, counts in _entries(batch, "own_"):
-                if len(rows):
-                    sums[1] += np.bincount(rows, (counts * single) ** 2, total)
+        for rows, counts in _gathered(batches, total, "own_"):
+            sums += np.bincount(rows, (counts * single) ** 2, total)
         yield from sent_sums(sums, _task())
 
     return run
@@ -177,15 +221,12 @@ def _product(sent, total: int, weighted: bool):
     def run(batches):
         vectors = sent.value
         sums = np.zeros_like(vectors)
-        for batch in batches:
-            for rows, counts, lengths in _entries(batch):
-                if not len(rows):
-                    continue
-                value = _values(counts, lengths, total, weighted)
-                starts = np.append(0, np.cumsum(lengths)[:-1])
-                for v, out in zip(vectors, sums, strict=True):
-                    slope = np.add.reduceat(v[rows] * value, starts)
-                    out += np.bincount(rows, value * np.repeat(slope, lengths), total)
+        for rows, counts, lengths in _gathered(batches, total):
+            value = _values(counts, lengths, total, weighted)
+            starts = np.append(0, np.cumsum(lengths)[:-1])
+            for v, out in zip(vectors, sums, strict=True):
+                slope = np.add.reduceat(v[rows] * value, starts)
+                out += np.bincount(rows, value * np.repeat(slope, lengths), total)
         yield from sent_sums(sums, _task())
 
     return run
@@ -243,18 +284,18 @@ class TermColumns:
         context = self.packed.sparkSession.sparkContext
         self._sent = context.broadcast(vectors)
         run = task(self._sent, self.rows, self.weighted)
-        return self.packed.select(*names).mapInArrow(run, schema)
+        return few_tasks(self.packed.select(*names)).mapInArrow(run, schema)
 
     def products(self, vectors: np.ndarray) -> np.ndarray:
         """``X X' v`` for each row ``v`` of ``vectors``."""
         scaled = vectors * self.scale
         parts = self._run(_product, scaled, SUMS_SCHEMA, ["lengths", "rows", "counts"])
-        found = added(parts)
+        result = placed(added(parts), scaled.size).reshape(scaled.shape)
         self._sent.destroy()
-        result = np.zeros(scaled.size)
-        for place, sums in found.items():
-            result[place * CHUNK : place * CHUNK + len(sums)] = sums
-        return (result.reshape(scaled.shape) + scaled * self.own) * self.scale
+        scaled *= self.own
+        result += scaled
+        result *= self.scale
+        return result
 
     def model(self, numbers: np.ndarray) -> DataFrame:
         """Stored ``term, idf, coef`` of the sum of the rows, each times its number."""
@@ -282,11 +323,13 @@ def term_columns(
     labels = np.zeros(total)
     told = rows.select("row", "label").toArrow()
     labels[told.column("row").to_numpy()] = told.column("label").to_numpy()
-    parts = packed.drop("terms", "own_terms").mapInArrow(_squares(total, weighted), SUMS_SCHEMA)
-    squares = np.zeros(2 * total)
-    for place, sums in added(parts).items():
-        squares[place * CHUNK : place * CHUNK + len(sums)] = sums
-    shared, own = squares.reshape(2, total)
+    shared, own = (
+        placed(added(few_tasks(packed.select(*names)).mapInArrow(task(total, weighted), SUMS_SCHEMA)), total)
+        for task, names in (
+            (_shared_squares, ["rows", "counts", "lengths"]),
+            (_own_squares, ["own_rows", "own_counts"]),
+        )
+    )
     length = np.sqrt(shared + own) if weighted else np.ones(total)
     scale = np.divide(1.0, length, out=np.zeros(total), where=length > 0)
     return TermColumns(packed, labels, scale, own, weighted)
@@ -324,21 +367,34 @@ class _Point:
         )
 
 
+def _space(count: int, rows: int) -> np.ndarray:
+    """``count`` vectors of a number a row; large ones are in a file without a name, gone when they are."""
+    size = 8 * count * rows
+    if size <= MAPPED_BYTES:
+        return np.zeros((count, rows))
+    file = tempfile.TemporaryFile()
+    file.truncate(size)
+    return np.asarray(np.memmap(file, float, "r+", shape=(count, rows)))
+
+
 class Fit:
     """Mean loss of the rows in ``used`` and ``penalty / 2`` times the squared weights, by L-BFGS.
 
     Each iteration gives out ``slopes`` and goes on when told their product with ``X X'``. A
     search along a line needs the rows' margins only, which are known, so it costs none.
+
+    The point, the last step and all steps that are remembered have their place in ``_space``.
     """
 
     def __init__(self, loss, labels, penalty, iterations, tolerance, used=None, start=0.0):
         self.loss, self.penalty = loss, penalty
         self.iterations, self.tolerance = iterations, tolerance
-        self.sign = 2.0 * labels - 1.0
-        self.used = np.ones(len(labels)) if used is None else used.astype(float)
+        self.sign = (2 * labels - 1).astype(np.int8)
+        self.used = np.ones(len(labels), bool) if used is None else used.astype(bool)
         self.count = max(1.0, float(self.used.sum()))
-        zero = np.zeros(len(labels))
-        self.at = _Point(zero, zero.copy(), start)
+        self.space = _space(6 + 4 * MEMORY, len(labels))
+        self.kept = 0
+        self.at = _Point(self.space[0], self.space[1], start)
         self.value, self.slopes = self._look(self.at.product, self.at.intercept, 0.0)
         self.values, self.pairs, self.before = [self.value], [], None
         self.done = not len(labels) or not np.isfinite(start)
@@ -359,7 +415,10 @@ class Fit:
             change = gradient.plus(-1.0, old)
             curve = step.dot(change)
             if curve > 1e-14 * step.dot(step):
-                self.pairs = [*self.pairs[1 - MEMORY :], (step, change, curve)]
+                place = 6 + 4 * (self.kept % MEMORY)
+                self.kept += 1
+                pair = self._keep(place, step), self._keep(place + 2, change), curve
+                self.pairs = [*self.pairs[1 - MEMORY :], pair]
         past = self.values[-1 - PATIENCE] if len(self.values) > PATIENCE else np.inf
         small = gradient.dot(gradient) <= (self.tolerance * max(abs(self.value), 1e-8)) ** 2
         still = past - self.value <= self.tolerance * self.values[0]
@@ -369,6 +428,12 @@ class Fit:
         if not self._step(gradient):
             self.done = True
 
+    def _keep(self, place: int, point: _Point) -> _Point:
+        """``point``, kept in two vectors of the space from ``place`` on."""
+        numbers, product = self.space[place], self.space[place + 1]
+        numbers[:], product[:] = point.numbers, point.product
+        return _Point(numbers, product, point.intercept)
+
     def _step(self, gradient: _Point) -> bool:
         while True:
             way = self._direction(gradient)
@@ -379,8 +444,9 @@ class Fit:
                 return False
             self.pairs = []
         times, self.value, self.slopes = found
-        self.at = self.at.plus(times, way)
-        self.before = (_Point(*(times * x for x in (way.numbers, way.product, way.intercept))), gradient)
+        self.at = self._keep(0, self.at.plus(times, way))
+        step = _Point(*(times * x for x in (way.numbers, way.product, way.intercept)))
+        self.before = self._keep(2, step), self._keep(4, gradient)
         self.values.append(self.value)
         return True
 
@@ -424,8 +490,8 @@ class Fit:
 
 
 def descend(columns: TermColumns, fits: list[Fit]) -> None:
-    """Runs the fits, as many side by side as may hold their steps; they share each pass."""
-    each = 8 * columns.rows * (4 * MEMORY + 8)
+    """Runs the fits, as many side by side as the driver may hold; they share each pass."""
+    each = 8 * columns.rows * AT_A_TIME
     most = max(1, SIDE_BY_SIDE_BYTES // max(1, each))
     for start in range(0, len(fits), most):
         group = fits[start : start + most]
@@ -434,4 +500,6 @@ def descend(columns: TermColumns, fits: list[Fit]) -> None:
             for fit, product in zip(running, found, strict=True):
                 fit.told(product)
         for fit in group:
-            fit.pairs, fit.before = [], None
+            # What of its space is still used; the rest goes.
+            fit.at = _Point(fit.at.numbers.copy(), fit.at.product.copy(), fit.at.intercept)
+            fit.pairs, fit.before, fit.space = [], None, None

@@ -55,10 +55,6 @@ SGD_PASSES = 5
 INTERCEPT_RATE = 0.01
 EXTREMES = 20
 
-# The driver holds some numbers for each row, so a model is fitted on about so
-# many labelled rows; a larger table is thinned by a hash of its keys.
-FIT_ROWS = 200_000
-
 # Blocks of rows that descend side by side.
 SGD_BLOCKS = 4
 
@@ -121,24 +117,23 @@ def training_rows(
     label: Column,
     labels: tuple[str, str],
     text: str = "text",
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
 ) -> tuple[DataFrame, int]:
-    """Stored ``row, key, label, text`` of the rows with one of the labels, and their number.
+    """Stored ``row, key, label, text`` of all rows with one of the labels, and their number.
 
-    Rows are numbered from 0. More than ``fit_rows`` are thinned by a hash of the key to
-    about so many. They are counted while they are written.
+    Rows are numbered from 0 and counted while they are written. Only a caller that gives
+    ``fit_rows`` has more than so many thinned, by a hash of the key; no model here does.
     """
-    chosen, seen = stored_observed(
-        docs.where(label.isin(list(labels))).select(
-            F.col(key).alias("key"),
-            F.col(text).alias("text"),
-            (label == labels[1]).cast("double").alias("label"),
-        ),
-        "linear-chosen",
+    chosen = docs.where(label.isin(list(labels))).select(
+        F.col(key).alias("key"),
+        F.col(text).alias("text"),
+        (label == labels[1]).cast("double").alias("label"),
     )
-    share = fit_rows / max(1, seen["rows"])
-    if share < 1:
-        chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if fit_rows is not None:
+        chosen, seen = stored_observed(chosen, "linear-chosen")
+        share = fit_rows / max(1, seen["rows"])
+        if share < 1:
+            chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows, seen = stored_observed(with_rank(chosen, [], ["key"], "row"), "linear-rows")
     return rows, seen["rows"]
 
@@ -257,7 +252,6 @@ def fit_tfidf_logistic(
     labels: tuple[str, str] = ("neg", "pos"),
     ngram_range: tuple[int, int] = (1, 2),
     text: str = "text",
-    fit_rows: int = FIT_ROWS,
     iterations: int = LOGISTIC_ITERATIONS,
     tolerance: float = TOLERANCE,
 ) -> LinearTextModel:
@@ -266,7 +260,7 @@ def fit_tfidf_logistic(
     The objective is the mean loss, so the penalty of a summed loss with
     strength ``C`` is ``1 / (C n)``.
     """
-    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    rows, total = training_rows(docs, key, label, labels, text)
     columns = term_columns(rows, total, ngram_range, weighted=True)
     ones = columns.labels.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -335,10 +329,9 @@ def fit_linear_svc(
     ngram_range: tuple[int, int] = (1, 2),
     alpha: float = HINGE_ALPHA,
     text: str = "text",
-    fit_rows: int = FIT_ROWS,
 ) -> LinearTextModel:
     """Counts of word n-grams and a linear classifier with hinge loss and L2 penalty."""
-    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    rows, total = training_rows(docs, key, label, labels, text)
     columns = term_columns(rows, total, ngram_range, weighted=False)
     hinge = _hinge(columns, alpha)
     descend(columns, [hinge])
@@ -418,7 +411,6 @@ def fit_sgd(
     seed: int = SEED,
     blocks: int = SGD_BLOCKS,
     text: str = "text",
-    fit_rows: int = FIT_ROWS,
 ) -> LinearTextModel:
     """Counts of n-grams and a hinge model by ``passes`` of stochastic gradient descent.
 
@@ -431,7 +423,7 @@ def fit_sgd(
     A task holds the weights and one batch of rows, which Spark has sorted; the blocks' weights
     are added up by tasks.
     """
-    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    rows, total = training_rows(docs, key, label, labels, text)
     # The files hold one value beside the features, so it says the row too.
     named = F.concat_ws(":", "row", (2 * F.col("label") - 1).cast("int"))
     features = term_features(rows, total, ngram_range, weighted=False, label=named)
@@ -475,7 +467,6 @@ def grid_search(
     labels: tuple[str, str] = ("neg", "pos"),
     text: str = "text",
     folds: int = FOLDS,
-    fit_rows: int = FIT_ROWS,
     ngrams: Sequence[tuple[int, int]] = GRID_NGRAMS,
     alphas: Sequence[float] = GRID_ALPHA,
 ) -> tuple[LinearTextModel, DataFrame]:
@@ -488,7 +479,7 @@ def grid_search(
     coefficient 0. The margins of the rows held out are known when a fit ends. Folds are drawn by
     a hash of the key.
     """
-    rows, total = training_rows(docs, key, label, labels, text, fit_rows)
+    rows, total = training_rows(docs, key, label, labels, text)
     fold = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(folds)).cast("int")
     told = rows.select("row", fold.alias("fold")).toArrow()
     held = np.zeros(total, np.int32)
