@@ -505,3 +505,60 @@ def test_a_pass_has_a_task_for_each_core(spark):
 
     many = spark.range(100).repartition(40)
     assert columns.few_tasks(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_tfidf_packs(spark, monkeypatch):
+    """Several packs and ranges; rows of one key, or of none, have one length; null tokens are none."""
+    from wrenlight.operators import packs, tfidf as module
+
+    draw = random.Random(5)
+    names = [f"w{i}" for i in range(12)] + ["\u00e9t\u00e9", "", "\U0001f600 x"]
+    rows = [
+        (i if i % 5 else (None if i % 10 else 5), [draw.choice([*names, f"own{i}", None]) for _ in range(draw.randrange(9))])
+        for i in range(1, 60)
+    ] + [(100, None), (101, []), (102, [None])]
+    monkeypatch.setattr(packs, "RANGE_TERMS", 25)
+    # Tasks import the package anew, so small packs come from small partitions.
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(7)
+    df = Counter(t for _, ts in rows for t in {*(ts or ())} - {None})
+    raw = [(k, t, n, n * (log((1 + len(rows)) / (1 + df[t])) + 1)) for k, ts in rows for t, n in Counter(ts or ()).items() if t is not None]
+    square = Counter()
+    for k, _, _, w in raw:
+        square[k] += w * w
+    wanted = sorted((str(k), t, n, round(w / sqrt(square[k]), 9)) for k, t, n, w in raw)
+    for one in (docs, docs.where("id > 5 AND id < 100")):
+        found = module.tfidf(one, "id", F.col("tokens"))
+        assert found.dtypes == [("id", "bigint"), ("term", "string"), ("tf", "int"), ("weight", "double")]
+        if one is docs:
+            assert sorted((str(r["id"]), r["term"], r["tf"], round(r["weight"], 9)) for r in found.collect()) == wanted
+        else:
+            assert found.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).where("abs(n - 1) > 1e-9").isEmpty()
+    assert module.tfidf(docs.where("false"), "id", F.col("tokens")).count() == 0
+
+
+def test_tfidf_moves_no_term_rows(spark):
+    """Of a thousand copies of terms a task sends one, packed: once 60,000 rows and more were shuffled."""
+    docs = spark.range(3000, numPartitions=3).select("id", F.lit("a b c d e f g h i j k l m n o p q r s t").alias("text"))
+    from wrenlight.operators import packs
+
+    made, plain = [], packs.stored
+    try:
+        packs.stored = lambda df, name: made.append((name, plain(df, name))) or made[-1][1]
+        found = tfidf.tfidf(docs, "id", words())
+    finally:
+        packs.stored = plain
+    assert found.count() == 60_000
+    assert {name: df.count() for name, df in made} == {"packs": 3, "pack-frequencies": 3}
+
+
+def test_squeezed_numbers_and_terms():
+    import numpy as np
+    import pyarrow as pa
+
+    from wrenlight.operators import packs
+
+    for numbers in ([], [0], [1, 2**32 - 1, 7, 300]):
+        assert packs.loose_ints(packs.squeezed_ints(np.array(numbers, np.int64))).tolist() == numbers
+    for terms in ([], [b""], [b"a", b"", b"\xff\x00"]):
+        array = pa.array([b"skip", *terms], pa.binary()).slice(1)
+        assert packs.loose_terms(*packs.squeezed_terms(array)).to_pylist() == terms

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenlight.functions.text import term_counts, terms
-from wrenlight.session import ship_package
+from wrenlight.session import bound_batches, ship_package
 from wrenlight.sources.scratch import stored
 
 #: About so many entries of the columns make one row of the packed table.
@@ -315,6 +315,7 @@ def term_columns(
     """
     spark = rows.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     counted = rows.select(
         F.inline(term_counts(terms("text", ngram_range))), F.col("row").cast("int").alias("row")
     ).select("term", "row", "tf")
