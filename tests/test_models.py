@@ -543,7 +543,7 @@ def test_tfidf_moves_no_term_rows(spark):
 
     made, plain = [], packs.stored
     try:
-        packs.stored = lambda df, name: made.append((name, plain(df, name))) or made[-1][1]
+        packs.stored = lambda df, name, **to: made.append((name, plain(df, name, **to))) or made[-1][1]
         found = tfidf.tfidf(docs, "id", words())
     finally:
         packs.stored = plain
